@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, fingerprint, language
 
 
 def queries() -> dict:
     return {
+        "op1_fingerprints": fingerprint.op1_fingerprints,
+        "op2_language": language.op2_language,
         "op4_decontaminate": decontaminate.op4_decontaminate,
     }
 
