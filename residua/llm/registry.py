@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language
+from . import decontaminate, fingerprint, language, packing, tokenids
 
 
 def queries() -> dict:
     return {
         "op1_fingerprints": fingerprint.op1_fingerprints,
         "op2_language": language.op2_language,
+        "op3_token_ids": tokenids.op3_token_ids,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op9_packing": packing.op9_packing,
     }
 
 
