@@ -18,8 +18,12 @@ counts, counts give each value's word and shift.
 
 from __future__ import annotations
 
+import codecs
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -46,28 +50,29 @@ def encode(values: np.ndarray) -> np.ndarray:
     n = len(v)
     if not n:
         return np.zeros(0, U)
-    width = np.zeros(n, np.int64)  # bits of each value
-    for b in range(6, -1, -1):
-        big = (v >> width.astype(U)) >> U((1 << b) - 1) > 0
-        width[big] += 1 << b
-    best = np.full(n, ESCAPE, np.int64)
-    # the widest packing wins; a run that ends early may not be filled up, as counts are exact
+    width = np.frexp(v.astype(np.float64))[1].astype(np.int8)  # bits of each value; one too many where rounding makes it a power of two
+    high = width > 53
+    if high.any():
+        width[high] = [x.bit_length() for x in v[high].tolist()]
+    best = np.full(n, ESCAPE, np.int8)
+    least, most = int(width.min()), int(width.max())
+    # each value's word packs as many values as fit from there; a word that would not be filled is not used
     for s in range(15, -1, -1):
-        if s == ESCAPE:
-            continue
         c = int(COUNTS[s])
-        if c > n:
+        if s == ESCAPE or c > n or BITS[s] < least:
+            continue
+        if BITS[s] >= most:
+            best[: n - c + 1] = s
             continue
-        bad = np.concatenate([[0], np.cumsum(width > BITS[s])])
-        ok = bad[c:] == bad[:-c]
-        best[: n - c + 1][ok] = s
+        bad = np.concatenate([[0], np.cumsum(width > BITS[s], dtype=np.int32)])
+        best[: n - c + 1][bad[c:] == bad[:-c]] = s
     step = np.where(best == ESCAPE, 1, COUNTS[best]).tolist()
     at, i = [], 0
     while i < n:
         at.append(i)
         i += step[i]
     at = np.array(at)
-    sel = best[at]
+    sel = best[at].astype(np.int64)
     raw = sel == ESCAPE
     place = np.cumsum(1 + raw) - 1 - raw  # of each packed word; a raw value follows its mark
     words = np.zeros(int(place[-1]) + 1 + int(raw[-1]), U)
@@ -132,6 +137,21 @@ def decode_from(words: np.ndarray, offsets: np.ndarray, first: int, n: int) -> n
     return decode(words[at:stop])[skip : skip + n]
 
 
+#: Single marks that the tokenizer splits from the letters before them.
+_MARKS = frozenset(".,;:!?|)]}\"-")
+
+
+def _byte_letters() -> str:
+    """The printable stand-in of every byte in byte-level vocabularies: printable Latin-1 stands for itself, the rest follows from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, n = [], 0
+    for b in range(256):
+        out.append(chr(b) if b in plain else chr(256 + n))
+        n += b not in plain
+    out[10] = "\n"
+    return "".join(out)
+
+
 class Pieces:
     """Token ids of texts, with what a text's parts between blanks give remembered.
 
@@ -140,64 +160,122 @@ class Pieces:
     white space before a blank is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
+        from tokenizers import pre_tokenizers as pre
+
         self.tok, self.most = Tokenizer.from_file(path), most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.of: dict[str, int] = {}
-        self.ids, self.ptr = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
-        self.n = 0
-
-    def _learn(self, new: list[str]) -> None:
-        got = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        m = len(self.of)
-        if len(self.ptr) < m + len(new) + 1:
-            self.ptr = np.concatenate([self.ptr, np.zeros(len(self.ptr) + len(new), np.int64)])
-        if len(self.ids) < self.n + size.sum():
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids) + int(size.sum()), np.uint32)])
-        self.ids[self.n : self.n + size.sum()] = [i for x in got for i in x]
-        self.ptr[m + 1 : m + len(new) + 1] = self.n + np.cumsum(size)
-        self.n += int(size.sum())
-        self.of.update(zip(new, range(m, m + len(new)), strict=True))
+        # for many words that are known not to be split further, as byte letters, one to a line: far cheaper than a call for each
+        self.lines = Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = pre.CharDelimiterSplit("\n")
+        self.letters = _byte_letters()
+        self.split = Tokenizer.from_file(path)
+        self.split.pre_tokenizer = pre.Split(chr(266), "isolated")  # the byte letter of a new line
+        self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        begins = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        for token, i in self.tok.get_vocab().items():
+            begins[i] = token[0] == self.letters[32]
+        self.begins = begins  # tokens that start with a blank, as each such word does and no other part of it
+        self.after: dict[str, bytes] = {}  # parts that follow a blank, without it
+        self.lead: dict[str, bytes] = {}
+
+    def _encode(self, rows: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(rows), 4096):
+            out += [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(rows[at : at + 4096], add_special_tokens=False)]
+        return out
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only with a blank before each: the tokenizer splits none of them."""
+        out: list[bytes] = []
+        step = 512
+        rows = [codecs.charmap_decode((" " + "\n ".join(words[i : i + step])).encode(), "strict", self.letters)[0] for i in range(0, len(words), step)]
+        for e in self.lines.encode_batch_fast(rows, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            at = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)], strict=True)]
+        return out
+
+    def _bare(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only with nothing before them."""
+        out: list[bytes] = []
+        step = 512
+        rows = [codecs.charmap_decode(chr(10).join(words[i : i + step]).encode(), "strict", self.letters)[0].replace("\n", chr(266)) for i in range(0, len(words), step)]
+        for e in self.split.encode_batch_fast(rows, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            cut = (np.flatnonzero(ids == self.newline) * 4).tolist()
+            raw = ids.tobytes()
+            out += [raw[i:j] for i, j in zip([0, *[x + 4 for x in cut]], [*cut, len(raw)], strict=True)]
+        return out
+
+    def _learn(self, after: set[str], lead: set[str]) -> None:
+        marked, lined, stems, other = [], [], [], []
+        first, bare, tailed = set(lead), set(), []
+        have, have2 = self.after, self.lead
+        for w in after:
+            if w.isalpha():
+                stems.append(w)
+            elif w[-1:] in _MARKS and w[:-1].isalpha():
+                marked.append(w)
+            elif w.count("\n") == 1 and w[0] != "\n" and w[-1] != "\n":
+                lined.append(w)
+            else:
+                other.append(w)
+        for w in lined:
+            x, y = w.split("\n")
+            if x not in have:
+                if x.isalpha():
+                    stems.append(x)
+                elif x[-1] in _MARKS and x[:-1].isalpha():
+                    marked.append(x)
+                else:
+                    other.append(x)
+            if y not in have2:
+                if y[-1] in _MARKS and y[:-1].isalpha():
+                    tailed.append(y)
+                    y = y[:-1]
+                (bare if y.isalpha() else first).add(y)
+        new = [*{*stems, *[w[:-1] for w in marked if w[:-1] not in have]}]
+        have.update(zip(new, self._whole(new), strict=True))
+        other = [*set(other)]
+        have.update(zip(other, self._encode([" " + w for w in other]), strict=True))
+        new = [w for w in {*first, *_MARKS, "\n"} if w not in have2]
+        have2.update(zip(new, self._encode(new), strict=True))
+        new = [w for w in bare if w not in have2]
+        have2.update(zip(new, self._bare(new), strict=True))
+        for w in tailed:
+            have2[w] = have2[w[:-1]] + have2[w[-1]]
+        for w in marked:
+            have[w] = have[w[:-1]] + have2[w[-1]]
+        for w in lined:
+            x, y = w.split("\n")
+            have[w] = have[x] + have2["\n"] + have2[y]
 
     def __call__(self, rows: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and each text's first place."""
-        if len(self.of) > self.most:
-            self._clear()
-        parts, count, whole = [], [], []
+        if len(self.after) + len(self.lead) > self.most:
+            self.after, self.lead = {}, {}
+        split: list[tuple[str, list[str]] | None] = []
+        new: set[str] = set()
+        known = self.after.__contains__
         for t in rows:
             if "  " in t or "\n " in t or "\t " in t or "\r " in t or not t.isascii() and _odd(t):
-                whole.append(t)
-                count.append(-1)
-                continue
-            x = t.split(" ")
-            count.append(len(x))
-            parts.append(x[0])
-            parts.extend([" " + y for y in x[1:]])
-        new = list({p for p in parts if p not in self.of})
-        if new:
-            self._learn(new)
-        code = np.fromiter(map(self.of.__getitem__, parts), np.int64, len(parts))
-        size = self.ptr[code + 1] - self.ptr[code]
-        at = np.cumsum(size) - size
-        flat = self.ids[np.arange(int(size.sum())) + np.repeat(self.ptr[code] - at, size)] if len(parts) else np.zeros(0, np.uint32)
-        apart = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(whole, add_special_tokens=False)] if whole else []
-        out, used, k, w = [], 0, 0, 0
-        ends = np.concatenate([[0], np.cumsum(size)])
-        stop = np.array([end], np.uint32)
-        for c in count:
-            if c < 0:
-                out += [apart[w], stop]
-                w += 1
+                split.append(None)
                 continue
-            out += [flat[used : ends[k + c]], stop]
-            used, k = ends[k + c], k + c
-        lens = np.array([len(out[2 * i]) + 1 for i in range(len(count))], np.int64)
-        return np.concatenate(out) if out else np.zeros(0, np.uint32), np.concatenate([[0], np.cumsum(lens)])
+            head, *rest = t.split(" ")
+            split.append((head, rest))
+            new.update(filterfalse(known, rest))
+        first = {x[0] for x in split if x and x[0] not in self.lead}
+        if new or first:
+            self._learn(new, first)
+        whole = iter(self._encode([t for t, x in zip(rows, split, strict=True) if x is None]))
+        get, stop = self.after.__getitem__, array("I", [end]).tobytes()
+        out = [(self.lead[x[0]] + b"".join(map(get, x[1])) if x else next(whole)) + stop for x in split]
+        ptr = np.concatenate([[0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)) // 4)])
+        return np.frombuffer(b"".join(out), "<u4"), ptr
 
 
 _WHITE = [chr(c) for c in (11, 12, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
