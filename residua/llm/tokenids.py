@@ -5,6 +5,7 @@ A block holds whole documents in ascending doc_id order (a document of any lengt
 one block) and has
 
     shard, block     place in the order of all blocks
+    before           ids of the shard's blocks before it
     first_doc, docs  zigzag-coded steps of doc_id from one document to the next, as Simple-8b words
     counts           ids of each document, as Simple-8b words
     n_docs, n_ids    how many of each
@@ -23,12 +24,10 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -38,6 +37,7 @@ U = np.uint64
 #: Values in a word and bits of each, by selector; the last packs nothing itself.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
+_WIDTH = np.array([x.bit_length() for x in range(1 << 16)], np.int8)
 #: 120 zeros are as well packed as 60 twice over, so this selector is free to mark a raw word.
 ESCAPE = 1
 GROUP = 1024
@@ -50,23 +50,25 @@ def encode(values: np.ndarray) -> np.ndarray:
     n = len(v)
     if not n:
         return np.zeros(0, U)
-    width = np.frexp(v.astype(np.float64))[1].astype(np.int8)  # bits of each value; one too many where rounding makes it a power of two
-    high = width > 53
-    if high.any():
-        width[high] = [x.bit_length() for x in v[high].tolist()]
+    if int(v.max()) < len(_WIDTH):
+        width = _WIDTH[v]
+    else:
+        width = np.array([x.bit_length() for x in v.tolist()], np.int8)
     best = np.full(n, ESCAPE, np.int8)
-    least, most = int(width.min()), int(width.max())
+    best[width <= BITS[15]] = 15
     # each value's word packs as many values as fit from there; a word that would not be filled is not used
-    for s in range(15, -1, -1):
+    least, top, have = int(width.min()), {1: width}, 1
+    for s in range(14, -1, -1):
         c = int(COUNTS[s])
         if s == ESCAPE or c > n or BITS[s] < least:
             continue
-        if BITS[s] >= most:
-            best[: n - c + 1] = s
-            continue
-        bad = np.concatenate([[0], np.cumsum(width > BITS[s], dtype=np.int32)])
-        best[: n - c + 1][bad[c:] == bad[:-c]] = s
-    step = np.where(best == ESCAPE, 1, COUNTS[best]).tolist()
+        half = top[have]  # the widest of each ``have`` values from there; two that overlap or more make one of c
+        most = half[: n - c + 1].copy()
+        for at in [*range(have, c - have + 1, have), c - have]:
+            np.maximum(most, half[at : at + n - c + 1], out=most)
+        top, have = {c: most}, c
+        np.copyto(best[: n - c + 1], np.int8(s), where=most <= BITS[s])
+    step = np.where(best == ESCAPE, 1, COUNTS[best]).astype(np.uint8).tobytes()
     at, i = [], 0
     while i < n:
         at.append(i)
@@ -160,7 +162,7 @@ class Pieces:
     white space before a blank is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
@@ -258,22 +260,31 @@ class Pieces:
         """All ids, ``end`` after each text, and each text's first place."""
         if len(self.after) + len(self.lead) > self.most:
             self.after, self.lead = {}, {}
-        split: list[tuple[str, list[str]] | None] = []
+        split: list[tuple[str, list[str], list, list[int]] | None] = []
         new: set[str] = set()
-        known = self.after.__contains__
+        get = self.after.get
         for t in rows:
             if "  " in t or "\n " in t or "\t " in t or "\r " in t or not t.isascii() and _odd(t):
                 split.append(None)
                 continue
             head, *rest = t.split(" ")
-            split.append((head, rest))
-            new.update(filterfalse(known, rest))
+            got = list(map(get, rest))
+            miss = [i for i, x in enumerate(got) if x is None]
+            new.update([rest[i] for i in miss])
+            split.append((head, rest, got, miss))
         first = {x[0] for x in split if x and x[0] not in self.lead}
         if new or first:
             self._learn(new, first)
         whole = iter(self._encode([t for t, x in zip(rows, split, strict=True) if x is None]))
-        get, stop = self.after.__getitem__, array("I", [end]).tobytes()
-        out = [(self.lead[x[0]] + b"".join(map(get, x[1])) if x else next(whole)) + stop for x in split]
+        stop, out = array("I", [end]).tobytes(), []
+        for x in split:
+            if x is None:
+                out.append(next(whole) + stop)
+                continue
+            head, rest, got, miss = x
+            for i in miss:
+                got[i] = self.after[rest[i]]
+            out.append(self.lead[head] + b"".join(got) + stop)
         ptr = np.concatenate([[0], np.cumsum(np.fromiter(map(len, out), np.int64, len(out)) // 4)])
         return np.frombuffer(b"".join(out), "<u4"), ptr
 
@@ -307,15 +318,15 @@ def _unzigzag(x: np.ndarray) -> np.ndarray:
     return (x >> U(1)).view(np.int64) ^ -((x & U(1)).view(np.int64))
 
 
-FILE = "shard int, block int, first_doc long, n_docs int, n_ids long, docs binary, counts binary, words binary, offsets binary"
+FILE = "shard int, block int, before long, first_doc long, n_docs int, n_ids long, docs binary, counts binary, words binary, offsets binary"
 
 
-def _block(shard: int, block: int, docs: list[int], counts: list[int], ids: np.ndarray) -> pa.RecordBatch:
+def _block(shard: int, block: int, before: int, docs: list[int], counts: list[int], ids: np.ndarray) -> pa.RecordBatch:
     d = np.array(docs, np.int64)
     words = encode(ids.astype(U))
     return pa.record_batch(
         [
-            pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([docs[0]], pa.int64()), pa.array([len(docs)], pa.int32()), pa.array([len(ids)], pa.int64()),
+            pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([before], pa.int64()), pa.array([docs[0]], pa.int64()), pa.array([len(docs)], pa.int32()), pa.array([len(ids)], pa.int64()),
             pa.array([encode(_zigzag(np.diff(d))).astype("<u8").tobytes()]), pa.array([encode(np.array(counts, U)).astype("<u8").tobytes()]),
             pa.array([words.astype("<u8").tobytes()]), pa.array([group_offsets(words).astype("<u8").tobytes()]),
         ],
@@ -334,7 +345,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, block_ids: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = pieces(tokenizer)
-        ids, doc, count, size, shard, block = [], [], [], 0, 0, 0
+        ids, doc, count, size, shard, block, before = [], [], [], 0, 0, 0, 0
         for b in C.slices(batches, 1 << 20):
             shard = b.column("bucket")[0].as_py()
             got, ptr = tok(b.column("text").to_pylist(), end)
@@ -344,10 +355,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, block_ids: int =
                 count.append(int(ptr[i + 1] - ptr[i]))
                 size += count[-1]
                 if size >= block_ids:
-                    yield _block(shard, block, doc, count, np.concatenate(ids))
-                    ids, doc, count, size, block = [], [], [], 0, block + 1
+                    yield _block(shard, block, before, doc, count, np.concatenate(ids))
+                    ids, doc, count, size, block, before = [], [], [], 0, block + 1, before + size
         if doc:
-            yield _block(shard, block, doc, count, np.concatenate(ids))
+            yield _block(shard, block, before, doc, count, np.concatenate(ids))
 
     dealt.mapInArrow(run, FILE).write.parquet(path)
 
@@ -355,15 +366,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, block_ids: int =
 def read(spark, path: str, ids: bool = False) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32; with ``ids`` the decoded ids as well."""
     blocks = spark.read.schema(FILE).parquet(path)
-    # ids before each block: a sum within the shard, and one number for each shard before
-    by_shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()
+    by_shard = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()  # one number for each shard
     before, total = {}, 0
     for shard, n in sorted(by_shard):
         before[shard] = total
         total += n
 
-    placed = blocks.withColumn("in_shard", F.coalesce(F.sum("n_ids").over(W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -372,7 +380,7 @@ def read(spark, path: str, ids: bool = False) -> DataFrame:
                 n = decode(word["counts"]).astype(np.int64)
                 all_ids = decode(word["words"]).astype(np.uint32)
                 at = np.concatenate([[0], np.cumsum(n)])
-                start = before[r["shard"]] + r["in_shard"] + at[:-1]
+                start = before[r["shard"]] + r["before"] + at[:-1]
                 cols = [pa.array(doc.astype(np.int64)), pa.array(start), pa.array(n), pa.array([crc(all_ids[at[i] : at[i + 1]]) for i in range(len(n))], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if ids:
@@ -380,7 +388,7 @@ def read(spark, path: str, ids: bool = False) -> DataFrame:
                     names.append("ids")
                 yield pa.record_batch(cols, names=names)
 
-    slim = placed.select("shard", "first_doc", "docs", "counts", "words", "in_shard")
+    slim = blocks.select("shard", "before", "first_doc", "docs", "counts", "words")
     return slim.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
