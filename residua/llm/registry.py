@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, packing, tokenids
+from . import decontaminate, fingerprint, language, lm, packing, tokenids
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_language": language.op2_language,
         "op3_token_ids": tokenids.op3_token_ids,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_ppm": lm.op5_ppm,
         "op9_packing": packing.op9_packing,
     }
 
