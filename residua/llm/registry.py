@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, language, lm, packing, tokenids
+from . import decontaminate, fingerprint, jaccard, language, lm, packing, tokenids
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_ids": tokenids.op3_token_ids,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_ppm": lm.op5_ppm,
+        "op7_jaccard": jaccard.op7_jaccard,
         "op9_packing": packing.op9_packing,
     }
 
@@ -19,4 +20,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.SQL,
+        "op7_jaccard": jaccard.SQL,
     }
