@@ -158,11 +158,11 @@ class Pieces:
     """Token ids of texts, with what a text's parts between blanks give remembered.
 
     The tokenizer splits before every blank that follows a character other than white space, so such parts
-    are encoded apart, each once while it is remembered (``most`` parts; then it starts anew). A text with
+    are encoded apart, each once while it is remembered (``most`` parts and those before). A text with
     white space before a blank is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 350_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
@@ -180,6 +180,7 @@ class Pieces:
         for token, i in self.tok.get_vocab().items():
             begins[i] = token[0] == self.letters[32]
         self.begins = begins  # tokens that start with a blank, as each such word does and no other part of it
+        self.old: dict[str, bytes] = {}  # the parts before it last started anew; those in use move over
         self.after: dict[str, bytes] = {}  # parts that follow a blank, without it
         self.lead: dict[str, bytes] = {}
 
@@ -214,6 +215,11 @@ class Pieces:
         return out
 
     def _learn(self, after: set[str], lead: set[str]) -> None:
+        if self.old:
+            get = self.old.get
+            found = {w: x for w in after if (x := get(w)) is not None}
+            self.after.update(found)
+            after = after.difference(found)
         marked, lined, stems, other = [], [], [], []
         first, bare, tailed = set(lead), set(), []
         have, have2 = self.after, self.lead
@@ -258,8 +264,10 @@ class Pieces:
 
     def __call__(self, rows: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, ``end`` after each text, and each text's first place."""
-        if len(self.after) + len(self.lead) > self.most:
-            self.after, self.lead = {}, {}
+        if len(self.after) > self.most:
+            self.old, self.after = self.after, {}
+        if len(self.lead) > self.most:
+            self.lead = {}
         split: list[tuple[str, list[str], list, list[int]] | None] = []
         new: set[str] = set()
         get = self.after.get
