@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -102,12 +103,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, rounds: int = 3) -> DataFrame:
+def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id: the least doc_id reachable by links, itself included.
 
     Two documents link when 100 * shared shingles >= percent * shingles of both together. Texts are lower-cased (A-Z), words
     stand between ASCII white space, a text of fewer words is one shingle. Null and empty texts have no shingles and no
-    links. Rows that repeat a doc_id are one node, linked by any of their texts. An empty table gives none.
+    links. Rows that repeat a doc_id are one node; where their texts differ, links beyond equal sets follow one of the texts. An
+    empty table gives none.
     """
     spark = docs.sparkSession
     src = C.texts(docs)
@@ -129,14 +131,12 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     ids = made.select("doc_id", "n", "s1", "s2")
     classes = C.keep(ids.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # index lists: sets by shingle, with position
-    reps = made.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi").select(F.col("doc_id").alias("x"), "n", "sketch", "prefix").dropDuplicates(["x"])
-    reps = C.keep(reps, "reps")
-    entries = reps.select("x", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    lists = C.keep(entries.join(shared, "token"), "lists")  # lists of one set are skipped
-
-    sketches = reps.select("x", "n", "sketch")
+    # index lists: sets by shingle, with position; lists of one set are skipped. A list has each set once, so it is a small
+    # share of the entries even if it holds every set
+    rep = made.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
+    entries = rep.select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("pos", "token"))
+    lists = C.keep(entries.withColumn("members", F.count("*").over(W.partitionBy("token"))).where("members > 1").drop("members").distinct(), "lists")
+    sketches = C.keep(lists.select("x").distinct().join(made.select(F.col("doc_id").alias("x"), "n", "sketch"), "x").dropDuplicates(["x"]), "sketches")
     edges = None
     label = None
     for r in range(rounds):
@@ -149,7 +149,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
         lead = cur.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.y", "l.m", "l.q")
         pairs = cur.join(lead, "token").where("x <> y").where(_possible(percent))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        new = C.keep(_verified(_sketched(pairs, sketches, percent), src, reps, percent, k), "links")
+        new = C.keep(_verified(_sketched(pairs, sketches, percent), src, percent, k), "links")
         edges = new if edges is None else edges.unionByName(new)
         label = C.keep(C.components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
     # all pairs that are left: in one list, in different components, possible by size and position
@@ -163,7 +163,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     right = right.withColumn("block", F.explode(F.array("at", F.col("at") - 1)))  # y is the larger one, in the same block of sizes or the next
     pairs = left.join(right, ["token", "block"]).where("(n < m or (n = m and x < y)) and c <> d").where(_possible(percent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    new = C.keep(_verified(_sketched(pairs, sketches, percent), src, reps, percent, k), "links")
+    new = C.keep(_verified(_sketched(pairs, sketches, percent), src, percent, k), "links")
     edges = edges.unionByName(new)
     # classes to documents: rows of one doc_id and one class are joined through the class
     node = edges.select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -202,16 +202,28 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return C.keep(j.select("x", "y", "n", "m", "sketch", "other").mapInArrow(run, "x long, y long"), "pairs")
 
 
-def _verified(pairs: DataFrame, src: DataFrame, reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs that are links, by their whole sets, which are made again from the texts of the documents that some pair needs."""
+def _verified(pairs: DataFrame, src: DataFrame, percent: int, k: int, bits: int = 22) -> DataFrame:
+    """Pairs that are links, by their whole sets, which are made again from the texts of the documents that some pair needs.
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, 2 << 20):
-            s = Sets(b.column("text"), k)
-            yield pa.record_batch([b.column("doc_id"), pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["x", "hashes"])
+    A bit map of 2^bits places of their ids, whatever their number, picks those texts where they are read, so that texts aren't
+    shuffled; an id that is picked by chance costs its set and changes nothing.
+    """
+    mask = (1 << bits) - 1
+    slot = pairs.select(F.explode(F.array("x", "y")).alias("x")).select(F.xxhash64("x").bitwiseAND(F.lit(mask)).cast("int").alias("s")).distinct().toArrow()
+    seen = np.zeros(1 << bits, bool)
+    seen[np.asarray(slot.column("s"))] = True
+    packed = src.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
-    needed = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
-    full = C.keep(src.join(needed.withColumnRenamed("x", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "x long, hashes binary"), "full")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(packed.value).astype(bool)
+        for whole in batches:
+            for b in C.slices(iter([whole.filter(pa.array(seen[np.asarray(whole.column("s"))]))]), 2 << 20):
+                s = Sets(b.column("text"), k)
+                yield pa.record_batch([b.column("doc_id"), pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["x", "hashes"])
+
+    slotted = src.withColumn("s", F.xxhash64("doc_id").bitwiseAND(F.lit(mask)).cast("int"))
+    needed = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
+    full = C.keep(slotted.mapInArrow(sets, "x long, hashes binary").join(needed, "x", "left_semi").dropDuplicates(["x"]), "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
