@@ -8,6 +8,7 @@ operator names are ignored, so clashing names can't matter.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,16 +39,30 @@ def keep(df: DataFrame, name: str = "kept") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _KEPT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(*kept: DataFrame) -> None:
+    """Delete kept tables that nothing reads any more, and let Spark free the shuffle files of what made them."""
+    for df in kept:
+        _delete(df.sparkSession, df._kept)
+    gc.collect()
+    for df in kept[:1]:
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 @atexit.register
 def _forget() -> None:
     for spark, path in _KEPT:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended
             return
 
@@ -214,6 +229,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         new = keep(small, "edges")
         done = new.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         old = e.groupBy().agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        release(e)
         e = new
         if tuple(done) == tuple(old):
             break

@@ -128,7 +128,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
             )
 
     made = C.keep(src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, prefix array<long>"), "sets")
-    ids = made.select("doc_id", "n", "s1", "s2")
+    ids = C.keep(made.select("doc_id", "n", "s1", "s2"), "ids")
     classes = C.keep(ids.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
     # index lists: sets by shingle, with position; lists of one set are skipped. A list has each set once, so it is a small
@@ -137,6 +137,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     entries = rep.select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("pos", "token"))
     lists = C.keep(entries.withColumn("members", F.count("*").over(W.partitionBy("token"))).where("members > 1").drop("members").distinct(), "lists")
     sketches = C.keep(lists.select("x").distinct().join(made.select(F.col("doc_id").alias("x"), "n", "sketch"), "x").dropDuplicates(["x"]), "sketches")
+    C.release(made)
     edges = None
     label = None
     for r in range(rounds):
@@ -149,7 +150,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
         lead = cur.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.y", "l.m", "l.q")
         pairs = cur.join(lead, "token").where("x <> y").where(_possible(percent))
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        new = C.keep(_verified(_sketched(pairs, sketches, percent), src, percent, k), "links")
+        new = _verified(_sketched(pairs, sketches, percent), src, percent, k)
         edges = new if edges is None else edges.unionByName(new)
         label = C.keep(C.components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
     # all pairs that are left: in one list, in different components, possible by size and position
@@ -163,7 +164,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     right = right.withColumn("block", F.explode(F.array("at", F.col("at") - 1)))  # y is the larger one, in the same block of sizes or the next
     pairs = left.join(right, ["token", "block"]).where("(n < m or (n = m and x < y)) and c <> d").where(_possible(percent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    new = C.keep(_verified(_sketched(pairs, sketches, percent), src, percent, k), "links")
+    new = _verified(_sketched(pairs, sketches, percent), src, percent, k)
     edges = edges.unionByName(new)
     # classes to documents: rows of one doc_id and one class are joined through the class
     node = edges.select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -222,8 +223,7 @@ def _verified(pairs: DataFrame, src: DataFrame, percent: int, k: int, bits: int
                 yield pa.record_batch([b.column("doc_id"), pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["x", "hashes"])
 
     slotted = src.withColumn("s", F.xxhash64("doc_id").bitwiseAND(F.lit(mask)).cast("int"))
-    needed = pairs.select(F.explode(F.array("x", "y")).alias("x")).distinct()
-    full = C.keep(slotted.mapInArrow(sets, "x long, hashes binary").join(needed, "x", "left_semi").dropDuplicates(["x"]), "full")
+    full = C.keep(slotted.mapInArrow(sets, "x long, hashes binary"), "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -236,7 +236,9 @@ def _verified(pairs: DataFrame, src: DataFrame, percent: int, k: int, bits: int
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.record_batch([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(full, "x").join(full.select(F.col("x").alias("y"), F.col("hashes").alias("other")), "y").select("x", "y", "hashes", "other").mapInArrow(run, "x long, y long")
+    out = C.keep(pairs.join(full, "x").join(full.select(F.col("x").alias("y"), F.col("hashes").alias("other")), "y").select("x", "y", "hashes", "other").mapInArrow(run, "x long, y long"), "links")
+    C.release(full, pairs)
+    return out
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
