@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, jaccard, language, lm, packing, tokenids
+from . import decontaminate, fingerprint, jaccard, language, licenses, lm, packing, tokenids
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_ppm": lm.op5_ppm,
         "op7_jaccard": jaccard.op7_jaccard,
         "op9_packing": packing.op9_packing,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
