@@ -26,7 +26,7 @@ from . import common as C
 
 U = np.uint64
 SHINGLE = 5
-#: Bits of the parity sketch of each set.
+#: Least bits of the parity sketch of a set; a larger set has a power of two of at least twice its size.
 SKETCH = 512
 
 
@@ -67,11 +67,24 @@ class Sets:
                 out[full, j] = np.add.reduceat(x, self.first[:-1][full])
         return out
 
-    def sketches(self) -> np.ndarray:
-        """Parity of the shingles in each of SKETCH places: sets that differ in d shingles differ in at most d bits."""
-        at = (C.mix(self.hash & U((1 << 63) - 1)) >> U(17)).astype(np.int64) % SKETCH
-        flat = np.bincount(self.row * SKETCH + at, minlength=len(self.size) * SKETCH) & 1
-        return np.packbits(flat.reshape(len(self.size), SKETCH).astype(bool), axis=1)
+    def sketches(self) -> list[bytes]:
+        """Parity of the shingles in each place: sets that differ in d shingles differ in at most d bits, folded to one size or not."""
+        bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(self.size, 1) * 2)).astype(np.int64))
+        ptr = np.concatenate([[0], np.cumsum(bits)])
+        at = (C.mix(self.hash & U((1 << 63) - 1)) >> U(17)).astype(np.int64) & (bits[self.row] - 1)
+        flat = (np.bincount(ptr[self.row] + at, minlength=int(ptr[-1])) & 1).astype(bool)
+        raw = np.packbits(flat).tobytes()
+        return [raw[i:j] for i, j in zip((ptr[:-1] // 8).tolist(), (ptr[1:] // 8).tolist(), strict=True)]
+
+
+def differing(one: bytes, two: bytes) -> int:
+    """Bits in which two sketches differ; the larger is folded to the size of the smaller."""
+    x, y = np.frombuffer(one, U), np.frombuffer(two, U)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
@@ -123,7 +136,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
             idx = np.arange(int(p.sum())) + np.repeat(s.first[:-1] - np.cumsum(p) + p, p)
             sk = s.sketches()
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array([x.tobytes() for x in sk], pa.binary()), C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
+                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array(sk, pa.binary()), C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
                 names=["doc_id", "n", "s1", "s2", "sketch", "prefix"],
             )
 
@@ -193,10 +206,10 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(b.column(c).to_pylist()), U).reshape(b.num_rows, -1) for c in ("sketch", "other"))
+            d = np.array([differing(*x) for x in zip(b.column("sketch").to_pylist(), b.column("other").to_pylist(), strict=True)])
             n = np.asarray(b.column("n")) + np.asarray(b.column("m"))
             most = n - 2 * -(-n * percent // (100 + percent))
-            ok = np.bitwise_count(one ^ two).sum(1) <= most
+            ok = d <= most
             yield pa.record_batch([b.column("x"), b.column("y")], names=["x", "y"]).filter(pa.array(ok))
 
     j = pairs.join(sketches, "x").join(sketches.select(F.col("x").alias("y"), F.col("n").alias("m"), F.col("sketch").alias("other")), "y")
