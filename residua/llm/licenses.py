@@ -63,7 +63,8 @@ apache-2.0 | 3 | apache.org | apache\.org/licenses/license-2\.0
 apache | 5 | apache.org | apache\.org/licenses
 apache-2.0-llvm-exception | 1 | llvm exception | (?:apache[ -](?:license )?(?:v)?2\.0 )?with llvm[ -]exceptions?
 mit | 2 | mit license | \b(?:the )?mit licen[sc]e\b
-mit | 3 | mit | \b(?:licensed|released|distributed|available) under (?:the )?mit\b
+mit | 3 | under mit | \b(?:licensed|released|distributed|available) under mit\b
+mit | 3 | under the mit | \b(?:licensed|released|distributed|available) under the mit\b
 mit | 4 | mit-license | \bmit-licensed?\b
 mit | 5 | opensource.org | opensource\.org/licenses?/mit
 mit | 2 | permission is hereby granted | permission is hereby granted, free of charge, to any person obtaining a copy of this software
@@ -233,8 +234,17 @@ copyright-notice | 7 | copyright | copyright (?:\(c\)|©)? ?(?:19|20)\d\d
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What is not a word character: ASCII but digits and letters (lower-cased).
-_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What is not a word character: ASCII but digits and letters.
+_BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Parts of keywords; a text without any of them has no keyword. Keywords without one of these are added by gates().
+_GATES = ("licen", "public", "gpl", "gnu.org", "apache", "mit-", "attribution", "bsd", "commons", "copyright", "permi", "redistribution", "zlib", "ssl", "clause")
+
+
+def gates() -> list[str]:
+    keys = {k for _, _, k, _ in rules()}
+    used = [g for g in _GATES if any(g in k for k in keys)]
+    more = sorted(k for k in keys if not any(g in k for g in used))
+    return used + [k for k in more if not any(o != k and o in k for o in more)]
 
 
 def rules() -> list[tuple[str, int, str, str]]:
@@ -272,33 +282,28 @@ def detections(docs: DataFrame, *more: str) -> DataFrame:
     texts have none. Repeated rows get a result each.
     """
     all_rules = rules()
-    words = sorted({k for _, _, k, _ in all_rules})
-    folded = F.regexp_replace(F.translate(lowered(F.col("text")), "\u0001\u0002", ""), r"[\s ]+", " ")
-    import re
-
-    gate = "|".join(re.escape(w).replace(r"\ ", r"\s+") for w in _roots(words))
-    src = docs.withColumn("__open", lowered(F.col("text")).rlike(gate))
     none = F.expr("cast(array() as array<struct<label:string,start:int,stop:int,priority:int>>)")
-    kinds = "cast(array() as array<struct<start:int,stop:int,rule:int,priority:int>>)"
+    kinds = F.expr("cast(array() as array<struct<start:int,stop:int,rule:int,priority:int>>)")
+    # the gate may let through more than has a keyword, never less
+    low = docs.withColumn("__low", F.lower("text"))
+    gate = F.lit(False)
+    for g in gates():
+        gate = gate | F.contains(F.col("__low"), F.lit(g.replace(" ", ""))) if g.strip() != g else gate | F.contains(F.col("__low"), F.lit(g.split(" ")[0]))
+    src = low.withColumn("__open", gate).drop("__low")
+    folded = F.regexp_replace(F.translate(lowered(F.col("text")), "\u0001\u0002", ""), r"\s+", " ")
+    src = src.withColumn("__t", F.when(F.col("__open"), folded))
     by_key: dict[str, list[Column]] = {}
     for i, (_, priority, key, pattern) in enumerate(all_rules):
         by_key.setdefault(key, []).append(_found(F.col("__t"), i, priority, pattern))
-    every = F.concat(*[F.when(F.contains(F.col("__t"), F.lit(k)), F.concat(*v) if len(v) > 1 else v[0]).otherwise(F.expr(kinds)) for k, v in by_key.items()])
-    opened = src.where("__open").withColumn("__t", folded).withColumn("__all", every)
+    every = F.concat(*[F.when(F.contains(F.col("__t"), F.lit(k)), F.concat(*v) if len(v) > 1 else v[0]).otherwise(kinds) for k, v in by_key.items()])
+    src = src.withColumn("__all", F.when(F.col("__open"), every).otherwise(kinds))
     beats = lambda y, x: (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & (F.struct(y["priority"], -(y["stop"] - y["start"]), y["rule"]) < F.struct(x["priority"], -(x["stop"] - x["start"]), x["rule"]))
     within = lambda y, x: (y["start"] >= x["start"]) & (y["stop"] <= x["stop"]) & (y["priority"] < x["priority"])
-    # only near detections can contain one another; the check is within one document's detections
+    # the check is within one document's detections
     stay = F.filter("__all", lambda x: ~F.exists("__all", lambda y: beats(y, x) | within(y, x)))
     label = F.array(*[F.lit(r[0]) for r in all_rules])
     named = F.transform(F.array_sort(stay), lambda x: F.struct(F.element_at(label, x["rule"] + 1).alias("label"), x["start"].alias("start"), x["stop"].alias("stop"), x["priority"].alias("priority")))
-    a = opened.select("doc_id", *more, named.alias("found"))
-    b = src.where("not __open").select("doc_id", *more, none.alias("found"))
-    return a.unionByName(b)
-
-
-def _roots(words: list[str]) -> list[str]:
-    """Keywords without those that contain another one."""
-    return [w for w in words if not any(o != w and o in w for o in words)]
+    return src.select("doc_id", *more, F.when(F.size("__all") > 0, named).otherwise(none).alias("found"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -309,10 +314,13 @@ def scan(docs: DataFrame) -> DataFrame:
     1 - 1 / 2^(detections + base places), halved at best for weak rules. Null and empty texts have no words and no labels.
     """
     src = C.texts(docs)
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(lowered(F.col("text")), _BETWEEN, " ")), F.lit(" "))
-    src = src.select("doc_id", "text", norm.alias("norm"))
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("text", _BETWEEN, " ")), F.lit(" "))
+    hit = F.col("norm").rlike("(?i) (?:" + "|".join(p for p, _ in BASE) + ") ")
+    src = src.select("doc_id", "text", norm.alias("norm")).withColumn("hit", hit)
     src = src.withColumn("n_words", F.when(F.col("norm") == "  ", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) - 1).cast("long"))
+    src = src.withColumn("norm", F.when(F.col("hit"), lowered(F.col("norm"))))
     cols, firsts, lasts, labels = [], [], [], []
+    hit = F.col("hit")
     for phrase, label in BASE:
         k = phrase.count(" ") + 1
         # the blank after a place may be the one before the next
@@ -326,12 +334,10 @@ def scan(docs: DataFrame) -> DataFrame:
         firsts.append(first)
         lasts.append(last)
         labels.append(F.when(n > 0, F.lit(label)))
-    hit = F.col("norm").rlike("|".join(f" {p} " for p, _ in BASE))
-    none = F.lit(None).cast("long")
     out = detections(
         src.select(
             "doc_id", "text", "n_words", F.when(hit, sum(cols[1:], cols[0])).otherwise(0).cast("long").alias("n_base"),
-            F.when(hit, F.least(*firsts)).cast("long").alias("first_word") if len(BASE) > 1 else none, F.when(hit, F.greatest(*lasts)).cast("long").alias("last_word"),
+            F.when(hit, F.least(*firsts)).cast("long").alias("first_word"), F.when(hit, F.greatest(*lasts)).cast("long").alias("last_word"),
             F.when(hit, F.array_sort(F.array_compact(F.array(*labels)))).otherwise(F.expr("cast(array() as array<string>)")).alias("base"),
         ),
         "n_words", "n_base", "first_word", "last_word", "base",
