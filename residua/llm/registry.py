@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, jaccard, language, licenses, lm, packing, tokenids
+from . import decontaminate, fingerprint, jaccard, language, licenses, lines, lm, packing, tokenids
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_ppm": lm.op5_ppm,
         "op7_jaccard": jaccard.op7_jaccard,
+        "op8_line_dedup": lines.op8_line_dedup,
         "op9_packing": packing.op9_packing,
         "op10_licenses": licenses.op10_licenses,
     }
