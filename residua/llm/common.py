@@ -53,9 +53,14 @@ def release(*kept: DataFrame) -> None:
     """Delete kept tables that nothing reads any more, and let Spark free the shuffle files of what made them."""
     for df in kept:
         _delete(df.sparkSession, df._kept)
-    gc.collect()
     for df in kept[:1]:
-        df.sparkSession.sparkContext._jvm.System.gc()
+        tidy(df.sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of plans that are gone, whose files it then deletes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 @atexit.register
