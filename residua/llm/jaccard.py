@@ -77,6 +77,14 @@ class Sets:
         return [raw[i:j] for i, j in zip((ptr[:-1] // 8).tolist(), (ptr[1:] // 8).tolist(), strict=True)]
 
 
+def small_sketch(sketch: bytes) -> np.ndarray:
+    """A sketch folded to SKETCH bits, as longs."""
+    x = np.frombuffer(sketch, np.int64)
+    while len(x) > SKETCH // 64:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def differing(one: bytes, two: bytes) -> int:
     """Bits in which two sketches differ; the larger is folded to the size of the smaller."""
     x, y = np.frombuffer(one, U), np.frombuffer(two, U)
@@ -136,11 +144,11 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
             idx = np.arange(int(p.sum())) + np.repeat(s.first[:-1] - np.cumsum(p) + p, p)
             sk = s.sketches()
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array(sk, pa.binary()), C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
-                names=["doc_id", "n", "s1", "s2", "sketch", "prefix"],
+                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array(sk, pa.binary()), C.lists(np.concatenate([small_sketch(x) for x in sk]), np.arange(len(sk) + 1) * (SKETCH // 64), pa.int64()), C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
+                names=["doc_id", "n", "s1", "s2", "sketch", "small", "prefix"],
             )
 
-    made = C.keep(src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, prefix array<long>"), "sets")
+    made = C.keep(src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, small array<long>, prefix array<long>"), "sets")
     ids = C.keep(made.select("doc_id", "n", "s1", "s2"), "ids")
     classes = C.keep(ids.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -149,8 +157,9 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     rep = made.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
     entries = rep.select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("pos", "token"))
     lists = C.keep(entries.withColumn("members", F.count("*").over(W.partitionBy("token"))).where("members > 1").drop("members").distinct(), "lists")
-    sketches = C.keep(lists.select("x").distinct().join(made.select(F.col("doc_id").alias("x"), "n", "sketch"), "x").dropDuplicates(["x"]), "sketches")
+    whole = C.keep(lists.select("x").distinct().join(made.select(F.col("doc_id").alias("x"), "n", "sketch", "small"), "x").dropDuplicates(["x"]), "sketches")
     C.release(made)
+    sketches, small = whole.select("x", "n", "sketch"), whole.select("x", "small")
     edges = None
     label = None
     for r in range(rounds):
@@ -159,9 +168,11 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
             open_ = cur.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
             cur = cur.join(open_, "token")
         # each list's leader: the same one in most lists of a group of similar sets
-        order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"))
-        lead = cur.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.y", "l.m", "l.q")
+        order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), *([F.col("c").alias("d")] if label is not None else []))
+        lead = cur.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.y", "l.m", "l.q", *(["l.d"] if label is not None else []))
         pairs = cur.join(lead, "token").where("x <> y").where(_possible(percent))
+        if label is not None:
+            pairs = pairs.where("c <> d")
         pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         new = _verified(_sketched(pairs, sketches, percent), src, percent, k)
         edges = new if edges is None else edges.unionByName(new)
@@ -169,13 +180,13 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     # all pairs that are left: in one list, in different components, possible by size and position
     cur = _labelled(lists, label)
     open_ = cur.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    cur = C.keep(cur.join(open_, "token"), "open")
+    cur = C.keep(cur.join(open_, "token").join(small, "x"), "open")
     step = float(np.log(100 / percent))
     size = F.floor(F.log("n") / F.lit(step))
     left = cur.withColumn("block", size)
-    right = cur.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d")).withColumn("at", F.floor(F.log("m") / F.lit(step)))
+    right = cur.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), F.col("small").alias("other")).withColumn("at", F.floor(F.log("m") / F.lit(step)))
     right = right.withColumn("block", F.explode(F.array("at", F.col("at") - 1)))  # y is the larger one, in the same block of sizes or the next
-    pairs = left.join(right, ["token", "block"]).where("(n < m or (n = m and x < y)) and c <> d").where(_possible(percent))
+    pairs = left.join(right, ["token", "block"]).where("(n < m or (n = m and x < y)) and c <> d").where(_possible(percent) & _near(percent))
     pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     new = _verified(_sketched(pairs, sketches, percent), src, percent, k)
     edges = edges.unionByName(new)
@@ -199,6 +210,12 @@ def _possible(percent: int):
     return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.least("pos", "q") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= need)
 
 
+def _near(percent: int):
+    """The small sketches differ in no more bits than similar sets can."""
+    d = sum((F.bit_count(F.col("small")[i].bitwiseXOR(F.col("other")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return d <= F.col("n") + F.col("m") - 2 * F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+
+
 def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches differ in no more bits than similar sets can."""
 
