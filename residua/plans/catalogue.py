@@ -1,6 +1,273 @@
-"""Registered queries and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables and the SQL that gives the same rows.
+
+Events stand in for scored residues: the user is the group, the id the position, the value the score, purchases are
+positives; embeddings for points in space; conversations for residue chains; line items for matrix cells.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import residues as R
+from ..operators import evaluation as E
+from ..operators import quality as Q
+from ..operators import spatial as S
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events")
+    return e.select((F.col("user_id") % 40).alias("grp"), F.col("event_id").alias("pos"), F.round("value", 1).alias("score"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+
+
+def _rounded(df: DataFrame, n: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(c), n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_S = "WITH s AS (SELECT user_id % 40 AS grp, event_id AS pos, round(value, 1) AS score, CAST(event_type = 'purchase' AS INT) AS label FROM events)"
+_STEP = _S + ", t AS (SELECT grp, score, count(*) n, sum(label) p FROM s GROUP BY ALL)"
+_FOLDS = _STEP + """, b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY grp ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) below FROM t),
+r AS (SELECT grp, sum(n) n, sum(p) pos, sum(p * (below + (n + 1) / 2.0)) rk FROM b GROUP BY grp),
+c AS (SELECT grp, score, sum(n) OVER w cn, sum(p) OVER w cp, sum(p) OVER (PARTITION BY grp) al FROM t WINDOW w AS (PARTITION BY grp ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+q AS (SELECT grp, score, CASE WHEN al > 0 THEN cp / al END rec, cp / cn pre FROM c),
+u AS (SELECT grp, rec, pre, lag(rec, 1, 0.0) OVER w r0, lag(pre, 1, 1.0) OVER w p0 FROM q WINDOW w AS (PARTITION BY grp ORDER BY score DESC)),
+a AS (SELECT grp, sum((rec - r0) * (pre + p0) / 2) pr FROM u GROUP BY grp),
+f AS (SELECT r.grp, CAST(n AS BIGINT) n, CAST(pos AS BIGINT) pos, pos / n prev, CASE WHEN pos > 0 AND n > pos THEN (rk - pos * (pos + 1) / 2.0) / (pos * (n - pos)) END roc, CASE WHEN pos > 0 THEN pr END pr FROM r JOIN a USING (grp))"""
+
+
+@query(_FOLDS + " SELECT grp, n, pos, round(prev, 6) prev, round(roc, 6) roc, round(pr, 6) pr FROM f")
+def fold_metrics(spark, d):
+    return _rounded(E.fold_metrics(_scored(spark, d), "grp", "score", "label"))
+
+
+@query(_FOLDS + """ SELECT count(*) folds, round(quantile_cont(roc, 0.5), 6) median_roc, round(quantile_cont(roc, 0.25), 6) q25_roc, round(quantile_cont(roc, 0.75), 6) q75_roc,
+round(quantile_cont(pr, 0.5), 6) median_pr, round(quantile_cont(pr, 0.25), 6) q25_pr, round(quantile_cont(pr, 0.75), 6) q75_pr, round(quantile_cont(pr / prev, 0.5), 6) median_gain FROM f WHERE pos > 0""")
+def fold_summary(spark, d):
+    return _rounded(E.fold_summary(E.fold_metrics(_scored(spark, d), "grp", "score", "label")))
+
+
+@query(_FOLDS.replace("user_id % 40 AS grp", "0 AS grp") + " SELECT n, pos, round(roc, 6) roc, round(pr, 6) pr FROM f")
+def pooled_roc_pr(spark, d):
+    s = _scored(spark, d).withColumn("grp", F.lit(0))
+    return _rounded(E.fold_metrics(s, "grp", "score", "label")).select("n", "pos", "roc", "pr")
+
+
+@query(_S + " SELECT pos, round(CASE WHEN stddev_pop(score) OVER g > 1e-12 THEN (score - avg(score) OVER g) / stddev_pop(score) OVER g ELSE 0 END, 6) z FROM s WINDOW g AS (PARTITION BY grp)")
+def within_group_z(spark, d):
+    return _rounded(E.within_z(_scored(spark, d), "grp", "score").select("pos", "z"))
+
+
+@query(_S + " SELECT pos, round((rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2.0) / count(*) OVER (PARTITION BY grp), 6) AS rank FROM s")
+def within_group_rank(spark, d):
+    return _rounded(E.within_rank(_scored(spark, d), "grp", "score").select("pos", "rank"))
+
+
+_P = _S + ", p AS (SELECT grp, pos, label, least(greatest(score / 1000.0, 0), 1) p FROM s)"
+
+
+def _prob(spark, d):
+    return _scored(spark, d).withColumn("p", F.least(F.greatest(F.col("score") / 1000.0, F.lit(0.0)), F.lit(1.0)))
+
+
+@query(_P + """ SELECT count(*) n, round(avg(p), 6) mean, round(min(p), 6) least, round(max(p), 6) most, round(avg((p - label) * (p - label)), 6) brier,
+round(avg(-(label * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - label) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15)))), 6) log_loss, count(DISTINCT p) n_distinct FROM p""")
+def probability_metrics(spark, d):
+    return _rounded(E.probability_metrics(_prob(spark, d), "p", "label"))
+
+
+@query(_P + """, e AS (SELECT list_sort(list_distinct(quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) e FROM p),
+b AS (SELECT p, label, greatest(0, least(len(list_filter(e, lambda t: t <= p)) - 1, len(e) - 2)) b FROM p, e), g AS (SELECT b, count(*) n, avg(p) mp, avg(label) my FROM b GROUP BY b)
+SELECT round(sum(abs(mp - my) * n) / sum(n), 6) ece FROM g""")
+def calibration_error(spark, d):
+    return _rounded(E.calibration_error(_prob(spark, d), "p", "label"))
+
+
+@query(_P + """, z AS (SELECT pos, p, ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) z FROM p)
+SELECT pos, round(1 / (1 + exp(-(0.8216068 * z - 2.7257097))), 6) calibrated, CAST(1 / (1 + exp(-(0.8216068 * z - 2.7257097))) >= 0.01 AS INT) predicted FROM z""")
+def platt_and_threshold(spark, d):
+    c = R.platt(F.col("p"), 0.8216068, -2.7257097)
+    return _rounded(_prob(spark, d).select("pos", c.alias("calibrated"), R.at_least(c, 0.01).alias("predicted")))
+
+
+@query(_S + ", g AS (SELECT grp, avg(score) ms, avg(label) pv, count(*) n FROM s GROUP BY grp) SELECT grp, round(ms, 6) mean_score, round(pv, 6) prevalence, n FROM g")
+def between_groups(spark, d):
+    return _rounded(E.between_groups(_scored(spark, d), "grp", "score", "label"))
+
+
+@query(_S + """, g AS (SELECT grp, avg(score) ms, avg(label) pv FROM s GROUP BY grp), r AS (SELECT *, rank() OVER (ORDER BY ms) + (count(*) OVER (PARTITION BY ms) - 1) / 2.0 a, rank() OVER (ORDER BY pv) + (count(*) OVER (PARTITION BY pv) - 1) / 2.0 b FROM g)
+SELECT round(corr(ms, pv), 6) pearson, round(corr(a, b), 6) spearman, round(regr_slope(pv, ms), 6) slope FROM r""")
+def group_agreement(spark, d):
+    return _rounded(E.group_agreement(E.between_groups(_scored(spark, d), "grp", "score", "label")))
+
+
+@query(_S + """ SELECT pos, round((sum(score) OVER w - score) / (count(score) OVER w - 1), 6) local_mean FROM s WINDOW w AS (PARTITION BY grp ORDER BY pos ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) QUALIFY count(score) OVER w > 1""")
+def band_mean(spark, d):
+    return _rounded(S.band_mean(_scored(spark, d), "grp", "pos", "score").select("pos", "local_mean").where("local_mean is not null"))
+
+
+_PTS = "WITH p AS (SELECT label grp, vec_id pos, CAST(embedding[1] AS DOUBLE) x, CAST(embedding[2] AS DOUBLE) y, CAST(embedding[3] AS DOUBLE) z, CAST(embedding[4] AS DOUBLE) v FROM embeddings)"
+
+
+def _points(spark, d):
+    e = _t(spark, d, "embeddings")
+    return e.select(F.col("label").alias("grp"), F.col("vec_id").alias("pos"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyzv")])
+
+
+@query(_PTS + """ SELECT a.grp, a.pos, count(*) density, round(avg(b.v), 3) + 0.0 neighbour_value FROM p a JOIN p b ON a.grp = b.grp AND a.pos <> b.pos AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.15 GROUP BY ALL""")
+def radius_neighbours(spark, d):
+    p = _points(spark, d)
+    none = spark.createDataFrame([], "grp int, i long, j long, value double")
+    return S.spatial_features(p, S.radius_pairs(p, "grp", "pos", ("x", "y", "z"), 0.15), none, "grp", "pos", "v").drop("neighbour_cell")
+
+
+_M = "WITH m AS (SELECT l_suppkey % 5 grp, CAST(l_partkey % 60 AS BIGINT) i, CAST(l_orderkey % 60 AS BIGINT) j, avg(l_quantity) AS value FROM lineitem GROUP BY ALL)"
+
+
+def _cells(spark, d):
+    x = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 5).alias("grp"), (F.col("l_partkey") % 60).alias("i"), (F.col("l_orderkey") % 60).alias("j"), "l_quantity")
+    return x.groupBy("grp", "i", "j").agg(F.avg("l_quantity").alias("value"))
+
+
+@query(_M + """, r AS (SELECT grp, i pos, avg(value) row_mean, avg(value) FILTER (WHERE abs(i - j) <= 10 AND i <> j) local_mean FROM m GROUP BY ALL), c AS (SELECT grp, j pos, avg(value) col_mean FROM m GROUP BY ALL)
+SELECT grp, pos, round(row_mean, 6) row_mean, round(col_mean, 6) col_mean, round(local_mean, 6) local_mean FROM r JOIN c USING (grp, pos)""")
+def matrix_means(spark, d):
+    return _rounded(S.matrix_means(_cells(spark, d), "grp"))
+
+
+@query(_M + " SELECT grp, i pos, round(sum(value), 6) contact_sum, count(*) FILTER (WHERE value >= 25) contacts FROM m WHERE i <> j GROUP BY ALL")
+def contact_features(spark, d):
+    return _rounded(S.contact_features(_cells(spark, d), "grp", 25.0))
+
+
+@query(_M + " SELECT grp, count(*) n, round(min(value), 6) least, round(max(value), 6) most, round(avg(value), 6) mean, round(quantile_cont(value, 0.05), 6) p5, round(quantile_cont(value, 0.5), 6) median, round(quantile_cont(value, 0.95), 6) p95 FROM m GROUP BY grp")
+def matrix_stats(spark, d):
+    q = lambda x: F.percentile("value", F.lit(x))
+    return _rounded(_cells(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), q(0.05).alias("p5"), q(0.5).alias("median"), q(0.95).alias("p95")))
+
+
+@query("SELECT upper(c) AS letter, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) c FROM part) WHERE regexp_matches(c, '[A-Za-z]') GROUP BY 1")
+def composition(spark, d):
+    return _t(spark, d, "part").select(F.explode(F.split("p_name", "")).alias("c")).where("c rlike '[A-Za-z]'").groupBy(F.upper("c").alias("letter")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, count(*) n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS contiguous FROM conversations GROUP BY conv_id")
+def contiguity(spark, d):
+    return Q.contiguity(_t(spark, d, "conversations"), "conv_id", "turn", 0)
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) position FROM conversations")
+def sequence_position(spark, d):
+    from pyspark.sql import Window as W
+
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long").alias("position"))
+
+
+@query("SELECT conv_id, string_agg(left(role, 1), '' ORDER BY turn) AS sequence FROM conversations GROUP BY conv_id")
+def sequence_build(spark, d):
+    x = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.substring("role", 1, 1).alias("a")))), lambda v: v["a"])
+    return _t(spark, d, "conversations").groupBy("conv_id").agg(F.concat_ws("", x).alias("sequence"))
+
+
+@query("""SELECT 'customer' entity, CAST(c_custkey AS VARCHAR) AS id, unnest(list_filter([CASE WHEN c_acctbal < 0 THEN 'negative_balance' END, CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]+$') THEN 'bad_name' END,
+CASE WHEN c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE', 'MACHINERY') THEN 'other_segment' END], lambda x: x IS NOT NULL)) AS rule FROM customer""")
+def rule_violations(spark, d):
+    rules = {"negative_balance": F.col("c_acctbal") < 0, "bad_name": ~F.col("c_name").rlike("^Customer#[0-9]+$"), "other_segment": ~F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE", "MACHINERY")}
+    return Q.violations(_t(spark, d, "customer"), "customer", "c_custkey", rules)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return Q.duplicates(_t(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT coalesce(a.k, b.k) k, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END side FROM (SELECT DISTINCT c_custkey k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey + 7 k FROM orders) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+def set_difference(spark, d):
+    return Q.key_difference(_t(spark, d, "customer").select(F.col("c_custkey").alias("k")), _t(spark, d, "orders").select((F.col("o_custkey") + 7).alias("k")), "k")
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 2) score, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def top_k(spark, d):
+    from pyspark.sql import Window as W
+
+    top = _t(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20)
+    return top.select("o_orderkey", F.round("o_totalprice", 2).alias("score"), F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("position"))
+
+
+@query("""SELECT s_suppkey, max(CASE WHEN l_returnflag = 'A' THEN q END) a, max(CASE WHEN l_returnflag = 'R' THEN q END) r FROM supplier LEFT JOIN (SELECT l_suppkey, l_returnflag, sum(l_quantity) q FROM lineitem GROUP BY ALL) ON s_suppkey = l_suppkey GROUP BY s_suppkey""")
+def pivot_join(spark, d):
+    x = _t(spark, d, "lineitem").where("l_returnflag in ('A', 'R')").groupBy("l_suppkey").pivot("l_returnflag", ["A", "R"]).agg(F.sum("l_quantity"))
+    return _t(spark, d, "supplier").join(x, F.col("s_suppkey") == F.col("l_suppkey"), "left").select("s_suppkey", F.col("A").alias("a"), F.col("R").alias("r"))
+
+
+@query("""SELECT e.event_id, CAST(coalesce(max(CASE WHEN c.c_custkey IS NOT NULL THEN 1 END), 0) AS INT) AS label FROM events e LEFT JOIN (SELECT c_custkey, c_nationkey * 4 a, c_nationkey * 4 + 20 b FROM customer WHERE c_acctbal > 5000) c
+ON e.user_id = c.c_custkey AND e.event_id % 100 BETWEEN c.a AND c.b GROUP BY e.event_id""")
+def interval_label(spark, d):
+    c = _t(spark, d, "customer").where("c_acctbal > 5000").select("c_custkey", (F.col("c_nationkey") * 4).alias("a"), (F.col("c_nationkey") * 4 + 20).alias("b"))
+    e = _t(spark, d, "events").select("event_id", "user_id", (F.col("event_id") % 100).alias("at"))
+    return Q.interval_label(e, c, ["user_id"], ["c_custkey"], "at", "a", "b", "event_id")
+
+
+@query("SELECT c_custkey, chr(CAST(65 + c_custkey % 26 AS INT)) letter FROM customer")
+def letters(spark, d):
+    return _t(spark, d, "customer").select("c_custkey", F.expr("chr(65 + c_custkey % 26)").alias("letter"))
+
+
+@query("""WITH l AS (SELECT p_partkey, substr('ACDEFGHIKLMNPQRSTVWYB', CAST(p_partkey % 21 + 1 AS INT), 1) a FROM part)
+SELECT p_partkey, a, CASE WHEN contains('AVLIM', a) THEN 'nonpolar' WHEN contains('FWY', a) THEN 'aromatic' WHEN contains('STCNQ', a) THEN 'polar' WHEN contains('KRH', a) THEN 'basic' WHEN contains('DE', a) THEN 'acidic' WHEN contains('GP', a) THEN 'special' ELSE 'unknown' END class,
+CASE WHEN a IN ('D', 'E') THEN -1 WHEN a IN ('K', 'R') THEN 1 ELSE 0 END charge FROM l""")
+def residue_classes(spark, d):
+    a = F.substring(F.lit("ACDEFGHIKLMNPQRSTVWYB"), (F.col("p_partkey") % 21 + 1).cast("int"), F.lit(1))
+    return _t(spark, d, "part").select("p_partkey", a.alias("a")).select("p_partkey", "a", R.residue_class(F.col("a")).alias("class"), R.charge(F.col("a")).alias("charge"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) scheme, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) host, list_last(string_split(url, '/')) last FROM pages")
+def url_parts(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host"), R.last_segment(F.col("url")).alias("last"))
+
+
+@query("SELECT page_id, sha256(html) sha, md5(url) md5 FROM pages")
+def checksums(spark, d):
+    return _t(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha"), F.md5("url").alias("md5"))
+
+
+@query("SELECT l_returnflag, min(l_quantity) least, quantile_cont(l_quantity, 0.25) q25, quantile_cont(l_quantity, 0.5) median, quantile_cont(l_quantity, 0.75) q75, max(l_quantity) most, round(avg(l_quantity), 6) mean FROM lineitem GROUP BY 1")
+def feature_distribution(spark, d):
+    q = lambda x: F.percentile("l_quantity", F.lit(x))
+    return _rounded(_t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("l_quantity").alias("most"), F.avg("l_quantity").alias("mean")))
+
+
+@query("SELECT CAST(least(floor(l_quantity / 2), 24) AS BIGINT) bin, count(*) n FROM lineitem GROUP BY 1")
+def histogram(spark, d):
+    return _t(spark, d, "lineitem").groupBy(F.least(F.floor(F.col("l_quantity") / 2), F.lit(24)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT dense_rank() OVER (ORDER BY s_suppkey) - 1 AS fold, s_suppkey FROM supplier")
+def fold_map(spark, d):
+    from pyspark.sql import Window as W
+
+    # a table of groups; one window over it is small
+    return _t(spark, d, "supplier").select((F.dense_rank().over(W.orderBy("s_suppkey")) - 1).cast("long").alias("fold"), "s_suppkey")
+
+
+@query(_S + ", t AS (SELECT count(*) n, sum(label) p FROM s), g AS (SELECT grp, count(*) n, sum(label) p FROM s GROUP BY grp) SELECT grp, round((t.n - g.n - (t.p - g.p)) / (t.p - g.p), 6) weight FROM g, t")
+def class_weight(spark, d):
+    s = _scored(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.sum("label").alias("p"))
+    t = s.agg(F.sum("n").alias("tn"), F.sum("p").alias("tp"))  # one row
+    j = s.crossJoin(F.broadcast(t))
+    return _rounded(j.select("grp", ((F.col("tn") - F.col("n") - (F.col("tp") - F.col("p"))) / (F.col("tp") - F.col("p"))).alias("weight")))
