@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, jaccard, language, licenses, lines, lm, packing, tokenids
+from . import decontaminate, fingerprint, jaccard, language, licenses, lines, lm, packing, substrings, tokenids
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_token_ids": tokenids.op3_token_ids,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_ppm": lm.op5_ppm,
+        "op6_substrings": substrings.op6_substrings,
         "op7_jaccard": jaccard.op7_jaccard,
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_packing": packing.op9_packing,
@@ -22,5 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontaminate.SQL,
+        "op6_substrings": substrings.SQL,
         "op7_jaccard": jaccard.SQL,
     }
