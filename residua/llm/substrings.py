@@ -166,6 +166,7 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, 1 << 20):
             x = C.Words(b.column("text"), C.SPACED, False)
+            low = (x.hash & U(0xFFFFFFFF)).astype(np.uint32)  # beside equal anchors, half of each hash tells words apart
             out: dict[str, list] = {c: [] for c in ("doc_id", "start", "anchor", "key", "body")}
             for r, (doc, segs) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("segs").to_pylist(), strict=True)):
                 f = int(x.first[r])
@@ -174,7 +175,7 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
                     for at, n in parts:
                         if f + at + n + window - 1 > x.first[r + 1]:  # a row that repeats the doc_id with another text
                             continue
-                        body = x.hash[f + at : f + at + n + window - 1].tobytes()
+                        body = low[f + at : f + at + n + window - 1].tobytes()
                         key = _text_hash(body)
                         out["doc_id"].append(doc)
                         out["start"].append(at)
@@ -185,8 +186,10 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
 
     placed = C.keep(src.join(wanted, "doc_id").mapInArrow(texts, "doc_id long, start int, anchor long, key long, body binary"), "texts")
     C.release(segs)
+    del wanted, twice
+    C.tidy(spark)
     distinct = placed.groupBy("anchor", "key").agg(F.count("*").alias("weight"), F.first("body").alias("body"))
-    words = placed.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0] // 8
+    words = placed.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0] // 4
     shards = max(C.partitions(spark), words // shard_words + 1)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +197,7 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
         size, last = 0, None
         for b in batches:
             for row in zip(b.column("anchor").to_pylist(), b.column("key").to_pylist(), b.column("body").to_pylist(), b.column("weight").to_pylist(), strict=True):
-                if size > shard_words * 8 and row[0] != last:  # an index ends between two anchors
+                if size > shard_words * 4 and row[0] != last:  # an index ends between two anchors
                     yield _searched(held, window)
                     held, size = [], 0
                 held.append(row)
@@ -209,7 +212,7 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
 
 def _searched(held: list[tuple[int, int, bytes, int]], window: int) -> pa.RecordBatch:
     """Segments with a repeated window, and the spans that such windows cover."""
-    count = matching([np.frombuffer(x[2], U) for x in held], np.array([x[3] for x in held], np.int64), window)
+    count = matching([np.frombuffer(x[2], np.uint32) for x in held], np.array([x[3] for x in held], np.int64), window)
     anchor, key, spans = [], [], []
     for x, n in zip(held, count, strict=True):
         at = np.flatnonzero(n > 1)
