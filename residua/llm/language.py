@@ -173,7 +173,7 @@ def predict(docs: DataFrame, model: Model, *more: str) -> DataFrame:
             yield pa.record_batch([b.column("doc_id"), *[b.column(c) for c in more], pa.array(names), pa.array(score)], names=["doc_id", *more, "lang_pred", "score"])
 
     extra = "".join(f"`{c}` {kinds[c]}, " for c in more)
-    return C.texts(docs, *more).mapInArrow(run, f"doc_id long, {extra}lang_pred string, score double")
+    return C.texts(docs, *[c for c in more if c != "text"]).mapInArrow(run, f"doc_id long, {extra}lang_pred string, score double")
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:
@@ -189,6 +189,7 @@ REJECT = 0.3
 
 def stage(spark, docs: DataFrame, sf_dir: str, reject: float = REJECT) -> DataFrame:
     """Keep documents in a learnt language: those without letters or with a score under ``reject`` go."""
-    kept = docs.select(F.col("doc_id").alias("__id"), F.struct(*docs.columns).alias("__row"), F.col("text"), F.col("doc_id"))
+    kept = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"))
     model = fit(docs.select("doc_id", "text", "lang"))
-    return predict(kept, model, "__row").where((F.col("lang_pred") != "und") & (F.col("score") >= reject)).select("__row.*")
+    out = predict(kept, model, "text", "__row").where((F.col("lang_pred") != "und") & (F.col("score") >= reject))
+    return out.select(*[F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])

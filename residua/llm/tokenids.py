@@ -162,7 +162,7 @@ class Pieces:
     white space before a blank is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
@@ -183,6 +183,10 @@ class Pieces:
         self.after: dict[str, bytes] = {}  # parts that follow a blank, without it
         self.lead: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Give the memory back at the end of a task: Python workers live on and run other tasks."""
+        self.after, self.lead = {}, {}
+
     def _encode(self, rows: list[str]) -> list[bytes]:
         out = []
         for at in range(0, len(rows), 4096):
@@ -357,6 +361,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, block_ids: int =
                 if size >= block_ids:
                     yield _block(shard, block, before, doc, count, np.concatenate(ids))
                     ids, doc, count, size, block, before = [], [], [], 0, block + 1, before + size
+        tok.forget()
         if doc:
             yield _block(shard, block, before, doc, count, np.concatenate(ids))
 
