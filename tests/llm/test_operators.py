@@ -173,6 +173,25 @@ def test_lines(spark):
     assert got[1] == rows[0][1] and got[2] == "the first line\n" and got[4] is None and "second" not in got[3]
 
 
+def test_lines_of_mixed_bands(spark):
+    """Many lines share most of a form, and each has a near copy: all near copies meet, though few lines lead a band."""
+    random.seed(7)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    form, made = [word() for _ in range(24)], []
+    for _ in range(60):
+        own = [word() for _ in range(16)]
+        made += [form + own, [*form, *own[:-1], word()]]
+    sets = [{" ".join(x)[m:][:12] for m in [sum(len(w) + 1 for w in x[:i]) for i in range(len(x))]} for x in made]
+    least = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    got = lines.duplicates(frame(spark, [(i, " ".join(x)) for i, x in enumerate(made)])).collect()
+    assert {(r.doc_id, r.first_doc) for r in got} == {(i, x) for i, x in enumerate(least) if x != i} and len(got) == 60
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(14))
     docs = [(1, "a b " + " ".join(f"W{i}" for i in range(2, 12)) + " c"), (2, " ".join(f"w{i}" for i in range(9))), (3, "x short item y"), (4, "shortitem")]
