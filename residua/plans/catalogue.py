@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
+from ..operators import comparison as M
 from ..operators import evaluation as E
 from ..operators import quality as Q
 from ..operators import spatial as S
@@ -271,3 +272,83 @@ def class_weight(spark, d):
     t = s.agg(F.sum("n").alias("tn"), F.sum("p").alias("tp"))  # one row
     j = s.crossJoin(F.broadcast(t))
     return _rounded(j.select("grp", ((F.col("tn") - F.col("n") - (F.col("tp") - F.col("p"))) / (F.col("tp") - F.col("p"))).alias("weight")))
+
+
+# --- comparison of configurations: event types stand in for configurations, groups for folds ----------------------------
+
+_C = "WITH c AS (SELECT user_id % 40 AS fold, event_type AS config, avg(value) AS metric, count(*) AS n FROM events GROUP BY ALL), d AS (SELECT fold, max(CASE WHEN config = 'click' THEN metric END) - max(CASE WHEN config = 'view' THEN metric END) delta FROM c GROUP BY fold), e AS (SELECT * FROM d WHERE delta IS NOT NULL)"
+
+
+def _configs(spark, d):
+    return _t(spark, d, "events").groupBy((F.col("user_id") % 40).alias("fold"), F.col("event_type").alias("config")).agg(F.avg("value").alias("metric"))
+
+
+def _deltas(spark, d):
+    return M.paired_deltas(_configs(spark, d), "fold", "config", "metric", "view", "click")
+
+
+@query(_C + " SELECT count(*) folds, round(quantile_cont(delta, 0.5), 6) median_delta, count(*) FILTER (WHERE delta > 0) up, count(*) FILTER (WHERE delta < 0) down, count(*) FILTER (WHERE delta = 0) tie FROM e")
+def paired_deltas(spark, d):
+    return _rounded(M.delta_summary(_deltas(spark, d)))
+
+
+@query(_C + """, r AS (SELECT delta, rank() OVER (ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY abs(delta)) - 1) / 2.0 r, count(*) OVER (PARTITION BY abs(delta)) t FROM e WHERE delta <> 0),
+s AS (SELECT count(*) n, CAST(sum(CASE WHEN delta > 0 THEN r ELSE 0 END) AS DOUBLE) w_plus, CAST(sum(CASE WHEN delta < 0 THEN r ELSE 0 END) AS DOUBLE) w_minus, sum(t * t - 1) ties FROM r)
+SELECT n, w_plus, w_minus, round((least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) z FROM s""")
+def wilcoxon(spark, d):
+    return _rounded(M.wilcoxon(_deltas(spark, d)))
+
+
+_RANKS = _C + ", r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY metric DESC) + (count(*) OVER (PARTITION BY fold, metric) - 1) / 2.0 r FROM c)"
+
+
+@query(_RANKS + " SELECT config, round(avg(r), 6) mean_rank, count(*) n FROM r GROUP BY config")
+def mean_ranks(spark, d):
+    return _rounded(M.mean_ranks(_configs(spark, d), "fold", "config", "metric"))
+
+
+@query(_RANKS + """, f AS (SELECT fold FROM c GROUP BY fold HAVING count(*) = (SELECT count(DISTINCT config) FROM c)), m AS (SELECT config, avg(r) mr, count(*) n FROM r SEMI JOIN f USING (fold) GROUP BY config),
+s AS (SELECT max(n) n, count(*) k, sum(mr * mr) s FROM m) SELECT n, k, round(12.0 * n / (k * (k + 1)) * (s - k * (k + 1) * (k + 1) / 4.0), 6) chi2 FROM s""")
+def friedman(spark, d):
+    return _rounded(M.friedman(_configs(spark, d), "fold", "config", "metric"))
+
+
+_G = "WITH g AS (SELECT s_suppkey AS id, avg(l_quantity) score, avg(l_extendedprice) / 1000 gain, avg(l_discount) loss FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)"
+
+
+def _choices(spark, d):
+    x = _t(spark, d, "lineitem").join(_t(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return x.groupBy(F.col("s_suppkey").alias("id")).agg(F.avg("l_quantity").alias("score"), (F.avg("l_extendedprice") / 1000).alias("gain"), F.avg("l_discount").alias("loss"))
+
+
+@query(_G + """, a AS (SELECT * FROM g WHERE score >= (SELECT max(score) FROM g) - 2), b AS (SELECT * FROM a WHERE gain >= (SELECT max(gain) FROM a) - 5)
+SELECT id, round(score, 6) score, round(gain, 6) gain, round(loss, 6) loss FROM b ORDER BY b.loss, id LIMIT 1""")
+def golden_selection(spark, d):
+    return _rounded(M.golden(_choices(spark, d), "id", "score", "gain", "loss", 2.0, 5.0))
+
+
+@query(_G + """, b AS (SELECT score s, gain v FROM g WHERE id = 1) SELECT id, score - s > 0.5 OR (abs(score - s) <= 0.5 AND gain - v > 0.1) AS accepted FROM g, b""")
+def acceptance_rule(spark, d):
+    g = _choices(spark, d)
+    return M.accepted(g, g.where("id = 1"), "score", "gain", 0.5, 0.1).select("id", "accepted")
+
+
+@query("""SELECT 'l_quantity' a, 'l_extendedprice' b, round(corr(l_quantity, l_extendedprice), 6) pearson FROM lineitem UNION ALL SELECT 'l_quantity', 'l_discount', round(corr(l_quantity, l_discount), 6) FROM lineitem
+UNION ALL SELECT 'l_extendedprice', 'l_discount', round(corr(l_extendedprice, l_discount), 6) FROM lineitem""")
+def correlations(spark, d):
+    return _rounded(M.correlations(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]))
+
+
+@query(_S + ", g AS (SELECT grp, avg(score) ms, avg(label) pv FROM s GROUP BY grp), h AS (SELECT ms score, CAST(pv > (SELECT quantile_cont(pv, 0.5) FROM g) AS INT) y FROM g), r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 r FROM h) SELECT round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 6) roc FROM r")
+def between_auc(spark, d):
+    g = E.between_groups(_scored(spark, d), "grp", "score", "label")
+    middle = g.agg(F.percentile("prevalence", F.lit(0.5)).alias("m"))  # one row
+    x = g.crossJoin(F.broadcast(middle)).withColumn("above", (F.col("prevalence") > F.col("m")).cast("int"))
+    return _rounded(E.roc_auc(x, "mean_score", "above").select("roc"))
+
+
+@query(_P + ", g AS (SELECT grp, avg((p - label) * (p - label)) brier, abs(avg(p) - avg(label)) gap FROM p GROUP BY grp) SELECT round(quantile_cont(brier, 0.5), 6) median_brier, round(quantile_cont(gap, 0.5), 6) median_gap FROM g")
+def group_probability(spark, d):
+    y = F.col("label").cast("double")
+    g = _prob(spark, d).groupBy("grp").agg(F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.abs(F.avg("p") - F.avg(y)).alias("gap"))
+    return _rounded(g.agg(F.percentile("brier", F.lit(0.5)).alias("median_brier"), F.percentile("gap", F.lit(0.5)).alias("median_gap")))
