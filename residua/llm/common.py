@@ -33,11 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
-def keep(df: DataFrame, name: str = "kept") -> DataFrame:
+def keep(df: DataFrame, name: str = "kept", compression: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _KEPT.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
