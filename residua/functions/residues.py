@@ -21,6 +21,11 @@ MASS = {
     "L": 131.1729, "K": 146.1876, "M": 149.2113, "F": 165.1891, "P": 115.1305, "S": 105.0926, "T": 119.1192, "W": 204.2252, "Y": 181.1885, "V": 117.1463,
 }
 WATER = 18.0153
+# Where side chains and the two ends of a chain are half charged (Bjellqvist et al., 1993).
+PK_POSITIVE = {"K": 10.0, "R": 12.0, "H": 5.98}
+PK_NEGATIVE = {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
+PK_FIRST, PK_FIRST_OF = 7.5, {"A": 7.59, "M": 7.0, "S": 6.93, "P": 8.36, "T": 6.82, "V": 7.44, "E": 7.7}
+PK_LAST, PK_LAST_OF = 3.55, {"D": 4.55, "E": 4.75}
 BACKBONE = ("N", "CA", "C", "O")
 ONE_HOT_ORDER = ("acidic", "aromatic", "basic", "nonpolar", "polar", "special")
 BAND, CONTACT, RADIUS = 10, 0.50, 12.0
@@ -111,3 +116,28 @@ def gravy(sequence: Column) -> Column:
 
 def standard(sequence: Column) -> Column:
     return sequence.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$")
+
+
+def isoelectric_point(sequence: Column, steps: int = 30) -> Column:
+    """The pH from 4.05 to 12 at which the chain has no charge, two decimals, by halving; null for other letters or no letter."""
+    first = F.coalesce(F.element_at(_map(PK_FIRST_OF), F.substring(sequence, 1, 1)), F.lit(PK_FIRST))
+    last = F.coalesce(F.element_at(_map(PK_LAST_OF), F.right(sequence, F.lit(1))), F.lit(PK_LAST))
+    n = lambda a: F.length(sequence) - F.length(F.replace(sequence, F.lit(a), F.lit("")))
+
+    def net(ph: Column) -> Column:
+        up = 1 / (1 + F.pow(F.lit(10.0), ph - first))
+        down = 1 / (1 + F.pow(F.lit(10.0), last - ph))
+        for a, pk in PK_POSITIVE.items():
+            up = up + n(a) / (1 + F.pow(F.lit(10.0), ph - pk))
+        for a, pk in PK_NEGATIVE.items():
+            down = down + n(a) / (1 + F.pow(F.lit(10.0), pk - ph))
+        return up - down
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        right = net(mid) > 0
+        return F.struct(F.when(right, mid).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
+
+    start = F.struct(F.lit(4.05).alias("lo"), F.lit(12.0).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: F.round((s["lo"] + s["hi"]) / 2, 2))
+    return F.when(standard(sequence), found)

@@ -6,7 +6,7 @@ Fold tables have one row for each fold and configuration; their sums are made by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -76,3 +76,30 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
     row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("pearson")) for a, b in pairs]).alias("p"))
     return row.select(F.inline("p"))
+
+
+def chi2_upper(x: Column, df: Column, terms: int = 1500) -> Column:
+    """Probability that a chi-squared variable of df (a whole number from 1) is over x: one less the series of the lower part."""
+    odd, a = df % 2 == 1, df / 2
+    half = F.sequence(F.lit(0), (F.floor((df + 1) / 2) - 1).cast("int"))
+    shift = F.when(odd, F.lit(0.5)).otherwise(F.lit(1.0))
+    log_gamma = F.aggregate(half, F.when(odd, F.lit(0.5) * F.log(F.pi())).otherwise(F.lit(0.0)), lambda s, i: s + F.log(shift + i))  # of a + 1
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def step(v: Column, i: Column) -> Column:
+        t = v["t"] * (x / 2) / (a + i)
+        return F.struct(t.alias("t"), (v["s"] + t).alias("s"))
+
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda v: v["s"])
+    lower = F.exp(a * F.log(x / 2) - x / 2 - log_gamma) * total
+    return F.when(x <= 0, 1.0).when(x > 600 + 4 * df, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - lower))
+
+
+def wilcoxon_p(statistics: DataFrame) -> DataFrame:
+    """Adds p, the two-sided probability of z in the normal approximation; 1 where no fold differs."""
+    return statistics.withColumn("p", F.coalesce(chi2_upper(F.col("z") * F.col("z"), F.lit(1)), F.lit(1.0)))
+
+
+def friedman_p(statistics: DataFrame) -> DataFrame:
+    """Adds p, the probability of chi2 with one degree of freedom less than configurations; null with fewer than two of them."""
+    return statistics.withColumn("p", F.when(F.col("k") > 1, chi2_upper(F.col("chi2"), F.col("k") - 1)))

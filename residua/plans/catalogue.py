@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import residues as R
 from ..operators import comparison as M
 from ..operators import evaluation as E
+from ..operators import gates as G
+from ..operators import learning as L
 from ..operators import quality as Q
 from ..operators import spatial as S
 
@@ -352,3 +354,49 @@ def group_probability(spark, d):
     y = F.col("label").cast("double")
     g = _prob(spark, d).groupBy("grp").agg(F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.abs(F.avg("p") - F.avg(y)).alias("gap"))
     return _rounded(g.agg(F.percentile("brier", F.lit(0.5)).alias("median_brier"), F.percentile("gap", F.lit(0.5)).alias("median_gap")))
+
+
+# --- probabilities of the statistics, scores by other groups, gates ------------------------------------------------------
+
+_UPPER = "greatest(0, 1 - list_sum(list_transform(range(0, 400), lambda i: exp((i + {a}) * ln({x} / 2) - {x} / 2 - lgamma(i + {a} + 1)))))"
+
+
+@query(SQL["wilcoxon"].replace("SELECT n, w_plus", ", v AS (SELECT n, w_plus") .replace("round((least", "(least").replace("/ 48.0), 6) z FROM s", "/ 48.0) z FROM s)") + " SELECT n, round(z, 6) z, round(" + _UPPER.format(a="0.5", x="(z * z)") + ", 6) p FROM v")
+def wilcoxon_p(spark, d):
+    return _rounded(M.wilcoxon_p(M.wilcoxon(_deltas(spark, d))).select("n", "z", "p"))
+
+
+@query(SQL["friedman"].replace("SELECT n, k, round(12.0", ", v AS (SELECT n, k, (12.0").replace("/ 4.0), 6) chi2 FROM s", "/ 4.0)) chi2 FROM s)") + " SELECT n, k, round(chi2, 6) chi2, round(" + _UPPER.format(a="((k - 1) / 2.0)", x="chi2") + ", 6) p FROM v")
+def friedman_p(spark, d):
+    return _rounded(M.friedman_p(M.friedman(_configs(spark, d), "fold", "config", "metric")))
+
+
+@query("""WITH r AS (SELECT l_suppkey % 20 AS grp, l_quantity x, l_extendedprice y FROM lineitem), g AS (SELECT grp, count(*) n, sum(x) x, sum(y) y, sum(x * x) xx, sum(x * y) xy FROM r GROUP BY grp),
+t AS (SELECT g.grp, sum(o.n) n, sum(o.x) x, sum(o.y) y, sum(o.xx) xx, sum(o.xy) xy FROM g JOIN g o ON g.grp <> o.grp GROUP BY g.grp), w AS (SELECT grp, (n * xy - x * y) / (n * xx - x * x) b, n, x, y FROM t)
+SELECT l_suppkey % 20 grp, count(*) n, round(avg((y - b * x) / n + b * l_quantity), 4) mean_score FROM lineitem JOIN w ON grp = l_suppkey % 20 GROUP BY 1""")
+def out_of_group_linear(spark, d):
+    x = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 20).alias("grp"), F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    return _rounded(L.out_of_group_linear(x, "grp", ["x"], "y").groupBy("grp").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score")), 4)
+
+
+@query("""WITH g AS (SELECT s_nationkey AS grp, count(*) n FROM supplier GROUP BY 1), r AS (SELECT grp, row_number() OVER (ORDER BY n DESC, grp) - 1 r FROM g)
+SELECT grp, CAST(CASE WHEN (r // 3) % 2 = 0 THEN r % 3 ELSE 2 - r % 3 END AS INT) fold FROM r""")
+def group_folds(spark, d):
+    return L.group_folds(_t(spark, d, "supplier").withColumnRenamed("s_nationkey", "grp"), "grp", 3)
+
+
+@query("SELECT doc_id, unnest(list_filter([CASE WHEN text IS NULL OR lower(trim(text)) IN ('', 'nan', 'na', 'none') THEN 'text' END, CASE WHEN lang IS NULL OR lower(trim(lang)) IN ('', 'nan', 'na', 'none') THEN 'lang' END], lambda x: x IS NOT NULL)) AS \"column\" FROM documents")
+def blank_tokens(spark, d):
+    return G.blank_tokens(_t(spark, d, "documents"), "doc_id", ["text", "lang"])
+
+
+@query("SELECT conv_id, count(*) AS rows, 'gap' AS rule FROM conversations GROUP BY conv_id HAVING count(DISTINCT turn) = count(*) AND (min(turn) <> 1 OR max(turn) <> count(*))")
+def numbering_gate(spark, d):
+    return G.numbering(_t(spark, d, "conversations"), "conv_id", "turn").where("rule = 'gap'")
+
+
+@query("SELECT c_custkey, coalesce(n, 0) AS rows, CAST(c_custkey % 20 AS BIGINT) expected FROM customer LEFT JOIN (SELECT o_custkey, count(*) n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) <> c_custkey % 20")
+def rows_conserved(spark, d):
+    c = _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 20).alias("n"))
+    o = _t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_custkey").alias("c_custkey"))
+    return G.rows_conserved(o, c, "c_custkey", "n")
