@@ -1,13 +1,12 @@
 """Fuzzy line deduplication by MinHash, in SQL functions only.
 
-Lines are compared by their sets of character shingles: the SHINGLE characters from each start
-of a word. Distinct lines get a signature of nine minimum hashes; the twelve bands are the lines
-of the affine plane of order three, so that a pair is missed only if five or more of the nine
-differ. Lines of a band are first compared with two leaders of the band by exact Jaccard
-similarity, and links are joined to components by alternating large-star and small-star steps. Lines
-of bands that are then still of several components are held against those of other components
-wherever they share one of each one's rarest shingles (a prefix filter, so no similar pair of a
-band is missed). Of each component the line that comes first (by doc_id, then place) stays.
+Lines are compared by their sets of character shingles: the SHINGLE characters from each place
+of the line (all of it, if it is shorter). Distinct lines get a signature of forty minimum
+hashes in twenty bands of five. Lines of a band are first compared with two leaders of the band
+by exact Jaccard similarity, and links are joined to components by alternating large-star and
+small-star steps. Bands whose lines are then still of several components are gone through again,
+with other leaders and at last with all lines of different components, so no similar pair of a
+band is missed. Of each component the line that comes first (by doc_id, then place) stays.
 """
 
 from __future__ import annotations
@@ -18,11 +17,11 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SHINGLE = 12
-#: Places of the signature in each band: rows, columns and the two kinds of diagonals of a 3 by 3 square.
-BANDS = ((0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6), (2, 3, 7), (0, 5, 7), (1, 3, 8), (2, 4, 6))
+SHINGLE = 5
+#: Places of the signature in each band: rows of five, every eighth place, every ninth; two bands have one place in common at most.
+BANDS = tuple(tuple(range(5 * i, 5 * i + 5)) for i in range(8)) + tuple(tuple(range(i, 40, 8)) for i in range(8)) + tuple(tuple(range(i, 40, 9)) for i in range(4))
 #: One number for each place of the signature.
-SEEDS = tuple((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) - (1 << 63) for i in range(9))
+SEEDS = tuple((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) - (1 << 63) for i in range(40))
 
 
 def normal(line: Column) -> Column:
@@ -39,46 +38,30 @@ def blank(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """Hashes of the distinct shingles of a normal line; one at least."""
-    return F.array_distinct(hashes(line))
+    """Hashes of the shingles of a normal line, repeated ones too; one at least."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))."), F.lit(1))
+    return F.transform(every, lambda s: F.xxhash64(s))
 
 
-def hashes(line: Column) -> Column:
-    """Hashes of the shingles of a normal line, repeated ones too."""
-    at_words = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{1,{SHINGLE}}}))[^ ]*+ ?"), F.lit(1))
-    return F.transform(at_words, lambda s: F.xxhash64(s))
+def signatures(own: DataFrame) -> DataFrame:
+    """id, sig: the signature of each line of own(id, line), by the upper half of the least of its shingles' hashes under each seed.
 
-
-def least(s: Column, seed: int) -> Column:
-    """One place of the signature: the upper half of the least of the hashes under one seed."""
-    return F.shiftright(F.array_min(F.transform(s, lambda h: h.bitwiseXOR(F.lit(seed)))), 32).cast("int")
+    Shingles are rows here, cut from four bytes a character, as that is compiled and functions of arrays aren't.
+    """
+    wide = own.select("id", F.encode("line", "UTF-32").alias("b"))
+    at = wide.select("id", "b", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("b") - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))).alias("at"))
+    each = at.select("id", F.xxhash64(F.substring("b", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
+    least = each.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{i}") for i, k in enumerate(SEEDS)])
+    return least.select("id", F.array(*[F.shiftright(f"m{i}", 32).cast("int") for i in range(len(SEEDS))]).alias("sig"))
 
 
 def similar(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs(x, y) of ids whose shingles, own(id, s), are similar enough."""
-    s, t = own.select(F.col("id").alias("x"), "s"), own.select(F.col("id").alias("y"), F.col("s").alias("t"))
-    both, shared = pairs.join(s, "x").join(t, "y"), F.size(F.array_intersect("s", "t"))
-    return both.where(shared * 100 >= (F.size("s") + F.size("t") - shared) * percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
-def prefixes(meet: DataFrame, comp: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """h, id, size, at, p: shingles by which lines of bands, meet(id, band), of several components by comp may be similar.
-
-    Similar sets share one of the size - ceil(size * percent / 100) + 1 shingles of each that come first in any one order; the
-    order here is by how few of the lines to compare have them. p has all of these of the line, h is the one at place ``at``.
-    """
-    in_band = with_root(meet, comp).select("band", "id", "root")
-    mixed = in_band.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    members = in_band.join(mixed, "band").select("id").distinct()
-    each = C.keep(members.join(own.select("id", "s"), "id").select("id", F.explode("s").alias("h")), "shingles")
-    seen = each.groupBy("h").agg(F.count("*").alias("df"))
-    ordered = each.join(seen, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o"))
-    size = F.size("o")
-    first = ordered.select("id", size.alias("size"), F.slice("o", F.lit(1), (size - F.ceil(size * percent / 100) + 1).cast("int")).alias("o"))
-    rows = first.select("id", "size", F.col("o.h").alias("p"), F.posexplode("o").alias("at", "e")).where("e.df > 1")
-    out = C.keep(rows.select(F.col("e.h").alias("h"), "id", "size", "at", "p"), "prefixes")
-    C.release(each)
-    return out
+    """a, b: the pairs(x, y) of ids whose lines, own(id, line), have shingles that are similar enough."""
+    s, t = own.select(F.col("id").alias("x"), F.col("line").alias("l1")), own.select(F.col("id").alias("y"), F.col("line").alias("l2"))
+    # the texts are moved, as they are smaller than their shingles; those are made once for a pair
+    both = pairs.join(s, "x").join(t, "y").select("x", "y", F.inline(F.array(F.struct(shingles(F.col("l1")).alias("s"), shingles(F.col("l2")).alias("t")))))
+    shared, every = F.size(F.array_intersect("s", "t")), F.size(F.array_union("s", "t"))
+    return both.where(shared * 100 >= every * percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -86,31 +69,27 @@ def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
 
 
-def rest(rows: DataFrame, comp: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
-    """x, y: pairs of lines of different components that may be similar, by their prefixes; each pair once.
+def rest(meet: DataFrame, comp: DataFrame, seed: int | None = None) -> DataFrame:
+    """x, y: pairs of lines of different components that share a band of meet(id, band); each pair once.
 
-    A shingle's largest component is only held against its other ones. A pair counts at the first shingle that both have, if
-    what comes after it can still make the sets similar. With a seed, only leaders of each shingle are held against others:
-    two lines of its largest component and two of all others, by hashes under the seed. This is linear and joins most of a
-    group of near copies, before all that is still apart is compared.
+    A band's largest component is only held against its other ones. With a seed, only leaders of each band are held against
+    others: two lines of its largest component and two of all others, by hashes under the seed. This is linear and joins most
+    of a group of near copies, before all that is still apart is compared.
     """
-    rows = with_root(rows, comp)
-    one = F.struct(F.xxhash64(F.lit(seed or 0), "h", "id").alias("v"), "id")
+    rows = with_root(meet.select("id", "band"), comp)
+    one = F.struct(F.xxhash64(F.lit(seed or 0), "band", "id").alias("v"), "id")
     ends = [F.min(one)["id"].alias("lo"), F.max(one)["id"].alias("hi")]
-    by_root = rows.groupBy("h", "root").agg(F.count("*").alias("n"), *ends)
-    main = by_root.groupBy("h").agg(F.max_by(F.struct("root", "lo", "hi"), F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
-    held = rows.join(main.where("roots > 1").select("h", "m"), "h").withColumn("main", F.col("m.root"))
-    a = held.where("root <> main").select("h", *[F.col(c).alias(c + "1") for c in ("id", "root", "size", "at", "p")])
+    by_root = rows.groupBy("band", "root").agg(F.count("*").alias("n"), *ends)
+    main = by_root.groupBy("band").agg(F.max_by(F.struct("root", "lo", "hi"), F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
+    held = rows.join(main.where("roots > 1").select("band", "m"), "band").withColumn("main", F.col("m.root"))
+    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root")])
     once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
     if seed is not None:
-        others = held.where("root <> main").groupBy("h").agg(*ends)
-        held = held.join(others, "h").where("id in (m.lo, m.hi, lo, hi)")
+        others = held.where("root <> main").groupBy("band").agg(*ends)
+        held = held.join(others, "band").where("id in (m.lo, m.hi, lo, hi)")
         once = F.col("root1") != F.col("root2")
-    b = held.select("h", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "size", "at", "p")])
-    most = F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))  # shared at most
-    may = (most * 100 >= (F.col("size1") + F.col("size2") - most) * percent) & (F.array_intersect("p1", "p2")[0] == F.col("h"))
-    pairs = a.join(b, "h").where(once & may).select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y"))
-    return pairs if seed is None else pairs.distinct()
+    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root")])
+    return a.join(b, "band").where(once).select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
 
 
 def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
@@ -125,7 +104,7 @@ def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def bands(sig: Column) -> Column:
-    """Keys of the twelve bands of a signature."""
+    """Keys of the bands of a signature."""
     return F.array(*[F.xxhash64(F.lit(i), *[sig[j] for j in b]) for i, b in enumerate(BANDS)])
 
 
@@ -143,30 +122,24 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     every = C.keep(lines(docs).select("doc_id", "place", "id"), "places")
     # what each distinct line is; copies of a line meet before the shuffle where they can
-    made = lines(docs).groupBy("id").agg(F.first("line").alias("line")).withColumn("s", hashes(F.col("line")))
-    sig = F.array(*[least(F.col("s"), k) for k in SEEDS])
-    distinct = C.keep(made.select("id", "line", sig.alias("sig")), "distinct", "zstd")
-    del made
+    distinct = C.keep(lines(docs).groupBy("id").agg(F.first("line").alias("line")), "distinct", "zstd")
     C.tidy(docs.sparkSession)
-    rows = distinct.select("id", F.explode(bands(F.col("sig"))).alias("band"))
-    # leaders: the least and the greatest id, hashes of the lines; a band has each line once, and there are twelve bands
+    rows = signatures(distinct).select("id", F.explode(bands(F.col("sig"))).alias("band"))
+    # leaders: the least and the greatest id, hashes of the lines; a band has each line once, and there are twenty bands
     w = W.partitionBy("band")
     meet = C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands")
     del rows
     C.tidy(docs.sparkSession)
     led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
-    few = distinct.join(meet.select("id").distinct(), "id", "left_semi")  # lines that meet others
-    own = C.keep(few.select("id", shingles(F.col("line")).alias("s")), "own")
-    C.release(distinct)
-    links = C.keep(similar(pairs, own, percent), "links")
+    links = C.keep(similar(pairs, distinct, percent), "links")
     comp = C.keep(C.components(links), "components")
-    rows = prefixes(meet.where("n > 3").select("id", "band"), comp, own, percent)
+    left = meet.where("n > 3")  # of smaller bands, the leaders have met all lines
     for seed in (1, None):
-        more = C.keep(similar(rest(rows, comp, percent, seed), own, percent), "links")
-        comp = merged(comp, more)
+        more = C.keep(similar(rest(left, comp, seed), distinct, percent), "links")
+        comp = comp if more.isEmpty() else merged(comp, more)
         C.release(more)
-    C.release(meet, own, links, rows)
+    C.release(meet, distinct, links)
     # each component's first line
     here = F.struct("doc_id", "place")
     by_id = every.groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))

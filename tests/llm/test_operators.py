@@ -192,6 +192,14 @@ def test_lines_of_mixed_bands(spark):
     assert {(r.doc_id, r.first_doc) for r in got} == {(i, x) for i, x in enumerate(least) if x != i} and len(got) == 60
 
 
+def test_lines_without_blanks(spark):
+    """All of a line counts, not only what begins a word."""
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(60))
+    rows = ["https://example.com/a/report-1", "https://example.com/b/other-page", han[:30], han[:12] + han[40:58], "同" + han[1:30]]
+    got = lines.duplicates(frame(spark, list(enumerate(rows)))).collect()
+    assert {(r.doc_id, r.first_doc) for r in got} == {(4, 2)}
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(14))
     docs = [(1, "a b " + " ".join(f"W{i}" for i in range(2, 12)) + " c"), (2, " ".join(f"w{i}" for i in range(9))), (3, "x short item y"), (4, "shortitem")]
