@@ -51,8 +51,8 @@ def signatures(own: DataFrame) -> DataFrame:
     wide = own.select("id", F.encode("line", "UTF-32").alias("b"))
     at = wide.select("id", "b", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("b") - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))).alias("at"))
     each = at.select("id", F.xxhash64(F.substring("b", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
-    least = each.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(k))).alias(f"m{i}") for i, k in enumerate(SEEDS)])
-    return least.select("id", F.array(*[F.shiftright(f"m{i}", 32).cast("int") for i in range(len(SEEDS))]).alias("sig"))
+    least = each.groupBy("id").agg(*[F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(k)), 32)).alias(f"m{i}") for i, k in enumerate(SEEDS)])
+    return least.select("id", F.array(*[F.col(f"m{i}").cast("int") for i in range(len(SEEDS))]).alias("sig"))
 
 
 def similar(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
@@ -122,9 +122,8 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     every = C.keep(lines(docs).select("doc_id", "place", "id"), "places")
     # what each distinct line is; copies of a line meet before the shuffle where they can
-    distinct = C.keep(lines(docs).groupBy("id").agg(F.first("line").alias("line")), "distinct", "zstd")
-    C.tidy(docs.sparkSession)
-    rows = signatures(distinct).select("id", F.explode(bands(F.col("sig"))).alias("band"))
+    made = lines(docs).groupBy("id").agg(F.first("line").alias("line"))
+    rows = signatures(made).select("id", F.explode(bands(F.col("sig"))).alias("band"))
     # leaders: the least and the greatest id, hashes of the lines; a band has each line once, and there are twenty bands
     w = W.partitionBy("band")
     meet = C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands")
@@ -132,6 +131,9 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     C.tidy(docs.sparkSession)
     led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
+    distinct = C.keep(made.join(meet.select("id").distinct(), "id", "left_semi"), "distinct", "zstd")  # lines that meet others
+    del made
+    C.tidy(docs.sparkSession)
     links = C.keep(similar(pairs, distinct, percent), "links")
     comp = C.keep(C.components(links), "components")
     left = meet.where("n > 3")  # of smaller bands, the leaders have met all lines

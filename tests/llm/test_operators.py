@@ -200,6 +200,18 @@ def test_lines_without_blanks(spark):
     assert {(r.doc_id, r.first_doc) for r in got} == {(4, 2)}
 
 
+def test_lines_with_a_typo(spark):
+    """Most short lines meet their copies with one letter replaced."""
+    random.seed(11)
+    made = []
+    for i in range(200):
+        x = " ".join("".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(3, 8))) for _ in range(9))
+        at = random.choice([j for j, c in enumerate(x) if c != " "])
+        made += [(2 * i, x), (2 * i + 1, x[:at] + "#" + x[at + 1 :])]
+    got = lines.duplicates(frame(spark, made)).collect()
+    assert all(r.doc_id == r.first_doc + 1 for r in got) and len(got) >= 190
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(14))
     docs = [(1, "a b " + " ".join(f"W{i}" for i in range(2, 12)) + " c"), (2, " ".join(f"w{i}" for i in range(9))), (3, "x short item y"), (4, "shortitem")]
