@@ -8,12 +8,15 @@ better priority stays (of equal ones the longer, then the earlier rule).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: label | priority (1 is best) | keyword | regular expression over the lower-cased text, white space folded to one blank.
+#: label | priority (1 is best) | keywords, of which each match has one, by "; " | regular expression over the lower-cased text, white space folded to one blank.
 RULES = r"""
 gpl-3.0 | 1 | general public license | gnu general public license,? \(?(?:gpl\)?,? )?(?:version|v\.?) ?3(?:\.0)?
 gpl-2.0 | 1 | general public license | gnu general public license,? \(?(?:gpl\)?,? )?(?:version|v\.?) ?2(?:\.0)?
@@ -61,8 +64,8 @@ apache | 3 | apache | apache (?:software )?license
 apache-2.0 | 2 | apache | \bapache[ -]?(?:v)?2(?:\.0)?\b(?! http)
 apache-2.0 | 3 | apache.org | apache\.org/licenses/license-2\.0
 apache | 5 | apache.org | apache\.org/licenses
-apache-2.0-llvm-exception | 1 | llvm exception | (?:apache[ -](?:license )?(?:v)?2\.0 )?with llvm[ -]exceptions?
-mit | 2 | mit license | \b(?:the )?mit licen[sc]e\b
+apache-2.0-llvm-exception | 1 | llvm exception; llvm-exception | (?:apache[ -](?:license )?(?:v)?2\.0 )?with llvm[ -]exceptions?
+mit | 2 | mit licen | \b(?:the )?mit licen[sc]e\b
 mit | 3 | under mit | \b(?:licensed|released|distributed|available) under mit\b
 mit | 3 | under the mit | \b(?:licensed|released|distributed|available) under the mit\b
 mit | 4 | mit-license | \bmit-licensed?\b
@@ -70,17 +73,17 @@ mit | 5 | opensource.org | opensource\.org/licenses?/mit
 mit | 2 | permission is hereby granted | permission is hereby granted, free of charge, to any person obtaining a copy of this software
 mit-0 | 1 | mit no attribution | mit no attribution(?: license)?
 mit-0 | 1 | mit-0 | \bmit-0\b
-mit-advertising | 1 | enlightenment | mit license with advertising|enlightenment license
-x11 | 2 | x11 license | \bx11 licen[sc]e\b
+mit-advertising | 1 | enlightenment; license with advertising | mit license with advertising|enlightenment license
+x11 | 2 | x11 licen | \bx11 licen[sc]e\b
 expat | 2 | expat licen | \bexpat licen[sc]e\b
 isc | 2 | isc licen | \bisc licen[sc]e\b
 isc | 3 | permission to use, copy | permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted
-0bsd | 1 | 0bsd | \b0bsd\b|\bzero[ -]clause bsd\b
+0bsd | 1 | 0bsd; clause bsd | \b0bsd\b|\bzero[ -]clause bsd\b
 bsd-4-clause | 1 | bsd | \b(?:4|four)[ -]clause bsd\b|\bbsd[ -](?:4|four)[ -]clause\b|\boriginal bsd licen[sc]e\b
 bsd-3-clause | 1 | bsd | \b(?:3|three)[ -]clause bsd\b|\bbsd[ -](?:3|three)[ -]clause\b|\b(?:new|modified|revised) bsd licen[sc]e\b
 bsd-2-clause | 1 | bsd | \b(?:2|two)[ -]clause bsd\b|\bbsd[ -](?:2|two)[ -]clause\b|\bsimplified bsd licen[sc]e\b|\bfreebsd licen[sc]e\b
 bsd-2-clause-patent | 1 | bsd | \bbsd[ -]2[ -]clause[ -](?:plus )?patent\b
-bsd-3-clause-clear | 1 | clear bsd | \bclear bsd licen[sc]e\b|\bbsd-3-clause-clear\b
+bsd-3-clause-clear | 1 | clear bsd; bsd-3-clause-clear | \bclear bsd licen[sc]e\b|\bbsd-3-clause-clear\b
 bsd | 3 | bsd | \bbsd(?:-style)? licen[sc]e\b
 bsd | 4 | redistribution and use | redistribution and use in source and binary forms,? with or without modification,? are permitted
 bsd-3-clause | 3 | neither the name | neither the name of [^.]{1,80} nor the names of its contributors may be used to endorse
@@ -131,8 +134,8 @@ boost-1.0 | 3 | boost.org | boost\.org/license_1_0
 unlicense | 2 | unlicense | \b(?:the )?unlicense\b
 unlicense | 3 | unencumbered software | this is free and unencumbered software released into the public domain
 wtfpl | 2 | wtfpl | \bwtfpl\b
-wtfpl | 2 | what you want to public | do what the f[u*][c*]k you want to public license
-beerware | 2 | beer-ware | \bbeer-?ware license\b
+wtfpl | 2 | you want to public | do what the f[u*][c*]k you want to public license
+beerware | 2 | beer-ware; beerware | \bbeer-?ware license\b
 postgresql | 2 | postgresql licen | \bpostgresql licen[sc]e\b
 openssl | 2 | openssl licen | \bopenssl licen[sc]e\b
 openssl | 3 | openssl project | software developed by the openssl project
@@ -183,11 +186,11 @@ parity | 2 | parity public | parity public license
 cc0-1.0 | 1 | cc0 | \bcc0(?:[ -](?:v|version )?1\.0)?(?: universal)?\b
 cc0-1.0 | 2 | publicdomain/zero | creativecommons\.org/publicdomain/zero
 cc-pdm | 2 | public domain mark | (?:creative commons )?public domain mark
-cc-by-nc-nd | 1 | cc by-nc-nd | \bcc[ -]by-nc-nd(?: \d\.\d)?
-cc-by-nc-sa | 1 | cc by-nc-sa | \bcc[ -]by-nc-sa(?: \d\.\d)?
-cc-by-nc | 2 | cc by-nc | \bcc[ -]by-nc(?!-)(?: \d\.\d)?
-cc-by-nd | 2 | cc by-nd | \bcc[ -]by-nd(?: \d\.\d)?
-cc-by-sa | 2 | cc by-sa | \bcc[ -]by-sa(?: \d\.\d)?
+cc-by-nc-nd | 1 | cc by-nc-nd; cc-by-nc-nd | \bcc[ -]by-nc-nd(?: \d\.\d)?
+cc-by-nc-sa | 1 | cc by-nc-sa; cc-by-nc-sa | \bcc[ -]by-nc-sa(?: \d\.\d)?
+cc-by-nc | 2 | cc by-nc; cc-by-nc | \bcc[ -]by-nc(?!-)(?: \d\.\d)?
+cc-by-nd | 2 | cc by-nd; cc-by-nd | \bcc[ -]by-nd(?: \d\.\d)?
+cc-by-sa | 2 | cc by-sa; cc-by-sa | \bcc[ -]by-sa(?: \d\.\d)?
 cc-by-nc-nd | 1 | cc-by-nc-nd | \bcc-by-nc-nd(?:-\d\.\d)?
 cc-by-nc-sa | 1 | cc-by-nc-sa | \bcc-by-nc-sa(?:-\d\.\d)?
 cc-by-nc | 2 | cc-by-nc | \bcc-by-nc(?!-[sn])(?:-\d\.\d)?
@@ -219,7 +222,7 @@ pddl-1.0 | 2 | open data commons | open data commons public domain dedication
 ogl-3.0 | 2 | open government licen | open government licen[sc]e(?: v?3\.0)?
 cdla-permissive | 2 | community data license | community data license agreement[ –-]*permissive
 cdla-sharing | 2 | community data license | community data license agreement[ –-]*sharing
-openrail | 2 | openrail | \b(?:bigscience |creativeml )?open ?rail(?:\+\+)?(?:-[msd])?(?: licen[sc]e)?\b
+openrail | 2 | openrail; open rail | \b(?:bigscience |creativeml )?open ?rail(?:\+\+)?(?:-[msd])?(?: licen[sc]e)?\b
 public-domain | 3 | public domain | (?:released|placed|dedicated|is) (?:in|into|to) the public domain
 public-domain | 5 | public domain | \bpublic domain\b
 spdx-tag | 6 | spdx-license-identifier | spdx-license-identifier: ?[a-z0-9.+()-]+(?: (?:and|or|with) [a-z0-9.+()-]+)*
@@ -241,14 +244,14 @@ _GATES = ("licen", "public", "gpl", "gnu.org", "apache", "mit-", "attribution",
 
 
 def gates() -> list[str]:
-    keys = {k for _, _, k, _ in rules()}
+    keys = {w for _, _, k, _ in rules() for w in keywords(k)}
     used = [g for g in _GATES if any(g in k for k in keys)]
     more = sorted(k for k in keys if not any(g in k for g in used))
     return used + [k for k in more if not any(o != k and o in k for o in more)]
 
 
 def rules() -> list[tuple[str, int, str, str]]:
-    """(label, priority, keyword, pattern) of each rule, in order."""
+    """(label, priority, keywords, pattern) of each rule, in order."""
     out = []
     for line in RULES.strip().splitlines():
         label, priority, keyword, pattern = line.split(" | ", 3)
@@ -256,6 +259,11 @@ def rules() -> list[tuple[str, int, str, str]]:
     return out
 
 
+def keywords(key: str) -> list[str]:
+    """The keywords of a rule."""
+    return key.split("; ")
+
+
 def lowered(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOW)
 
@@ -295,7 +303,7 @@ def detections(docs: DataFrame, *more: str) -> DataFrame:
     by_key: dict[str, list[Column]] = {}
     for i, (_, priority, key, pattern) in enumerate(all_rules):
         by_key.setdefault(key, []).append(_found(F.col("__t"), i, priority, pattern))
-    every = F.concat(*[F.when(F.contains(F.col("__t"), F.lit(k)), F.concat(*v) if len(v) > 1 else v[0]).otherwise(kinds) for k, v in by_key.items()])
+    every = F.concat(*[F.when(reduce(or_, [F.contains(F.col("__t"), F.lit(w)) for w in keywords(k)]), F.concat(*v) if len(v) > 1 else v[0]).otherwise(kinds) for k, v in by_key.items()])
     src = src.withColumn("__all", F.when(F.col("__open"), every).otherwise(kinds))
     beats = lambda y, x: (y["start"] <= x["start"]) & (y["stop"] >= x["stop"]) & (F.struct(y["priority"], -(y["stop"] - y["start"]), y["rule"]) < F.struct(x["priority"], -(x["stop"] - x["start"]), x["rule"]))
     within = lambda y, x: (y["start"] >= x["start"]) & (y["stop"] <= x["stop"]) & (y["priority"] < x["priority"])

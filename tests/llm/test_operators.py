@@ -1,5 +1,6 @@
 """Corpus operators against plain versions and on odd inputs."""
 
+import itertools
 import random
 import re
 import zlib
@@ -229,6 +230,40 @@ def test_licenses(spark):
     assert got[2].labels == "cc-by,cc-by-nc" and got[3].labels == "lgpl" and got[4].labels == "" and got[4].first_word is None and got[5].n_base == 1
 
 
+def samples(tree):
+    """Texts of a parsed regular expression: each alternative, each optional part with and without."""
+    parts = []
+    for op, arg in tree:
+        match str(op):
+            case "LITERAL":
+                parts.append([chr(arg)])
+            case "NOT_LITERAL":
+                parts.append(["w"])
+            case "IN":
+                parts.append(["w"] if str(arg[0][0]) == "NEGATE" else [chr(a) if str(o) == "LITERAL" else chr(a[0]) if str(o) == "RANGE" else "3" for o, a in arg])
+            case "BRANCH":
+                parts.append([s for b in arg[1] for s in samples(b)])
+            case "SUBPATTERN":
+                parts.append(samples(arg[3]))
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                parts.append([""] * (arg[0] == 0) + [s * max(arg[0], 1) for s in samples(arg[2])])
+    return ["".join(x) for x in itertools.product(*parts)]
+
+
+def test_license_keywords(spark):
+    """No match of a rule lacks all of its keywords or all gates, so what is gated finds as much as what isn't."""
+    starts = [g.split(" ")[0] for g in licenses.gates()]
+    for label, _, key, pattern in licenses.rules():
+        texts = [s for s in samples(re._parser.parse(pattern)) if re.search(pattern, s)]
+        assert texts, label
+        for s in texts:
+            assert any(k in s for k in licenses.keywords(key)) and any(g in s for g in starts), (label, s)
+    rows = ["MIT licence", "X11 licence", "zero clause BSD", "zero-clause BSD", "beerware license", "open rail", "with llvm-exception", "mit license with advertising", "bsd-3-clause-clear", "do what the fuck you want to public license"]
+    want = ["mit", "x11", "0bsd", "0bsd", "beerware", "openrail", "apache-2.0-llvm-exception", "mit-advertising", "bsd-3-clause-clear", "wtfpl"]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(frame(spark, list(enumerate(rows)))).collect()}
+    assert all(w in got[i] for i, w in enumerate(want))
+
+
 def test_language(spark):
     random.seed(1)
     one, two = ["thing", "that", "where", "house"], ["stück", "nicht", "über", "haus"]
