@@ -4,12 +4,13 @@ A document's set is its distinct 5-word shingles. Equal sets are one class. Clas
 by prefix filter: shingles are ordered by how common they are (common ones last) and then by
 hash; two sets of the required similarity share one of their first ``n - ceil(t * n) + 1``.
 
-Skipping on the index: lists hold, for each shingle, sets by position and size. A list of one
-set, or of sets that one component holds already, is skipped whole; within a list, blocks of
-sizes that can't be similar are skipped, and entries by the overlap that their positions leave
-possible. Skipping on the answers: links are transitive for components, so the sets of a list
-are first compared with a few leaders of the list; a set linked to a leader has the leader's
-answers, and only pairs between different components are left to compare.
+Skipping on the answers: links are transitive for components, so the sets of a list are first
+compared with a few leaders of the list; a set linked to a leader has the leader's answers, and
+only pairs between different components are left to compare. Skipping on the index: sets that
+still stand beside one of another component are listed anew by all of their shingles, rarest
+first. Shingles of one set alone take up places but need no list, so a set with many of its own
+leaves the index. Lists are cut into blocks by size and position; a pair of blocks is skipped
+whole if one component holds both, or if sizes and positions leave no link possible.
 """
 
 from __future__ import annotations
@@ -77,14 +78,6 @@ class Sets:
         return [raw[i:j] for i, j in zip((ptr[:-1] // 8).tolist(), (ptr[1:] // 8).tolist(), strict=True)]
 
 
-def small_sketch(sketch: bytes) -> np.ndarray:
-    """A sketch folded to SKETCH bits, as longs."""
-    x = np.frombuffer(sketch, np.int64)
-    while len(x) > SKETCH // 64:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
-
-
 def differing(one: bytes, two: bytes) -> int:
     """Bits in which two sketches differ; the larger is folded to the size of the smaller."""
     x, y = np.frombuffer(one, U), np.frombuffer(two, U)
@@ -108,7 +101,7 @@ def common_shingles(docs: DataFrame, k: int, most: int = 1 << 17) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, 4 << 20):
+        for b in C.slices(batches):
             h = np.sort(Sets(b.column("text"), k).hash)
             if not len(h):
                 continue
@@ -137,18 +130,17 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     hot = spark.sparkContext.broadcast(common_shingles(src, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, 2 << 20):
+        for b in C.slices(batches):
             s = Sets(b.column("text"), k, hot.value)
             sig = s.signatures()
             p = prefix_size(s.size, percent)
             idx = np.arange(int(p.sum())) + np.repeat(s.first[:-1] - np.cumsum(p) + p, p)
-            sk = s.sketches()
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array(sk, pa.binary()), C.lists(np.concatenate([small_sketch(x) for x in sk]), np.arange(len(sk) + 1) * (SKETCH // 64), pa.int64()), C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
-                names=["doc_id", "n", "s1", "s2", "sketch", "small", "prefix"],
+                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array(s.sketches(), pa.binary()), C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
+                names=["doc_id", "n", "s1", "s2", "sketch", "prefix"],
             )
 
-    made = C.keep(src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, small array<long>, prefix array<long>"), "sets")
+    made = C.keep(src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, prefix array<long>"), "sets")
     ids = C.keep(made.select("doc_id", "n", "s1", "s2"), "ids")
     classes = C.keep(ids.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -156,10 +148,10 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     # share of the entries even if it holds every set
     rep = made.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
     entries = rep.select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = C.keep(entries.withColumn("members", F.count("*").over(W.partitionBy("token"))).where("members > 1").drop("members").distinct(), "lists")
-    whole = C.keep(lists.select("x").distinct().join(made.select(F.col("doc_id").alias("x"), "n", "sketch", "small"), "x").dropDuplicates(["x"]), "sketches")
+    lists = C.keep(entries.withColumn("members", F.count("*").over(W.partitionBy("token"))).where("members > 1").drop("members").distinct().withColumn("listed", F.count("*").over(W.partitionBy("x"))), "lists")
+    whole = C.keep(lists.select("x").distinct().join(rep.select(F.col("doc_id").alias("x"), "n", "s1", "s2", "sketch"), "x").dropDuplicates(["x"]), "sketches")
     C.release(made)
-    sketches, small = whole.select("x", "n", "sketch"), whole.select("x", "small")
+    sketches = whole.select("x", "n", "sketch")
     edges = None
     label = None
     for r in range(rounds):
@@ -168,8 +160,8 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
             open_ = cur.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
             cur = cur.join(open_, "token")
         # each list's leader: the same one in most lists of a group of similar sets
-        order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), *([F.col("c").alias("d")] if label is not None else []))
-        lead = cur.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.y", "l.m", "l.q", *(["l.d"] if label is not None else []))
+        order = F.struct(F.xxhash64("x", F.lit(r)).alias("o"), F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("listed").alias("held"), *([F.col("c").alias("d")] if label is not None else []))
+        lead = cur.groupBy("token").agg(F.min(order).alias("l")).select("token", "l.y", "l.m", "l.q", "l.held", *(["l.d"] if label is not None else []))
         pairs = cur.join(lead, "token").where("x <> y").where(_possible(percent))
         if label is not None:
             pairs = pairs.where("c <> d")
@@ -177,18 +169,13 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
         new = _verified(_sketched(pairs, sketches, percent), src, percent, k)
         edges = new if edges is None else edges.unionByName(new)
         label = C.keep(C.components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
-    # all pairs that are left: in one list, in different components, possible by size and position
-    cur = _labelled(lists, label)
-    open_ = cur.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    cur = C.keep(cur.join(open_, "token").join(small, "x"), "open")
-    step = float(np.log(100 / percent))
-    size = F.floor(F.log("n") / F.lit(step))
-    left = cur.withColumn("block", size)
-    right = cur.select("token", F.col("x").alias("y"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), F.col("small").alias("other")).withColumn("at", F.floor(F.log("m") / F.lit(step)))
-    right = right.withColumn("block", F.explode(F.array("at", F.col("at") - 1)))  # y is the larger one, in the same block of sizes or the next
-    pairs = left.join(right, ["token", "block"]).where("(n < m or (n = m and x < y)) and c <> d").where(_possible(percent) & _near(percent))
-    pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    # what is left: sets that a list has beside one of another component
+    own = C.keep(_open(_labelled(lists, label), percent).join(whole.select("x", "n", "s1", "s2"), "x"), "open")
+    C.release(lists)
+    ranked = _ranked(own, src, percent, k)
+    pairs = _block_pairs(ranked, percent)
     new = _verified(_sketched(pairs, sketches, percent), src, percent, k)
+    C.release(ranked)
     edges = edges.unionByName(new)
     # classes to documents: rows of one doc_id and one class are joined through the class
     node = edges.select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -204,16 +191,69 @@ def _labelled(lists: DataFrame, label: DataFrame) -> DataFrame:
     return lists.join(label.select(F.col("node").alias("x"), F.col("component").alias("c")), "x", "left").withColumn("c", F.coalesce("c", "x"))
 
 
+def _need(a, b, percent: int):
+    """Shingles that two sets of these sizes share at least if they are similar."""
+    return F.ceil((a + b) * percent / (100 + percent))
+
+
+def _most(n, m, listed, held, percent: int):
+    """Shingles that two sets share at most: of the shorter prefix by the order of shingles those that both have in lists, and all behind it."""
+    return F.least(listed, held) + F.ceil(F.greatest(n, m) * percent / 100) - 1
+
+
 def _possible(percent: int):
-    """Sizes and positions leave the required overlap possible: from a shared shingle at pos and q on, at most the rest is shared, and less before."""
-    need = F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
-    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (F.least("pos", "q") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= need)
+    """Sizes, positions and listed shingles leave the required overlap possible: from a shared shingle at pos and q on, at most the rest is shared, and less before."""
+    need = _need(F.col("n"), F.col("m"), percent)
+    near = F.least("pos", "q") + F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) >= need
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & near & (_most(F.col("n"), F.col("m"), F.col("listed"), F.col("held"), percent) >= need)
+
 
+def _numbered(df: DataFrame, key: str, i: int) -> DataFrame:
+    return df.select(key, *[F.col(c).alias(f"{c}{i}") for c in df.columns if c != key])
 
-def _near(percent: int):
-    """The small sketches differ in no more bits than similar sets can."""
-    d = sum((F.bit_count(F.col("small")[i].bitwiseXOR(F.col("other")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    return d <= F.col("n") + F.col("m") - 2 * F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent))
+
+def _open(cur: DataFrame, percent: int, parts: int = 8) -> DataFrame:
+    """x, c: the sets of the lists cur that a list has beside one of another component, as blocks by size and listed shingles show, that may be similar."""
+    wide = float(np.log(100 / percent)) / parts
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    cut = cur.select("token", "x", "c", "n", "listed", F.floor(F.log(F.col("n").cast("double")) / wide).alias("size"), F.floor(F.col("listed") * parts / prefix).alias("part"))
+    blocks = cut.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("listed").alias("listed"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    near = F.col("size2").between(F.col("size1"), F.col("size1") + parts)
+    able = _most(F.col("top1"), F.col("top2"), F.col("listed1"), F.col("listed2"), percent) >= _need(F.col("n1"), F.col("n2"), percent)
+    met = _numbered(blocks, "token", 1).join(_numbered(blocks, "token", 2), "token").where(near & able & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2"))))
+    some = met.select("token", F.explode(F.array(F.struct(F.col("size1").alias("size"), F.col("part1").alias("part")), F.struct(F.col("size2").alias("size"), F.col("part2").alias("part")))).alias("b")).select("token", "b.size", "b.part").distinct()
+    return cut.join(some, ["token", "size", "part"], "left_semi").select("x", "c").distinct()
+
+
+def _ranked(own: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:
+    """token, x, n, c, u, pos: the lists of the sets of own(x, c, n, s1, s2), by shingles in order of how many of these sets have them.
+
+    ``u`` shingles are of this set alone; they come first and have no list. Only the prefix of a set is listed, so a set
+    of which a whole prefix is its own has no entry, as nothing can be similar to it.
+    """
+    full = _whole_sets(own.select("x"), src, k, "array<long>").join(own, ["x", "s1", "s2"]).dropDuplicates(["x"])
+    every = full.select("x", "n", "c", F.explode("hashes").alias("token"))
+    shared = every.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1")
+    of = W.partitionBy("x")
+    at = shared.select("token", "x", "n", "c", (F.col("n") - F.count("*").over(of)).alias("u"), (F.row_number().over(of.orderBy("df", "token")) - 1).alias("rank"))
+    at = at.select("token", "x", "n", "c", "u", (F.col("u") + F.col("rank")).alias("pos"))
+    return C.keep(at.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)), "ranked")
+
+
+def _block_pairs(ranked: DataFrame, percent: int, parts: int = 4) -> DataFrame:
+    """x, y: pairs of different components in one list that sizes and positions leave possible, block by block."""
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))  # similar sets are in one class or the next
+    most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    cut = ranked.withColumn("size", size).withColumn("part", F.floor(F.col("pos") * parts / most))
+    before, after = F.col("pos") - F.col("u"), F.col("n") - F.col("pos")
+    blocks = cut.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max(before).alias("b"), F.max(after).alias("a"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    near = F.col("size2").isin(F.col("size1"), F.col("size1") + 1)
+    able = F.least("b1", "b2") + F.least("a1", "a2") >= _need(F.col("n1"), F.col("n2"), percent)
+    met = _numbered(blocks, "token", 1).join(_numbered(blocks, "token", 2), "token").where(near & able & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))).select("token", "size1", "part1", "size2", "part2")
+    both = _numbered(cut, "token", 1).join(met, ["token", "size1", "part1"]).join(_numbered(cut, "token", 2), ["token", "size2", "part2"])
+    ok = (F.col("c1") != F.col("c2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("x1") < F.col("x2")))) & (F.col("n1") * 100 >= F.col("n2") * percent)
+    ok &= F.least(F.col("pos1") - F.col("u1"), F.col("pos2") - F.col("u2")) + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= _need(F.col("n1"), F.col("n2"), percent)
+    return both.where(ok).select(F.least("x1", "x2").alias("x"), F.greatest("x1", "x2").alias("y")).distinct()
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -233,14 +273,14 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return C.keep(j.select("x", "y", "n", "m", "sketch", "other").mapInArrow(run, "x long, y long"), "pairs")
 
 
-def _verified(pairs: DataFrame, src: DataFrame, percent: int, k: int, bits: int = 22) -> DataFrame:
-    """Pairs that are links, by their whole sets, which are made again from the texts of the documents that some pair needs.
+def _whole_sets(ids: DataFrame, src: DataFrame, k: int, kind: str = "binary", bits: int = 22) -> DataFrame:
+    """x, s1, s2, hashes: the sets of the documents that ids(x) names, and of some others, made again from their texts.
 
     A bit map of 2^bits places of their ids, whatever their number, picks those texts where they are read, so that texts aren't
     shuffled; an id that is picked by chance costs its set and changes nothing.
     """
     mask = (1 << bits) - 1
-    slot = pairs.select(F.explode(F.array("x", "y")).alias("x")).select(F.xxhash64("x").bitwiseAND(F.lit(mask)).cast("int").alias("s")).distinct().toArrow()
+    slot = ids.select(F.xxhash64("x").bitwiseAND(F.lit(mask)).cast("int").alias("s")).distinct().toArrow()
     seen = np.zeros(1 << bits, bool)
     seen[np.asarray(slot.column("s"))] = True
     packed = src.sparkSession.sparkContext.broadcast(np.packbits(seen))
@@ -248,12 +288,19 @@ def _verified(pairs: DataFrame, src: DataFrame, percent: int, k: int, bits: int
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.unpackbits(packed.value).astype(bool)
         for whole in batches:
-            for b in C.slices(iter([whole.filter(pa.array(seen[np.asarray(whole.column("s"))]))]), 2 << 20):
+            for b in C.slices(iter([whole.filter(pa.array(seen[np.asarray(whole.column("s"))]))])):
                 s = Sets(b.column("text"), k)
-                yield pa.record_batch([b.column("doc_id"), pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())], names=["x", "hashes"])
+                sig = s.signatures()
+                col = C.lists(s.hash.view(np.int64), s.first, pa.int64()) if kind != "binary" else pa.array([s.hash[s.first[i] : s.first[i + 1]].tobytes() for i in range(b.num_rows)], pa.binary())
+                yield pa.record_batch([b.column("doc_id"), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), col], names=["x", "s1", "s2", "hashes"])
 
     slotted = src.withColumn("s", F.xxhash64("doc_id").bitwiseAND(F.lit(mask)).cast("int"))
-    full = C.keep(slotted.mapInArrow(sets, "x long, hashes binary"), "full")
+    return slotted.mapInArrow(sets, f"x long, s1 long, s2 long, hashes {kind}")
+
+
+def _verified(pairs: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:
+    """Pairs that are links, by their whole sets, which are made again from the texts of the documents that some pair needs."""
+    full = C.keep(_whole_sets(pairs.select(F.explode(F.array("x", "y")).alias("x")), src, k).select("x", "hashes"), "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

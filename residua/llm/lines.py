@@ -5,8 +5,9 @@ of the line (all of it, if it is shorter). Distinct lines get a signature of for
 hashes in twenty bands of five. Lines of a band are first compared with two leaders of the band
 by exact Jaccard similarity, and links are joined to components by alternating large-star and
 small-star steps. Bands whose lines are then still of several components are gone through again,
-with other leaders and at last with all lines of different components, so no similar pair of a
-band is missed. Of each component the line that comes first (by doc_id, then place) stays.
+with other leaders and at last with all lines of different components. Pairs whose signatures
+have fewer than ``LEAST`` places in common are not compared: of similar lines, one pair in a
+million. Of each component the line that comes first (by doc_id, then place) stays.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ SHINGLE = 5
 BANDS = tuple(tuple(range(5 * i, 5 * i + 5)) for i in range(8)) + tuple(tuple(range(i, 40, 8)) for i in range(8)) + tuple(tuple(range(i, 40, 9)) for i in range(4))
 #: One number for each place of the signature.
 SEEDS = tuple((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) - (1 << 63) for i in range(40))
+#: Places of a line to a row where signatures are made.
+RUN = 2
+#: Of forty places, similar lines (0.75) have thirty in common on average, with a deviation of 2.7.
+LEAST = 16
 
 
 def normal(line: Column) -> Column:
@@ -37,31 +42,48 @@ def blank(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\f\x0b\n")) == ""
 
 
+def wide(line: Column) -> Column:
+    """A line in four bytes a character, so that any place of it is found at once."""
+    return F.encode(line, "UTF-32")
+
+
 def shingles(line: Column) -> Column:
     """Hashes of the shingles of a normal line, repeated ones too; one at least."""
-    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))."), F.lit(1))
-    return F.transform(every, lambda s: F.xxhash64(s))
+    last = lambda b: F.greatest(F.octet_length(b) - 4 * SHINGLE + 1, F.lit(1))
+    # within an array the wide line is one object, where a column would be copied for each shingle
+    of = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda at: F.xxhash64(F.substring(b, at, F.lit(4 * SHINGLE))))
+    return F.transform(F.array(wide(line)), of)[0]
+
+
+def once(**columns: Column) -> Column:
+    """Columns that are computed once for a row, however often what follows uses them."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
 
 
 def signatures(own: DataFrame) -> DataFrame:
-    """id, sig: the signature of each line of own(id, line), by the upper half of the least of its shingles' hashes under each seed.
+    """id, sig: the signature of each line of own(id, line), by 16 bits of the least of its shingles' hashes under each seed.
 
-    Shingles are rows here, cut from four bytes a character, as that is compiled and functions of arrays aren't.
+    Shingles are columns of rows here, RUN places to a row (the last place fills up the last row), as that is compiled and
+    functions of arrays aren't.
     """
-    wide = own.select("id", F.encode("line", "UTF-32").alias("b"))
-    at = wide.select("id", "b", F.explode(F.sequence(F.lit(1), F.greatest(F.octet_length("b") - 4 * SHINGLE + 1, F.lit(1)), F.lit(4))).alias("at"))
-    each = at.select("id", F.xxhash64(F.substring("b", F.col("at"), F.lit(4 * SHINGLE))).alias("h"))
-    least = each.groupBy("id").agg(*[F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(k)), 32)).alias(f"m{i}") for i, k in enumerate(SEEDS)])
-    return least.select("id", F.array(*[F.col(f"m{i}").cast("int") for i in range(len(SEEDS))]).alias("sig"))
+    last = F.greatest(F.octet_length("b") - 4 * SHINGLE + 1, F.lit(1))
+    rows = own.select("id", wide(F.col("line")).alias("b")).select("id", "b", last.alias("last"))
+    rows = rows.select("id", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * RUN))).alias("at"))
+    each = rows.select("id", *[F.xxhash64(F.substring("b", F.least(F.col("at") + 4 * j, F.col("last")), F.lit(4 * SHINGLE))).alias(f"h{j}") for j in range(RUN)])
+    least = each.groupBy("id").agg(*[F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(k)) for j in range(RUN)])).alias(f"m{i}") for i, k in enumerate(SEEDS)])
+    return least.select("id", F.array(*[F.shiftrightunsigned(F.col(f"m{i}"), 24).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(len(SEEDS))]).alias("sig"))
 
 
 def similar(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs(x, y) of ids whose lines, own(id, line), have shingles that are similar enough."""
-    s, t = own.select(F.col("id").alias("x"), F.col("line").alias("l1")), own.select(F.col("id").alias("y"), F.col("line").alias("l2"))
-    # the texts are moved, as they are smaller than their shingles; those are made once for a pair
-    both = pairs.join(s, "x").join(t, "y").select("x", "y", F.inline(F.array(F.struct(shingles(F.col("l1")).alias("s"), shingles(F.col("l2")).alias("t")))))
-    shared, every = F.size(F.array_intersect("s", "t")), F.size(F.array_union("s", "t"))
-    return both.where(shared * 100 >= every * percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    """a, b: the pairs(x, y) of ids whose lines, own(id, line, sig, n), have shingles that are similar enough; n: distinct shingles."""
+    s, t = (own.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}"), F.col("sig").alias(f"sig_{i}"), F.col("n").alias(f"n_{i}")) for i in "xy")
+    # the texts are moved, as they are smaller than their shingles
+    places = [(F.col("sig_x")[i] == F.col("sig_y")[i]).cast("int") for i in range(len(SEEDS))]
+    n = F.col("n_x") + F.col("n_y")
+    able = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (sum(places[1:], places[0]) >= LEAST)
+    both = pairs.join(s, "x").join(t, "y").where(able)
+    shared = both.select("x", "y", n.alias("n"), once(shared=F.size(F.array_intersect(shingles(F.col("line_x")), shingles(F.col("line_y"))))))
+    return shared.where(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -108,22 +130,30 @@ def bands(sig: Column) -> Column:
     return F.array(*[F.xxhash64(F.lit(i), *[sig[j] for j in b]) for i, b in enumerate(BANDS)])
 
 
+#: What a row is known by: its doc_id, and a hash of its text for rows that share a doc_id.
+KEY = ("doc_id", "hash")
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, place, id (a hash of the normal line) and the normal line, for lines that aren't blank."""
-    x = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("place", "raw")).select("doc_id", "place", normal(F.col("raw")).alias("line")).where("line <> ''")
-    return x.select("doc_id", "place", F.xxhash64("line").alias("id"), "line")
+    """doc_id, hash (of the text), place, id (a hash of the normal line) and the normal line, for lines that aren't blank."""
+    x = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
+    x = x.select(*KEY, "place", normal(F.col("raw")).alias("line")).where("line <> ''")
+    return x.select(*KEY, "place", F.xxhash64("line").alias("id"), "line")
 
 
 def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, place, first_doc, first_place: each line that goes, and the line that stays for it.
+    """doc_id, hash, place, first_doc, first_place: each line that goes, and the line that stays for it.
 
     Lines whose normal forms are equal are one; two lines whose shingle sets have a Jaccard similarity of percent / 100 or more
     are linked if they share a band. Blank lines never go.
     """
-    every = C.keep(lines(docs).select("doc_id", "place", "id"), "places")
+    every = C.keep(lines(docs).select(*KEY, "place", "id"), "places")
     # what each distinct line is; copies of a line meet before the shuffle where they can
     made = lines(docs).groupBy("id").agg(F.first("line").alias("line"))
-    rows = signatures(made).select("id", F.explode(bands(F.col("sig"))).alias("band"))
+    signed = C.keep(made.join(signatures(made), "id"), "signed", "zstd")
+    del made
+    C.tidy(docs.sparkSession)
+    rows = signed.select("id", F.explode(bands(F.col("sig"))).alias("band"))
     # leaders: the least and the greatest id, hashes of the lines; a band has each line once, and there are twenty bands
     w = W.partitionBy("band")
     meet = C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands")
@@ -131,9 +161,9 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     C.tidy(docs.sparkSession)
     led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
-    distinct = C.keep(made.join(meet.select("id").distinct(), "id", "left_semi"), "distinct", "zstd")  # lines that meet others
-    del made
-    C.tidy(docs.sparkSession)
+    # lines that meet others
+    distinct = C.keep(signed.join(meet.select("id").distinct(), "id", "left_semi").withColumn("n", F.size(F.array_distinct(shingles(F.col("line"))))), "distinct", "zstd")
+    C.release(signed)
     links = C.keep(similar(pairs, distinct, percent), "links")
     comp = C.keep(C.components(links), "components")
     left = meet.where("n > 3")  # of smaller bands, the leaders have met all lines
@@ -143,39 +173,47 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         C.release(more)
     C.release(meet, distinct, links)
     # each component's first line
-    here = F.struct("doc_id", "place")
+    here = F.struct(*KEY, "place")
     by_id = every.groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))
     known = C.keep(by_id.join(comp.select(F.col("node").alias("id"), "component"), "id", "left"), "known")
-    lowest = known.where("component is not null").groupBy("component").agg(F.min("first").alias("kept"))
+    lowest = C.keep(known.where("component is not null").groupBy("component").agg(F.min("first").alias("kept")), "lowest")
     kept = known.join(lowest, "component", "left").where("component is not null or n > 1").select("id", F.coalesce("kept", "first").alias("kept"))
     out = every.join(kept, "id").where(here != F.col("kept"))
-    return out.select("doc_id", "place", F.col("kept.doc_id").alias("first_doc"), F.col("kept.place").alias("first_place"))
+    return out.select(*KEY, "place", F.col("kept.doc_id").alias("first_doc"), F.col("kept.place").alias("first_place"))
+
+
+def marked(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """row (all columns of docs), parts (the lines of its text), left (the places that stay, null if all do) for each row of docs."""
+    gone = duplicates(C.texts(docs), percent).groupBy(*KEY).agg(F.collect_set("place").alias("gone"))
+    j = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).join(gone, list(KEY), "left")
+    # an empty array of places is one of all places but none
+    return j.select("row", "gone", once(parts=F.split("row.text", "\n", -1))).select("row", "parts", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")).alias("left"))
 
 
 def dedup(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """All columns of docs, the text without lines that go, and n_lines, n_removed.
+    """row (a struct of all columns of docs, the text without lines that go), n_lines (not blank ones), n_removed.
 
     Null texts stay null, blank lines stay. A document whose every line goes has an empty text. Documents that share a doc_id
-    are compared like others, but lose the same places. An empty table gives none; other columns pass through.
+    are compared like others; those that share the text too lose the same places. A row without doc_id stays as it is. An empty
+    table gives none; names of other columns can't clash, as they are inside the struct.
     """
-    cols = docs.columns
-    gone = duplicates(C.texts(docs), percent).select("doc_id", "place").groupBy("doc_id").agg(F.collect_set("place").alias("__gone"))
-    j = docs.join(gone, "doc_id", "left")
-    parts = F.split("text", "\n", -1)
-    left = F.filter(parts, lambda x, i: ~F.array_contains("__gone", i))
-    j = j.withColumn("__left", F.when(F.col("__gone").isNotNull(), left))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n"))
-    n = F.coalesce(F.size(F.filter(parts, lambda x: ~blank(x))), F.lit(0))
-    return j.select(*[text.alias("text") if c == "text" else F.col(c) for c in cols], n.cast("long").alias("__n"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"))
+    m = marked(docs, percent)
+    text = F.when(F.col("left").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform("left", lambda i: F.col("parts")[i]), "\n"))
+    n = F.coalesce(F.size(F.filter("parts", lambda x: ~blank(x))), F.lit(0))
+    row = F.struct(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return m.select(row.alias("row"), n.cast("long").alias("n_lines"), F.when(F.col("left").isNull(), 0).otherwise(F.size("parts") - F.size("left")).cast("long").alias("n_removed"))
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup(C.table(spark, sf_dir, "documents", "doc_id", "text"))
-    return out.select("doc_id", F.col("__n").alias("n_lines"), F.when(F.col("__removed") > 0, F.col("__removed")).otherwise(0).cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "text")
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("row.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "row.text")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their duplicate lines; one whose every line went goes with them."""
-    out = dedup(docs)
-    out = out.where(~((F.col("__removed") > 0) & blank(F.coalesce("text", F.lit("")))))
-    return out.select(*[F.when(F.col("__removed") > 0, F.length("text").cast(kind)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c, kind in docs.dtypes])
+    """Documents without their duplicate lines, n_chars counted anew where lines went; one whose every line went goes with them.
+
+    Null and blank texts that lost nothing stay, as do rows without doc_id; repeated rows are kept alike; an empty table gives none.
+    """
+    out = dedup(docs).where(~((F.col("n_removed") > 0) & blank(F.coalesce("row.text", F.lit("")))))
+    own = lambda c: F.col("row")[c]
+    return out.select(*[F.when(F.col("n_removed") > 0, F.length(own("text")).cast(kind)).otherwise(own(c)).alias(c) if c == "n_chars" else own(c).alias(c) for c, kind in docs.dtypes])

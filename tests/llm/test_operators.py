@@ -170,7 +170,7 @@ def test_substrings(spark, hot):
 
 def test_lines(spark):
     rows = [(1, "The first line of a text is here\nsecond one"), (2, "the first line\n\nThe first line of a text is here"), (3, "second  one \nThe first line of a text is there"), (4, None)]
-    got = {r.doc_id: r.text for r in lines.dedup(frame(spark, rows)).collect()}
+    got = {r.row.doc_id: r.row.text for r in lines.dedup(frame(spark, rows)).collect()}
     assert got[1] == rows[0][1] and got[2] == "the first line\n" and got[4] is None and "second" not in got[3]
 
 
