@@ -78,6 +78,14 @@ class Sets:
         return [raw[i:j] for i, j in zip((ptr[:-1] // 8).tolist(), (ptr[1:] // 8).tolist(), strict=True)]
 
 
+def small_sketch(sketch: bytes) -> np.ndarray:
+    """A sketch folded to SKETCH bits, as longs."""
+    x = np.frombuffer(sketch, np.int64)
+    while len(x) > SKETCH // 64:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def differing(one: bytes, two: bytes) -> int:
     """Bits in which two sketches differ; the larger is folded to the size of the smaller."""
     x, y = np.frombuffer(one, U), np.frombuffer(two, U)
@@ -135,12 +143,14 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
             sig = s.signatures()
             p = prefix_size(s.size, percent)
             idx = np.arange(int(p.sum())) + np.repeat(s.first[:-1] - np.cumsum(p) + p, p)
+            sk = s.sketches()
+            small = C.lists(np.concatenate([small_sketch(x) for x in sk]), np.arange(len(sk) + 1) * (SKETCH // 64), pa.int64())
             yield pa.record_batch(
-                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array(s.sketches(), pa.binary()), C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
-                names=["doc_id", "n", "s1", "s2", "sketch", "prefix"],
+                [b.column("doc_id"), pa.array(s.size.astype(np.int64)), _signed(sig[:, 0].copy()), _signed(sig[:, 1].copy()), pa.array(sk, pa.binary()), small, C.lists(s.hash[idx].view(np.int64), np.concatenate([[0], np.cumsum(p)]), pa.int64())],
+                names=["doc_id", "n", "s1", "s2", "sketch", "small", "prefix"],
             )
 
-    made = C.keep(src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, prefix array<long>"), "sets")
+    made = C.keep(src.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary, small array<long>, prefix array<long>"), "sets")
     ids = C.keep(made.select("doc_id", "n", "s1", "s2"), "ids")
     classes = C.keep(ids.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "classes")
 
@@ -149,7 +159,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     rep = made.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"], "left_semi")
     entries = rep.select(F.col("doc_id").alias("x"), "n", F.posexplode("prefix").alias("pos", "token"))
     lists = C.keep(entries.withColumn("members", F.count("*").over(W.partitionBy("token"))).where("members > 1").drop("members").distinct().withColumn("listed", F.count("*").over(W.partitionBy("x"))), "lists")
-    whole = C.keep(lists.select("x").distinct().join(rep.select(F.col("doc_id").alias("x"), "n", "s1", "s2", "sketch"), "x").dropDuplicates(["x"]), "sketches")
+    whole = C.keep(lists.select("x").distinct().join(rep.select(F.col("doc_id").alias("x"), "n", "s1", "s2", "sketch", "small"), "x").dropDuplicates(["x"]), "sketches")
     C.release(made)
     sketches = whole.select("x", "n", "sketch")
     edges = None
@@ -170,7 +180,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
         edges = new if edges is None else edges.unionByName(new)
         label = C.keep(C.components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
     # what is left: sets that a list has beside one of another component
-    own = C.keep(_open(_labelled(lists, label), percent).join(whole.select("x", "n", "s1", "s2"), "x"), "open")
+    own = C.keep(_open(_labelled(lists, label), whole.select("x", "small"), percent).join(whole.select("x", "n", "s1", "s2"), "x"), "open")
     C.release(lists)
     ranked = _ranked(own, src, percent, k)
     pairs = _block_pairs(ranked, percent)
@@ -212,8 +222,18 @@ def _numbered(df: DataFrame, key: str, i: int) -> DataFrame:
     return df.select(key, *[F.col(c).alias(f"{c}{i}") for c in df.columns if c != key])
 
 
-def _open(cur: DataFrame, percent: int, parts: int = 8) -> DataFrame:
-    """x, c: the sets of the lists cur that a list has beside one of another component, as blocks by size and listed shingles show, that may be similar."""
+def _near(percent: int):
+    """The small sketches differ in no more bits than similar sets can."""
+    d = sum((F.bit_count(F.col("small1")[i].bitwiseXOR(F.col("small2")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return d <= F.col("n1") + F.col("n2") - 2 * _need(F.col("n1"), F.col("n2"), percent)
+
+
+def _open(cur: DataFrame, small: DataFrame, percent: int, parts: int = 8) -> DataFrame:
+    """x, c: the sets that a list of cur has beside one of another component that they may be similar to.
+
+    Blocks of a list by size and listed shingles are held against each other first, then the sets of the blocks that are left,
+    of which each only asks whether there is another one.
+    """
     wide = float(np.log(100 / percent)) / parts
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     cut = cur.select("token", "x", "c", "n", "listed", F.floor(F.log(F.col("n").cast("double")) / wide).alias("size"), F.floor(F.col("listed") * parts / prefix).alias("part"))
@@ -222,7 +242,11 @@ def _open(cur: DataFrame, percent: int, parts: int = 8) -> DataFrame:
     able = _most(F.col("top1"), F.col("top2"), F.col("listed1"), F.col("listed2"), percent) >= _need(F.col("n1"), F.col("n2"), percent)
     met = _numbered(blocks, "token", 1).join(_numbered(blocks, "token", 2), "token").where(near & able & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2"))))
     some = met.select("token", F.explode(F.array(F.struct(F.col("size1").alias("size"), F.col("part1").alias("part")), F.struct(F.col("size2").alias("size"), F.col("part2").alias("part")))).alias("b")).select("token", "b.size", "b.part").distinct()
-    return cut.join(some, ["token", "size", "part"], "left_semi").select("x", "c").distinct()
+    rows = C.keep(cut.join(some, ["token", "size", "part"], "left_semi").drop("size", "part").join(small, "x"), "blocks")
+    able = _most(F.col("n1"), F.col("n2"), F.col("listed1"), F.col("listed2"), percent) >= _need(F.col("n1"), F.col("n2"), percent)
+    ok = (F.col("c1") != F.col("c2")) & able & _near(percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    one, two = _numbered(rows, "token", 1), _numbered(rows, "token", 2)
+    return one.join(two.withColumnRenamed("token", "list"), (F.col("token") == F.col("list")) & ok, "left_semi").select(F.col("x1").alias("x"), F.col("c1").alias("c")).distinct()
 
 
 def _ranked(own: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:
