@@ -182,9 +182,16 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
     # what is left: sets that a list has beside one of another component
     own = C.keep(_open(_labelled(lists, label), whole.select("x", "small"), percent).join(whole.select("x", "n", "s1", "s2"), "x"), "open")
     C.release(lists)
-    ranked = _ranked(own, src, percent, k)
-    pairs = _block_pairs(ranked, percent)
-    new = _verified(_sketched(pairs, sketches, percent), src, percent, k)
+    ranked = _ranked(own, whole.select("x", "small"), src, percent, k)
+    # other leaders, of the lists of these sets
+    for r in range(rounds):
+        new = _verified(_sketched(_led(ranked, percent, rounds + r).distinct(), sketches, percent), src, percent, k)
+        edges = edges.unionByName(new)
+        label = C.keep(C.components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
+        again = C.keep(_labelled(ranked.drop("c"), label), "ranked")
+        C.release(ranked)
+        ranked = again
+    new = _verified(_sketched(_block_pairs(ranked, percent).distinct(), sketches, percent), src, percent, k)
     C.release(ranked)
     edges = edges.unionByName(new)
     # classes to documents: rows of one doc_id and one class are joined through the class
@@ -231,53 +238,68 @@ def _near(percent: int):
 def _open(cur: DataFrame, small: DataFrame, percent: int, parts: int = 8) -> DataFrame:
     """x, c: the sets that a list of cur has beside one of another component that they may be similar to.
 
-    Blocks of a list by size and listed shingles are held against each other first, then the sets of the blocks that are left,
-    of which each only asks whether there is another one.
+    Of the shingles that two sets share, only the first one counts: all others stand behind it in both, so what is left of
+    each set from there on must be as much as they need. Blocks of a list by size and position are held against each other
+    first, then the sets of the blocks that are left, of which each only asks whether there is another one.
     """
     wide = float(np.log(100 / percent)) / parts
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    cut = cur.select("token", "x", "c", "n", "listed", F.floor(F.log(F.col("n").cast("double")) / wide).alias("size"), F.floor(F.col("listed") * parts / prefix).alias("part"))
-    blocks = cut.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("listed").alias("listed"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    cut = cur.select("token", "x", "c", "n", "listed", (F.col("n") - F.col("pos")).alias("rest"), F.floor(F.log(F.col("n").cast("double")) / wide).alias("size"), F.floor(F.col("pos") * parts / prefix).alias("part"))
+    blocks = cut.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max("n").alias("top"), F.max("listed").alias("listed"), F.max("rest").alias("rest"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     near = F.col("size2").between(F.col("size1"), F.col("size1") + parts)
-    able = _most(F.col("top1"), F.col("top2"), F.col("listed1"), F.col("listed2"), percent) >= _need(F.col("n1"), F.col("n2"), percent)
+    need = _need(F.col("n1"), F.col("n2"), percent)
+    able = (_most(F.col("top1"), F.col("top2"), F.col("listed1"), F.col("listed2"), percent) >= need) & (F.least("rest1", "rest2") >= need)
     met = _numbered(blocks, "token", 1).join(_numbered(blocks, "token", 2), "token").where(near & able & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2"))))
     some = met.select("token", F.explode(F.array(F.struct(F.col("size1").alias("size"), F.col("part1").alias("part")), F.struct(F.col("size2").alias("size"), F.col("part2").alias("part")))).alias("b")).select("token", "b.size", "b.part").distinct()
     rows = C.keep(cut.join(some, ["token", "size", "part"], "left_semi").drop("size", "part").join(small, "x"), "blocks")
-    able = _most(F.col("n1"), F.col("n2"), F.col("listed1"), F.col("listed2"), percent) >= _need(F.col("n1"), F.col("n2"), percent)
+    able = (_most(F.col("n1"), F.col("n2"), F.col("listed1"), F.col("listed2"), percent) >= need) & (F.least("rest1", "rest2") >= need)
     ok = (F.col("c1") != F.col("c2")) & able & _near(percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
     one, two = _numbered(rows, "token", 1), _numbered(rows, "token", 2)
-    return one.join(two.withColumnRenamed("token", "list"), (F.col("token") == F.col("list")) & ok, "left_semi").select(F.col("x1").alias("x"), F.col("c1").alias("c")).distinct()
+    found = C.keep(one.join(two.withColumnRenamed("token", "list"), (F.col("token") == F.col("list")) & ok, "left_semi").select(F.col("x1").alias("x"), F.col("c1").alias("c")).distinct(), "found")
+    C.release(rows)
+    return found
 
 
-def _ranked(own: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:
-    """token, x, n, c, u, pos: the lists of the sets of own(x, c, n, s1, s2), by shingles in order of how many of these sets have them.
+def _ranked(own: DataFrame, small: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:
+    """token, x, n, c, rest, small: the lists of the sets of own(x, c, n, s1, s2), by shingles in order of how many of these sets have them.
 
-    ``u`` shingles are of this set alone; they come first and have no list. Only the prefix of a set is listed, so a set
-    of which a whole prefix is its own has no entry, as nothing can be similar to it.
+    Shingles of one set alone come first and have no list; ``rest`` shingles of a set are left from a list's on. Only the
+    prefix of a set is listed, so a set of which a whole prefix is its own has no entry, as nothing can be similar to it.
     """
     full = _whole_sets(own.select("x"), src, k, "array<long>").join(own, ["x", "s1", "s2"]).dropDuplicates(["x"])
     every = full.select("x", "n", "c", F.explode("hashes").alias("token"))
     shared = every.withColumn("df", F.count("*").over(W.partitionBy("token"))).where("df > 1")
     of = W.partitionBy("x")
-    at = shared.select("token", "x", "n", "c", (F.col("n") - F.count("*").over(of)).alias("u"), (F.row_number().over(of.orderBy("df", "token")) - 1).alias("rank"))
-    at = at.select("token", "x", "n", "c", "u", (F.col("u") + F.col("rank")).alias("pos"))
-    return C.keep(at.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100)), "ranked")
+    # of the shared ones, which come last, as many are left as come at or behind this one
+    at = shared.select("token", "x", "n", "c", (F.count("*").over(of) - F.row_number().over(of.orderBy("df", "token")) + 1).alias("rest"))
+    return C.keep(at.where(F.col("rest") >= F.ceil(F.col("n") * percent / 100)).join(small, "x"), "ranked")
+
+
+def _led(ranked: DataFrame, percent: int, seed: int) -> DataFrame:
+    """x, y: each set of a list and the list's two leaders by hashes under the seed, if they are of different components and may be similar."""
+    one = F.struct(F.xxhash64("x", F.lit(seed)).alias("o"), *[F.col(c).alias(f"{c}2") for c in ("x", "n", "c", "rest", "small")])
+    ends = ranked.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.array(F.min(one), F.max(one)).alias("e")).where("lo <> hi")
+    j = _numbered(ranked, "token", 1).join(ends.select("token", F.inline("e")), "token")
+    need = _need(F.col("n1"), F.col("n2"), percent)
+    ok = (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent) & (F.least("rest1", "rest2") >= need) & _near(percent)
+    return j.where(ok).select(F.least("x1", "x2").alias("x"), F.greatest("x1", "x2").alias("y"))
 
 
 def _block_pairs(ranked: DataFrame, percent: int, parts: int = 4) -> DataFrame:
-    """x, y: pairs of different components in one list that sizes and positions leave possible, block by block."""
+    """x, y: pairs of different components in one list that sizes and positions leave possible, block by block; repeated for further lists.
+
+    Two similar sets have enough left of each from the first shingle on that they share; they are found there.
+    """
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)))  # similar sets are in one class or the next
     most = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    cut = ranked.withColumn("size", size).withColumn("part", F.floor(F.col("pos") * parts / most))
-    before, after = F.col("pos") - F.col("u"), F.col("n") - F.col("pos")
-    blocks = cut.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max(before).alias("b"), F.max(after).alias("a"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    cut = ranked.withColumn("size", size).withColumn("part", F.floor((F.col("n") - F.col("rest")) * parts / most))
+    blocks = cut.groupBy("token", "size", "part").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.min("c").alias("lo"), F.max("c").alias("hi"))
     near = F.col("size2").isin(F.col("size1"), F.col("size1") + 1)
-    able = F.least("b1", "b2") + F.least("a1", "a2") >= _need(F.col("n1"), F.col("n2"), percent)
+    able = F.least("rest1", "rest2") >= _need(F.col("n1"), F.col("n2"), percent)
     met = _numbered(blocks, "token", 1).join(_numbered(blocks, "token", 2), "token").where(near & able & ~((F.col("lo1") == F.col("hi2")) & (F.col("hi1") == F.col("lo2")))).select("token", "size1", "part1", "size2", "part2")
     both = _numbered(cut, "token", 1).join(met, ["token", "size1", "part1"]).join(_numbered(cut, "token", 2), ["token", "size2", "part2"])
     ok = (F.col("c1") != F.col("c2")) & ((F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("x1") < F.col("x2")))) & (F.col("n1") * 100 >= F.col("n2") * percent)
-    ok &= F.least(F.col("pos1") - F.col("u1"), F.col("pos2") - F.col("u2")) + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) >= _need(F.col("n1"), F.col("n2"), percent)
-    return both.where(ok).select(F.least("x1", "x2").alias("x"), F.greatest("x1", "x2").alias("y")).distinct()
+    return both.where(ok & able & _near(percent)).select(F.least("x1", "x2").alias("x"), F.greatest("x1", "x2").alias("y"))
 
 
 def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
