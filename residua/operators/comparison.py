@@ -78,6 +78,27 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline("p"))
 
 
+def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, spearman: each pair of columns once; equal values share their average rank.
+
+    Each column's ranks are made of its distinct values, counted first, and joined back by value.
+    """
+    for c in columns:
+        n = df.groupBy(c).agg(F.count("*").alias("__n")).where(F.col(c).isNotNull())
+        before = F.coalesce(F.sum("__n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        df = df.join(n.select(c, (before + (F.col("__n") + 1) / 2).alias(f"__r_{c}")), c, "left")
+    ranks = correlations(df.select(*[F.col(f"__r_{c}").alias(c) for c in columns]), columns)
+    return ranks.withColumnRenamed("pearson", "spearman")
+
+
+def radius_choice(configs: DataFrame, key: str, first: str, second: str, third: str, tolerance: float = 0.002) -> DataFrame:
+    """The one configuration of the best first score; of those within the tolerance of it the best second, then third, then the least key."""
+    every = W.partitionBy()  # a table of configurations
+    for c in (first, second):
+        configs = configs.withColumn("__s", F.max(c).over(every)).where(F.col(c) >= F.col("__s") - tolerance).drop("__s")
+    return configs.orderBy(F.desc(third), key).limit(1)
+
+
 def chi2_upper(x: Column, df: Column, terms: int = 1500) -> Column:
     """Probability that a chi-squared variable of df (a whole number from 1) is over x: one less the series of the lower part."""
     odd, a = df % 2 == 1, df / 2

@@ -16,12 +16,30 @@ def _steps(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by, F.col(score).alias("__s")).agg(F.count("*").alias("__n"), F.sum(F.col(label).cast("long")).alias("__p"))
 
 
+def _running(x: DataFrame, by: list[str], down: bool = False, buckets: int = 64) -> DataFrame:
+    """Adds __cn and __cp, sums of n and positives up to each score (from the top if ``down``).
+
+    Groups run in a window each. Without groups, scores are dealt to ranges by approximate percentiles, which may be uneven
+    and change nothing: each range runs apart and starts at the sums of the ranges before it, one row for each.
+    """
+    order = F.desc("__s") if down else F.asc("__s")
+    upto = lambda *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    if by:
+        return x.select("*", F.sum("__n").over(upto(*by)).alias("__cn"), F.sum("__p").over(upto(*by)).alias("__cp"))
+    edges = x.agg(F.percentile_approx("__s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("__e"))  # one row
+    x = x.crossJoin(F.broadcast(edges)).withColumn("__k", F.size(F.filter("__e", lambda t: t < F.col("__s")))).drop("__e")
+    own = x.groupBy("__k").agg(F.sum("__n").alias("__bn"), F.sum("__p").alias("__bp"))  # a row for each range
+    before = W.orderBy(F.desc("__k") if down else F.asc("__k")).rowsBetween(W.unboundedPreceding, -1)
+    start = own.select("__k", F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__bn"), F.coalesce(F.sum("__bp").over(before), F.lit(0)).alias("__bp"))
+    run = x.select("*", F.sum("__n").over(upto("__k")).alias("__cn"), F.sum("__p").over(upto("__k")).alias("__cp"))
+    return run.join(F.broadcast(start), "__k").withColumn("__cn", F.col("__cn") + F.col("__bn")).withColumn("__cp", F.col("__cp") + F.col("__bp")).drop("__k", "__bn", "__bp")
+
+
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """by, n, pos, roc: Mann-Whitney with ties averaged; null unless both labels occur."""
     by = by or []
-    w = W.partitionBy(*by).orderBy("__s").rowsBetween(W.unboundedPreceding, -1)
-    x = _steps(df, score, label, by).withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0)))
-    ranks = F.sum(F.col("__p") * (F.col("__below") + (F.col("__n") + 1) / 2))
+    x = _running(_steps(df, score, label, by), by)
+    ranks = F.sum(F.col("__p") * (F.col("__cn") - F.col("__n") + (F.col("__n") + 1) / 2))
     agg = x.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum("__p").alias("pos"), ranks.alias("__r"))
     neg = F.col("n") - F.col("pos")
     roc = F.when((F.col("pos") > 0) & (neg > 0), (F.col("__r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg))
@@ -31,13 +49,18 @@ def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None)
 def pr_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """by, pr: trapezoids under the precision-recall curve with a point for each distinct score, from (0, 1)."""
     by = by or []
-    w = W.partitionBy(*by).orderBy(F.desc("__s")).rowsBetween(W.unboundedPreceding, 0)
-    o = W.partitionBy(*by).orderBy(F.desc("__s"))
-    every = W.partitionBy(*by)
-    x = _steps(df, score, label, by).select(*by, "__s", F.sum("__n").over(w).alias("__cn"), F.sum("__p").over(w).alias("__cp"), F.sum("__p").over(every).alias("__all"))
-    x = x.withColumn("__rec", F.when(F.col("__all") > 0, F.col("__cp") / F.col("__all"))).withColumn("__pre", F.col("__cp") / F.col("__cn"))
-    x = x.withColumn("__r0", F.lag("__rec", 1, 0.0).over(o)).withColumn("__p0", F.lag("__pre", 1, 1.0).over(o))
-    return x.groupBy(*by).agg(F.sum((F.col("__rec") - F.col("__r0")) * (F.col("__pre") + F.col("__p0")) / 2).alias("pr"))
+    x = _running(_steps(df, score, label, by), by, down=True)
+    n0, p0 = F.col("__cn") - F.col("__n"), F.col("__cp") - F.col("__p")
+    # positives gained times the mean precision at both ends; over all positives at last
+    part = F.col("__p") * (F.col("__cp") / F.col("__cn") + F.when(n0 > 0, p0 / n0).otherwise(F.lit(1.0))) / 2
+    g = x.groupBy(*by).agg(F.sum(part).alias("__a"), F.sum("__p").alias("__all"))
+    return g.select(*by, F.when(F.col("__all") > 0, F.col("__a") / F.col("__all")).alias("pr"))
+
+
+def pooled_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
+    """n, pos, prev, roc, pr of all rows as one: one row."""
+    r, p = roc_auc(df, score, label), pr_auc(df, score, label)
+    return r.crossJoin(F.broadcast(p)).select("n", "pos", (F.col("pos") / F.col("n")).alias("prev"), F.when(F.col("pos") > 0, F.col("roc")).alias("roc"), F.when(F.col("pos") > 0, F.col("pr")).alias("pr"))
 
 
 def fold_metrics(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
@@ -104,3 +127,42 @@ def group_agreement(groups: DataFrame) -> DataFrame:
     """pearson, spearman and slope between mean score and prevalence of groups."""
     r = groups.withColumn("__a", average_rank("mean_score")).withColumn("__b", average_rank("prevalence"))
     return r.agg(F.corr("mean_score", "prevalence").alias("pearson"), F.corr("__a", "__b").alias("spearman"), F.regr_slope("prevalence", "mean_score").alias("slope"))
+
+
+def class_balance(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+    """by, n, pos, prevalence, ratio (negatives to a positive; null without one)."""
+    g = df.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    return g.withColumn("prevalence", F.col("pos") / F.col("n")).withColumn("ratio", F.when(F.col("pos") > 0, (F.col("n") - F.col("pos")) / F.col("pos")))
+
+
+def evaluable(df: DataFrame, group: str, label: str) -> DataFrame:
+    """groups, zero_positive, evaluable: how many groups have no positive, and how many can be evaluated."""
+    g = class_balance(df, label, [group])
+    return g.agg(F.count("*").alias("groups"), F.count_if(F.col("pos") == 0).alias("zero_positive"), F.count_if(F.col("pos") > 0).alias("evaluable"))
+
+
+def inflation_gap(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
+    """pooled_roc, within_roc, gap: what the pooled figure owes to differences between groups, against z-scores within them."""
+    z = within_z(df, group, score, "__z").select(F.round("__z", 9).alias("__z"), label)
+    both = roc_auc(df, score, label).select(F.col("roc").alias("pooled_roc")).crossJoin(F.broadcast(roc_auc(z, "__z", label).select(F.col("roc").alias("within_roc"))))
+    return both.withColumn("gap", F.col("pooled_roc") - F.col("within_roc"))
+
+
+def sensitivity(df: DataFrame, group: str, score: str, label: str, without: dict[str, list]) -> DataFrame:
+    """variant, n, pos, roc, pr: the pooled figures of all rows, without groups that have no positive, and without each list of groups.
+
+    Every row is dealt to the variants that it belongs to, and all variants are computed as groups at once.
+    """
+    pos = df.groupBy(group).agg(F.max(F.col(label).cast("int")).alias("__any"))
+    names = [F.lit("all"), F.when(F.col("__any") == 1, "with positives"), *[F.when(~F.col(group).isin(*v), name) for name, v in without.items()]]
+    x = df.join(pos, group).select(score, label, F.explode(F.array_compact(F.array(*names))).alias("variant"))
+    return fold_metrics(x, "variant", score, label).select("variant", "n", "pos", "roc", "pr")
+
+
+def calibration_effect(df: DataFrame, group: str, raw: str, calibrated: str, label: str) -> DataFrame:
+    """folds, max_roc_change, max_pr_change, up, down, mean_spearman: what calibration does to the figures of the folds and their order."""
+    a, b = (fold_metrics(df, group, c, label).select(group, F.col("roc").alias(f"roc_{n}"), F.col("pr").alias(f"pr_{n}")) for n, c in (("a", raw), ("b", calibrated)))
+    d, e = F.col("roc_b") - F.col("roc_a"), F.col("pr_b") - F.col("pr_a")
+    folds = a.join(b, group).where("roc_a is not null").agg(F.count("*").alias("folds"), F.max(F.abs(d)).alias("max_roc_change"), F.max(F.abs(e)).alias("max_pr_change"), F.count_if(d > 1e-9).alias("up"), F.count_if(d < -1e-9).alias("down"))
+    means = df.groupBy(group).agg(F.avg(raw).alias("__x"), F.avg(calibrated).alias("__y")).withColumn("__a", average_rank("__x")).withColumn("__b", average_rank("__y"))
+    return folds.crossJoin(F.broadcast(means.agg(F.corr("__a", "__b").alias("mean_spearman"))))

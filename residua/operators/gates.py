@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # What stands for nothing in a required text.
@@ -70,8 +69,3 @@ def square(matrix: DataFrame, group: str, sizes: DataFrame, size: str) -> DataFr
     rule = F.when(F.col("n").isNull(), "missing").when(F.col("size").isNull(), "extra")
     rule = rule.when((F.col("n") != F.col("size") * F.col("size")) | (F.col("kinds") != F.col("n")) | (F.col("lo") != 1) | (F.col("hi") != F.col("size")), "shape").when(F.col("bad") > 0, "value")
     return j.select(group, rule.alias("rule")).where("rule is not null")
-
-
-def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key: what a gate keeps where it reports repeated keys."""
-    return df.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__r = 1").drop("__r")

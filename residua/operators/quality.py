@@ -34,6 +34,13 @@ def interval_label(df: DataFrame, intervals: DataFrame, keys: list[str], other:
     return df.select(row).distinct().join(hit, row, "left").select(row, F.coalesce("__hit", F.lit(0)).alias("label"))
 
 
-def conserved(parts: DataFrame, expected: str, rows: DataFrame) -> bool:
-    """Whether rows are as many as the parts expect."""
-    return (parts.agg(F.coalesce(F.sum(expected), F.lit(0))).first()[0]) == rows.count()
+def near(means: DataFrame, told: DataFrame, key: str, mean: str, value: str, most: float) -> DataFrame:
+    """key, mean, diff, near: whether our figure is within ``most`` of the one that a record tells."""
+    d = F.abs(F.col(mean) - F.col(value))
+    return means.join(told, key).select(key, mean, d.alias("diff"), (d <= most).alias("near"))
+
+
+def counts(df: DataFrame, category: str, total: str = "all") -> DataFrame:
+    """category, n: rows of each category, and of all."""
+    g = df.groupBy(category).agg(F.count("*").alias("n"))
+    return g.unionByName(g.agg(F.lit(total).alias(category), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))

@@ -14,6 +14,7 @@ from ..operators import comparison as M
 from ..operators import evaluation as E
 from ..operators import gates as G
 from ..operators import learning as L
+from ..operators import matrices as X
 from ..operators import quality as Q
 from ..operators import spatial as S
 
@@ -67,8 +68,7 @@ def fold_summary(spark, d):
 
 @query(_FOLDS.replace("user_id % 40 AS grp", "0 AS grp") + " SELECT n, pos, round(roc, 6) roc, round(pr, 6) pr FROM f")
 def pooled_roc_pr(spark, d):
-    s = _scored(spark, d).withColumn("grp", F.lit(0))
-    return _rounded(E.fold_metrics(s, "grp", "score", "label")).select("n", "pos", "roc", "pr")
+    return _rounded(E.pooled_metrics(_scored(spark, d), "score", "label")).select("n", "pos", "roc", "pr")
 
 
 @query(_S + " SELECT pos, round(CASE WHEN stddev_pop(score) OVER g > 1e-12 THEN (score - avg(score) OVER g) / stddev_pop(score) OVER g ELSE 0 END, 6) z FROM s WINDOW g AS (PARTITION BY grp)")
@@ -132,11 +132,12 @@ def _points(spark, d):
     return e.select(F.col("label").alias("grp"), F.col("vec_id").alias("pos"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyzv")])
 
 
-@query(_PTS + """ SELECT a.grp, a.pos, count(*) density, round(avg(b.v), 3) + 0.0 neighbour_value FROM p a JOIN p b ON a.grp = b.grp AND a.pos <> b.pos AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.15 GROUP BY ALL""")
+@query(_PTS + """ SELECT a.grp, a.pos, count(*) density, round(avg(b.v), 3) + 0.0 neighbour_value, round(avg((a.pos * 7 + b.pos * 3) % 30), 3) + 0.0 neighbour_cell FROM p a JOIN p b ON a.grp = b.grp AND a.pos <> b.pos AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) <= 0.15 GROUP BY ALL""")
 def radius_neighbours(spark, d):
     p = _points(spark, d)
-    none = spark.createDataFrame([], "grp int, i long, j long, value double")
-    return S.spatial_features(p, S.radius_pairs(p, "grp", "pos", ("x", "y", "z"), 0.15), none, "grp", "pos", "v").drop("neighbour_cell")
+    n = p.groupBy("grp").agg(F.collect_list("pos").alias("all"))  # the places of a matrix's rows and columns
+    cells = p.join(n, "grp").select("grp", F.col("pos").alias("i"), F.explode("all").alias("j")).withColumn("value", ((F.col("i") * 7 + F.col("j") * 3) % 30).cast("double"))
+    return S.spatial_features(p, S.radius_pairs(p, "grp", "pos", ("x", "y", "z"), 0.15), cells, "grp", "pos", "v")
 
 
 _M = "WITH m AS (SELECT l_suppkey % 5 grp, CAST(l_partkey % 60 AS BIGINT) i, CAST(l_orderkey % 60 AS BIGINT) j, avg(l_quantity) AS value FROM lineitem GROUP BY ALL)"
@@ -158,15 +159,14 @@ def contact_features(spark, d):
     return _rounded(S.contact_features(_cells(spark, d), "grp", 25.0))
 
 
-@query(_M + " SELECT grp, count(*) n, round(min(value), 6) least, round(max(value), 6) most, round(avg(value), 6) mean, round(quantile_cont(value, 0.05), 6) p5, round(quantile_cont(value, 0.5), 6) median, round(quantile_cont(value, 0.95), 6) p95 FROM m GROUP BY grp")
+@query(_M + " SELECT grp, count(DISTINCT i) n_rows, count(DISTINCT j) n_cols, round(min(value), 6) least, round(max(value), 6) most, round(avg(value), 6) mean, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 6) p{p}" for p in X.PERCENTILES) + " FROM m GROUP BY grp")
 def matrix_stats(spark, d):
-    q = lambda x: F.percentile("value", F.lit(x))
-    return _rounded(_cells(spark, d).groupBy("grp").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"), q(0.05).alias("p5"), q(0.5).alias("median"), q(0.95).alias("p95")))
+    return _rounded(X.stats(_cells(spark, d), "grp"))
 
 
 @query("SELECT upper(c) AS letter, count(*) AS n FROM (SELECT unnest(string_split(p_name, '')) c FROM part) WHERE regexp_matches(c, '[A-Za-z]') GROUP BY 1")
 def composition(spark, d):
-    return _t(spark, d, "part").select(F.explode(F.split("p_name", "")).alias("c")).where("c rlike '[A-Za-z]'").groupBy(F.upper("c").alias("letter")).agg(F.count("*").alias("n"))
+    return _t(spark, d, "part").select(F.explode(F.split("p_name", "")).alias("c")).where("c rlike '[A-Za-z]'").groupBy(F.upper("c").alias("letter")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "letter")
 
 
 @query("SELECT conv_id, count(*) n, min(turn) = 0 AND max(turn) = count(*) - 1 AND count(DISTINCT turn) = count(*) AS contiguous FROM conversations GROUP BY conv_id")
@@ -226,11 +226,6 @@ def interval_label(spark, d):
     return Q.interval_label(e, c, ["user_id"], ["c_custkey"], "at", "a", "b", "event_id")
 
 
-@query("SELECT c_custkey, chr(CAST(65 + c_custkey % 26 AS INT)) letter FROM customer")
-def letters(spark, d):
-    return _t(spark, d, "customer").select("c_custkey", F.expr("chr(65 + c_custkey % 26)").alias("letter"))
-
-
 @query("""WITH l AS (SELECT p_partkey, substr('ACDEFGHIKLMNPQRSTVWYB', CAST(p_partkey % 21 + 1 AS INT), 1) a FROM part)
 SELECT p_partkey, a, CASE WHEN contains('AVLIM', a) THEN 'nonpolar' WHEN contains('FWY', a) THEN 'aromatic' WHEN contains('STCNQ', a) THEN 'polar' WHEN contains('KRH', a) THEN 'basic' WHEN contains('DE', a) THEN 'acidic' WHEN contains('GP', a) THEN 'special' ELSE 'unknown' END class,
 CASE WHEN a IN ('D', 'E') THEN -1 WHEN a IN ('K', 'R') THEN 1 ELSE 0 END charge FROM l""")
@@ -255,9 +250,9 @@ def feature_distribution(spark, d):
     return _rounded(_t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("l_quantity").alias("most"), F.avg("l_quantity").alias("mean")))
 
 
-@query("SELECT CAST(least(floor(l_quantity / 2), 24) AS BIGINT) bin, count(*) n FROM lineitem GROUP BY 1")
+@query("SELECT CAST(greatest(least(floor(l_quantity / 2), (SELECT ceil(max(l_quantity) / 2) - 1 FROM lineitem)), 0) AS BIGINT) bin, count(*) n FROM lineitem GROUP BY 1")
 def histogram(spark, d):
-    return _t(spark, d, "lineitem").groupBy(F.least(F.floor(F.col("l_quantity") / 2), F.lit(24)).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    return X.histogram(_t(spark, d, "lineitem"), "l_quantity")
 
 
 @query("SELECT dense_rank() OVER (ORDER BY s_suppkey) - 1 AS fold, s_suppkey FROM supplier")
@@ -390,9 +385,13 @@ def blank_tokens(spark, d):
     return G.blank_tokens(_t(spark, d, "documents"), "doc_id", ["text", "lang"])
 
 
-@query("SELECT conv_id, count(*) AS rows, 'gap' AS rule FROM conversations GROUP BY conv_id HAVING count(DISTINCT turn) = count(*) AND (min(turn) <> 1 OR max(turn) <> count(*))")
+@query("""WITH c AS (SELECT conv_id, turn + 1 turn FROM conversations WHERE conv_id % 7 <> 0 OR turn <> 1 UNION ALL SELECT conv_id, 1 FROM conversations WHERE conv_id % 5 = 0 AND turn = 0) SELECT conv_id, count(*) AS rows, CASE WHEN count(DISTINCT turn) < count(*) THEN 'repeated' ELSE 'gap' END AS rule
+FROM c GROUP BY conv_id HAVING count(DISTINCT turn) < count(*) OR min(turn) <> 1 OR max(turn) <> count(*)""")
 def numbering_gate(spark, d):
-    return G.numbering(_t(spark, d, "conversations"), "conv_id", "turn").where("rule = 'gap'")
+    c = _t(spark, d, "conversations")
+    more = c.where("conv_id % 5 = 0 and turn = 0").select("conv_id", F.lit(1).cast("long").alias("turn"))
+    rows = c.where("conv_id % 7 <> 0 or turn <> 1").select("conv_id", (F.col("turn") + 1).cast("long").alias("turn")).unionByName(more)
+    return G.numbering(rows, "conv_id", "turn")
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS rows, CAST(c_custkey % 20 AS BIGINT) expected FROM customer LEFT JOIN (SELECT o_custkey, count(*) n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE coalesce(n, 0) <> c_custkey % 20")
@@ -400,3 +399,6 @@ def rows_conserved(spark, d):
     c = _t(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 20).alias("n"))
     o = _t(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_custkey").alias("c_custkey"))
     return G.rows_conserved(o, c, "c_custkey", "n")
+
+
+from . import structure_queries  # noqa: E402, F401  (adds its queries to these)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.residues import chain_id
+from ..operators.structures import residue_atoms
 
 CELL = "array<array<double>>"
 
@@ -26,11 +27,12 @@ def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
     rows = lines.withColumn("tags", tags).select("file", "tags", F.posexplode(F.filter("l", lambda x: x.rlike("^(ATOM|HETATM)\\s"))).alias("ordinal", "line"))
     rows = rows.withColumn("v", F.split(F.trim("line"), r"\s+"))
     get = lambda t: F.try_element_at("v", F.nullif(F.array_position("tags", F.lit(t)), F.lit(0)).cast("int"))
-    either = lambda a, b: F.coalesce(get(a), get(b))
+    named = lambda t: F.when(~get(t).isin(".", "?"), get(t))
+    either = lambda a, b: F.coalesce(named(a), named(b))
     return rows.select(
         "file", "ordinal", get("group_PDB").alias("record"), F.coalesce(get("pdbx_PDB_model_num").try_cast("int"), F.lit(1)).alias("model"),
         chain_id(either("label_asym_id", "auth_asym_id")).alias("chain"), either("label_seq_id", "auth_seq_id").try_cast("int").alias("pos"), either("label_comp_id", "auth_comp_id").alias("residue"),
-        either("label_atom_id", "auth_atom_id").alias("atom"), get("label_alt_id").alias("alt"), get("Cartn_x").try_cast("double").alias("x"), get("Cartn_y").try_cast("double").alias("y"),
+        either("label_atom_id", "auth_atom_id").alias("atom"), get("label_alt_id").alias("alt"), get("pdbx_PDB_ins_code").alias("icode"), get("Cartn_x").try_cast("double").alias("x"), get("Cartn_y").try_cast("double").alias("y"),
         get("Cartn_z").try_cast("double").alias("z"), get("B_iso_or_equiv").try_cast("double").alias("b"),
     )
 
@@ -43,7 +45,7 @@ def pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
     part = lambda a, n: F.trim(F.substring("line", a, n))
     return x.select(
         "file", "ordinal", part(1, 6).alias("record"), "model", chain_id(F.substring("line", 22, 1)).alias("chain"), part(23, 4).try_cast("int").alias("pos"), part(18, 3).alias("residue"), part(13, 4).alias("atom"),
-        part(17, 1).alias("alt"), part(31, 8).try_cast("double").alias("x"), part(39, 8).try_cast("double").alias("y"), part(47, 8).try_cast("double").alias("z"), part(61, 6).try_cast("double").alias("b"),
+        part(17, 1).alias("alt"), part(27, 1).alias("icode"), part(31, 8).try_cast("double").alias("x"), part(39, 8).try_cast("double").alias("y"), part(47, 8).try_cast("double").alias("z"), part(61, 6).try_cast("double").alias("b"),
     )
 
 
@@ -53,15 +55,21 @@ def kept_atoms(atoms: DataFrame) -> DataFrame:
 
 
 def residues(atoms: DataFrame) -> DataFrame:
-    """One row for each residue: counts, centre, CA place and confidence."""
-    from ..functions.residues import BACKBONE
-
-    ca = lambda c: F.max(F.when(F.col("atom") == "CA", F.col(c)))
-    return kept_atoms(atoms).groupBy("file", "chain", "pos").agg(
-        F.first("residue").alias("residue"), F.count("*").alias("n_atoms"), F.countDistinct(F.when(F.col("atom").isin(*BACKBONE), F.col("atom"))).alias("n_backbone_atoms"),
-        *[F.avg(c).alias(f"centroid_{c}") for c in "xyz"], *[ca(c).alias(f"ca_{c}") for c in "xyz"], F.coalesce(ca("b"), F.avg("b")).alias("plddt_ca"),
-        F.avg("b").alias("plddt_atom_mean"), F.min("b").alias("plddt_atom_min"), F.max("b").alias("plddt_atom_max"), F.stddev_pop("b").alias("plddt_atom_std"),
-    )
+    """One row for each residue of kept atoms: counts, centre, CA place and confidence."""
+    return residue_atoms(kept_atoms(atoms), ["file", "chain", "pos"])
+
+
+def atoms(spark: SparkSession, path: str) -> DataFrame:
+    """Atom rows of all structure files under path, by what their names end in: .cif and .mmcif, .pdb and .ent; others aren't read."""
+    found = [r[0] for r in spark.read.format("binaryFile").load(path).select("path").orderBy("path").collect()]  # names of files
+    kind = lambda *ends: [f for f in found if f.lower().endswith(ends)]
+    parts = [read(spark, files) for read, files in ((mmcif_atoms, kind(".cif", ".mmcif")), (pdb_atoms, kind(".pdb", ".ent"))) if files]
+    if not parts:
+        raise ValueError("no structure file: " + path)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def matrix(spark: SparkSession, path: str, key: str = "predicted_aligned_error") -> DataFrame:
@@ -70,3 +78,11 @@ def matrix(spark: SparkSession, path: str, key: str = "predicted_aligned_error")
     rows = F.coalesce(F.from_json("value", f"struct<{key}:{CELL}>")[key], F.from_json("value", f"array<struct<{key}:{CELL}>>")[0][key], F.from_json("value", CELL))
     y = x.select("file", F.posexplode(rows).alias("i", "row")).select("file", (F.col("i") + 1).alias("i"), F.posexplode("row").alias("j", "value"))
     return y.select("file", "i", (F.col("j") + 1).alias("j"), "value")
+
+
+def short_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, ordinal, rule: atom lines of fixed-column files that are too short, or whose numbers can't be read."""
+    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line")).where("line rlike '^(ATOM|HETATM)'")
+    number = lambda a, n, t: F.trim(F.substring("line", a, n)).try_cast(t).isNull()
+    bad = number(23, 4, "int") | number(31, 8, "double") | number(39, 8, "double") | number(47, 8, "double") | number(61, 6, "double")
+    return x.select("file", "ordinal", F.when(F.length("line") < 66, "short").when(bad, "number").alias("rule")).where("rule is not null")
