@@ -24,10 +24,12 @@ _KEPT: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none."""
+    """The cluster's shared folder; a folder of our own only where the session names none, which must then run on one machine."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="kept-"))
     return _LOCAL[0]
@@ -211,13 +213,14 @@ def lists(values: np.ndarray, ptr: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(values, type=kind))
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, most: int = 200) -> DataFrame:
     """Connected components of edges(a, b): node, component (the least node reachable).
 
     Alternating large-star and small-star steps (Kiveris et al., 2014): each is one
     shuffled minimum by node, linear in the edges. To survive hubs, minima are
     aggregated before the shuffle and joined back, never windowed.
-    An empty input gives an empty result; loops and repeated edges change nothing.
+    An empty input gives an empty result; loops and repeated edges change nothing. Rounds grow with the logarithm of the
+    nodes; should ``most`` not do, that is an error, never a part of the result.
     """
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(most):
@@ -238,5 +241,7 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         e = new
         if tuple(done) == tuple(old):
             break
+    else:
+        raise RuntimeError(f"components are not found in {most} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("component"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))

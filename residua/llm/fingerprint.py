@@ -6,6 +6,10 @@ the corpus. Within each run of ``RUN`` consecutive windows the most improbable o
 windows that score at least ``POPULAR`` times are the features. Features go into a chain of
 Bloom filters in order of place, ``PER_FILTER`` to a filter, and two digests are compared by
 the bits that their filters share, normalised by what chance alone gives.
+
+A digest has two such chains, of a coarse and a fine scale. Long texts have only the coarse and
+short texts only the fine one; between them texts have both, so that texts of about one size have
+a scale in common wherever that size lies. Digests are compared by the scales that both have.
 """
 
 from __future__ import annotations
@@ -24,8 +28,10 @@ from . import common as C
 U = np.uint64
 WINDOW, RUN, POPULAR, LEVELS = 64, 64, 16, 1000
 FILTER_BYTES, PER_FILTER, HASHES = 256, 160, 5
-#: Texts under SMALL bytes use this window, run and popularity.
-SMALL, FINE = 512, (16, 8, 1)
+#: Window, run and popularity of the fine scale.
+FINE = (16, 8, 1)
+#: Texts of this many bytes have the coarse scale, texts under that many the fine one.
+COARSE_FROM, FINE_BELOW = 256, 1024
 #: Levels below this (long runs of few byte values) are never features.
 LEAST_LEVEL = 100
 
@@ -123,26 +129,27 @@ def _scale(buf: np.ndarray, rows: np.ndarray, rank: np.ndarray, window: int, run
     return np.searchsorted(rows, at, "right") - 1, C.mix(h)
 
 
-def features(buf: np.ndarray, rows: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the features of each row in order of place, and the first of each row.
+def features(buf: np.ndarray, rows: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the fine and the coarse scale: hashes of the features of each row in order of place, and the first of each row.
 
-    A row of fewer than SMALL bytes has the features of a finer scale, as a window of WINDOW bytes is much of it; one
-    shorter than the finer window has itself as its one feature; an empty row has none.
+    A row shorter than the finer window has itself as its one feature; an empty row has none.
     """
     size = np.diff(rows)
     row, h = _scale(buf, rows, rank, WINDOW, RUN, POPULAR)
-    long = size[row] >= SMALL
-    row, h = row[long], h[long]
-    some = np.flatnonzero((size > 0) & (size < SMALL))
+    long = size[row] >= COARSE_FROM
+    coarse = row[long], h[long]
+    some = np.flatnonzero((size > 0) & (size < FINE_BELOW))
+    row, h = np.zeros(0, np.int64), np.zeros(0, U)
     if len(some):
         part = np.concatenate([[0], np.cumsum(size[some])])
         idx = np.arange(part[-1]) + np.repeat(rows[some] - part[:-1], size[some])
         r2, h2 = _scale(buf[idx], part, rank, *FINE)
         tiny = some[size[some] < FINE[0]]
         h3 = np.array([int.from_bytes(hashlib.blake2b(buf[rows[r] : rows[r + 1]].tobytes(), digest_size=8).digest(), "little") for r in tiny], U)
-        row, h = np.concatenate([row, some[r2], tiny]), np.concatenate([h, h2, h3])
-    order = np.argsort(row, kind="stable")
-    return h[order], np.searchsorted(row[order], np.arange(len(size) + 1))
+        row, h = np.concatenate([some[r2], tiny]), np.concatenate([h2, h3])
+        order = np.argsort(row, kind="stable")
+        row, h = row[order], h[order]
+    return [(h, np.searchsorted(row, np.arange(len(size) + 1))) for row, h in ((row, h), coarse)]
 
 
 def filters(h: np.ndarray) -> np.ndarray:
@@ -155,15 +162,12 @@ def filters(h: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1)
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """0 to 1. Each filter of the shorter chain against its best partner, averaged.
+def chain_likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """Likeness of two chains that aren't empty, 0 to 1, and its weight: bits of the shorter chain.
 
-    A pair scores (shared - chance) / (most - chance), shared bits between what independent
-    filters of their fill have in common and the fill of the smaller. Two empty chains are
-    alike (1), an empty and another one are not (0).
+    Each filter of the shorter chain against its best partner, averaged. A pair scores (shared - chance) / (most - chance),
+    shared bits between what independent filters of their fill have in common and the fill of the smaller.
     """
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
     if len(a) > len(b) or (len(a) == len(b) and np.bitwise_count(a).sum() > np.bitwise_count(b).sum()):
         a, b = b, a
     x, y = a.view(U), b.view(U)
@@ -174,22 +178,42 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         chance = na[i] * nb / (FILTER_BYTES * 8)
         most = np.minimum(na[i], nb)
         best[i] = np.clip(((shared - chance) / np.maximum(most - chance, 1e-9)).max(), 0, 1)
-    return float((best * na).sum() / na.sum())
+    return float((best * na).sum() / na.sum()), float(na.sum())
+
+
+Digest = list[np.ndarray]
+
+
+def likeness(a: Digest, b: Digest) -> float:
+    """0 to 1: over the scales that both digests have, weighted by their bits.
+
+    Two empty digests are alike (1); digests without a common scale are not (0): one text is empty, or four times the other.
+    """
+    if not any(map(len, a)) and not any(map(len, b)):
+        return 1.0
+    both = [chain_likeness(x, y) for x, y in zip(a, b, strict=True) if len(x) and len(y)]
+    return min(1.0, sum(v * w for v, w in both) / sum(w for _, w in both)) if both else 0.0
+
+
+def text_of(digest: Digest) -> str:
+    """Base64 of the fine and the coarse chain with a colon between; empty for an empty digest."""
+    return ":".join(base64.b64encode(c.tobytes()).decode() for c in digest) if any(map(len, digest)) else ""
 
 
-def text_of(chain: np.ndarray) -> str:
-    return base64.b64encode(chain.tobytes()).decode()
+def digests(buf: np.ndarray, rows: np.ndarray, rank: np.ndarray) -> list[Digest]:
+    """The digest of each row."""
+    scales = features(buf, rows, rank)
+    return [[filters(h[first[i] : first[i + 1]]) for h, first in scales] for i in range(len(rows) - 1)]
 
 
-def of_texts(rows: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """The filter chain of each text, computed together."""
+def of_texts(rows: list[bytes], rank: np.ndarray) -> list[Digest]:
+    """The digest of each text, computed together."""
     ptr = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64)
-    h, first = features(np.frombuffer(b"".join(rows), np.uint8), ptr, rank)
-    return [filters(h[first[i] : first[i + 1]]) for i in range(len(rows))]
+    return digests(np.frombuffer(b"".join(rows), np.uint8), ptr, rank)
 
 
 def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
-    """doc_id, fingerprint: base64 of the filter chain. Equal texts have equal fingerprints under one ``rank``.
+    """doc_id, fingerprint: base64 of the filter chains. Equal texts have equal fingerprints under one ``rank``.
 
     ``rank`` (rarity()) is fitted on all texts of docs by default; give the stored one to compare across corpora.
     Null and empty texts have an empty fingerprint; repeated rows are kept, one result each; an empty table gives none.
@@ -199,8 +223,7 @@ def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, 1 << 20):
             buf, rows = C.utf8(b.column("text"))
-            h, first = features(buf, rows, rank)
-            yield pa.record_batch([b.column("doc_id"), pa.array([text_of(filters(h[first[i] : first[i + 1]])) for i in range(b.num_rows)])], names=["doc_id", "fingerprint"])
+            yield pa.record_batch([b.column("doc_id"), pa.array([text_of(x) for x in digests(buf, rows, rank)], pa.string())], names=["doc_id", "fingerprint"])
 
     return C.texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
 

@@ -279,3 +279,72 @@ def test_fingerprints(spark):
     rows = [(i, " ".join(random.choice("abcdefghijklmnop") * random.randint(1, 5) + str(random.randint(0, 999)) for _ in range(400))) for i in range(6)]
     got = {r.doc_id: r for r in fingerprint.edited(frame(spark, rows + [(9, rows[0][1])])).collect()}
     assert got[0].fingerprint == got[9].fingerprint and got[0].near_next == 1 and all(r.near_edited > r.near_next for i, r in got.items() if i)
+
+
+def plain_levels(raw, window):
+    """Entropy levels of all windows of one text, counted anew for each."""
+    out = []
+    for i in range(len(raw) - window + 1):
+        c = np.bincount(np.frombuffer(raw[i : i + window], np.uint8), minlength=256)
+        c = c[c > 0] / window
+        out.append(-(c * np.log2(c)).sum() * (fingerprint.LEVELS - 1) / np.log2(window))
+    return np.array(out)
+
+
+def test_entropy_and_features():
+    rng = random.Random(5)
+    raw = [bytes(rng.choice(b"abcdefghij \n") for _ in range(n)) for n in (700, 90, 15, 300)]
+    ptr = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    for x in raw[:2]:
+        assert (np.abs(fingerprint.levels(np.frombuffer(x, np.uint8)) - plain_levels(x, 64)) <= 0.51).all()
+    rank = fingerprint.rarity(np.arange(fingerprint.LEVELS))
+    (fine, f), (coarse, c) = fingerprint.features(np.frombuffer(b"".join(raw), np.uint8), ptr, rank)
+    assert list(np.diff(c) > 0) == [True, False, False, True] and (np.diff(f) > 0).all() and f[3] - f[2] == 1
+    # the coarse features of one text, run by run
+    key = rank[fingerprint.levels(np.frombuffer(raw[0], np.uint8))].astype(int)
+    score = Counter(int(i + np.argmin(key[i : i + 64])) for i in range(len(key) - 63))
+    assert c[1] - c[0] == max(1, sum(v >= fingerprint.POPULAR for v in score.values()))
+
+
+def test_no_size_parts_near_copies():
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(600)).encode()
+    rank = fingerprint.rarity(np.arange(fingerprint.LEVELS))
+    for n in (20, 60, 250, 505, 511, 1015, 2000):
+        a, b, other = fingerprint.of_texts([text[:n], text[: n + 15], text[-n:]], rank)
+        # a text of 20 bytes is no near copy of one of 35
+        assert fingerprint.likeness(a, b) > (0.8 if n > 20 else 0.2) and fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, other) < 0.3
+
+
+def test_packing_against_tokenizer(spark):
+    from tokenizers import Tokenizer
+
+    random.seed(3)
+    rows = [(i, " ".join(random.choice(["alpha", "x1,", "Zed\n", "é"]) for _ in range(random.choice([0, 1, 40, 700])))) for i in range(60)] + [(70, None), (3, "twice the id")]
+    tok = Tokenizer.from_file(packing.vocabulary())
+    want = Counter()
+    for i, t in rows:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        for at in range(0, len(ids), 128):
+            part = ids[at : at + 128]
+            want[i, at, len(part), zlib.crc32(part.tobytes()), len(ids)] += 1
+    got = packing.pack(frame(spark, rows), size=128).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
+    taken = sorted((r.sequence_id, r.offset + k) for r in got for k in range(r.length))
+    assert len(taken) == len(set(taken))
+
+
+def test_license_words(spark):
+    """The base columns against places counted one by one, and labels of texts in which rules overlap."""
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    random.seed(4)
+    bag = ["gnu", "general", "public", "license", "apache", "cc", "by", "mit", "MIT", "License,", "the", "x-y", "\u00e9t\u00e9", "\n"]
+    rows = [(i, " ".join(random.choice(bag) for _ in range(random.randint(0, 60)))) for i in range(150)] + [(500, None), (501, ""), (502, "mit license " * 4000)]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({k: k + 32 for k in range(65, 91)}))
+        places = [(k, v) for p, v in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted({v for _, v in places})))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
