@@ -1,32 +1,43 @@
-"""Fuzzy line deduplication by MinHash, in SQL functions only.
+"""Fuzzy line deduplication by MinHash.
 
 Lines are compared by their sets of character shingles: the SHINGLE characters from each place
-of the line (all of it, if it is shorter). Distinct lines get a signature of forty minimum
-hashes in twenty bands of five. Lines of a band are first compared with two leaders of the band
-by exact Jaccard similarity, and links are joined to components by alternating large-star and
-small-star steps. Bands whose lines are then still of several components are gone through again,
-with other leaders and at last with all lines of different components. Pairs whose signatures
-have fewer than ``LEAST`` places in common are not compared: of similar lines, one pair in a
-million. Of each component the line that comes first (by doc_id, then place) stays.
+of the line (all of it, if it is shorter). Each line gets a signature of forty minimum hashes
+where its document is read, in fourteen bands of four. Lines of a band are first compared with
+two leaders of the band by exact Jaccard similarity, and links are joined to components by
+alternating large-star and small-star steps. Bands whose lines are then still of several
+components are gone through again, with other leaders and at last with all lines of different
+components, each pair in the first band that it shares. Pairs whose signatures have fewer than
+``LEAST`` places in common are not compared: of similar lines, one pair in several thousand.
+Of each component the line that comes first (by doc_id, then place) stays.
+
+Shingles and signatures are made in Arrow batches; everything else is DataFrame code. A form in
+SQL functions alone took more CPU time and disk than it may (figures in the README).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
-SHINGLE = 5
-#: Places of the signature in each band: rows of five, every eighth place, every ninth; two bands have one place in common at most.
-BANDS = tuple(tuple(range(5 * i, 5 * i + 5)) for i in range(8)) + tuple(tuple(range(i, 40, 8)) for i in range(8)) + tuple(tuple(range(i, 40, 9)) for i in range(4))
-#: One number for each place of the signature.
-SEEDS = tuple((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) - (1 << 63) for i in range(40))
-#: Places of a line to a row where signatures are made.
-RUN = 2
+U = np.uint64
+SHINGLE, PLACES = 5, 40
+#: Places of the signature in each band: ten rows of four, and four of every tenth place.
+BANDS = tuple(tuple(range(4 * i, 4 * i + 4)) for i in range(10)) + tuple(tuple(range(i, 40, 10)) for i in range(4))
+_RNG = np.random.default_rng(8)
+_TIMES = _RNG.integers(1, 2**31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PLUS = _RNG.integers(0, 2**32, PLACES, dtype=np.uint32)
+_CHAR = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * U(2) + U(1)
 #: Of forty places, similar lines (0.75) have thirty in common on average, with a deviation of 2.7.
-LEAST = 16
+LEAST = 20
+#: Characters whose signatures are made at once: what they need stays in a core's cache.
+CHUNK = 1 << 17
 
 
 def normal(line: Column) -> Column:
@@ -42,48 +53,108 @@ def blank(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\r\f\x0b\n")) == ""
 
 
-def wide(line: Column) -> Column:
-    """A line in four bytes a character, so that any place of it is found at once."""
-    return F.encode(line, "UTF-32")
+def once(**columns: Column) -> Column:
+    """Columns that are computed once for a row, however often what follows uses them."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
 
 
-def shingles(line: Column) -> Column:
-    """Hashes of the shingles of a normal line, repeated ones too; one at least."""
-    last = lambda b: F.greatest(F.octet_length(b) - 4 * SHINGLE + 1, F.lit(1))
-    # within an array the wide line is one object, where a column would be copied for each shingle
-    of = lambda b: F.transform(F.sequence(F.lit(1), last(b), F.lit(4)), lambda at: F.xxhash64(F.substring(b, at, F.lit(4 * SHINGLE))))
-    return F.transform(F.array(wide(line)), of)[0]
+def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of each normal line, repeated ones too, and where each line's begin; a line has one at least."""
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    pad = chr(0xE000) * SHINGLE  # what fills up a short line is told apart below
+    codes = np.frombuffer("".join([x if len(x) >= SHINGLE else (x + pad)[:SHINGLE] for x in lines]).encode("utf-32-le"), np.uint32).astype(U)
+    n = np.maximum(size, SHINGLE)
+    end = np.cumsum(n)
+    left = np.repeat(end, n) - np.arange(end[-1] if len(end) else 0)
+    h = np.zeros(max(len(codes) - SHINGLE + 1, 0), U)
+    for j in range(SHINGLE):
+        h += codes[j : j + len(h)] * _CHAR[j]
+    h = C.mix(h[left[: len(h)] >= SHINGLE])
+    first = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)])
+    short = np.flatnonzero(size < SHINGLE)
+    h[first[short]] = C.mix(h[first[short]] + size[short].astype(U) + U(1))
+    return h, first
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of PLACES numbers of 16 bits for each line, which isn't blank."""
+    out = np.empty((len(lines), PLACES), np.int16)
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    cut = np.cumsum(size) // CHUNK
+    at = 0
+    while at < len(lines):
+        to = int(np.searchsorted(cut, cut[at], "right"))
+        h, first = shingles(lines[at:to])
+        x = (h >> U(32)).astype(np.uint32)
+        for i in range(PLACES):
+            out[at:to, i] = np.minimum.reduceat(x * _TIMES[i] + _PLUS[i], first[:-1]).astype(np.uint16).view(np.int16)
+        at = to
+    return out
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, place, id of each line that isn't blank, and sig, the signature, once for each id of a batch, else null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, own = np.unique(np.asarray(b.column("id")), return_index=True)
+            own = np.sort(own)
+            sig = signatures(b.column("line").take(pa.array(own)).to_pylist())
+            ptr = np.zeros(b.num_rows + 1, np.int32)
+            ptr[own + 1] = PLACES
+            none = np.ones(b.num_rows, bool)
+            none[own] = False
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ptr, dtype=np.int32)), pa.array(sig.reshape(-1)), mask=pa.array(none))
+            yield pa.record_batch([*[b.column(c) for c in (*KEY, "place", "id")], lists], names=[*KEY, "place", "id", "sig"])
+
+    return lines(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>")
+
+
+def agree(one: str, two: str) -> Column:
+    """Whether two signatures have enough places in common."""
+    same = [(F.col(one)[i] == F.col(two)[i]).cast("int") for i in range(PLACES)]
+    return sum(same[1:], same[0]) >= LEAST
+
+
+def with_text(ids: DataFrame, docs: DataFrame, bits: int = 22) -> DataFrame:
+    """id, line of the lines that ids(id) names, once each, read again from the documents.
+
+    A bit map of 2^bits places, whatever the number of ids, picks lines where they are read, so that others aren't shuffled.
+    """
+    slot = F.xxhash64("id").bitwiseAND(F.lit((1 << bits) - 1))
+    seen = np.zeros(1 << bits, bool)
+    seen[np.asarray(ids.select(slot.cast("int").alias("s")).distinct().toArrow().column("s"))] = True
+    spark = docs.sparkSession
+    packed = spark.sparkContext.broadcast(np.packbits(seen))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.unpackbits(packed.value).astype(bool)
+        for b in batches:
+            yield b.filter(pa.array(seen[np.asarray(b.column("s"))])).select(["id", "line"])
 
-def once(**columns: Column) -> Column:
-    """Columns that are computed once for a row, however often what follows uses them."""
-    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    picked = lines(docs).select("id", "line", slot.cast("int").alias("s")).mapInArrow(run, "id long, line string")
+    return picked.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
 
 
-def signatures(own: DataFrame) -> DataFrame:
-    """id, sig: the signature of each line of own(id, line), by 16 bits of the least of its shingles' hashes under each seed.
+def similar(pairs: DataFrame, text: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs(x, y) of ids whose lines, text(id, line), have shingles that are similar enough."""
 
-    Shingles are columns of rows here, RUN places to a row (the last place fills up the last row), as that is compiled and
-    functions of arrays aren't.
-    """
-    last = F.greatest(F.octet_length("b") - 4 * SHINGLE + 1, F.lit(1))
-    rows = own.select("id", wide(F.col("line")).alias("b")).select("id", "b", last.alias("last"))
-    rows = rows.select("id", "b", "last", F.explode(F.sequence(F.lit(1), F.col("last"), F.lit(4 * RUN))).alias("at"))
-    each = rows.select("id", *[F.xxhash64(F.substring("b", F.least(F.col("at") + 4 * j, F.col("last")), F.lit(4 * SHINGLE))).alias(f"h{j}") for j in range(RUN)])
-    least = each.groupBy("id").agg(*[F.min(F.least(*[F.col(f"h{j}").bitwiseXOR(F.lit(k)) for j in range(RUN)])).alias(f"m{i}") for i, k in enumerate(SEEDS)])
-    return least.select("id", F.array(*[F.shiftrightunsigned(F.col(f"m{i}"), 24).bitwiseAND(F.lit(0xFFFF)).cast("int") for i in range(len(SEEDS))]).alias("sig"))
-
-
-def similar(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs(x, y) of ids whose lines, own(id, line, sig, n), have shingles that are similar enough; n: distinct shingles."""
-    s, t = (own.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}"), F.col("sig").alias(f"sig_{i}"), F.col("n").alias(f"n_{i}")) for i in "xy")
-    # the texts are moved, as they are smaller than their shingles
-    places = [(F.col("sig_x")[i] == F.col("sig_y")[i]).cast("int") for i in range(len(SEEDS))]
-    n = F.col("n_x") + F.col("n_y")
-    able = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (sum(places[1:], places[0]) >= LEAST)
-    both = pairs.join(s, "x").join(t, "y").where(able)
-    shared = both.select("x", "y", n.alias("n"), once(shared=F.size(F.array_intersect(shingles(F.col("line_x")), shingles(F.col("line_y"))))))
-    return shared.where(F.col("shared") * 100 >= (F.col("n") - F.col("shared")) * percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            (h, i), (g, j) = shingles(b.column("line_x").to_pylist()), shingles(b.column("line_y").to_pylist())
+            ok = np.zeros(b.num_rows, bool)
+            for r in range(b.num_rows):
+                x, y = set(h[i[r] : i[r + 1]].tolist()), set(g[j[r] : j[r + 1]].tolist())
+                both = len(x & y)
+                ok[r] = both * 100 >= (len(x) + len(y) - both) * percent
+            yield pa.record_batch([b.column("x"), b.column("y")], names=["a", "b"]).filter(pa.array(ok))
+
+    s, t = (text.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "xy")
+    return pairs.join(s, "x").join(t, "y").select("x", "y", "line_x", "line_y").mapInArrow(run, "a long, b long")
 
 
 def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -91,27 +162,37 @@ def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
 
 
-def rest(meet: DataFrame, comp: DataFrame, seed: int | None = None) -> DataFrame:
-    """x, y: pairs of lines of different components that share a band of meet(id, band); each pair once.
+def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, seed: int | None = None) -> DataFrame:
+    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, sig).
 
     A band's largest component is only held against its other ones. With a seed, only leaders of each band are held against
     others: two lines of its largest component and two of all others, by hashes under the seed. This is linear and joins most
-    of a group of near copies, before all that is still apart is compared.
+    of a group of near copies, before all that is still apart is compared, each pair in the first band that both have.
     """
     rows = with_root(meet.select("id", "band"), comp)
     one = F.struct(F.xxhash64(F.lit(seed or 0), "band", "id").alias("v"), "id")
     ends = [F.min(one)["id"].alias("lo"), F.max(one)["id"].alias("hi")]
     by_root = rows.groupBy("band", "root").agg(F.count("*").alias("n"), *ends)
     main = by_root.groupBy("band").agg(F.max_by(F.struct("root", "lo", "hi"), F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
-    held = rows.join(main.where("roots > 1").select("band", "m"), "band").withColumn("main", F.col("m.root"))
-    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root")])
+    held = rows.join(main.where("roots > 1").select("band", "m"), "band").withColumn("main", F.col("m.root")).join(sigs, "id")
+    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root", "sig")])
     once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
     if seed is not None:
         others = held.where("root <> main").groupBy("band").agg(*ends)
         held = held.join(others, "band").where("id in (m.lo, m.hi, lo, hi)")
         once = F.col("root1") != F.col("root2")
-    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root")])
-    return a.join(b, "band").where(once).select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
+    else:
+        # the first band that two signatures share is this one
+        shared = F.lit(0).cast("long")
+        for i, band in reversed(list(enumerate(BANDS))):
+            equal = F.lit(True)
+            for k in band:
+                equal &= F.col("sig1")[k] == F.col("sig2")[k]
+            shared = F.when(equal, F.lit(i)).otherwise(shared)
+        once &= shared == F.col("band").bitwiseAND(F.lit(15))
+    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "sig")])
+    pairs = a.join(b, "band").where(once & agree("sig1", "sig2"))
+    return pairs.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
 
 
 def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
@@ -126,8 +207,8 @@ def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def bands(sig: Column) -> Column:
-    """Keys of the bands of a signature."""
-    return F.array(*[F.xxhash64(F.lit(i), *[sig[j] for j in b]) for i, b in enumerate(BANDS)])
+    """Keys of the bands of a signature; a key's last four bits tell which one it is."""
+    return F.array(*[F.xxhash64(*[sig[j] for j in b]).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i)) for i, b in enumerate(BANDS)])
 
 
 #: What a row is known by: its doc_id, and a hash of its text for rows that share a doc_id.
@@ -147,31 +228,31 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Lines whose normal forms are equal are one; two lines whose shingle sets have a Jaccard similarity of percent / 100 or more
     are linked if they share a band. Blank lines never go.
     """
-    every = C.keep(lines(docs).select(*KEY, "place", "id"), "places")
-    # what each distinct line is; copies of a line meet before the shuffle where they can
-    made = lines(docs).groupBy("id").agg(F.first("line").alias("line"))
-    signed = C.keep(made.join(signatures(made), "id"), "signed", "zstd")
-    del made
-    C.tidy(docs.sparkSession)
-    rows = signed.select("id", F.explode(bands(F.col("sig"))).alias("band"))
-    # leaders: the least and the greatest id, hashes of the lines; a band has each line once, and there are twenty bands
+    made = C.keep(signed(docs), "places", "zstd")
+    every = made.select(*KEY, "place", "id")
+    sig = made.where("sig is not null").select("id", "sig")
+    # leaders: the least and the greatest id, hashes of the lines; a band has each line once or a few times
     w = W.partitionBy("band")
+    rows = sig.select("id", F.explode(bands(F.col("sig"))).alias("band"))
     meet = C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands")
     del rows
     C.tidy(docs.sparkSession)
+    # of lines that meet others: signatures, and texts of those that agree with one
+    ids = C.keep(meet.select("id").distinct(), "ids")
+    sigs = C.keep(sig.join(ids, "id", "left_semi").groupBy("id").agg(F.first("sig").alias("sig")), "signatures")
+    text = C.keep(with_text(ids, docs), "lines", "zstd")
     led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
-    # lines that meet others
-    distinct = C.keep(signed.join(meet.select("id").distinct(), "id", "left_semi").withColumn("n", F.size(F.array_distinct(shingles(F.col("line"))))), "distinct", "zstd")
-    C.release(signed)
-    links = C.keep(similar(pairs, distinct, percent), "links")
+    s, t = (sigs.select(F.col("id").alias(i), F.col("sig").alias(f"sig_{i}")) for i in "xy")
+    pairs = pairs.join(s, "x").join(t, "y").where(agree("sig_x", "sig_y")).select("x", "y")
+    links = C.keep(similar(pairs, text, percent), "links")
     comp = C.keep(C.components(links), "components")
-    left = meet.where("n > 3")  # of smaller bands, the leaders have met all lines
-    for seed in (1, None):
-        more = C.keep(similar(rest(left, comp, seed), distinct, percent), "links")
+    left = meet.where("n > 3").select("id", "band").distinct()  # of smaller bands, the leaders have met all lines
+    for seed in (1, 2, None):
+        more = C.keep(similar(rest(left, comp, sigs, seed), text, percent), "links")
         comp = comp if more.isEmpty() else merged(comp, more)
         C.release(more)
-    C.release(meet, distinct, links)
+    C.release(meet, text, sigs, ids, links)
     # each component's first line
     here = F.struct(*KEY, "place")
     by_id = every.groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))
@@ -184,7 +265,7 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def marked(docs: DataFrame, percent: int = 75) -> DataFrame:
     """row (all columns of docs), parts (the lines of its text), left (the places that stay, null if all do) for each row of docs."""
-    gone = duplicates(C.texts(docs), percent).groupBy(*KEY).agg(F.collect_set("place").alias("gone"))
+    gone = C.keep(duplicates(C.texts(docs), percent), "gone").groupBy(*KEY).agg(F.collect_set("place").alias("gone"))
     j = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).join(gone, list(KEY), "left")
     # an empty array of places is one of all places but none
     return j.select("row", "gone", once(parts=F.split("row.text", "\n", -1))).select("row", "parts", F.when(F.col("gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "gone")).alias("left"))
