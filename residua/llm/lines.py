@@ -16,10 +16,12 @@ SQL functions alone took more CPU time and disk than it may (figures in the READ
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,12 +42,21 @@ LEAST = 20
 CHUNK = 1 << 17
 
 
-def normal(line: Column) -> Column:
-    """A line as it is compared: white space folded and trimmed."""
-    odd = line.contains("  ")
-    for c in "\t\r\f\x0b\n":
-        odd |= line.contains(c)
-    return F.trim(F.when(odd, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
+_FOLD = re.compile("[ \t\r\f\x0b]+")
+_ODD = re.compile("  |[\t\r\f\x0b]")
+
+
+def lines_of(text: str) -> list[str]:
+    """The normal lines of a text, in order of place: white space folded and trimmed."""
+    if _ODD.search(text):
+        text = _FOLD.sub(" ", text)
+    return [x.strip(" ") for x in text.split("\n")]
+
+
+def id_of(line: str) -> int:
+    """64 bits, with a sign, that a normal line is known by."""
+    x = xxhash.xxh64_intdigest(line)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def blank(line: Column) -> Column:
@@ -96,20 +107,26 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, hash, place, id of each line that isn't blank, and sig, the signature, once for each id of a batch, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
+        for b in C.slices(batches):
+            row, place, ids, new, seen = [], [], [], [], {}
+            for r, text in enumerate(b.column("text").to_pylist()):
+                for p, x in enumerate(lines_of(text)):
+                    if x:
+                        i = seen.get(x)
+                        new.append(i is None)
+                        if i is None:
+                            i = seen[x] = id_of(x)
+                        row.append(r)
+                        place.append(p)
+                        ids.append(i)
+            if not row:
                 continue
-            _, own = np.unique(np.asarray(b.column("id")), return_index=True)
-            own = np.sort(own)
-            sig = signatures(b.column("line").take(pa.array(own)).to_pylist())
-            ptr = np.zeros(b.num_rows + 1, np.int32)
-            ptr[own + 1] = PLACES
-            none = np.ones(b.num_rows, bool)
-            none[own] = False
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ptr, dtype=np.int32)), pa.array(sig.reshape(-1)), mask=pa.array(none))
-            yield pa.record_batch([*[b.column(c) for c in (*KEY, "place", "id")], lists], names=[*KEY, "place", "id", "sig"])
+            ptr = np.concatenate([[0], np.cumsum(np.array(new) * PLACES)]).astype(np.int32)
+            sig = pa.ListArray.from_arrays(pa.array(ptr), pa.array(signatures(list(seen)).reshape(-1)), mask=pa.array(~np.array(new)))
+            at = pa.array(row)
+            yield pa.record_batch([b.column("doc_id").take(at), b.column("hash").take(at), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), sig], names=[*KEY, "place", "id", "sig"])
 
-    return lines(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>")
+    return keyed(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>")
 
 
 def agree(one: str, two: str) -> Column:
@@ -123,23 +140,23 @@ def with_text(ids: DataFrame, docs: DataFrame, bits: int = 22) -> DataFrame:
 
     A bit map of 2^bits places, whatever the number of ids, picks lines where they are read, so that others aren't shuffled.
     """
-    slot = F.xxhash64("id").bitwiseAND(F.lit((1 << bits) - 1))
+    slot = F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     seen = np.zeros(1 << bits, bool)
-    seen[np.asarray(ids.select(slot.cast("int").alias("s")).distinct().toArrow().column("s"))] = True
-    spark = docs.sparkSession
-    packed = spark.sparkContext.broadcast(np.packbits(seen))
+    seen[np.asarray(ids.select(slot.alias("s")).distinct().toArrow().column("s"))] = True
+    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.unpackbits(packed.value).astype(bool)
-        for b in batches:
-            yield b.filter(pa.array(seen[np.asarray(b.column("s"))])).select(["id", "line"])
+        wanted = np.unpackbits(packed.value).astype(bool).tobytes()
+        mask = (1 << bits) - 1
+        for b in C.slices(batches):
+            found = {x: i for x in {x for text in b.column("text").to_pylist() for x in lines_of(text)} if x and wanted[(i := id_of(x)) & mask]}
+            yield pa.record_batch([pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.string())], names=["id", "line"])
 
-    picked = lines(docs).select("id", "line", slot.cast("int").alias("s")).mapInArrow(run, "id long, line string")
-    return picked.join(ids.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    return keyed(docs).mapInArrow(run, "id long, line string").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
 
 
-def similar(pairs: DataFrame, text: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs(x, y) of ids whose lines, text(id, line), have shingles that are similar enough."""
+def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs(x, y) of ids of lines of docs whose shingles are similar enough, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,8 +170,12 @@ def similar(pairs: DataFrame, text: DataFrame, percent: int) -> DataFrame:
                 ok[r] = both * 100 >= (len(x) + len(y) - both) * percent
             yield pa.record_batch([b.column("x"), b.column("y")], names=["a", "b"]).filter(pa.array(ok))
 
+    pairs = C.keep(pairs, "pairs")
+    text = C.keep(with_text(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), docs), "lines", "zstd")
     s, t = (text.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "xy")
-    return pairs.join(s, "x").join(t, "y").select("x", "y", "line_x", "line_y").mapInArrow(run, "a long, b long")
+    links = C.keep(pairs.join(s, "x").join(t, "y").select("x", "y", "line_x", "line_y").mapInArrow(run, "a long, b long"), "links")
+    C.release(pairs, text)
+    return links
 
 
 def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -176,11 +197,11 @@ def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, seed: int | None = N
     main = by_root.groupBy("band").agg(F.max_by(F.struct("root", "lo", "hi"), F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
     held = rows.join(main.where("roots > 1").select("band", "m"), "band").withColumn("main", F.col("m.root")).join(sigs, "id")
     a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root", "sig")])
-    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2")))
+    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & agree("sig1", "sig2")
     if seed is not None:
         others = held.where("root <> main").groupBy("band").agg(*ends)
         held = held.join(others, "band").where("id in (m.lo, m.hi, lo, hi)")
-        once = F.col("root1") != F.col("root2")
+        once = (F.col("root1") != F.col("root2")) & agree("sig1", "sig2")
     else:
         # the first band that two signatures share is this one
         shared = F.lit(0).cast("long")
@@ -191,7 +212,7 @@ def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, seed: int | None = N
             shared = F.when(equal, F.lit(i)).otherwise(shared)
         once &= shared == F.col("band").bitwiseAND(F.lit(15))
     b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "sig")])
-    pairs = a.join(b, "band").where(once & agree("sig1", "sig2"))
+    pairs = a.join(b, "band").where(once)
     return pairs.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
 
 
@@ -215,15 +236,12 @@ def bands(sig: Column) -> Column:
 KEY = ("doc_id", "hash")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, hash (of the text), place, id (a hash of the normal line) and the normal line, for lines that aren't blank."""
-    x = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.posexplode(F.split("text", "\n", -1)).alias("place", "raw"))
-    x = x.select(*KEY, "place", normal(F.col("raw")).alias("line")).where("line <> ''")
-    return x.select(*KEY, "place", F.xxhash64("line").alias("id"), "line")
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("hash"), "text")
 
 
 def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, hash, place, first_doc, first_place: each line that goes, and the line that stays for it.
+    """doc_id, hash, place, first_doc, first_place, for docs(doc_id, text) without nulls: each line that goes, and the line that stays for it.
 
     Lines whose normal forms are equal are one; two lines whose shingle sets have a Jaccard similarity of percent / 100 or more
     are linked if they share a band. Blank lines never go.
@@ -237,22 +255,21 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     meet = C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands")
     del rows
     C.tidy(docs.sparkSession)
-    # of lines that meet others: signatures, and texts of those that agree with one
-    ids = C.keep(meet.select("id").distinct(), "ids")
-    sigs = C.keep(sig.join(ids, "id", "left_semi").groupBy("id").agg(F.first("sig").alias("sig")), "signatures")
-    text = C.keep(with_text(ids, docs), "lines", "zstd")
+    # signatures of lines that meet others; texts only of those that agree with one
+    sigs = C.keep(sig.join(meet.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("sig").alias("sig")), "signatures")
+    C.tidy(docs.sparkSession)
     led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
     s, t = (sigs.select(F.col("id").alias(i), F.col("sig").alias(f"sig_{i}")) for i in "xy")
-    pairs = pairs.join(s, "x").join(t, "y").where(agree("sig_x", "sig_y")).select("x", "y")
-    links = C.keep(similar(pairs, text, percent), "links")
+    links = similar(pairs.join(s, "x").join(t, "y").where(agree("sig_x", "sig_y")).select("x", "y"), docs, percent)
     comp = C.keep(C.components(links), "components")
+    C.release(links)
     left = meet.where("n > 3").select("id", "band").distinct()  # of smaller bands, the leaders have met all lines
-    for seed in (1, 2, None):
-        more = C.keep(similar(rest(left, comp, sigs, seed), text, percent), "links")
+    for seed in (1, None):
+        more = similar(rest(left, comp, sigs, seed), docs, percent)
         comp = comp if more.isEmpty() else merged(comp, more)
         C.release(more)
-    C.release(meet, text, sigs, ids, links)
+    C.release(meet, sigs)
     # each component's first line
     here = F.struct(*KEY, "place")
     by_id = every.groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))
