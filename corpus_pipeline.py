@@ -1,4 +1,8 @@
-"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, packing."""
+"""The corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, packing.
+
+Null and empty texts have no language and go with the first stage, as do rows without doc_id; later stages, called alone, keep
+null texts. Rows that repeat are judged alike. An empty table gives no rows; other columns are handed on, whatever their names.
+"""
 
 from __future__ import annotations
 
