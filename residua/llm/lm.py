@@ -4,18 +4,20 @@ The trie's counts come from all training texts. A symbol is coded in the longest
 the trie has; where the context lacks it, an escape (method C: as likely as the number of
 distinct symbols seen there) leads to the next shorter one, in which the symbols of the longer
 context are excluded. As all symbols of a longer context also occur in the shorter one, what
-is excluded from a context is one number for each longer context, so the code length of every
-byte of a batch is looked up at once.
+is excluded from a context is one number for each longer context.
+
+So the code length of a symbol depends on the run of it and the ORDER symbols before it alone.
+The trie is kept as tables, a level each, with no bound. Code lengths of the most common runs go
+to every task; other runs of a document are joined to theirs, whether training texts have them or not.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -80,89 +82,6 @@ def _merge(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[
     return both[first], np.add.reduceat(cnt, first)
 
 
-class Trie:
-    """Code lengths, ready to look up: for each node (a run of up to order + 1 symbols) what it costs there."""
-
-    def __init__(self, gram: np.ndarray, n: np.ndarray, order: int = ORDER):
-        self.order = order
-        mask = lambda k: (U(1) << (_BITS * U(k))) - U(1)
-        nodes, count = {}, {}
-        o = np.argsort(gram, kind="stable")
-        nodes[order + 1], count[order + 1] = gram[o], n[o].astype(np.int64)
-        for k in range(order, 0, -1):  # shorter contexts: the same symbol, fewer symbols before it
-            g = nodes[k + 1] & mask(k)
-            o = np.argsort(g, kind="stable")
-            g, c = g[o], count[k + 1][o]
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-            nodes[k], count[k] = g[first], np.add.reduceat(c, first) if len(g) else c
-        # contexts of each length: total, distinct symbols, and what they exclude from the next shorter one
-        self.level = []
-        shorter = None
-        for k in range(order + 1):
-            g, c = nodes[k + 1], count[k + 1]
-            ctx = g >> _BITS
-            first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(g) else np.zeros(0, np.int64)
-            key = ctx[first]
-            total = np.add.reduceat(c, first) if len(g) else np.zeros(0, np.int64)
-            distinct = np.diff(np.concatenate([first, [len(g)]])) if len(g) else np.zeros(0, np.int64)
-            place = np.repeat(np.arange(len(key)), distinct)
-            if k:
-                up = np.searchsorted(shorter["gram"], g & mask(k))  # the same symbol in the shorter context
-                excluded = np.add.reduceat(shorter["count"][up], first) if len(g) else total
-                parent = np.searchsorted(shorter["ctx"], key & mask(k - 1)) if k > 1 else np.zeros(len(key), np.int64)
-                left = shorter["total"][parent] - excluded
-                fresh = shorter["distinct"][parent] - distinct
-            else:
-                left = np.zeros(len(key), np.int64)
-                fresh = np.maximum(EDGE + 1 - distinct, 0)  # below: all symbols, equally likely
-            d = (total + distinct).astype(np.float64)
-            here = {
-                "gram": g, "count": c, "ctx": key, "total": total, "distinct": distinct,
-                "direct": np.log10(c / d[place]) if len(g) else np.zeros(0),  # coded in this context, no escape before it
-                "escape": np.log10(distinct / d) if len(g) else np.zeros(0),
-                # in the next shorter context, what this one has being excluded
-                "denominator": np.log10(np.maximum(left + fresh, 1)), "again": np.log10(np.maximum(fresh, 1) / np.maximum(left + fresh, 1)), "sure": (left + fresh) == 0,
-            }
-            self.level.append(here)
-            shorter = here
-        self.table = [_Table(x["gram"]) for x in self.level]
-        self.contexts = [_Table(x["ctx"]) for x in self.level]
-        self.logs = [np.log10(np.maximum(x["count"], 1)) for x in self.level]
-
-    def score(self, col: pa.Array) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        x, at, row = _symbols(col, self.order)
-        out = np.zeros(len(at))
-        open_ = np.arange(len(at))  # symbols not coded yet
-        above = np.full(len(at), -1)  # the longer context that they escaped from, by number
-        for k in range(self.order, -1, -1):
-            if not len(open_):
-                break
-            lv = self.level[k]
-            g = _packed(x, at[open_], k + 1)
-            node = self.table[k].find(g)
-            ctx = self.contexts[k].find(g >> _BITS)
-            hit = node >= 0
-            fresh = above < 0
-            # coded here
-            a = hit & fresh
-            out[open_[a]] += lv["direct"][node[a]]
-            b = hit & ~fresh
-            if b.any():
-                out[open_[b]] += self.logs[k][node[b]] - self.level[k + 1]["denominator"][above[b]]
-            # an escape from here
-            c = ~hit & (ctx >= 0) & fresh
-            out[open_[c]] += lv["escape"][ctx[c]]
-            d = ~hit & (ctx >= 0) & ~fresh
-            if d.any():
-                out[open_[d]] += self.level[k + 1]["again"][above[d]]
-            open_, above = open_[~hit], np.where(ctx >= 0, ctx, -1)[~hit]
-        if len(open_):  # symbols that no training text has
-            none = len(self.level[0]["ctx"]) == 0
-            out[open_] -= np.log10(EDGE + 1 if none else np.maximum(EDGE + 1 - self.level[0]["distinct"][0], 1))
-        return np.bincount(row, weights=out, minlength=len(col))
-
-
 class _Table:
     """Number of each key, by open addressing: a few vectorised probes find all keys of a batch."""
 
@@ -206,38 +125,71 @@ class _Table:
         return out
 
 
-def fit(train: DataFrame, order: int = ORDER, most: int = 3_000_000) -> Trie:
-    """The trie of all texts of train.
+def _mask(k: int) -> int:
+    """The last k symbols of a run."""
+    return (1 << (9 * k)) - 1
+
+
+def _last(k: int, of: str = "gram") -> Column:
+    return F.col(of).bitwiseAND(F.lit(_mask(k)))
 
-    ``most`` bounds its deepest level, which is checked: where train has more runs of order + 1 symbols, the rarest are
-    summed up under their last ``order`` symbols' edge-less context instead, that is, runs under the least count that
-    fits are kept only in the shorter contexts. So the model sent to the tasks is bounded by ``most`` whatever the corpus.
+
+class Trie:
+    """Kept tables of each level k, from contexts of no symbol to such of ``order``: all runs, nothing left out.
+
+    ``nodes[k]``: gram (a context and a symbol after it), n. ``contexts[k]``: ctx, total, distinct, and what a symbol that
+    escapes from it finds in the next shorter context, its own symbols being excluded: left (counts), fresh (symbols).
+    ``known``: gram, n, cost for the runs of order + 1 symbols that occur.
     """
-    got = C.keep(counts(train, order), "grams")
-    by_count = sorted(map(tuple, got.groupBy(F.least("n", F.lit(1000)).alias("c")).count().collect()))
-    total, floor = sum(n for _, n in by_count), 1
-    for c, n in by_count:
-        if total <= most:
-            break
-        total -= n
-        floor = c + 1
-    rows = got.where(F.col("n") >= floor).toArrow()
-    gram, n = np.asarray(rows.column("gram")).view(U), np.asarray(rows.column("n"))
-    if floor > 1:
-        low = F.col("n") < floor
-        for k in range(order, 0, -1):  # a shorter run stands for all that was left out, with edges before it as filler
-            keep = (1 << (9 * k)) - 1
-            part = got.where(low).groupBy(F.col("gram").bitwiseAND(F.lit(keep)).alias("gram")).agg(F.sum("n").alias("n"))
-            if k > 1 and part.count() + len(gram) > most:
-                continue
-            r = part.toArrow()
-            fill = 0
-            for _ in range(order + 1 - k):
-                fill = (fill << 9) | 511  # no symbol has this number: a filler before the run
-            gram = np.concatenate([gram, np.asarray(r.column("gram")).view(U) | (U(fill) << U(9 * k))])
-            n = np.concatenate([n, np.asarray(r.column("n"))])
+
+    def __init__(self, train: DataFrame, order: int = ORDER):
+        self.order = order
+        self.nodes = {order: C.keep(counts(train, order), "runs")}
+        for k in range(order - 1, -1, -1):  # shorter contexts: the same symbol, fewer symbols before it
+            self.nodes[k] = C.keep(self.nodes[k + 1].groupBy(_last(k + 1).alias("gram")).agg(F.sum("n").alias("n")), "runs")
+        ctx = F.shiftright("gram", 9).alias("ctx")
+        sums = [F.sum("n").alias("total"), F.count("*").alias("distinct")]
+        none = F.lit(0).cast("long")
+        self.contexts = {0: C.keep(self.nodes[0].groupBy(ctx).agg(*sums).select("*", none.alias("left"), none.alias("fresh")), "contexts")}
+        for k in range(1, order + 1):
+            # a key has at most 257 rows: the symbols before it
+            shorter = self.nodes[k - 1].select(F.col("gram").alias("same"), F.col("n").alias("n_shorter"))
+            here = self.nodes[k].join(shorter, _last(k) == F.col("same")).groupBy(ctx).agg(*sums, F.sum("n_shorter").alias("excluded"))
+            up = self.contexts[k - 1].select(F.col("ctx").alias("up"), F.col("total").alias("up_total"), F.col("distinct").alias("up_distinct"))
+            here = here.join(up, _last(k - 1, "ctx") == F.col("up"))
+            self.contexts[k] = C.keep(here.select("ctx", "total", "distinct", (F.col("up_total") - F.col("excluded")).alias("left"), (F.col("up_distinct") - F.col("distinct")).alias("fresh")), "contexts")
+        direct = F.log10(F.col("n") / (F.col("total") + F.col("distinct")))
+        self.known = C.keep(self.nodes[order].join(self.contexts[order], F.shiftright("gram", 9) == F.col("ctx")).select("gram", "n", direct.alias("cost")), "known")
+
+    def costs(self, runs: DataFrame) -> DataFrame:
+        """gram, cost: the log10 probability of the last symbol after the others, for each of the distinct runs(gram)."""
+        at = runs.select("gram", F.lit(0.0).alias("cost"), F.lit(False).alias("done"), F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("fresh"))
+        for k in range(self.order, -1, -1):
+            # runs are distinct, so a key has at most 257^(order - k) rows; the two shortest levels have at most 257 and 257^2 nodes
+            small = F.broadcast if k < 2 else lambda x: x
+            node = small(self.nodes[k].select(F.col("gram").alias("node"), "n"))
+            ctx = small(self.contexts[k].select("ctx", "total", "distinct", F.col("left").alias("next_left"), F.col("fresh").alias("next_fresh")))
+            at = at.join(node, _last(k + 1) == F.col("node"), "left").join(ctx, F.shiftright(_last(k + 1), 9) == F.col("ctx"), "left")
+            direct, hit = F.col("left").isNull(), F.col("n").isNotNull()
+            whole = F.when(direct, F.col("total") + F.col("distinct")).otherwise(F.greatest(F.col("left") + F.col("fresh"), F.lit(1)))
+            part = F.when(hit, F.col("n")).when(direct, F.col("distinct")).otherwise(F.greatest("fresh", F.lit(1)))
+            cost = F.col("cost") + F.when(F.col("done") | F.col("ctx").isNull(), 0.0).otherwise(F.log10(part / whole))
+            unseen = F.coalesce(F.lit(EDGE + 1) - F.col("distinct"), F.lit(EDGE + 1)) if k == 0 else F.lit(1)  # all symbols that no text has are equally likely
+            cost = cost - F.when(F.col("done") | hit, 0.0).otherwise(F.log10(F.greatest(unseen, F.lit(1))))
+            at = at.select("gram", cost.alias("cost"), (F.col("done") | hit).alias("done"), F.col("next_left").alias("left"), F.col("next_fresh").alias("fresh"))
+        return at.select("gram", "cost")
+
+
+def commonest(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of counted(n, ...) of the highest n, ``most`` at most, those of like n (by eighths of a power of two) all or none."""
+    step = F.floor(F.log2("n") * 8)
+    total, floor = 0, None
+    for s, n in sorted(map(tuple, counted.groupBy(step.alias("s")).count().collect()), reverse=True):  # 504 rows at most
+        total += n
+        if total > most:
             break
-    return Trie(gram, n, order)
+        floor = s
+    return counted.where(F.lit(False)) if floor is None else counted.where(step >= floor)
 
 
 # --- the word model that gives the base score --------------------------------------------
@@ -256,34 +208,36 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, train: DataFrame, order: int = ORDER, common: int = 1 << 20, trie_most: int = 3_000_000) -> DataFrame:
+def score(docs: DataFrame, train: DataFrame, order: int = ORDER, common: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased words between ASCII white space, then one end. ``base_score`` is the smoothed word model's;
     ``score`` is the log10 probability of the text's lower-cased bytes and its end under the trie. Null and empty texts
     are the end alone. Repeated rows are scored each. With no training text, all counts are 0 and bytes are equally likely.
 
-    The ``common`` words of the highest counts go to every task (12 bytes each); other words of a text are joined to
-    their counts, each once for a batch of texts, so both paths give exact counts for every word.
+    At most ``common`` words and runs of the highest counts go to every task (16 bytes each, and a table of twice their
+    number); others of a text are joined to their counts and code lengths, each once for a document, so both paths give
+    exact numbers for every word and run.
     """
     spark = docs.sparkSession
-    trie = fit(C.texts(train), order, trie_most)
+    trie = Trie(C.texts(train), order)
     words = C.keep(word_counts(C.texts(train)), "words")
     n_docs = C.texts(train).count()
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = sums[0] + n_docs, sums[1] + (1 if n_docs else 0)
-    top = words.orderBy(F.desc("n"), "word").limit(common).toArrow() if distinct > common else words.toArrow()
+    top = commonest(words, common).toArrow()
     key, cnt = np.asarray(top.column("word")).view(U), np.asarray(top.column("n"))
+    all_known = len(key) == sums[1]
     o = np.argsort(key, kind="stable")
-    lines = np.log10(0.1 + cnt[o])
-    big = spark.sparkContext.broadcast((trie, key[o], lines))
-    all_known = distinct - (1 if n_docs else 0) <= common
+    runs = commonest(trie.known, common).toArrow()
+    big = spark.sparkContext.broadcast((key[o], np.log10(0.1 + cnt[o]), np.asarray(runs.column("gram")).view(U), np.asarray(runs.column("cost"))))
     unit = float(np.log10(total + 0.1 * (distinct + 1)))
     end = float(np.log10(n_docs + 0.1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, key, line = big.value
-        for b in C.slices(batches, 2 << 20):
+        key, line, gram, cost = big.value
+        table = _Table(gram)
+        for b in C.slices(batches, 1 << 19):
             w = C.Words(b.column("text"), C.SPACED, True)
             row = w.row_of()
             i = np.minimum(np.searchsorted(key, w.hash), max(len(key) - 1, 0))
@@ -295,17 +249,33 @@ def score(docs: DataFrame, train: DataFrame, order: int = ORDER, common: int = 1
             if all_known:
                 base -= np.bincount(rest_row, minlength=len(n))  # log10(0.1) is -1
                 rest_row, rest = rest_row[:0], rest[:0]
-            sc = np.concatenate([trie.score(x.column("text")) for x in C.slices(iter([b]), 1 << 19)])
-            yield pa.record_batch([b.column("doc_id"), pa.array(n + 1), pa.array(k.astype(np.int64)), pa.array(base), pa.array(sc), C.lists(rest.view(np.int64), np.searchsorted(rest_row, np.arange(len(n) + 1)), pa.int64())], names=["doc_id", "n_tokens", "n_known", "base", "score", "rest"])
-
-    made = C.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rest array<long>")
-    if all_known:
-        return made.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+            x, at, row = _symbols(b.column("text"), order)
+            g = _packed(x, at, order + 1)
+            found = table.find(g)
+            hit = found >= 0
+            sc = np.bincount(row[hit], weights=cost[found[hit]], minlength=len(n)) if hit.any() else np.zeros(len(n))
+            g, row = g[~hit], row[~hit]
+            o = np.lexsort((g, row))
+            g, row = g[o], row[o]
+            new = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (row[1:] != row[:-1])])) if len(g) else np.zeros(0, np.int64)
+            ptr = np.searchsorted(row[new], np.arange(len(n) + 1))
+            times = np.diff(np.concatenate([new, [len(g)]]))
+            lists = [C.lists(rest.view(np.int64), np.searchsorted(rest_row, np.arange(len(n) + 1)), pa.int64()), C.lists(g[new].view(np.int64), ptr, pa.int64()), C.lists(times, ptr, pa.int64())]
+            yield pa.record_batch([b.column("doc_id"), pa.array(n + 1), pa.array(k.astype(np.int64)), pa.array(base), pa.array(sc), *lists], names=["doc_id", "n_tokens", "n_known", "base", "part", "rest", "runs", "times"])
+
+    made = C.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, part double, rest array<long>, runs array<long>, times array<long>")
     made = C.keep(made.withColumn("row", F.struct(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"))), "scored")
-    # rare words: by definition none of them holds a large share of the rows
+    # what isn't common: none of these words and runs holds a large share of what was counted
+    left = made.select("row", F.explode(F.arrays_zip("runs", "times")).alias("r")).select("row", F.col("r.runs").alias("gram"), F.col("r.times").alias("m"))
+    new = C.keep(left.select("gram").distinct().join(trie.known, "gram", "left_anti"), "unseen")
+    costs = trie.known.select("gram", "cost").unionByName(trie.costs(new))
+    more = left.join(costs, "gram").groupBy("row").agg(F.sum(F.col("m") * F.col("cost")).alias("more_score"))
+    out = made.drop("rest", "runs", "times").join(more, "row", "left").withColumn("score", F.col("part") + F.coalesce("more_score", F.lit(0.0)))
+    if all_known:
+        return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     rest = made.select("row", F.explode("rest").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
     found = rest.join(words, "word", "left").groupBy("row").agg(F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("k"))
-    out = made.join(found, "row", "left")
+    out = out.join(found, "row", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
@@ -323,7 +293,7 @@ def adaptive(text: str, order: int = ORDER) -> float:
 
 
 def plain_step(seen: list[dict], x: list[int], i: int, order: int) -> float:
-    """log10 probability of symbol x[i] after x[:i], by counts seen[k][context][symbol]; the definition that Trie must match."""
+    """log10 probability of symbol x[i] after x[:i], by counts seen[k][context][symbol]; the definition that score must match."""
     out, excluded = 0.0, set()
     for k in range(order, -1, -1):
         d = seen[k].get(tuple(x[i - k : i]))
@@ -343,7 +313,3 @@ def op5_ppm(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents", "doc_id", "text")
     out = score(docs, docs.where(C.crc_mod(F.col("doc_id"), 10) != 0))
     return out.select("doc_id", (C.crc_mod(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
-
-
-def crc(doc_id: int) -> int:
-    return zlib.crc32(str(doc_id).encode())

@@ -106,6 +106,14 @@ def test_trie(spark):
             assert abs(got[i].score - sum(lm.plain_step(seen, x, p, 4) for p in range(4, len(x)))) < 1e-6
             base = sum(np.log10((c + 0.1) / (total + 0.1 * (distinct + 1))) for c in [wc[w] for w in words((t or "").translate(LOW))] + [nd])
             assert abs(got[i].base_score - base) < 1e-6 and got[i].train_tokens == total
+    for r in lm.score(df, df.where("false")).collect():  # nothing learnt: 257 symbols, equally likely
+        n = len((dict(rows)[r.doc_id] or "").encode()) + 1
+        assert abs(r.score + n * np.log10(257)) < 1e-6 and (r.n_known, r.train_tokens) == (0, 0)
+
+
+def test_commonest(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [900] * 3)], "gram long, n long")
+    assert [lm.commonest(df, m).count() for m in (100, 73, 72, 23, 22, 3, 2)] == [73, 73, 23, 23, 3, 3, 0]
 
 
 def noisy(seed):
