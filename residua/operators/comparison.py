@@ -99,6 +99,24 @@ def radius_choice(configs: DataFrame, key: str, first: str, second: str, third:
     return configs.orderBy(F.desc(third), key).limit(1)
 
 
+def nested_choice(folds: DataFrame, fold: str, config: str, value: str) -> DataFrame:
+    """fold, config, inner, value: for each fold the config of the highest mean over all other folds, and what it has in this one.
+
+    Of equal means the least config is chosen. Folds without a value of a config don't count for it; a config that no other
+    fold has can't be chosen, so a single fold gives no row.
+    """
+    known = folds.where(F.col(value).isNotNull()).select(F.col(fold).alias("fold"), F.col(config).alias("config"), F.col(value).cast("double").alias("value"))
+    whole = known.groupBy("config").agg(F.sum("value").alias("total"), F.count("*").alias("n")).where("n > 1")  # a table of configs
+    inner = known.join(whole, "config").withColumn("inner", (F.col("total") - F.col("value")) / (F.col("n") - 1))
+    best = inner.groupBy("fold").agg(F.min(F.struct((-F.col("inner")).alias("cost"), "config", "inner", "value")).alias("b"))
+    return best.select("fold", "b.config", "b.inner", "b.value")
+
+
+def nested_summary(choice: DataFrame) -> DataFrame:
+    """folds, median, mean of the values in the folds that had no part in the choice, and how far the means that chose are above them."""
+    return choice.agg(F.count("*").alias("folds"), F.expr("percentile(value, 0.5)").alias("median"), F.avg("value").alias("mean"), F.avg(F.col("inner") - F.col("value")).alias("optimism"))
+
+
 def chi2_upper(x: Column, df: Column, terms: int = 1500) -> Column:
     """Probability that a chi-squared variable of df (a whole number from 1) is over x: one less the series of the lower part."""
     odd, a = df % 2 == 1, df / 2

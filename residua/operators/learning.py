@@ -55,6 +55,23 @@ def out_of_group(df: DataFrame, group: str, features: list[str], label: str, lea
     return whole
 
 
+def importances(spark, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
+    """model, feature, importance (they add up to 1 for each model) of fitted trees; models and features are what the driver holds anyway."""
+    rows = [(name, f, float(v)) for name, m in models.items() for f, v in zip(features, m.stages[-1].featureImportances.toArray(), strict=True)]
+    return spark.createDataFrame(rows, "model string, feature string, importance double")
+
+
+def mean_importances(each: DataFrame) -> DataFrame:
+    """feature, mean, sd (of the population), models: importances of each feature over all models, as by folds."""
+    return each.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("sd"), F.count("importance").alias("models"))
+
+
+def out_of_group_importances(df: DataFrame, group: str, features: list[str], label: str, learner: Callable = boosted_trees) -> DataFrame:
+    """Mean importances over the models that ``out_of_group`` fits, one for each group left out."""
+    models = {str(g): fit(df.where(F.col(group) != g), features, label, learner()) for (g,) in df.select(group).distinct().orderBy(group).collect()}
+    return mean_importances(importances(df.sparkSession, models, features))
+
+
 def out_of_group_linear(df: DataFrame, group: str, features: list[str], label: str, ridge: float = 0.0, out: str = "score") -> DataFrame:
     """Adds the least-squares score of each row by the rows of all other groups, in one plan.
 

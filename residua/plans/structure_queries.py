@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import residues as R
 from ..operators import comparison as M
 from ..operators import evaluation as E
+from ..operators import learning as L
 from ..operators import manifest as N
 from ..operators import matrices as X
 from ..operators import quality as Q
@@ -377,3 +378,31 @@ def mean_against_record(spark, d):
 @query("SELECT c_mktsegment AS category, count(*) n FROM customer GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM customer")
 def category_counts(spark, d):
     return Q.counts(_t(spark, d, "customer").withColumnRenamed("c_mktsegment", "category"), "category")
+
+
+_CONFIGS = [20, 50, 80, 110]
+_NESTED = _S + """, c AS (SELECT unnest([20, 50, 80, 110]) config), f AS (SELECT grp % 5 fold, config, CAST(count(*) FILTER (WHERE (score >= config) = (label = 1)) AS DOUBLE) v FROM s, c GROUP BY ALL),
+t AS (SELECT config, sum(v) total, count(*) n FROM f GROUP BY 1), x AS (SELECT fold, config, v, (total - v) / (n - 1) i FROM f JOIN t USING (config)),
+y AS (SELECT fold, arg_min(config, (-i, config)) config, arg_min(i, (-i, config)) "inner", arg_min(v, (-i, config)) AS value FROM x GROUP BY fold)"""
+
+
+def _choices(spark, d):
+    s = _scored(spark, d).select((F.col("grp") % 5).alias("fold"), F.explode(F.array(*map(F.lit, _CONFIGS))).alias("config"), "score", "label")
+    right = ((F.col("score") >= F.col("config")) == (F.col("label") == 1)).cast("int")
+    return M.nested_choice(s.groupBy("fold", "config").agg(F.sum(right).alias("value")), "fold", "config", "value")
+
+
+@query(_NESTED + ' SELECT fold, config, round("inner", 6) "inner", value FROM y')
+def nested_choice(spark, d):
+    return _rounded(_choices(spark, d))
+
+
+@query(_NESTED + ' SELECT count(*) folds, round(median(value), 6) median, round(avg(value), 6) mean, round(avg("inner" - value), 6) optimism FROM y')
+def nested_summary(spark, d):
+    return _rounded(M.nested_summary(_choices(spark, d)))
+
+
+@query("WITH s AS (SELECT p_brand feature, p_size % 5 model, sum(p_retailprice) / 100000 importance FROM part GROUP BY ALL) SELECT feature, round(avg(importance), 6) mean, round(stddev_pop(importance), 6) sd, count(importance) models FROM s GROUP BY feature")
+def mean_importances(spark, d):
+    each = _t(spark, d, "part").groupBy(F.col("p_brand").alias("feature"), (F.col("p_size") % 5).alias("model")).agg((F.sum("p_retailprice") / 100000).alias("importance"))
+    return _rounded(L.mean_importances(each))

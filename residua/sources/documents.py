@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,3 +79,29 @@ def candidates(spark: SparkSession, path: str, columns: dict[str, str]) -> DataF
 def table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV table with a header, in the schema that is asked for; empty texts are null."""
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=False)
+
+
+def arrays(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """file, missing, at, and a double for each key: the values of the one-dimensional arrays of NPZ files, row by row.
+
+    A file that can't be used has one row with nulls and, in missing, the keys that it doesn't have, have other than one
+    dimension, aren't numbers, or are of another length than the first. Objects are never unpickled. A file is read by one task.
+    """
+
+    def run(batches):
+        for b in batches:
+            for file, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                bad, got = [], {}
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    for k in keys:
+                        v = z[k] if k in z.files else None
+                        if v is None or v.dtype.kind not in "biuf" or v.ndim != 1 or len(v) != len(next(iter(got.values()), v)):
+                            bad.append(k)
+                        else:
+                            got[k] = v.astype(np.float64)
+                n = 1 if bad else len(got[keys[0]])
+                at, values = (pa.nulls(1, pa.int64()), [pa.nulls(1, pa.float64())] * len(keys)) if bad else (pa.array(np.arange(n)), [pa.array(got[k]) for k in keys])
+                yield pa.record_batch([pa.array([file] * n, pa.string()), pa.array([bad] * n, pa.list_(pa.string())), at, *values], names=["file", "missing", "at", *keys])
+
+    schema = "file string, missing array<string>, at long, " + ", ".join(f"`{k}` double" for k in keys)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content").mapInArrow(run, schema)

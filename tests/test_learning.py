@@ -54,3 +54,35 @@ def test_gates(spark):
     sizes = spark.createDataFrame([("a", 2), ("b", 1), ("c", 1), ("d", 4)], "g string, n int")
     assert {(r.g, r.rule) for r in G.square(cells, "g", sizes, "n").collect()} == {("b", "value"), ("c", "shape"), ("d", "missing")}
     assert L.boosted_trees().getMaxIter() == 100 and G.leaks(["a", "oof_x"], ["a", "b", "oof_x"]) == ["b", "oof_x"]
+
+
+def test_importances(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i % 3, float(a), float(b), int(a > 0)) for i, (a, b) in enumerate(rng.normal(size=(150, 2)))]
+    df = spark.createDataFrame(rows, "g int, a double, b double, y int")
+    got = {r.feature: r for r in L.out_of_group_importances(df, "g", ["a", "b"], "y", lambda: L.random_forest(5, 3)).collect()}
+    assert {r.models for r in got.values()} == {3} and abs(sum(r["mean"] for r in got.values()) - 1) < 1e-9 and got["a"]["mean"] > 0.7
+
+
+def test_nested_choice(spark):
+    rows = [("f1", "x", 1.0), ("f2", "x", 0.0), ("f3", "x", 0.25), ("f1", "y", 0.5), ("f2", "y", 0.5), ("f3", "y", 0.5), ("f1", "z", 0.5), ("f2", "z", 0.5), ("f3", "z", 0.5), ("f1", "once", 9.0), ("f2", "once", None)]
+    got = {r.fold: (r.config, round(r.inner, 6), r.value) for r in M.nested_choice(spark.createDataFrame(rows, "fold string, c string, v double"), "fold", "c", "v").collect()}
+    assert got == {"f1": ("y", 0.5, 0.5), "f2": ("x", 0.625, 0.0), "f3": ("x", 0.5, 0.25)}
+    assert M.nested_choice(spark.createDataFrame(rows[:1], "fold string, c string, v double"), "fold", "c", "v").count() == 0
+
+
+def test_crc64(spark):
+    from residua.functions.checksums import crc64
+
+    def plain(b):
+        c = 0
+        for x in b:
+            c ^= x
+            for _ in range(8):
+                c = (c >> 1) ^ (0xD800000000000000 if c & 1 else 0)
+        return f"{c:016X}"
+
+    texts = ["ACGTACGTACGT", "IHATEMATH", "", None, "É" * 70, "M"]
+    got = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").select("i", crc64("s").alias("c")).orderBy("i").collect()]
+    assert got == [None if t is None else plain(t.encode()) for t in texts]
+    assert got[:2] == ["C4FBB762C4A87EBD", "E3DCADD69B01ADD1"]

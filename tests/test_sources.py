@@ -126,3 +126,37 @@ def test_lonely_residues_stay(spark):
 
     broken = {(x.id, x.rule) for x in Q.violations(T.features(r, cells, "grp", 2.0), "residue", "pos", T.feature_rules()).collect()}
     assert broken == {("3", "no neighbour"), ("3", "unknown residue"), ("3", "confidence")}
+
+
+def test_arrays(spark, tmp_path):
+    import numpy as np
+
+    from residua.sources.documents import arrays
+
+    np.savez(tmp_path / "a.npz", y=np.array([1, 0]), p=np.array([0.5, 0.25], np.float32))
+    np.savez(tmp_path / "b.npz", y=np.array([1, 0]), p=np.array([0.5]))
+    np.savez(tmp_path / "c.npz", y=np.array(["x"]), q=np.zeros((2, 2)))
+    np.savez(tmp_path / "d.npz", y=np.zeros(0), p=np.zeros(0))
+    (tmp_path / "e.txt").write_text("no array")
+    got = sorted((r.file[-5:], r.missing, r.at, r.y, r.p) for r in arrays(spark, str(tmp_path), ["y", "p"]).collect())
+    assert got == [("a.npz", [], 0, 1.0, 0.5), ("a.npz", [], 1, 0.0, 0.25), ("b.npz", ["p"], None, None, None), ("c.npz", ["y", "p"], None, None, None)]
+
+
+def test_command(spark, tmp_path, capsys):
+    from residua.__main__ import main
+    from residua.operators import learning as L
+
+    df = spark.range(200).select(F.lit("p").alias("grp"), F.col("id").alias("pos"), F.lit("A").alias("letter"), (F.col("id") % 20).cast("double").alias("a"), (F.col("id") % 20 >= 15).cast("int").alias("y"))
+    df.write.parquet(str(tmp_path / "f"))
+    K.model(L.fit(df, ["a"], "y", L.boosted_trees(5)), str(tmp_path / "m"), {"features": ["a"], "calibrator": {"method": "sigmoid", "slope": 1.0, "intercept": 0.0}})
+    args = ["score", "--features", str(tmp_path / "f"), "--model", str(tmp_path / "m"), "--threshold", "0.5"]
+    assert main([*args, "--top", "2"]) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0] == "grp,pos,letter,probability_raw,probability_calibrated,predicted" and [x.split(",")[1] for x in out[1:]] == ["15", "16"]
+    assert main([*args, "--out", str(tmp_path / "o")]) == 0
+    assert '"positives": 50' in capsys.readouterr().out and spark.read.csv(str(tmp_path / "o"), header=True).count() == 200
+    for bad in (["--threshold", "1.5"], ["--top", "0"]):
+        with pytest.raises(SystemExit):
+            main([*args, *bad])
+    df.drop("a").write.parquet(str(tmp_path / "g"))
+    assert main([*args[:2], str(tmp_path / "g"), *args[3:]]) == 1 and "missing" in capsys.readouterr().err
