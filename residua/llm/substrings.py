@@ -160,8 +160,12 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
             yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array((start - x.first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "start", "n", "anchor"])
 
     segs = C.keep(src.mapInArrow(anchors, "doc_id long, start int, n int, anchor long"), "segments")
-    twice = segs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
-    wanted = segs.join(twice, "anchor").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "anchor", (F.col("c") > hot).alias("hot"))).alias("segs"))
+    twice = C.keep(segs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
+    # an anchor of more than a thousandth of all segments, of which there are less than a thousand, isn't shuffled by
+    often = F.col("c") * 1000 > segs.count()
+    heavy, light = F.broadcast(twice.where(often)), twice.where(~often)
+    met = segs.join(heavy, "anchor").unionByName(segs.join(heavy, "anchor", "left_anti").join(light, "anchor"))
+    wanted = met.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "anchor", (F.col("c") > hot).alias("hot"))).alias("segs"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, 1 << 20):
@@ -185,8 +189,8 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
             yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["anchor"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["body"], pa.binary())], names=list(out))
 
     placed = C.keep(src.join(wanted, "doc_id").mapInArrow(texts, "doc_id long, start int, anchor long, key long, body binary"), "texts")
-    C.release(segs)
-    del wanted, twice
+    C.release(segs, twice)
+    del wanted, twice, met, heavy, light
     C.tidy(spark)
     distinct = placed.groupBy("anchor", "key").agg(F.count("*").alias("weight"), F.first("body").alias("body"))
     words = placed.agg(F.coalesce(F.sum(F.length("body")), F.lit(0))).first()[0] // 4
