@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprint, jaccard, language, licenses, lines, lm, packing, substrings, tokenids
+from . import decontaminate, fingerprint, jaccard, language, licenses, lines, lm, packing, shards, substrings, tokenids, turns
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_line_dedup": lines.op8_line_dedup,
         "op9_packing": packing.op9_packing,
         "op10_licenses": licenses.op10_licenses,
+        "op11_turns": turns.op11_turns,
+        "op12_shards": shards.op12_shards,
     }
 
 
@@ -25,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": decontaminate.SQL,
         "op6_substrings": substrings.SQL,
         "op7_jaccard": jaccard.SQL,
+        "op11_turns": turns.SQL,
     }
