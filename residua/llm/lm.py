@@ -58,12 +58,12 @@ def counts(train: DataFrame, order: int = ORDER) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros(0, U), np.zeros(0, np.int64)
-        for b in C.slices(batches, 4 << 20):
+        for b in C.slices(batches):
             x, at, _ = _symbols(b.column("text"), order)
             g = np.sort(_packed(x, at, order + 1))
             new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
             held, n = _merge(held, n, g[new], np.diff(np.concatenate([new, [len(g)]])))
-            if len(held) > 2_000_000:  # a task's memory is bounded; the sums are made after the shuffle anyway
+            if len(held) > 1_000_000:  # a task's memory is bounded; the sums are made after the shuffle anyway
                 yield pa.record_batch([pa.array(held.view(np.int64)), pa.array(n)], names=["gram", "n"])
                 held, n = np.zeros(0, U), np.zeros(0, np.int64)
         if len(held):
@@ -73,8 +73,8 @@ def counts(train: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def _merge(a: np.ndarray, n: np.ndarray, b: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(a):
-        return b, m
+    if not len(a) or not len(b):
+        return (a, n) if len(a) else (b, m)
     both, cnt = np.concatenate([a, b]), np.concatenate([n, m])
     order = np.argsort(both, kind="stable")
     both, cnt = both[order], cnt[order]
@@ -199,11 +199,16 @@ def word_counts(train: DataFrame) -> DataFrame:
     """word long (a 64-bit hash of the lower-cased word), n long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches, 8 << 20):
+        held, n = np.zeros(0, U), np.zeros(0, np.int64)
+        for b in C.slices(batches):
             h = np.sort(C.Words(b.column("text"), C.SPACED, True).hash)
-            if len(h):
-                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                yield pa.record_batch([pa.array(h[first].view(np.int64)), pa.array(np.diff(np.concatenate([first, [len(h)]])))], names=["word", "n"])
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            held, n = _merge(held, n, h[first], np.diff(np.concatenate([first, [len(h)]])))
+            if len(held) > 1_000_000:
+                yield pa.record_batch([pa.array(held.view(np.int64)), pa.array(n)], names=["word", "n"])
+                held, n = np.zeros(0, U), np.zeros(0, np.int64)
+        if len(held):
+            yield pa.record_batch([pa.array(held.view(np.int64)), pa.array(n)], names=["word", "n"])
 
     return train.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
