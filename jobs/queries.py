@@ -2,34 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import evaluate, intake
-
+from residua.sinks.kept import new_folder
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the cluster's shared one; on one machine without such a setting, one of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="jobs-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from . import evaluate, intake
 
 
 def job1_intake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark, "intake")
+    out = new_folder(spark, "intake")
     for _ in range(2):
         intake.run(spark, f"{sf_dir}/documents.parquet", out)
     return intake.read(spark, out).select("doc_id", "source", "bytes", "sha256", "copies", "status", "notes")
 
 
 def job2_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _folder(spark, "evaluate")
+    out = new_folder(spark, "evaluate")
     for _ in range(2):
         evaluate.run(spark, f"{sf_dir}/documents.parquet", f"{sf_dir}/labels.parquet", out)
     # source comes from folders' names: as text, whatever it looks like

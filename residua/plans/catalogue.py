@@ -401,4 +401,4 @@ def rows_conserved(spark, d):
     return G.rows_conserved(o, c, "c_custkey", "n")
 
 
-from . import structure_queries  # noqa: E402, F401  (adds its queries to these)
+from . import model_queries, structure_queries  # noqa: E402, F401  (add their queries to these)
