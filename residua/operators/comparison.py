@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .evaluation import ranked
+
 
 def paired_deltas(folds: DataFrame, fold: str, config: str, value: str, a: str, b: str) -> DataFrame:
     """fold, delta: value of configuration b less that of a, over folds that have both."""
@@ -27,9 +29,9 @@ def wilcoxon(deltas: DataFrame) -> DataFrame:
 
     z is the normal approximation with the correction for ties; it is null without a difference.
     """
-    sizes = deltas.where("delta <> 0").groupBy(F.abs("delta").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.expr("delta > 0")).alias("up"))
-    before = F.coalesce(F.sum("t").over(W.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    r = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
+    sizes = deltas.where("delta <> 0").select(F.abs("delta").alias("size"), (F.col("delta") > 0).cast("long").alias("up"))
+    up = sizes.groupBy("size").agg(F.sum("up").alias("up"))
+    r = ranked(sizes, "size").join(up, F.col("__s") == F.col("size")).select(F.col("__n").alias("t"), "up", "rank")
     t = F.col("t")
     s = r.agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (t - F.col("up"))).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
     n = F.col("n")
@@ -84,9 +86,7 @@ def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     Each column's ranks are made of its distinct values, counted first, and joined back by value.
     """
     for c in columns:
-        n = df.groupBy(c).agg(F.count("*").alias("__n")).where(F.col(c).isNotNull())
-        before = F.coalesce(F.sum("__n").over(W.orderBy(c).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        df = df.join(n.select(c, (before + (F.col("__n") + 1) / 2).alias(f"__r_{c}")), c, "left")
+        df = df.join(ranked(df, c).select(F.col("__s").alias(c), F.col("rank").alias(f"__r_{c}")), c, "left")
     ranks = correlations(df.select(*[F.col(f"__r_{c}").alias(c) for c in columns]), columns)
     return ranks.withColumnRenamed("pearson", "spearman")
 

@@ -10,64 +10,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .matrices import exact_quantiles
+
 
 def _steps(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """One row for each group and distinct score: n, positives."""
     return df.groupBy(*by, F.col(score).alias("__s")).agg(F.count("*").alias("__n"), F.sum(F.col(label).cast("long")).alias("__p"))
 
 
-def _running(x: DataFrame, by: list[str], down: bool = False, buckets: int = 64) -> DataFrame:
-    """Adds __cn and __cp, sums of n and positives up to each score (from the top if ``down``).
+def _running(x: DataFrame, by: list[str]) -> DataFrame:
+    """Adds __cn and __cp, sums of n and positives up to each score of a group, and __an and __ap, those of the whole group.
 
-    Groups run in a window each. Without groups, scores are dealt to ranges by approximate percentiles, which may be uneven
-    and change nothing: each range runs apart and starts at the sums of the ranges before it, one row for each.
+    Scores are dealt to ranges, of which there are as many as shuffle partitions, by approximate percentiles; they may be uneven
+    and change nothing. Each range of a group runs apart and starts at the sums of the ranges before it, so a group of most rows
+    is no single task.
     """
-    order = F.desc("__s") if down else F.asc("__s")
-    upto = lambda *keys: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    if by:
-        return x.select("*", F.sum("__n").over(upto(*by)).alias("__cn"), F.sum("__p").over(upto(*by)).alias("__cp"))
-    edges = x.agg(F.percentile_approx("__s", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), F.lit(1000)).alias("__e"))  # one row
+    ranges = max(2, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    edges = x.agg(F.percentile_approx("__s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__e"))  # one row
     x = x.crossJoin(F.broadcast(edges)).withColumn("__k", F.size(F.filter("__e", lambda t: t < F.col("__s")))).drop("__e")
-    own = x.groupBy("__k").agg(F.sum("__n").alias("__bn"), F.sum("__p").alias("__bp"))  # a row for each range
-    before = W.orderBy(F.desc("__k") if down else F.asc("__k")).rowsBetween(W.unboundedPreceding, -1)
-    start = own.select("__k", F.coalesce(F.sum("__bn").over(before), F.lit(0)).alias("__bn"), F.coalesce(F.sum("__bp").over(before), F.lit(0)).alias("__bp"))
-    run = x.select("*", F.sum("__n").over(upto("__k")).alias("__cn"), F.sum("__p").over(upto("__k")).alias("__cp"))
-    return run.join(F.broadcast(start), "__k").withColumn("__cn", F.col("__cn") + F.col("__bn")).withColumn("__cp", F.col("__cp") + F.col("__bp")).drop("__k", "__bn", "__bp")
+    own = x.groupBy(*by, "__k").agg(F.sum("__n").alias("__bn"), F.sum("__p").alias("__bp"))
+    every = W.partitionBy(*by)  # a row for each range of a group
+    before = every.orderBy("__k").rowsBetween(W.unboundedPreceding, -1)
+    start = own.select(*by, "__k", *[F.coalesce(F.sum(f"__b{c}").over(before), F.lit(0)).alias(f"__b{c}") for c in "np"], *[F.sum(f"__b{c}").over(every).alias(f"__a{c}") for c in "np"])
+    upto = W.partitionBy(*by, "__k").orderBy("__s").rowsBetween(W.unboundedPreceding, 0)
+    run = x.select("*", *[F.sum(f"__{c}").over(upto).alias(f"__r{c}") for c in "np"])
+    keys = [run[c].eqNullSafe(start[c]) for c in [*by, "__k"]]
+    j = run.join(start, keys)
+    return j.select(*[run[c] for c in by], "__s", "__n", "__p", *[(F.col(f"__r{c}") + F.col(f"__b{c}")).alias(f"__c{c}") for c in "np"], "__an", "__ap")
 
 
-def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """by, n, pos, roc: Mann-Whitney with ties averaged; null unless both labels occur."""
+def ranked(df: DataFrame, column: str) -> DataFrame:
+    """__s, __n, rank: each distinct non-null value of a column, how often it is there, and the average rank of its rows."""
+    x = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__s")).agg(F.count("*").alias("__n"), F.lit(0).cast("long").alias("__p"))
+    return _running(x, []).select("__s", "__n", (F.col("__cn") - F.col("__n") + (F.col("__n") + 1) / 2).alias("rank"))
+
+
+def areas(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """by, n, pos, roc, pr of each group, in one pass over its distinct scores.
+
+    roc is Mann-Whitney with ties averaged, null unless both labels occur. pr is the sum of trapezoids under the
+    precision-recall curve with a point for each distinct score, from (0, 1); null without positives. Scores run upwards, and
+    what is above a score is the group less what is up to it.
+    """
     by = by or []
     x = _running(_steps(df, score, label, by), by)
     ranks = F.sum(F.col("__p") * (F.col("__cn") - F.col("__n") + (F.col("__n") + 1) / 2))
-    agg = x.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum("__p").alias("pos"), ranks.alias("__r"))
+    n0, p0 = F.col("__an") - F.col("__cn"), F.col("__ap") - F.col("__cp")  # above this score
+    # positives gained times the mean precision at both ends; over all positives at last
+    part = F.col("__p") * ((p0 + F.col("__p")) / (n0 + F.col("__n")) + F.when(n0 > 0, p0 / n0).otherwise(F.lit(1.0))) / 2
+    g = x.groupBy(*by).agg(F.sum("__n").alias("n"), F.sum("__p").alias("pos"), ranks.alias("__r"), F.sum(part).alias("__a"))
     neg = F.col("n") - F.col("pos")
     roc = F.when((F.col("pos") > 0) & (neg > 0), (F.col("__r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * neg))
-    return agg.select(*by, "n", "pos", roc.alias("roc"))
+    return g.select(*by, "n", "pos", roc.alias("roc"), F.when(F.col("pos") > 0, F.col("__a") / F.col("pos")).alias("pr"))
+
+
+def roc_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
+    """by, n, pos, roc of ``areas``."""
+    return areas(df, score, label, by).drop("pr")
 
 
 def pr_auc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
-    """by, pr: trapezoids under the precision-recall curve with a point for each distinct score, from (0, 1)."""
-    by = by or []
-    x = _running(_steps(df, score, label, by), by, down=True)
-    n0, p0 = F.col("__cn") - F.col("__n"), F.col("__cp") - F.col("__p")
-    # positives gained times the mean precision at both ends; over all positives at last
-    part = F.col("__p") * (F.col("__cp") / F.col("__cn") + F.when(n0 > 0, p0 / n0).otherwise(F.lit(1.0))) / 2
-    g = x.groupBy(*by).agg(F.sum(part).alias("__a"), F.sum("__p").alias("__all"))
-    return g.select(*by, F.when(F.col("__all") > 0, F.col("__a") / F.col("__all")).alias("pr"))
+    """by, pr of ``areas``."""
+    return areas(df, score, label, by).select(*(by or []), "pr")
+
+
+def _figures(a: DataFrame, by: list[str]) -> DataFrame:
+    return a.select(*by, "n", "pos", (F.col("pos") / F.col("n")).alias("prev"), "roc", "pr")
 
 
 def pooled_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """n, pos, prev, roc, pr of all rows as one: one row."""
-    r, p = roc_auc(df, score, label), pr_auc(df, score, label)
-    return r.crossJoin(F.broadcast(p)).select("n", "pos", (F.col("pos") / F.col("n")).alias("prev"), F.when(F.col("pos") > 0, F.col("roc")).alias("roc"), F.when(F.col("pos") > 0, F.col("pr")).alias("pr"))
+    return _figures(areas(df, score, label), [])
 
 
 def fold_metrics(df: DataFrame, group: str, score: str, label: str) -> DataFrame:
     """group, n, pos, prev, roc, pr: one row for each held-out group, roc and pr null without positives."""
-    r, p = roc_auc(df, score, label, [group]), pr_auc(df, score, label, [group])
-    j = r.join(p, group)
-    return j.select(group, "n", "pos", (F.col("pos") / F.col("n")).alias("prev"), F.when(F.col("pos") > 0, F.col("roc")).alias("roc"), F.when(F.col("pos") > 0, F.col("pr")).alias("pr"))
+    return _figures(areas(df, score, label, [group]), [group])
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:
@@ -104,11 +122,14 @@ def probability_metrics(df: DataFrame, p: str, label: str) -> DataFrame:
 
 
 def calibration_error(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
-    """ece: over quantile bins with equal edges merged; with fewer than two edges the difference of the means."""
-    edges = df.agg(F.array_distinct(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("__e"))
-    x = df.select(F.col(p).alias("__p"), F.col(label).cast("double").alias("__y")).crossJoin(F.broadcast(edges))  # edges: one row
-    at = F.size(F.filter("__e", lambda t: t <= F.col("__p"))) - 1
-    x = x.withColumn("__b", F.greatest(F.lit(0), F.least(at, F.size("__e") - 2)))
+    """ece: over quantile bins with equal edges merged; with fewer than two edges the difference of the means.
+
+    The edges are exact quantiles of the whole table, found in a few passes of fixed memory before the plan is made.
+    """
+    edges = sorted(set(exact_quantiles(df, p, [i / bins for i in range(bins + 1)])))
+    x = df.select(F.col(p).cast("double").alias("__p"), F.col(label).cast("double").alias("__y"))
+    at = sum((F.when(F.col("__p") >= e, 1).otherwise(0) for e in edges), F.lit(-1))
+    x = x.withColumn("__b", F.greatest(F.lit(0), F.least(at, F.lit(len(edges) - 2))))
     g = x.groupBy("__b").agg(F.count("*").alias("n"), F.avg("__p").alias("mp"), F.avg("__y").alias("my"))
     return g.agg((F.sum(F.abs(F.col("mp") - F.col("my")) * F.col("n")) / F.sum("n")).alias("ece"))
 

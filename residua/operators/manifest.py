@@ -43,6 +43,14 @@ def is_allowed_url(url: Column, hosts: tuple[str, ...], scheme: str = "https") -
     return F.coalesce((part(1) == scheme) & part(2).isin(*hosts), F.lit(False))
 
 
+def allowed_by(df: DataFrame, url: str, hosts: DataFrame, host: str, scheme: str = "https") -> DataFrame:
+    """Adds ``allowed`` as ``is_allowed_url`` has it, where the list of hosts is a table of any size."""
+    part = lambda n: F.regexp_extract(F.col(url), r"^([a-z]+)://([^/:?#]+)", n)
+    listed = hosts.select(F.col(host).alias("__host")).distinct().withColumn("__there", F.lit(True))
+    j = df.join(listed, part(2) == F.col("__host"), "left")
+    return j.withColumn("allowed", F.coalesce((part(1) == scheme) & F.col("__there"), F.lit(False))).drop("__host", "__there")
+
+
 def text(c: str) -> Column:
     return F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
@@ -78,11 +79,13 @@ def only(df: DataFrame, key: str, subset: DataFrame | None = None, without: Data
 
 
 def first_offenders(broken: DataFrame, by: list[str], pos: str, n: int = 10) -> DataFrame:
-    """by, n, first: how many places break a rule, and the first n of them in order, without holding all."""
-    from pyspark.sql import Window as W
+    """by, n, first: how many places break a rule, and the first n of them in order.
 
-    r = broken.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(pos)))
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("__r") <= n, F.col(pos)))).alias("first"))
+    Of each group only n places leave a task (Spark limits a filtered row number before the shuffle), and rows are counted apart.
+    """
+    first = broken.select(*by, pos).withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy(pos))).where(F.col("__r") <= n)
+    first = first.groupBy(*by).agg(F.array_sort(F.collect_list(pos)).alias("first"))
+    return broken.groupBy(*by).agg(F.count("*").alias("n")).join(first, by)
 
 
 def protein_summary(residues: DataFrame, cells: DataFrame, expected: DataFrame, group: str, value: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sinks.kept import kept
+from . import calibration
 
 #: Bytes that the sums of one block of models may take in a task, and trees after which rows' margins are written down.
 HELD, SETTLE = 64 << 20, 8
@@ -360,3 +361,33 @@ def grid(df: DataFrame) -> list[Boosting]:
     """Parameters of a table of configurations: a column for each parameter that isn't its default, ``name`` among them."""
     known = set(Boosting.__dataclass_fields__) - {"without"}
     return [Boosting(**{k: v for k, v in r.asDict().items() if k in known and v is not None}) for r in df.orderBy("name").collect()]  # what the caller lists
+
+
+def inner_folds(sizes: dict[str, int], k: int) -> list[tuple[str, ...]]:
+    """Groups dealt to k folds by size, largest first, back and forth, so that folds have about as many rows; empty folds are left out."""
+    order = sorted(sizes, key=lambda g: (-sizes[g], g))
+    folds: list[list[str]] = [[] for _ in range(k)]
+    for i, g in enumerate(order):
+        turn, at = divmod(i, k)
+        folds[at if turn % 2 == 0 else k - 1 - at].append(g)
+    return [tuple(f) for f in folds if f]
+
+
+def nested(df: DataFrame, features: list[str], label: str, group: str, parameters: Boosting, keys: tuple[str, ...], inner: int = 3, cuts: list[list[float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nested calibration of groups left out: (keys, model, score, calibrated) of each row, and (model, slope, offset) of each fit.
+
+    For each group, a model of all others scores it; that model's calibrator is fitted to the scores that the others have from
+    models which saw neither the group nor their own inner fold. All outer and inner models are fitted in one plan, and all
+    calibrators at once. ``keys`` must tell rows apart and have group and label among them. The lists of groups and of models,
+    as many as groups times inner folds and groups, are what the driver holds.
+    """
+    sizes = {r[0]: r[1] for r in df.where(F.col(group).isNotNull()).groupBy(F.col(group).cast("string")).count().collect()}
+    make = lambda name, without: Boosting(**{**parameters.__dict__, "name": name, "without": tuple(without)})
+    outer = [make(g, (g,)) for g in sorted(sizes)]
+    deeper = [make(f"{g}\0{i}", (g, *fold)) for g in sorted(sizes) for i, fold in enumerate(inner_folds({k: n for k, n in sizes.items() if k != g}, inner))]
+    models = fit(df, features, label, [*outer, *deeper], group, cuts=cuts, keys=keys)
+    raw = out_of_fold(df, models[: len(outer)], group, keys)
+    own = F.split("model", "\0")[0]
+    inside = out_of_fold(df, models[len(outer) :], group, keys).withColumn("model", own).where(F.col("model") != F.col(group).cast("string"))
+    fits = calibration.fit_platt_by(inside, "model", "score", label)
+    return calibration.calibrated(raw, "model", "score", fits), fits

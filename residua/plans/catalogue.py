@@ -246,8 +246,10 @@ def checksums(spark, d):
 
 @query("SELECT l_returnflag, min(l_quantity) least, quantile_cont(l_quantity, 0.25) q25, quantile_cont(l_quantity, 0.5) median, quantile_cont(l_quantity, 0.75) q75, max(l_quantity) most, round(avg(l_quantity), 6) mean FROM lineitem GROUP BY 1")
 def feature_distribution(spark, d):
-    q = lambda x: F.percentile("l_quantity", F.lit(x))
-    return _rounded(_t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("l_quantity").alias("most"), F.avg("l_quantity").alias("mean")))
+    x = _t(spark, d, "lineitem")
+    g = x.groupBy("l_returnflag").agg(F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"), F.avg("l_quantity").alias("mean"))
+    q = X.quantiles(x, ["l_returnflag"], "l_quantity", (25, 50, 75)).toDF("l_returnflag", "q25", "median", "q75")
+    return _rounded(g.join(q, "l_returnflag"))
 
 
 @query("SELECT CAST(greatest(least(floor(l_quantity / 2), (SELECT ceil(max(l_quantity) / 2) - 1 FROM lineitem)), 0) AS BIGINT) bin, count(*) n FROM lineitem GROUP BY 1")
@@ -257,10 +259,9 @@ def histogram(spark, d):
 
 @query("SELECT dense_rank() OVER (ORDER BY s_suppkey) - 1 AS fold, s_suppkey FROM supplier")
 def fold_map(spark, d):
-    from pyspark.sql import Window as W
-
-    # a table of groups; one window over it is small
-    return _t(spark, d, "supplier").select((F.dense_rank().over(W.orderBy("s_suppkey")) - 1).cast("long").alias("fold"), "s_suppkey")
+    # each distinct key once, so its rank is its place
+    keys = E.ranked(_t(spark, d, "supplier").select("s_suppkey").distinct(), "s_suppkey")
+    return keys.select((F.col("rank") - 1).cast("long").alias("fold"), F.col("__s").alias("s_suppkey"))
 
 
 @query(_S + ", t AS (SELECT count(*) n, sum(label) p FROM s), g AS (SELECT grp, count(*) n, sum(label) p FROM s GROUP BY grp) SELECT grp, round((t.n - g.n - (t.p - g.p)) / (t.p - g.p), 6) weight FROM g, t")

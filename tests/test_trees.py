@@ -4,7 +4,9 @@ import heapq
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from residua.operators import calibration as C
 from residua.operators import learning as L
 from residua.operators import trees as B
 
@@ -125,3 +127,26 @@ def test_edges_and_odd_rows(spark):
     assert m.trees[0].value.tolist() == [0.0] * 7 and B.predict(none, [m], ("g",)).count() == 0
     with pytest.raises(Exception, match="has a null"):
         B.fit(df.selectExpr("nullif(a, 1) AS a", "b", "y"), ["a", "b"], "y", [p], cuts=[[1.0], [1.0]])
+
+
+def test_nested_calibration(spark, table):
+    """Against models and calibrators fitted one at a time."""
+    df, *_ = table
+    p = B.Boosting("x", trees=2, depth=2, leaves=3, rate=0.5, positive=2.0, least_child=5, rows=1.0)
+    rows, fits = B.nested(df, ["a", "b", "c"], "y", "g", p, ("i", "g", "y"), 2, CUTS)
+    fits = {r.model: (r.slope, r.offset) for r in fits.collect()}
+    got = {r.i: (r.score, r.calibrated) for r in rows.collect()}
+    others = ["g0", "g1", "g3"]
+    folds = B.inner_folds(dict.fromkeys(others, 100), 2)
+    assert folds == [("g0",), ("g1", "g3")] and B.inner_folds({"a": 1}, 3) == [("a",)] and B.inner_folds({}, 2) == []
+    inside = None
+    for f in folds:
+        (m,) = B.fit(df.where(~F.col("g").isin("g2", *f)), ["a", "b", "c"], "y", [p], cuts=CUTS)
+        s = B.predict(df.where(F.col("g").isin(*f)), [m], ("y",))
+        inside = s if inside is None else inside.unionByName(s)
+    slope, offset = C.fit_platt(inside, "score", "y")
+    assert abs(slope - fits["g2"][0]) < 1e-4 and abs(offset - fits["g2"][1]) < 1e-4
+    (m,) = B.fit(df.where("g <> 'g2'"), ["a", "b", "c"], "y", [p], cuts=CUTS)
+    for r in B.predict(df.where("g = 'g2'"), [m], ("i",)).collect():
+        z = np.log(r.score / (1 - r.score))
+        assert np.allclose(got[r.i], (r.score, 1 / (1 + np.exp(-(slope * z + offset)))), atol=1e-4)
