@@ -160,3 +160,35 @@ def test_command(spark, tmp_path, capsys):
             main([*args, *bad])
     df.drop("a").write.parquet(str(tmp_path / "g"))
     assert main([*args[:2], str(tmp_path / "g"), *args[3:]]) == 1 and "missing" in capsys.readouterr().err
+
+
+def test_cif_words(spark, tmp_path):
+    """Quoted words, a text between semicolons, rows over two lines, lines that look like atoms elsewhere, bad numbers as rows."""
+    tags = ["group_PDB", "id", "label_atom_id", "label_comp_id", "label_asym_id", "label_seq_id", "Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv"]
+    doc = ["data_x", "_entry.id x", "_struct.title", ";ATOM 1 in a title", "loop_", ";", "loop_", "_other.kind", "_other.note", "ATOM 'ATOM 9 x'", "#", "loop_", *["_atom_site." + t for t in tags]]
+    doc += ["""ATOM 1 "O5'" MET A 1 1.0 2.0 3.0 50.0""", "ATOM\t2 'C A' MET", "A 1 1.5 2.0 3.0 60.0", "HETATM 3 O HOH A . 1.0 2.0 3.0 20.0", "ATOM 4 N GLY A 2 1.x 2.0 3.0 70.0", "ATOM 5 N GLY A ? 1.0 2.0 3.0 70.0", "#", "loop_", "_atom_type.symbol", "ATOM", "_last.one 1"]
+    (tmp_path / "a.cif").write_text("\n".join(doc) + "\n")
+    got = S.mmcif_atoms(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [(r.record, r.atom, r.residue, r.pos, r.x, r.b) for r in got] == [("ATOM", "O5'", "MET", 1, 1.0, 50.0), ("ATOM", "C A", "MET", 1, 1.5, 60.0), ("HETATM", "O", "HOH", None, 1.0, 20.0), ("ATOM", "N", "GLY", 2, None, 70.0), ("ATOM", "N", "GLY", None, 1.0, 70.0)]
+    assert [r.rule for r in S.mmcif_errors(spark, str(tmp_path)).orderBy("ordinal").collect()] == ["number", "number"]
+
+
+def test_large_files_are_split(spark, tmp_path):
+    """Lines and matrix rows keep their numbers over splits of a file; keys around the matrix don't count."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        (tmp_path / "t.txt").write_text("".join(f"line {i}\n" for i in range(3000)))
+        x = S.ordered(spark, str(tmp_path), (".TXT",))
+        assert x.rdd.getNumPartitions() > 3 and all(r.value == f"line {r.ordinal}" for r in x.collect()) and x.count() == 3000
+        n = 80
+        rows = [[i * n + j for j in range(n)] for i in range(n)]
+        doc = [{"other": [[7, 8]], "predicted_aligned_error": rows, "max_predicted_aligned_error": 31.75, "last": [1, 2]}]
+        (tmp_path / "m.json").write_text(json.dumps(doc, indent=1))
+        m = S.matrix(spark, str(tmp_path / "m.json"))
+        got = m.collect()
+        assert len(got) == n * n and all(r.value == (r.i - 1) * n + r.j - 1 for r in got)
+        (tmp_path / "n.json").write_text(json.dumps({"other": [[7, 8]]}))
+        assert S.matrix(spark, str(tmp_path / "n.json")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
