@@ -1,4 +1,4 @@
-"""Command line: ``python -m residua score`` scores a feature table with a written model."""
+"""Command line: ``python -m residua score`` scores a feature table, or structure and matrix files, with a written model."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators import scoring
+from .operators import extraction, scoring
 from .sinks import tables
 
 COLUMNS = ["grp", "pos", "letter", "probability_raw", "probability_calibrated", "predicted"]
@@ -30,8 +30,11 @@ def _positive(text: str) -> int:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="residua")
-    s = p.add_subparsers(dest="command", required=True).add_parser("score", help="score a Parquet feature table (grp, pos, letter and the model's features)")
-    s.add_argument("--features", required=True)
+    s = p.add_subparsers(dest="command", required=True).add_parser("score", help="score a Parquet feature table (grp, pos, letter and the model's features) or structure files")
+    given = s.add_mutually_exclusive_group(required=True)
+    given.add_argument("--features")
+    given.add_argument("--structures", help="a folder of structure files, scored with the matrix files beside them")
+    s.add_argument("--matrices", help="the folder of the matrix files, if another")
     s.add_argument("--model", required=True)
     s.add_argument("--threshold", type=_share, default=0.5)
     s.add_argument("--top", type=_positive, help="print the rows of the highest probability as CSV")
@@ -40,7 +43,9 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """0, or 1 with the reason on standard error where the table breaks the model's contract.
+    """0, or 1 with the reason on standard error where the table breaks the model's contract or no structure can be used.
+
+    A structure that breaks a rule is named on standard error and left out; the others are scored.
 
     Without ``top``, the summary of each group is printed as JSON.
     """
@@ -48,8 +53,18 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     about = json.loads(spark.read.text(a.model + "/about", wholetext=True).first()[0])
     pipeline, _ = tables.read_model(spark, a.model, about["features"])
+    if a.features:
+        table = spark.read.parquet(a.features)
+    else:
+        folder = a.matrices or a.structures
+        table, verdicts = extraction.extract(spark, extraction.paired(spark, a.structures, folder), a.structures, folder)
+        failed = verdicts.where("status = 'FAIL'").select("protein", "notes").orderBy("protein").collect()  # one row for each file that is left out
+        for r in failed:
+            print(f"{r.protein}: {r.notes}", file=sys.stderr)
+        if failed and table.isEmpty():
+            return 1
     try:
-        out = scoring.score(pipeline, spark.read.parquet(a.features), about["features"], about["calibrator"], a.threshold)
+        out = scoring.score(pipeline, table, about["features"], about["calibrator"], a.threshold)
     except ValueError as e:
         print(e, file=sys.stderr)
         return 1
