@@ -103,8 +103,16 @@ def signatures(lines: list[str]) -> np.ndarray:
     return out
 
 
+def short(sig: np.ndarray) -> np.ndarray:
+    """The lowest four bits of each place of signatures, sixteen places to a number."""
+    out = np.zeros((len(sig), 3), U)
+    for i in range(PLACES):
+        out[:, i // 16] |= (sig[:, i] & 15).astype(U) << U(4 * (i % 16))
+    return out.view(np.int64)
+
+
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, place, id of each line that isn't blank, and sig, the signature, once for each id of a batch, else null."""
+    """doc_id, hash, place, id of each line that isn't blank, and sig, the signature, and near, its ``short`` form, once for each id of a batch, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
@@ -122,17 +130,29 @@ def signed(docs: DataFrame) -> DataFrame:
             if not row:
                 continue
             ptr = np.concatenate([[0], np.cumsum(np.array(new) * PLACES)]).astype(np.int32)
-            sig = pa.ListArray.from_arrays(pa.array(ptr), pa.array(signatures(list(seen)).reshape(-1)), mask=pa.array(~np.array(new)))
+            made, old = signatures(list(seen)), pa.array(~np.array(new))
+            sig = pa.ListArray.from_arrays(pa.array(ptr), pa.array(made.reshape(-1)), mask=old)
+            low = short(made)[np.maximum(np.cumsum(new) - 1, 0)]
+            near = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(low[:, i])) for i in range(3)], names=["n0", "n1", "n2"], mask=old)
             at = pa.array(row)
-            yield pa.record_batch([b.column("doc_id").take(at), b.column("hash").take(at), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), sig], names=[*KEY, "place", "id", "sig"])
+            yield pa.record_batch([b.column("doc_id").take(at), b.column("hash").take(at), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), sig, near], names=[*KEY, "place", "id", "sig", "near"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>")
+    return keyed(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>, near struct<n0:bigint,n1:bigint,n2:bigint>")
 
 
 def agree(one: str, two: str) -> Column:
-    """Whether two signatures have enough places in common."""
-    same = [(F.col(one)[i] == F.col(two)[i]).cast("int") for i in range(PLACES)]
-    return sum(same[1:], same[0]) >= LEAST
+    """Whether two signatures, in their short forms, have enough places in common.
+
+    Numbers that differ in any of a place's four bits have the place's lowest bit set in the end, so bits are counted. Few
+    operations to a pair: this is what all pairs of a band are held to.
+    """
+    differ = F.lit(0)
+    for i in range(3):
+        x = F.col(one)[f"n{i}"].bitwiseXOR(F.col(two)[f"n{i}"])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    return differ <= PLACES - LEAST
 
 
 def with_text(ids: DataFrame, docs: DataFrame, bits: int = 22) -> DataFrame:
@@ -184,11 +204,11 @@ def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, seed: int | None = None) -> DataFrame:
-    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, sig).
+    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, near).
 
     A band's largest component is only held against its other ones. With a seed, only leaders of each band are held against
     others: two lines of its largest component and two of all others, by hashes under the seed. This is linear and joins most
-    of a group of near copies, before all that is still apart is compared, each pair in the first band that both have.
+    of a group of near copies, before all that is still apart is compared.
     """
     rows = with_root(meet.select("id", "band"), comp)
     one = F.struct(F.xxhash64(F.lit(seed or 0), "band", "id").alias("v"), "id")
@@ -196,22 +216,13 @@ def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, seed: int | None = N
     by_root = rows.groupBy("band", "root").agg(F.count("*").alias("n"), *ends)
     main = by_root.groupBy("band").agg(F.max_by(F.struct("root", "lo", "hi"), F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
     held = rows.join(main.where("roots > 1").select("band", "m"), "band").withColumn("main", F.col("m.root")).join(sigs, "id")
-    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root", "sig")])
-    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & agree("sig1", "sig2")
+    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root", "near")])
+    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & agree("near1", "near2")
     if seed is not None:
         others = held.where("root <> main").groupBy("band").agg(*ends)
         held = held.join(others, "band").where("id in (m.lo, m.hi, lo, hi)")
-        once = (F.col("root1") != F.col("root2")) & agree("sig1", "sig2")
-    else:
-        # the first band that two signatures share is this one
-        shared = F.lit(0).cast("long")
-        for i, band in reversed(list(enumerate(BANDS))):
-            equal = F.lit(True)
-            for k in band:
-                equal &= F.col("sig1")[k] == F.col("sig2")[k]
-            shared = F.when(equal, F.lit(i)).otherwise(shared)
-        once &= shared == F.col("band").bitwiseAND(F.lit(15))
-    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "sig")])
+        once = (F.col("root1") != F.col("root2")) & agree("near1", "near2")
+    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "near")])
     pairs = a.join(b, "band").where(once)
     return pairs.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
 
@@ -248,7 +259,7 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     made = C.keep(signed(docs), "places", "zstd")
     every = made.select(*KEY, "place", "id")
-    sig = made.where("sig is not null").select("id", "sig")
+    sig = made.where("sig is not null").select("id", "sig", "near")
     # leaders: the least and the greatest id, hashes of the lines; a band has each line once or a few times
     w = W.partitionBy("band")
     rows = sig.select("id", F.explode(bands(F.col("sig"))).alias("band"))
@@ -256,12 +267,12 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     del rows
     C.tidy(docs.sparkSession)
     # signatures of lines that meet others; texts only of those that agree with one
-    sigs = C.keep(sig.join(meet.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("sig").alias("sig")), "signatures")
+    sigs = C.keep(sig.join(meet.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("near").alias("near")), "signatures")
     C.tidy(docs.sparkSession)
     led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
-    s, t = (sigs.select(F.col("id").alias(i), F.col("sig").alias(f"sig_{i}")) for i in "xy")
-    links = similar(pairs.join(s, "x").join(t, "y").where(agree("sig_x", "sig_y")).select("x", "y"), docs, percent)
+    s, t = (sigs.select(F.col("id").alias(i), F.col("near").alias(f"near_{i}")) for i in "xy")
+    links = similar(pairs.join(s, "x").join(t, "y").where(agree("near_x", "near_y")).select("x", "y"), docs, percent)
     comp = C.keep(C.components(links), "components")
     C.release(links)
     left = meet.where("n > 3").select("id", "band").distinct()  # of smaller bands, the leaders have met all lines
