@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from .tokenids import crc, pieces, vocabulary
 
+#: Parts of texts whose ids a task remembers; other stages may have left an executor little room.
+REMEMBERED = 200_000
+
 
 def patterns(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     """Packing patterns (lengths in order of place) and how often each is used; every length is used as often as it counts.
@@ -95,8 +98,8 @@ def cut(docs: DataFrame, tokenizer: str, end: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tok, part = pieces(tokenizer), TaskContext.get().partitionId()
-        for b in C.slices(batches, 1 << 20):
+        tok, part = pieces(tokenizer, REMEMBERED), TaskContext.get().partitionId()
+        for b in C.slices(batches, 1 << 19):
             ids, ptr = tok(b.column("text").to_pylist(), end)
             n = np.diff(ptr)
             k = -(-n // size)

@@ -300,14 +300,14 @@ def _odd(t: str) -> bool:
     return any(c + " " in t for c in _WHITE)
 
 
-_OPEN: dict[str, Pieces] = {}
+_OPEN: dict[tuple[str, int], Pieces] = {}
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, most: int = 500_000) -> Pieces:
     """One for each worker process and file."""
-    if path not in _OPEN:
-        _OPEN[path] = Pieces(path)
-    return _OPEN[path]
+    if (path, most) not in _OPEN:
+        _OPEN[path, most] = Pieces(path, most)
+    return _OPEN[path, most]
 
 
 def crc(ids: np.ndarray) -> int:
