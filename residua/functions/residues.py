@@ -118,6 +118,11 @@ def standard(sequence: Column) -> Column:
     return sequence.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$")
 
 
+def skipped(sequence: Column) -> Column:
+    """A note where weight, hydropathy and isoelectric point are left out, else null."""
+    return F.when(~F.coalesce(standard(sequence), F.lit(False)), "other letters")
+
+
 def isoelectric_point(sequence: Column, steps: int = 30) -> Column:
     """The pH from 4.05 to 12 at which the chain has no charge, two decimals, by halving; null for other letters or no letter."""
     first = F.coalesce(F.element_at(_map(PK_FIRST_OF), F.substring(sequence, 1, 1)), F.lit(PK_FIRST))

@@ -69,3 +69,13 @@ def square(matrix: DataFrame, group: str, sizes: DataFrame, size: str) -> DataFr
     rule = F.when(F.col("n").isNull(), "missing").when(F.col("size").isNull(), "extra")
     rule = rule.when((F.col("n") != F.col("size") * F.col("size")) | (F.col("kinds") != F.col("n")) | (F.col("lo") != 1) | (F.col("hi") != F.col("size")), "shape").when(F.col("bad") > 0, "value")
     return j.select(group, rule.alias("rule")).where("rule is not null")
+
+
+def training_gate(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all rules, rows that don't with ``broken``, the rules each breaks) of a training table, in one pass each.
+
+    A rule that is null of a row is broken. A null among the keys goes to the broken rows like any other.
+    """
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()]))
+    told = df.withColumn("broken", broken)
+    return told.where(F.size("broken") == 0).drop("broken"), told.where(F.size("broken") > 0).select(*keys, "broken")

@@ -29,9 +29,22 @@ def key_difference(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
 
 
 def interval_label(df: DataFrame, intervals: DataFrame, keys: list[str], other: list[str], at: str, start: str, stop: str, row: str) -> DataFrame:
-    """row, label: 1 where the row's place lies in an interval of its key (bounds included), else 0."""
-    hit = df.join(intervals, [F.col(a) == F.col(b) for a, b in zip(keys, other, strict=True)] + [F.col(at).between(F.col(start), F.col(stop))], "left_semi").select(row).distinct().withColumn("__hit", F.lit(1))
-    return df.select(row).distinct().join(hit, row, "left").select(row, F.coalesce("__hit", F.lit(0)).alias("label"))
+    """row, label: 1 where the row's place, a whole number, lies in an interval of its key (bounds included), else 0.
+
+    An interval is dealt to the cells of the least power of two that is as long as it is, of which it touches two at most; a place
+    lies in one cell of each power that occurs. The join is by key, power and cell, so a key with many rows and many
+    intervals is no square and isn't one task. Intervals that end before they begin, or have a null, hold nothing.
+    """
+    i = intervals.select(*[F.col(c).alias(f"__k{n}") for n, c in enumerate(other)], F.col(start).cast("long").alias("__a"), F.col(stop).cast("long").alias("__b")).where("__a <= __b").distinct()
+    i = i.withColumn("__p", F.ceil(F.log2((F.col("__b") - F.col("__a") + 1).cast("double"))).cast("int"))
+    powers = [r[0] for r in i.select("__p").distinct().orderBy("__p").collect()]  # 64 at most
+    cell = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("__p"))).cast("long")
+    i = i.select("*", F.explode(F.array_distinct(F.array(cell("__a"), cell("__b")))).alias("__c"))
+    x = df.select(row, *[F.col(c).alias(f"__x{n}") for n, c in enumerate(keys)], F.col(at).cast("long").alias("__at"))
+    p = x.withColumn("__q", F.explode(F.array(*[F.lit(v) for v in powers]) if powers else F.expr("cast(array() as array<int>)"))).withColumn("__d", F.floor(F.col("__at") / F.pow(F.lit(2.0), F.col("__q"))).cast("long"))
+    on = [F.col(f"__x{n}") == F.col(f"__k{n}") for n in range(len(keys))] + [F.col("__q") == F.col("__p"), F.col("__d") == F.col("__c"), F.col("__at").between(F.col("__a"), F.col("__b"))]
+    hit = p.join(i, on, "left_semi").select(row).distinct().withColumn("__hit", F.lit(1))
+    return x.select(row).distinct().join(hit, row, "left").select(row, F.coalesce("__hit", F.lit(0)).alias("label"))
 
 
 def near(means: DataFrame, told: DataFrame, key: str, mean: str, value: str, most: float) -> DataFrame:

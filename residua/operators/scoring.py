@@ -73,12 +73,41 @@ def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def one_at_a_time(spark, base: dict[str, float], steps: dict[str, list[float]]) -> DataFrame:
     """config, name, value, and a column for each parameter: the base, and each other value of one parameter at a time."""
-    rows, names = [("base", None, None, *base.values())], list(base)
-    for name, values in steps.items():
-        rows += [(f"{name}={v:g}", name, float(v), *[float(v) if n == name else base[n] for n in names]) for v in values if v != base[name]]
-    return spark.createDataFrame(rows, "config string, name string, value double, " + ", ".join(f"`{n}` double" for n in names))
+    every = spark.createDataFrame([(n, float(v)) for n, values in steps.items() for v in values], "name string, value double")
+    return varied(every, base)
+
+
+def varied(steps: DataFrame, base: dict[str, float]) -> DataFrame:
+    """The same for a table of steps(name, value); values of other parameters and nulls are left out, equal ones are one."""
+    start = F.create_map(*[x for n, v in base.items() for x in (F.lit(n), F.lit(float(v)))])
+    rows = steps.select("name", F.col("value").cast("double").alias("value")).where(F.col("name").isin(*base) & F.col("value").isNotNull()).distinct()
+    rows = rows.where(F.col("value") != F.element_at(start, F.col("name")))
+    shown = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
+    first = steps.sparkSession.range(1).select(F.lit("base").alias("config"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("value"))
+    both = first.unionByName(rows.select(F.concat("name", F.lit("="), shown).alias("config"), "name", "value"))
+    return both.select("config", "name", "value", *[F.when(F.col("name") == n, F.col("value")).otherwise(float(v)).alias(n) for n, v in base.items()])
 
 
 def score_digest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """rows, digest: equal for equal scores of equal keys, whatever the order of rows and partitions."""
     return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*keys, value).cast("decimal(38,0)")).alias("digest"))
+
+
+def ordered_digest(df: DataFrame, order: str, value: Column, size: int = 4096) -> DataFrame:
+    """rows, sha256 of a buffer of values in the order of a column of unique numbers, the same whatever the partitions.
+
+    Values (as text, null as an empty one) are joined by commas in chunks of ``size`` places; a chunk's SHA-256 is of its text, and chunks' digests
+    are joined and hashed in the same way, level by level, until one is left. No task holds more than a chunk. An empty
+    buffer has the digest of the empty text.
+    """
+    from .evaluation import ranked
+
+    x = df.select(F.col(order).alias("__o"), F.coalesce(value.cast("string"), F.lit("")).alias("v"))
+    place = ranked(x, "__o").select(F.col("__s").alias("__o"), (F.col("rank") - 1).cast("long").alias("i"))
+    level, n = x.join(place, "__o").select("i", "v"), x.count()
+    left, first = n, True
+    while left > 1 or first:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]), ",")
+        level = level.groupBy(F.floor(F.col("i") / size).cast("long").alias("c")).agg(F.sha2(joined.cast("binary"), 256).alias("v")).select(F.col("c").alias("i"), "v")
+        left, first = -(-left // size), False
+    return level.agg(F.max("v").alias("v")).select(F.lit(n).cast("long").alias("rows"), F.coalesce("v", F.sha2(F.lit("").cast("binary"), 256)).alias("sha256"))

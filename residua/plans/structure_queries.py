@@ -346,9 +346,13 @@ def mean_imputation(spark, d):
     return _rounded(P.imputed(c, ["a"]))
 
 
-@query("SELECT * FROM (VALUES ('base', NULL, CAST(NULL AS DOUBLE), CAST(6 AS DOUBLE), CAST(31 AS DOUBLE)), ('depth=4', 'depth', 4, 4, 31), ('depth=8', 'depth', 8, 8, 31), ('leaves=15', 'leaves', 15, 6, 15), ('leaves=63', 'leaves', 63, 6, 63)) t(config, name, value, depth, leaves)")
+@query("""WITH s AS (SELECT DISTINCT 'depth' AS name, CAST(p_size % 3 + 5 AS DOUBLE) AS value FROM part UNION SELECT DISTINCT 'leaves', CAST(p_size % 4 * 8 + 15 AS DOUBLE) FROM part)
+SELECT 'base' AS config, NULL AS name, CAST(NULL AS DOUBLE) AS value, CAST(6 AS DOUBLE) AS depth, CAST(31 AS DOUBLE) AS leaves UNION ALL
+SELECT name || '=' || CAST(value AS INT), name, value, CASE WHEN name = 'depth' THEN value ELSE 6 END, CASE WHEN name = 'leaves' THEN value ELSE 31 END FROM s WHERE value <> CASE name WHEN 'depth' THEN 6 ELSE 31 END""")
 def one_at_a_time(spark, d):
-    return P.one_at_a_time(spark, {"depth": 6.0, "leaves": 31.0}, {"depth": [4, 6, 8], "leaves": [15, 31, 63]})
+    p = _t(spark, d, "part")
+    steps = p.select(F.lit("depth").alias("name"), (F.col("p_size") % 3 + 5).alias("value")).unionByName(p.select(F.lit("leaves").alias("name"), (F.col("p_size") % 4 * 8 + 15).alias("value")))
+    return P.varied(steps, {"depth": 6.0, "leaves": 31.0})
 
 
 @query("WITH c AS (SELECT s_nationkey k, round(avg(s_acctbal) / 1000, 3) a, round(max(s_acctbal) / 1000, 3) b, count(*) AS c FROM supplier GROUP BY 1), x AS (SELECT * FROM c WHERE a >= (SELECT max(a) FROM c) - 2), y AS (SELECT * FROM x WHERE b >= (SELECT max(b) FROM x) - 2) SELECT * FROM y ORDER BY y.c DESC, k LIMIT 1")
