@@ -87,6 +87,15 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
+#: What a row is known by: its doc_id, and a hash of its text for rows that share a doc_id.
+KEY = ["doc_id", "hash"]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, hash of each row that has a doc_id."""
+    return texts(docs).withColumn("hash", F.xxhash64("text"))
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -72,7 +73,7 @@ def item_prints(items: DataFrame, k: int = 5, w: int = 6) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, k: int = 5, w: int = 6, filter_bits: int = 22) -> tuple[DataFrame, DataFrame]:
-    """Two frames: one row for each document (doc_id, n_words), and the shared spans (doc_id, item_id, start, stop in words).
+    """Two frames: one row for each document (doc_id, hash, n_words), and the shared spans (doc_id, hash, item_id, start, stop in words).
 
     ``filter_bits``: a bit map of 2^filter_bits places of item fingerprints goes to every task, whatever
     the size of ``items``; it only thins out what the join must look at. The join is by fingerprint, and
@@ -105,11 +106,11 @@ def hits(docs: DataFrame, items: DataFrame, k: int = 5, w: int = 6, filter_bits:
             pos, size, hsh, ctx = pos[order], size[order], hsh[order], ctx[order]
             row = np.searchsorted(x.first, pos, "right") - 1
             st = pa.StructArray.from_arrays([pa.array((pos - x.first[row]).astype(np.int32)), pa.array(size), pa.array(_signed(hsh)), _binary(ctx)], names=["pos", "size", "hash", "context"])
-            yield pa.record_batch([b.column("doc_id"), pa.array(x.counts), pa.ListArray.from_arrays(pa.array(np.searchsorted(pos, x.first).astype(np.int32)), st)], names=["doc_id", "n_words", "kept"])
+            yield pa.record_batch([b.column("doc_id"), b.column("hash"), pa.array(x.counts), pa.ListArray.from_arrays(pa.array(np.searchsorted(pos, x.first).astype(np.int32)), st)], names=[*C.KEY, "n_words", "kept"])
 
-    first = C.keep(C.texts(docs).mapInArrow(run, f"doc_id long, n_words long, kept {kept}"), "prints")
-    found = first.select("doc_id", F.explode("kept").alias("x")).select("doc_id", "x.*")
-    joined = found.join(prints.withColumnRenamed("context", "other"), ["size", "hash"]).select("doc_id", "item_id", "pos", "size", "context", "other")
+    first = C.keep(C.keyed(docs).mapInArrow(run, f"doc_id long, hash long, n_words long, kept {kept}"), "prints")
+    found = first.select(*C.KEY, F.explode("kept").alias("x")).select("doc_id", F.col("hash").alias("own"), "x.*")
+    joined = found.join(prints.withColumnRenamed("context", "other"), ["size", "hash"]).select("doc_id", F.col("own").alias("hash"), "item_id", "pos", "size", "context", "other")
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -124,34 +125,31 @@ def hits(docs: DataFrame, items: DataFrame, k: int = 5, w: int = 6, filter_bits:
             ok = short | ((on >= k) & (back + on >= span))
             start, stop = np.where(short, pos, pos - back), np.where(short, pos + size, pos + on)
             keep = pa.array(ok)
-            yield pa.record_batch([b.column("doc_id"), b.column("item_id"), pa.array(start), pa.array(stop)], names=["doc_id", "item_id", "start", "stop"]).filter(keep)
+            yield pa.record_batch([*[b.column(c) for c in (*C.KEY, "item_id")], pa.array(start), pa.array(stop)], names=[*C.KEY, "item_id", "start", "stop"]).filter(keep)
 
-    return first.select("doc_id", "n_words"), joined.mapInArrow(extend, "doc_id long, item_id string, start long, stop long")
+    return first.select(*C.KEY, "n_words"), joined.mapInArrow(extend, "doc_id long, hash long, item_id string, start long, stop long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, k: int = 5, w: int = 6) -> DataFrame:
-    """doc_id, n_words, n_hit long, spans array<struct<start,stop>> (merged, in words), items array<string> (sorted), contaminated.
+    """doc_id, n_words, n_hit long, spans array<struct<start,stop>> (merged, in words), items array<string> (sorted), contaminated, hash.
 
     A document word in any occurrence of w + k - 1 consecutive item words (all words of a shorter item) is hit.
     Null and empty texts have no words and no hits, an item without words never occurs, no items: no hits.
-    Rows that repeat a doc_id share one set of hits. Order of rows and ties play no part.
+    Rows that repeat a doc_id are judged by their own texts, which ``hash`` tells apart. Order of rows and ties play no part.
     """
     base, spans = hits(docs, items, k, w)
-    merged = F.aggregate(
-        F.array_sort("s"),
-        F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], x["stop"]).alias("stop")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    # one row for each place first: a document's spans are bounded by its words, its items by the items
-    by_doc = spans.groupBy("doc_id", "start").agg(F.max("stop").alias("stop")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-    by_item = spans.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
-    out = base.join(by_doc.select("doc_id", merged.alias("spans")), "doc_id", "left").join(by_item, "doc_id", "left")
-    n = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"]), F.lit(0).cast("long"))
-    empty = F.expr("cast(array() as array<string>)")
-    return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")).alias("spans"), F.coalesce("items", empty).alias("items"), (n > 0).alias("contaminated"))
+    # one row for each place first; a span that begins behind all that end before it begins a new one
+    at = W.partitionBy(*C.KEY).orderBy("start")
+    place = spans.groupBy(*C.KEY, "start").agg(F.max("stop").alias("stop"))
+    ended = F.max("stop").over(at.rowsBetween(W.unboundedPreceding, -1))
+    runs = place.withColumn("new", (ended.isNull() | (F.col("start") > ended)).cast("int")).withColumn("run", F.sum("new").over(at.rowsBetween(W.unboundedPreceding, 0)))
+    merged = runs.groupBy(*C.KEY, "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    by_doc = merged.groupBy(*C.KEY).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"), F.sum(F.col("stop") - F.col("start")).alias("n_hit"))
+    # a document's items are bounded by the items
+    by_item = spans.select(*C.KEY, "item_id").distinct().groupBy(*C.KEY).agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    out = base.join(by_doc, C.KEY, "left").join(by_item, C.KEY, "left")
+    n, empty = F.coalesce("n_hit", F.lit(0).cast("long")), lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    return out.select("doc_id", "n_words", n.alias("n_hit"), F.coalesce("spans", empty("struct<start:bigint,stop:bigint>")).alias("spans"), F.coalesce("items", empty("string")).alias("items"), (n > 0).alias("contaminated"), "hash")
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -161,9 +159,14 @@ def op4_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by the benchmark of sf_dir."""
-    bad = contamination(docs.select("doc_id", "text"), C.table(spark, sf_dir, "benchmark", "item_id", "text")).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that are not contaminated by the benchmark of sf_dir.
+
+    Each row is judged by its own text, also where a doc_id repeats; null and empty texts stay, as do rows without doc_id; an empty
+    table gives none, and no benchmark takes nothing.
+    """
+    bad = contamination(docs.select("doc_id", "text"), C.table(spark, sf_dir, "benchmark", "item_id", "text")).where("contaminated")
+    bad = bad.select(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).distinct()
+    return docs.join(bad, (docs["doc_id"].cast("long") == bad["_doc"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_hash"]), "left_anti").select(*docs.columns)
 
 
 #: Windows of ten words found by their text; hit words by exploding the places of each window.

@@ -147,48 +147,47 @@ def _text_hash(raw: bytes) -> int:
 
 
 def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int = 300_000, hot: int = 5_000) -> DataFrame:
-    """doc_id, start, stop: words in windows that also start anywhere else (the same document included), in spans that may overlap.
+    """doc_id, hash, start, stop: words in windows that also start anywhere else (the same document included), in spans that may overlap.
 
     ``hot``: an anchor that stands in more places than this is dealt out by windows.
     """
-    spark, src = docs.sparkSession, C.texts(docs)
+    spark, src = docs.sparkSession, C.keyed(docs)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
             x = C.Words(b.column("text"), C.SPACED, False)
             row, start, n, h = _segments(x, window, k)
-            yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array((start - x.first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], names=["doc_id", "start", "n", "anchor"])
+            yield pa.record_batch([*[b.column(c).take(pa.array(row)) for c in C.KEY], pa.array((start - x.first[row]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], names=[*C.KEY, "start", "n", "anchor"])
 
-    segs = C.keep(src.mapInArrow(anchors, "doc_id long, start int, n int, anchor long"), "segments")
+    segs = C.keep(src.mapInArrow(anchors, "doc_id long, hash long, start int, n int, anchor long"), "segments")
     twice = C.keep(segs.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "anchors")
     # an anchor of more than a thousandth of all segments, of which there are less than a thousand, isn't shuffled by
     often = F.col("c") * 1000 > segs.count()
     heavy, light = F.broadcast(twice.where(often)), twice.where(~often)
     met = segs.join(heavy, "anchor").unionByName(segs.join(heavy, "anchor", "left_anti").join(light, "anchor"))
-    wanted = met.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "anchor", (F.col("c") > hot).alias("hot"))).alias("segs"))
+    wanted = met.groupBy(*C.KEY).agg(F.collect_set(F.struct("start", "n", "anchor", (F.col("c") > hot).alias("hot"))).alias("segs"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, 1 << 20):
             x = C.Words(b.column("text"), C.SPACED, False)
             low = (x.hash & U(0xFFFFFFFF)).astype(np.uint32)  # beside equal anchors, half of each hash tells words apart
-            out: dict[str, list] = {c: [] for c in ("doc_id", "start", "anchor", "key", "body")}
-            for r, (doc, segs) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("segs").to_pylist(), strict=True)):
+            out: dict[str, list] = {c: [] for c in (*C.KEY, "start", "anchor", "key", "body")}
+            for r, (doc, own, segs) in enumerate(zip(*[b.column(c).to_pylist() for c in (*C.KEY, "segs")], strict=True)):
                 f = int(x.first[r])
                 for s in segs:
                     parts = [(s["start"] + i, 1) for i in range(s["n"])] if s["hot"] else [(s["start"], s["n"])]
                     for at, n in parts:
-                        if f + at + n + window - 1 > x.first[r + 1]:  # a row that repeats the doc_id with another text
-                            continue
                         body = low[f + at : f + at + n + window - 1].tobytes()
                         key = _text_hash(body)
                         out["doc_id"].append(doc)
+                        out["hash"].append(own)
                         out["start"].append(at)
                         out["anchor"].append(key if s["hot"] else s["anchor"])
                         out["key"].append(key)
                         out["body"].append(body)
-            yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["anchor"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["body"], pa.binary())], names=list(out))
+            yield pa.record_batch([pa.array(out["doc_id"], pa.int64()), pa.array(out["hash"], pa.int64()), pa.array(out["start"], pa.int32()), pa.array(out["anchor"], pa.int64()), pa.array(out["key"], pa.int64()), pa.array(out["body"], pa.binary())], names=list(out))
 
-    placed = C.keep(src.join(wanted, "doc_id").mapInArrow(texts, "doc_id long, start int, anchor long, key long, body binary"), "texts")
+    placed = C.keep(src.join(wanted, C.KEY).mapInArrow(texts, "doc_id long, hash long, start int, anchor long, key long, body binary"), "texts")
     C.release(segs, twice)
     del wanted, twice, met, heavy, light
     C.tidy(spark)
@@ -211,7 +210,7 @@ def covered(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int
             yield _searched(held, window)
 
     found = distinct.repartition(int(shards), "anchor").sortWithinPartitions("anchor", "key").mapInArrow(search, "anchor long, key long, spans array<struct<a:int,b:int>>")
-    return placed.select("doc_id", "start", "anchor", "key").join(found, ["anchor", "key"]).select("doc_id", "start", F.explode("spans").alias("s")).select("doc_id", (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("stop"))
+    return placed.select(*C.KEY, "start", "anchor", "key").join(found, ["anchor", "key"]).select(*C.KEY, "start", F.explode("spans").alias("s")).select(*C.KEY, (F.col("start") + F.col("s.a")).alias("start"), (F.col("start") + F.col("s.b")).alias("stop"))
 
 
 def _searched(held: list[tuple[int, int, bytes, int]], window: int) -> pa.RecordBatch:
@@ -233,10 +232,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int =
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one blank).
 
     Words stand between ASCII white space, unchanged. Null and empty texts have none; texts shorter than a window lose none.
-    Rows that repeat a doc_id count as places of their own, and share what is removed. An empty table gives none.
+    Rows that repeat a doc_id are rows like others; such as repeat their text too count as places of their own. An empty table gives none.
     """
     spans = covered(docs, window, k, shard_words, hot)
-    by_doc = spans.groupBy("doc_id", "start").agg(F.max("stop").alias("stop")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    by_doc = spans.groupBy(*C.KEY, "start").agg(F.max("stop").alias("stop")).groupBy(*C.KEY).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
@@ -252,7 +251,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, k: int = K, shard_words: int =
                 kept.append(b" ".join([raw[i:j] for i, j in zip(x.start[f:t][stay].tolist(), x.end[f:t][stay].tolist(), strict=True)]))
             yield pa.record_batch([b.column("doc_id"), pa.array(x.counts), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    return C.texts(docs).join(by_doc, "doc_id", "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return C.keyed(docs).join(by_doc, C.KEY, "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:

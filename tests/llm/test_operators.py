@@ -356,3 +356,17 @@ def test_license_words(spark):
         assert (r.n_words, r.n_base, r.base_labels) == (len(w), len(places), ",".join(sorted({v for _, v in places})))
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_rows_that_share_an_id_keep_their_own_text(spark):
+    """Two texts under one doc_id: what one loses, or is marked for, isn't the other's."""
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    df = frame(spark, [(1, a), (1, b), (2, a), (3, b + " tail"), (3, "free text")])
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substrings.dedup(df).collect())
+    assert got == [(1, 80, 80), (1, 80, 80), (2, 80, 80), (3, 2, 0), (3, 81, 80)]
+    one = frame(spark, [(1, a), (1, b), (2, a)])
+    kept = {(r.doc_id, r.n_removed): r.kept for r in substrings.dedup(one).collect()}
+    assert kept == {(1, 80): "", (1, 0): b, (2, 80): ""}
+    items = spark.createDataFrame([("x", " ".join(a.split()[20:40])), ("y", " ".join(a.split()[35:50]))], "item_id string, text string")
+    rows = sorted((r.doc_id, r.n_hit, [tuple(s) for s in r.spans], r["items"]) for r in decontaminate.contamination(one, items).collect())
+    assert rows == [(1, 0, [], []), (1, 30, [(20, 50)], ["x", "y"]), (2, 30, [(20, 50)], ["x", "y"])]
