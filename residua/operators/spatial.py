@@ -7,20 +7,35 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def radius_pairs(points: DataFrame, group: str, pos: str, xyz: tuple[str, str, str], radius: float) -> DataFrame:
+#: Half of the cells around a cell, itself among them: each pair of cells once.
+HALF = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+
+
+def radius_pairs(points: DataFrame, group: str, pos: str, xyz: tuple[str, str, str], radius: float, most: int = 4096) -> DataFrame:
     """group, i, j: ordered pairs of different points of one group at most ``radius`` apart.
 
-    Points go to cells of the radius' size, and only the 27 cells around a point are looked at, so the join's keys are
-    (group, cell) and the work follows the number of near points, not the square of a group.
+    Points go to cells of the radius' size. A cell is held against itself and half of the 26 around it, and each pair found is
+    given both ways, so the work follows the number of near points, not the square of a group. Cells of more than ``most``
+    points are dealt into lots of about as many, and lots are held against lots, so a crowded cell is many tasks.
     """
     cell = [F.floor(F.col(c) / radius).cast("long") for c in xyz]
-    own = points.select(group, F.col(pos).alias("i"), *[F.col(c).alias(f"__{k}") for k, c in zip("xyz", xyz, strict=True)], *[c.alias(f"__c{k}") for k, c in zip("xyz", cell, strict=True)])
-    step = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip((a, b, c), "abc", strict=True)]) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    near = own.withColumn("__d", step).select(
-        group, F.col("i").alias("j"), *[F.col(f"__{k}").alias(f"__o{k}") for k in "xyz"], *[(F.col(f"__c{k}") + F.col("__d")[n]).alias(f"__c{k}") for k, n in zip("xyz", "abc", strict=True)]
-    )
+    at, keys = ["__cx", "__cy", "__cz"], [group, "__cx", "__cy", "__cz"]
+    own = points.select(group, F.col(pos).alias("i"), *[F.col(c).alias(f"__{k}") for k, c in zip("xyz", xyz, strict=True)], *[c.alias(n) for n, c in zip(at, cell, strict=True)])
+    step = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(o, "abc", strict=True)]) for o in HALF])).alias("__d")
+    behind = [(F.col(c) - F.col("__d")[n]).alias(c) for c, n in zip(at, "abc", strict=True)]
+    crowded = own.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("__s")).where("__s > 1")
+    ahead = crowded.select(*keys, "__s", step).select(group, *behind, "__s").groupBy(*keys).agg(F.max("__s").alias("__t"))
+    lots = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
+    mine = lambda p: F.pmod(F.xxhash64(p), F.coalesce(F.col("__s"), F.lit(1))).cast("int")
+    here = own.join(crowded, keys, "left")
+    one = here.join(ahead, keys, "left").select(group, "i", "__x", "__y", "__z", *at, mine("i").alias("__a"), lots("__t").alias("__b"))
+    two = here.select(group, F.col("i").alias("j"), *[F.col(f"__{k}").alias(f"__o{k}") for k in "xyz"], *at, mine("i").alias("__b"), step)
+    two = two.select(group, "j", "__ox", "__oy", "__oz", "__b", *behind, (F.col("__d") == F.struct(*[F.lit(0).cast("long").alias(n) for n in "abc"])).alias("__same"))
+    two = two.join(crowded, keys, "left").select(group, "j", "__ox", "__oy", "__oz", *at, "__same", "__b", lots("__s").alias("__a"))
     d2 = sum((F.col(f"__{k}") - F.col(f"__o{k}")) * (F.col(f"__{k}") - F.col(f"__o{k}")) for k in "xyz")
-    return own.join(near, [group, "__cx", "__cy", "__cz"]).where((F.col("i") != F.col("j")) & (F.sqrt(d2) <= radius)).select(group, "i", "j")
+    near = one.join(two, [*keys, "__a", "__b"]).where((F.col("i") != F.col("j")) & (~F.col("__same") | (F.col("i") < F.col("j"))) & (F.sqrt(d2) <= radius))
+    both = F.inline(F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return near.select(group, both)
 
 
 def spatial_features(points: DataFrame, pairs: DataFrame, matrix: DataFrame, group: str, pos: str, value: str) -> DataFrame:
