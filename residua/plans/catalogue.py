@@ -403,4 +403,4 @@ def rows_conserved(spark, d):
     return G.rows_conserved(o, c, "c_custkey", "n")
 
 
-from . import gate_queries, model_queries, structure_queries  # noqa: E402, F401  (add their queries to these)
+from . import file_queries, gate_queries, model_queries, structure_queries  # noqa: E402, F401  (add their queries to these)

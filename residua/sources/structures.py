@@ -43,7 +43,7 @@ _WORDS = r"""'.*?'(?=\s|$)|".*?"(?=\s|$)|\S+"""
 _NUMBERS = ("Cartn_x", "Cartn_y", "Cartn_z", "B_iso_or_equiv")
 
 
-def _cif_rows(spark: SparkSession, path: str) -> DataFrame:
+def _cif_rows(spark: SparkSession, path: str, ends: tuple[str, ...] = CIF) -> DataFrame:
     """file, ordinal, tags, v: the rows of the atom loop of each mmCIF file, as words in the order of the loop's tags.
 
     A loop ends where other tags or a new block begin. Lines of a text between lines that begin with a semicolon are no words; a
@@ -51,7 +51,7 @@ def _cif_rows(spark: SparkSession, path: str) -> DataFrame:
     """
     w = W.partitionBy("file").orderBy("ordinal")
     upto = w.rowsBetween(W.unboundedPreceding, 0)
-    x = ordered(spark, path, CIF).withColumn("line", F.trim(F.regexp_replace("value", "[\t\r]", " ")))
+    x = ordered(spark, path, ends).withColumn("line", F.trim(F.regexp_replace("value", "[\t\r]", " ")))
     semi = F.col("value").startswith(";")
     x = x.withColumn("texts", F.sum(semi.cast("int")).over(upto)).where(~semi & (F.col("texts") % 2 == 0) & (F.col("line") != "") & ~F.col("line").startswith("#"))
     tag = F.col("line").startswith("_")
@@ -79,11 +79,11 @@ def _word(tag: str) -> Column:
     return F.try_element_at("v", F.nullif(F.array_position("tags", F.lit(tag)), F.lit(0)).cast("int"))
 
 
-def mmcif_atoms(spark: SparkSession, path: str) -> DataFrame:
+def mmcif_atoms(spark: SparkSession, path: str, ends: tuple[str, ...] = CIF) -> DataFrame:
     """Atom rows of mmCIF files: file, ordinal and typed columns found by each file's own tags; what can't be read is null (``mmcif_errors``)."""
     named = lambda t: F.when(~_word(t).isin(".", "?"), _word(t))
     either = lambda a, b: F.coalesce(named(a), named(b))
-    return _cif_rows(spark, path).select(
+    return _cif_rows(spark, path, ends).select(
         "file", "ordinal", _word("group_PDB").alias("record"), F.coalesce(_word("pdbx_PDB_model_num").try_cast("int"), F.lit(1)).alias("model"),
         chain_id(either("label_asym_id", "auth_asym_id")).alias("chain"), either("label_seq_id", "auth_seq_id").try_cast("int").alias("pos"), either("label_comp_id", "auth_comp_id").alias("residue"),
         either("label_atom_id", "auth_atom_id").alias("atom"), _word("label_alt_id").alias("alt"), _word("pdbx_PDB_ins_code").alias("icode"), _word("Cartn_x").try_cast("double").alias("x"), _word("Cartn_y").try_cast("double").alias("y"),
@@ -101,9 +101,9 @@ def mmcif_errors(spark: SparkSession, path: str) -> DataFrame:
     return _cif_rows(spark, path).select("file", "ordinal", rule.alias("rule")).where("rule is not null")
 
 
-def pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
+def pdb_atoms(spark: SparkSession, path: str, ends: tuple[str, ...] = PDB) -> DataFrame:
     """Atom rows of fixed-column PDB files, with the number of the model that each stands in."""
-    x = ordered(spark, path, PDB).withColumnRenamed("value", "line")
+    x = ordered(spark, path, ends).withColumnRenamed("value", "line")
     w = W.partitionBy("file").orderBy("ordinal")
     x = x.withColumn("model", F.greatest(F.sum(F.when(F.col("line").startswith("MODEL"), 1).otherwise(0)).over(w), F.lit(1)).cast("int")).where("line rlike '^(ATOM|HETATM)' and length(line) >= 66")
     part = lambda a, n: F.trim(F.substring("line", a, n))
