@@ -75,6 +75,19 @@ def candidate_rules(required: tuple[str, ...] = REQUIRED, urls: dict[str, str] =
     return rules
 
 
+# What is said of the source of a table of candidates.
+SOURCE = ("name", "full_name", "url", "license", "license_url", "attribution_note")
+
+
+def source_rules(block: str = "source", required: tuple[str, ...] = SOURCE, citations: str = "citation") -> dict[str, Column]:
+    """The rules of the source block, a struct with an array of citations: it is there, each text is filled in, and so is each citation, one at least."""
+    s = F.col(block)
+    blank = lambda c: F.coalesce(F.trim(c.cast("string")), F.lit("")) == ""
+    rules = {f"{block} missing": s.isNull()} | {f"{block}.{c} missing": blank(s[c]) for c in required}
+    rules[f"{block}.{citations} missing"] = ~F.coalesce((F.size(s[citations]) > 0) & F.forall(s[citations], lambda c: ~blank(c)), F.lit(False))
+    return rules
+
+
 def repeated_values(df: DataFrame, keys: tuple[str, ...] = UNIQUE) -> DataFrame:
     """column, value, n: values of the columns that more than one row has, blank ones left out; one pass for all columns."""
     each = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), text(c).alias("value")) for c in keys])))
@@ -154,6 +167,20 @@ def sequence_differences(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return df.select(key, F.when(n(a) == 0, n(b)).when(n(b) == 0, n(a)).otherwise(both).cast("long").alias("differing"))
 
 
+def sequence_identity(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """key, length_a, length_b, differing, first (place from 1 of the first difference, null if there is none), match.
+
+    The document of a comparison of each structure's sequence with the one that it should have; a null is an empty sequence, and
+    an empty one matches nothing. Rows without a match are what must stop a run.
+    """
+    x, y = F.coalesce(F.col(a), F.lit("")), F.coalesce(F.col(b), F.lit(""))
+    differs = F.zip_with(F.when(x == "", F.array()).otherwise(F.split(x, "")), F.when(y == "", F.array()).otherwise(F.split(y, "")), lambda u, v: ~u.eqNullSafe(v))
+    told = df.select(key, F.length(x).cast("long").alias("length_a"), F.length(y).cast("long").alias("length_b"), differs.alias("__d"))
+    first = F.nullif(F.array_position("__d", F.lit(True)), F.lit(0)).cast("long")
+    n = F.size(F.filter("__d", lambda z: z)).cast("long")
+    return told.select(key, "length_a", "length_b", n.alias("differing"), first.alias("first"), ((n == 0) & (F.col("length_a") > 0)).alias("match"))
+
+
 def hygiene(value: Column, name: str = "text") -> dict[str, Column]:
     """What a text that is to be the same on every run may not have: dates, paths from the root, carriage returns, a byte order mark, no new line at its end."""
     return {

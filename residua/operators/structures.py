@@ -124,3 +124,29 @@ def feature_rules(group: str = "group") -> dict[str, Column]:
     for c in ("row_mean", "col_mean", "local_mean"):
         rules[f"{c} not finite"] = F.col(c).isNull() | F.isnan(c) | (F.col(c) < 0)
     return rules
+
+
+def atom_rules() -> dict[str, Column]:
+    """What a kept atom row may not be: of an inserted residue, without a name, of an unknown residue, without numbers, out of range."""
+    c = F.col
+    none = lambda v: F.coalesce(F.trim(c(v)), F.lit("")) == ""
+    finite = F.lit(True)
+    for v in ("x", "y", "z"):
+        finite &= c(v).isNotNull() & ~F.isnan(c(v)) & (F.abs(c(v)) < float("inf"))
+    return {
+        "inserted residue": ~F.coalesce(F.trim(c("icode")), F.lit("")).isin("", ".", "?"), "no atom name": none("atom"), "no residue name": none("residue"), "unknown residue": ~none("residue") & R.one_letter(c("residue"), None).isNull(),
+        "coordinates": ~finite, "position": c("pos").isNull(), "confidence": ~F.coalesce(c("b").between(0, 100), F.lit(False)),
+    }
+
+
+def inference_rules(atoms: DataFrame, keys: list[str], pos: str = "pos") -> DataFrame:
+    """keys, pos (null for a chain as a whole), rule: what keeps a chain of kept atoms from being scored, each rule and place once.
+
+    Beside the rules of its atoms: a place of two residue names or without a CA, and fewer than two residues.
+    """
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in atom_rules().items()]))
+    rows = atoms.select(*keys, F.col(pos).alias("pos"), F.explode(broken).alias("rule")).distinct()
+    place = atoms.groupBy(*keys, F.col(pos).alias("pos")).agg(F.countDistinct(F.upper(F.trim("residue"))).alias("names"), F.max((F.col("atom") == "CA").cast("int")).alias("ca"))
+    own = F.array_compact(F.array(F.when(F.col("names") > 1, F.lit("two residue names")), F.when(F.coalesce("ca", F.lit(0)) == 0, F.lit("no CA"))))
+    few = place.groupBy(*keys).agg(F.count("pos").alias("n")).where("n < 2").select(*keys, F.lit(None).cast(dict(atoms.dtypes)[pos]).alias("pos"), F.lit("fewer than two residues").alias("rule"))
+    return rows.unionByName(place.select(*keys, "pos", F.explode(own).alias("rule"))).unionByName(few)

@@ -12,6 +12,7 @@ What a task holds is bounded: models are fitted in blocks whose sums have a fixe
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -391,3 +392,27 @@ def nested(df: DataFrame, features: list[str], label: str, group: str, parameter
     inside = out_of_fold(df, models[len(outer) :], group, keys).withColumn("model", own).where(F.col("model") != F.col(group).cast("string"))
     fits = calibration.fit_platt_by(inside, "model", "score", label)
     return calibration.calibrated(raw, "model", "score", fits), fits
+
+
+def save(spark, models: list[Model], path: str, about: dict) -> None:
+    """Models as a table of their nodes, and beside it, as sorted JSON, their parameters and what is said about them."""
+    rows = [(k, t, int(i), int(tree.feature[i]), int(tree.cut[i]), float(tree.value[i]), float(tree.gain[i]), int(tree.rows[i])) for k, m in enumerate(models) for t, tree in enumerate(m.trees) for i in np.flatnonzero((tree.rows > 0) | (tree.feature >= 0))]
+    spark.createDataFrame(rows, "model int, tree int, node int, feature int, cut int, value double, gain double, rows long").coalesce(1).write.mode("overwrite").parquet(path + "/nodes")
+    told = {"about": about, "features": models[0].features, "edges": models[0].edges, "models": [{**m.parameters.__dict__, "start": m.start} for m in models]}
+    spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path + "/about")
+
+
+def load(spark, path: str) -> tuple[list[Model], dict]:
+    """What ``save`` has written: models that score as they did, and what was said about them."""
+    told = json.loads(spark.read.text(path + "/about", wholetext=True).first()[0])
+    out = []
+    for d in told["models"]:
+        start = d.pop("start")
+        p = Boosting(**{**d, "without": tuple(d["without"])})
+        size = (1 << (p.depth + 1)) - 1
+        trees = [Tree(np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size), np.zeros(size, np.int64)) for _ in range(p.trees)]
+        out.append(Model(p, told["features"], told["edges"], start, trees))
+    for r in spark.read.parquet(path + "/nodes").collect():  # the models' own size
+        t = out[r.model].trees[r.tree]
+        t.feature[r.node], t.cut[r.node], t.value[r.node], t.gain[r.node], t.rows[r.node] = r.feature, r.cut, r.value, r.gain, r.rows
+    return out, told["about"]

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import residues as R
 from ..operators import extraction as X
 from ..operators import gates as G
+from ..operators import manifest as N
+from ..operators import quality as Q
 from ..operators import scoring as P
+from ..operators import structures as T
 from .catalogue import _rounded, _t, query
 
 
@@ -113,3 +116,52 @@ SELECT n.n AS rows, CASE WHEN n <= 64 THEN (SELECT max(v) FROM a) WHEN n <= 4096
 def ordered_digest(spark, d):
     """Digest of all values in the order of their ids."""
     return P.ordered_digest(_t(spark, d, "events"), "event_id", F.round(F.col("value") * 10).cast("long"), 64)
+
+
+# --- sources, identities, records of figures, atoms -----------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT n_nationkey k, CASE WHEN n_nationkey % 11 = 0 THEN NULL ELSE n_name END AS name, CASE WHEN n_nationkey % 5 = 0 THEN ' ' ELSE 'u' END AS url FROM nation)
+SELECT 'source' entity, CAST(k AS VARCHAR) id, unnest(list_filter([CASE WHEN k % 13 = 0 THEN 'source missing' END, CASE WHEN k % 13 = 0 OR name IS NULL THEN 'source.name missing' END, CASE WHEN k % 13 = 0 THEN 'source.full_name missing' END, CASE WHEN k % 13 = 0 OR url = ' ' THEN 'source.url missing' END, CASE WHEN k % 13 = 0 THEN 'source.license missing' END,
+CASE WHEN k % 13 = 0 THEN 'source.license_url missing' END, CASE WHEN k % 13 = 0 THEN 'source.attribution_note missing' END, CASE WHEN k % 13 = 0 OR k % 3 = 0 THEN 'source.citation missing' END], lambda x: x IS NOT NULL)) AS rule FROM s""")
+def source_block(spark, d):
+    """What is missing from source blocks: texts, and citations (none at all, or a blank one among them)."""
+    k, u = F.col("n_nationkey"), F.lit("u")
+    cited = F.when(k % 6 == 0, F.expr("cast(array() as array<string>)")).when(k % 3 == 0, F.array(u, F.lit(" "))).otherwise(F.array(u))
+    block = F.struct(F.when(k % 11 != 0, F.col("n_name")).alias("name"), u.alias("full_name"), F.when(k % 5 == 0, " ").otherwise("u").alias("url"), u.alias("license"), u.alias("license_url"), u.alias("attribution_note"), cited.alias("citation"))
+    return Q.violations(_t(spark, d, "nation").select("n_nationkey", F.when(k % 13 != 0, block).alias("source")), "source", "n_nationkey", N.source_rules())
+
+
+@query("""WITH x AS (SELECT p_partkey k, p_name a, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 7 = 0 THEN '' ELSE left(p_name, 3) || p_type END b FROM part),
+y AS (SELECT *, list_filter(range(1, greatest(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)) AS d FROM x)
+SELECT k, length(a) AS length_a, length(b) AS length_b, CAST(len(d) AS BIGINT) AS differing, CAST(d[1] AS BIGINT) AS first, len(d) = 0 AND length(a) > 0 AS match FROM y""")
+def sequence_identity(spark, d):
+    """The document of each comparison of two sequences, and whether they are one."""
+    k = F.col("p_partkey")
+    x = _t(spark, d, "part").select(k.alias("k"), F.col("p_name").alias("a"), F.when(k % 3 == 0, F.col("p_name")).when(k % 7 == 0, "").otherwise(F.concat(F.substring("p_name", 1, 3), "p_type")).alias("b"))
+    return N.sequence_identity(x, "k", "a", "b")
+
+
+@query("""WITH f AS (SELECT event_id k, CAST(event_type = 'purchase' AS INT) AS label, value AS score FROM events WHERE event_id % 17 > 0), w AS (SELECT event_id k, CASE WHEN event_id % 19 = 0 THEN 1 - CAST(event_type = 'purchase' AS INT) ELSE CAST(event_type = 'purchase' AS INT) END AS label, CASE WHEN event_id % 23 = 0 THEN value + 0.5 ELSE value + 1e-12 END AS score FROM events WHERE event_id % 29 > 0)
+SELECT k, metric FROM (SELECT coalesce(f.k, w.k) k, unnest(list_filter([CASE WHEN f.label IS DISTINCT FROM w.label THEN 'label' END, CASE WHEN f.score IS NULL OR w.score IS NULL OR abs(f.score - w.score) > 1e-9 THEN 'score' END], lambda x: x IS NOT NULL)) AS metric FROM f FULL JOIN w ON f.k = w.k)""")
+def recorded_scores(spark, d):
+    """Scores and labels by id against those recorded: what differs, and what only one of both has."""
+    k, y = F.col("event_id"), (F.col("event_type") == "purchase").cast("int")
+    e = _t(spark, d, "events")
+    found = e.where(k % 17 > 0).select(k.alias("k"), y.alias("label"), F.col("value").alias("score"))
+    told = e.where(k % 29 > 0).select(k.alias("k"), F.when(k % 19 == 0, 1 - y).otherwise(y).alias("label"), F.when(k % 23 == 0, F.col("value") + 0.5).otherwise(F.col("value") + 1e-12).alias("score"))
+    return G.metric_gate(found, told, "k").select("k", "metric")
+
+
+@query("""WITH a AS (SELECT l_suppkey % 50 AS chain, l_partkey % 40 AS pos, CASE l_linenumber % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'CA' ELSE '' END AS atom, CASE WHEN l_orderkey % 211 = 0 THEN 'XXX' WHEN l_orderkey % 97 = 0 THEN 'GLY' ELSE 'ALA' END AS residue, CASE WHEN l_orderkey % 101 = 0 THEN 'B' ELSE '.' END AS icode, CASE WHEN l_orderkey % 89 = 0 THEN NULL ELSE l_quantity END AS x, l_extendedprice / 800 AS b FROM lineitem),
+r AS (SELECT DISTINCT chain, pos, unnest(list_filter([CASE WHEN icode = 'B' THEN 'inserted residue' END, CASE WHEN atom = '' THEN 'no atom name' END, CASE WHEN residue = 'XXX' THEN 'unknown residue' END, CASE WHEN x IS NULL THEN 'coordinates' END, CASE WHEN NOT (b BETWEEN 0 AND 100) THEN 'confidence' END], lambda v: v IS NOT NULL)) AS rule FROM a),
+p AS (SELECT chain, pos, count(DISTINCT residue) n, bool_or(atom = 'CA') ca FROM a GROUP BY ALL)
+SELECT chain, pos, rule FROM r UNION ALL SELECT chain, pos, 'two residue names' FROM p WHERE n > 1 UNION ALL SELECT chain, pos, 'no CA' FROM p WHERE NOT ca UNION ALL SELECT chain, NULL, 'fewer than two residues' FROM p GROUP BY chain HAVING count(*) < 2""")
+def atom_violations(spark, d):
+    """What keeps chains from being scored, by place."""
+    k, line = F.col("l_orderkey"), F.col("l_linenumber") % 3
+    a = _t(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 50).alias("chain"), (F.col("l_partkey") % 40).alias("pos"), F.when(line == 0, "N").when(line == 1, "CA").otherwise("").alias("atom"), F.when(k % 211 == 0, "XXX").when(k % 97 == 0, "GLY").otherwise("ALA").alias("residue"),
+        F.when(k % 101 == 0, "B").otherwise(".").alias("icode"), F.when(k % 89 != 0, F.col("l_quantity")).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), (F.col("l_extendedprice") / 800).alias("b"),
+    )
+    return T.inference_rules(a, ["chain"])

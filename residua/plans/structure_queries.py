@@ -115,7 +115,7 @@ def structure_status(spark, d):
     return s.select("k", status.alias("validation_status"), notes.alias("notes"))
 
 
-_TWO = "WITH a AS (SELECT c_custkey k, c_name AS name, c_nationkey AS version FROM customer WHERE c_custkey % 10 > 0), b AS (SELECT c_custkey k, CASE WHEN c_custkey % 6 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS version FROM customer WHERE c_custkey % 9 > 0), m AS (SELECT coalesce(a.k, b.k) k, unnest(list_filter([CASE WHEN a.k IS NULL OR b.k IS NULL THEN 'k' END, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.name IS DISTINCT FROM b.name THEN 'name' END, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.version IS DISTINCT FROM b.version THEN 'version' END], lambda x: x IS NOT NULL)) AS \"column\" FROM a FULL JOIN b ON a.k = b.k)"
+_TWO = "WITH a AS (SELECT c_custkey k, c_name AS name, c_nationkey AS version FROM customer WHERE c_custkey % 10 > 0), b AS (SELECT c_custkey k, CASE WHEN c_custkey % 6 = 0 THEN upper(c_name) ELSE c_name END AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_nationkey END AS version FROM customer WHERE c_custkey % 9 > 0), m AS (SELECT coalesce(a.k, b.k) k, a.k ak, b.k bk, a.name an, b.name bn, a.version av, b.version bv, unnest(list_filter([CASE WHEN a.k IS NULL OR b.k IS NULL THEN 'k' END, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.name IS DISTINCT FROM b.name THEN 'name' END, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL AND a.version IS DISTINCT FROM b.version THEN 'version' END], lambda x: x IS NOT NULL)) AS \"column\" FROM a FULL JOIN b ON a.k = b.k)"
 
 
 def _two(spark, d):
@@ -124,9 +124,9 @@ def _two(spark, d):
     return a, c.where(k % 9 > 0).select(k.alias("k"), F.when(k % 6 == 0, F.upper("c_name")).otherwise(F.col("c_name")).alias("name"), F.when(k % 4 != 0, F.col("c_nationkey")).alias("version"))
 
 
-@query(_TWO + ' SELECT k, "column" FROM m')
+@query(_TWO + """ SELECT k, "column", CASE "column" WHEN 'k' THEN CAST(ak AS VARCHAR) WHEN 'name' THEN an ELSE CAST(av AS VARCHAR) END AS "left", CASE "column" WHEN 'k' THEN CAST(bk AS VARCHAR) WHEN 'name' THEN bn ELSE CAST(bv AS VARCHAR) END AS "right" FROM m""")
 def identity_mismatches(spark, d):
-    return N.mismatches(*_two(spark, d), "k", ["name", "version"]).select("k", "column")
+    return N.mismatches(*_two(spark, d), "k", ["name", "version"])
 
 
 @query(_TWO + ' SELECT "column", count(*) n FROM m GROUP BY ALL')

@@ -51,6 +51,13 @@ def summary(df: DataFrame, key: str, most: int = 10_000) -> str:
     return json.dumps([r.asDict(recursive=True) for r in rows], indent=2, sort_keys=True, default=str) + "\n"
 
 
+def provenance(spark: SparkSession, metrics: dict, rows: int, **more) -> dict:
+    """What is said beside a model: its figures, how many rows it was made from, and the versions that made it."""
+    import platform
+
+    return {"environment": {"spark": spark.version, "python": platform.python_version(), "system": platform.system()}, "metrics": metrics, "rows": rows, **more}
+
+
 def model(pipeline, path: str, about: dict) -> None:
     """A fitted pipeline, and beside it what it was made from, as sorted JSON."""
     pipeline.write().overwrite().save(path + "/model")

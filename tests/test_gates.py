@@ -59,3 +59,22 @@ def test_varied_allowed_and_first(spark):
     assert {r.i: r.allowed for r in N.allowed_by(urls, "u", hosts, "h").collect()} == {1: True, 2: False, 3: False, 4: False}
     rows = spark.createDataFrame([("a", i % 50) for i in range(200)] + [("b", 3)], "g string, p int")
     assert {r.g: (r.n, r["first"]) for r in T.first_offenders(rows, ["g"], "p", 3).collect()} == {"a": (200, [0, 0, 0]), "b": (1, [3])}
+
+
+def test_source_and_identity(spark):
+    kind = "k int, source struct<name:string,full_name:string,url:string,license:string,license_url:string,attribution_note:string,citation:array<string>>"
+    full = ("n", "f", "u", "l", "lu", "a")
+    df = spark.createDataFrame([(1, (*full, ["c"])), (2, None), (3, ("n", " ", None, "l", "lu", "a", [])), (4, (*full, ["c", None]))], kind)
+    got = {(r.id, r.rule) for r in Q.violations(df, "source", "k", N.source_rules()).collect()}
+    assert {i for i, _ in got} == {"2", "3", "4"} and {r for i, r in got if i == "3"} == {"source.full_name missing", "source.url missing", "source.citation missing"}
+    assert {r for i, r in got if i == "4"} == {"source.citation missing"} and ("2", "source missing") in got
+    s = spark.createDataFrame([(1, "MGA", "MGA"), (2, "MGA", "MGAK"), (3, "MKA", "MGG"), (4, None, ""), (5, None, "M")], "k int, a string, b string")
+    assert {r.k: (r.length_a, r.length_b, r.differing, r["first"], r.match) for r in N.sequence_identity(s, "k", "a", "b").collect()} == {1: (3, 3, 0, None, True), 2: (3, 4, 1, 4, False), 3: (3, 3, 2, 2, False), 4: (0, 0, 0, None, False), 5: (0, 1, 1, 1, False)}
+
+
+def test_atom_rules(spark):
+    kind = "chain string, pos int, atom string, residue string, icode string, x double, y double, z double, b double"
+    good = ("CA", "ALA", ".", 1.0, 1.0, 1.0, 50.0)
+    rows = [("a", 1, *good), ("a", 2, *good), ("b", 1, *good), ("c", 1, "N", "gly ", None, 1.0, 1.0, 1.0, 50.0), ("c", 2, "CA", "ALA", "C", float("nan"), 1.0, None, 101.0), ("c", 2, None, "GLY", ".", 1.0, 1.0, 1.0, 0.0), ("c", None, "CA", "UNK", ".", 1.0, 1.0, 1.0, None)]
+    got = {(r.chain, r.pos, r.rule) for r in T.inference_rules(spark.createDataFrame(rows, kind), ["chain"]).collect()}
+    assert got == {("b", None, "fewer than two residues"), ("c", 1, "no CA"), ("c", 2, "inserted residue"), ("c", 2, "coordinates"), ("c", 2, "confidence"), ("c", 2, "no atom name"), ("c", 2, "two residue names"), ("c", None, "position"), ("c", None, "unknown residue"), ("c", None, "confidence")}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from residua.operators import calibration as C
 from residua.operators import learning as L
 from residua.operators import trees as B
+from residua.sinks import tables as K
 
 
 def plain(bins, y, p, ids, n_f):
@@ -150,3 +151,14 @@ def test_nested_calibration(spark, table):
     for r in B.predict(df.where("g = 'g2'"), [m], ("i",)).collect():
         z = np.log(r.score / (1 - r.score))
         assert np.allclose(got[r.i], (r.score, 1 / (1 + np.exp(-(slope * z + offset)))), atol=1e-4)
+
+
+def test_save_and_load(spark, table, tmp_path):
+    df, *_ = table
+    models = B.fit(df, ["a", "b", "c"], "y", [B.Boosting("one", trees=2, depth=3, leaves=4), B.Boosting("two", ("g1",), trees=1, depth=2)], "g", cuts=CUTS)
+    about = K.provenance(spark, {"roc": 0.5}, 400, calibrator={"method": "sigmoid", "slope": 1.0, "intercept": 0.0})
+    B.save(spark, models, str(tmp_path / "m"), about)
+    again, told = B.load(spark, str(tmp_path / "m"))
+    assert told == about and told["environment"]["spark"] == spark.version and [m.parameters for m in again] == [m.parameters for m in models]
+    score = lambda x: sorted(map(tuple, B.predict(df, x, ("i",)).collect()))
+    assert score(again) == score(models)
