@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -13,20 +11,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import trees
+
 # The parameters of the boosted trees, and what a positive row counts beside a negative one.
 TREES, DEPTH, RATE, ROWS, COLUMNS, LEAST_CHILD, POSITIVE, SEED = 100, 6, 0.05, 0.75, 0.9, 20, 20.0, 42
 
 
-def boosted_trees(trees: int = TREES):
-    """Boosted trees with the fixed parameters; trees grow by level, so leaves aren't limited beside the depth."""
+def boosted_trees(number: int = TREES):
+    """Spark's boosted trees with the fixed parameters; they grow by level, so leaves aren't limited beside the depth (``trees.fit`` limits them)."""
     return GBTClassifier(
-        maxIter=trees, maxDepth=DEPTH, stepSize=RATE, subsamplingRate=ROWS, featureSubsetStrategy=str(COLUMNS),
+        maxIter=number, maxDepth=DEPTH, stepSize=RATE, subsamplingRate=ROWS, featureSubsetStrategy=str(COLUMNS),
         minInstancesPerNode=LEAST_CHILD, seed=SEED, weightCol="__weight", labelCol="__label", featuresCol="__features",
     )
 
 
-def random_forest(trees: int = TREES, depth: int = DEPTH):
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, weightCol="__weight", labelCol="__label", featuresCol="__features")
+def random_forest(number: int = TREES, depth: int = DEPTH):
+    return RandomForestClassifier(numTrees=number, maxDepth=depth, seed=SEED, weightCol="__weight", labelCol="__label", featuresCol="__features")
 
 
 def fit(df: DataFrame, features: list[str], label: str, learner=None, positive: float = POSITIVE) -> PipelineModel:
@@ -42,17 +42,21 @@ def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:
     return p.select(*df.columns, vector_to_array("probability")[1].alias(out))
 
 
-def out_of_group(df: DataFrame, group: str, features: list[str], label: str, learner: Callable = boosted_trees, out: str = "score") -> DataFrame:
-    """Scores of each group by a model of all other groups.
+def out_of_group(df: DataFrame, group: str, features: list[str], label: str, parameters: trees.Boosting | None = None, out: str = "score", bins: int = 255) -> DataFrame:
+    """Scores of each group by boosted trees of all other groups, all models in one plan; rows of a null group have none.
 
-    One fit for each group, so it is meant for a few hundred groups: the list of groups is what the driver holds. Where a
-    linear model will do, ``out_of_group_linear`` does all groups in one plan.
+    The list of groups and their models are what the driver holds. Where a linear model will do, ``out_of_group_linear`` needs
+    neither.
     """
-    parts = [score(fit(df.where(F.col(group) != g), features, label, learner()), df.where(F.col(group) == g), out) for (g,) in df.select(group).distinct().orderBy(group).collect()]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    return whole
+    models = _models(df, group, features, label, parameters, bins)
+    if not models:
+        return df.where(F.lit(False)).withColumn(out, F.lit(None).cast("double"))
+    return trees.out_of_fold(df, models, group, tuple(df.columns)).select(*df.columns, F.col("score").alias(out))
+
+
+def _models(df: DataFrame, group: str, features: list[str], label: str, parameters: trees.Boosting | None, bins: int) -> list[trees.Model]:
+    each = trees.left_out(df, group, parameters or trees.Boosting("", positive=POSITIVE))
+    return trees.fit(df, features, label, each, group, bins) if each else []
 
 
 def importances(spark, models: dict[str, PipelineModel], features: list[str]) -> DataFrame:
@@ -66,10 +70,9 @@ def mean_importances(each: DataFrame) -> DataFrame:
     return each.groupBy("feature").agg(F.avg("importance").alias("mean"), F.stddev_pop("importance").alias("sd"), F.count("importance").alias("models"))
 
 
-def out_of_group_importances(df: DataFrame, group: str, features: list[str], label: str, learner: Callable = boosted_trees) -> DataFrame:
+def out_of_group_importances(df: DataFrame, group: str, features: list[str], label: str, parameters: trees.Boosting | None = None, bins: int = 255) -> DataFrame:
     """Mean importances over the models that ``out_of_group`` fits, one for each group left out."""
-    models = {str(g): fit(df.where(F.col(group) != g), features, label, learner()) for (g,) in df.select(group).distinct().orderBy(group).collect()}
-    return mean_importances(importances(df.sparkSession, models, features))
+    return mean_importances(trees.importances(df.sparkSession, _models(df, group, features, label, parameters, bins)))
 
 
 def out_of_group_linear(df: DataFrame, group: str, features: list[str], label: str, ridge: float = 0.0, out: str = "score") -> DataFrame:

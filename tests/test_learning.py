@@ -9,6 +9,7 @@ from residua.functions import residues as R
 from residua.operators import comparison as M
 from residua.operators import gates as G
 from residua.operators import learning as L
+from residua.operators import trees as B
 
 
 def test_probabilities(spark):
@@ -36,7 +37,7 @@ def test_out_of_group(spark):
         full = np.column_stack([np.ones(200), x])
         w = np.linalg.lstsq(full[~own], y[~own], rcond=None)[0]
         assert np.allclose([got[i] for i in np.flatnonzero(own)], full[own] @ w)
-    trees = L.out_of_group(df.where("g < 2"), "g", ["a", "b"], "y", lambda: L.boosted_trees(5)).collect()
+    trees = L.out_of_group(df.where("g < 2"), "g", ["a", "b"], "y", B.Boosting("", trees=3, depth=4, rate=0.3, least_child=5), bins=32).collect()
     # positives weigh 20, so scores are held against each other, not against a half
     pairs = [(r.score > q.score) + (r.score == q.score) / 2 for r in trees for q in trees if r.g == q.g and r.y > q.y]
     assert len(trees) == 100 and np.mean(pairs) > 0.8
@@ -60,7 +61,7 @@ def test_importances(spark):
     rng = np.random.default_rng(1)
     rows = [(i % 3, float(a), float(b), int(a > 0)) for i, (a, b) in enumerate(rng.normal(size=(150, 2)))]
     df = spark.createDataFrame(rows, "g int, a double, b double, y int")
-    got = {r.feature: r for r in L.out_of_group_importances(df, "g", ["a", "b"], "y", lambda: L.random_forest(5, 3)).collect()}
+    got = {r.feature: r for r in L.out_of_group_importances(df, "g", ["a", "b"], "y", B.Boosting("", trees=2, depth=3), bins=32).collect()}
     assert {r.models for r in got.values()} == {3} and abs(sum(r["mean"] for r in got.values()) - 1) < 1e-9 and got["a"]["mean"] > 0.7
 
 
