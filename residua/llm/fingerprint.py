@@ -66,24 +66,38 @@ def levels(buf: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 def histogram(docs: DataFrame) -> np.ndarray:
-    """How many windows of all texts have each level: LEVELS sums, whatever the size of docs."""
+    """How many windows have each level, of all texts on the coarse scale and of those that have the fine one on that: two rows of LEVELS sums, whatever the size of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(LEVELS, np.int64)
+        sums = np.zeros((2, LEVELS), np.int64)
         for b in C.slices(batches, 1 << 20):
             buf, rows = C.utf8(b.column("text"))
-            lv = levels(buf)
-            if len(lv):
-                sums += np.bincount(lv[_inside(rows, len(lv))], minlength=LEVELS)
-        at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["level", "n"])
-
-    out = np.zeros(LEVELS, np.int64)
-    for level, n in C.texts(docs).select("text").mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n")).collect():
-        out[level] = n
+            for scale, (part, ptr, window) in enumerate(((buf, rows, WINDOW), (*_of(buf, rows, _fine(rows)), FINE[0]))):
+                lv = levels(part, window)
+                if len(lv):
+                    sums[scale] += np.bincount(lv[_inside(ptr, len(lv), window)], minlength=LEVELS)
+        scale, level = np.nonzero(sums)
+        yield pa.record_batch([pa.array(scale.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(sums[scale, level])], names=["scale", "level", "n"])
+
+    out = np.zeros((2, LEVELS), np.int64)
+    for scale, level, n in C.texts(docs).select("text").mapInArrow(run, "scale int, level int, n long").groupBy("scale", "level").agg(F.sum("n")).collect():
+        out[scale, level] = n
     return out
 
 
+def _fine(rows: np.ndarray) -> np.ndarray:
+    """The rows that have the fine scale."""
+    size = np.diff(rows)
+    return np.flatnonzero((size > 0) & (size < FINE_BELOW))
+
+
+def _of(buf: np.ndarray, rows: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row starts of some rows alone."""
+    size = np.diff(rows)[some]
+    ptr = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    return buf[np.arange(ptr[-1]) + np.repeat(rows[some] - ptr[:-1], size)], ptr
+
+
 def _inside(rows: np.ndarray, n: int, span: int = WINDOW) -> np.ndarray:
     """Whether the span from each place lies in one row."""
     ok = np.ones(max(n, 0), bool)
@@ -99,7 +113,9 @@ def _inside(rows: np.ndarray, n: int, span: int = WINDOW) -> np.ndarray:
 
 
 def rarity(hist: np.ndarray) -> np.ndarray:
-    """Rank of each level, rarest first; levels under LEAST_LEVEL and unseen ones rank last."""
+    """Rank of each level, rarest first, for each scale of a histogram; levels under LEAST_LEVEL and unseen ones rank last."""
+    if hist.ndim > 1:
+        return np.stack([rarity(h) for h in hist])
     h = hist.astype(np.float64)
     h[:LEAST_LEVEL] = np.inf
     order = np.argsort(h, kind="stable")
@@ -132,18 +148,18 @@ def _scale(buf: np.ndarray, rows: np.ndarray, rank: np.ndarray, window: int, run
 def features(buf: np.ndarray, rows: np.ndarray, rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """For the fine and the coarse scale: hashes of the features of each row in order of place, and the first of each row.
 
-    A row shorter than the finer window has itself as its one feature; an empty row has none.
+    ``rank`` has a row for the coarse scale and one for the fine one, or one for both. A row shorter than the finer window has
+    itself as its one feature; an empty row has none.
     """
     size = np.diff(rows)
+    rank, own = rank if rank.ndim > 1 else (rank, rank)
     row, h = _scale(buf, rows, rank, WINDOW, RUN, POPULAR)
     long = size[row] >= COARSE_FROM
     coarse = row[long], h[long]
-    some = np.flatnonzero((size > 0) & (size < FINE_BELOW))
+    some = _fine(rows)
     row, h = np.zeros(0, np.int64), np.zeros(0, U)
     if len(some):
-        part = np.concatenate([[0], np.cumsum(size[some])])
-        idx = np.arange(part[-1]) + np.repeat(rows[some] - part[:-1], size[some])
-        r2, h2 = _scale(buf[idx], part, rank, *FINE)
+        r2, h2 = _scale(*_of(buf, rows, some), own, *FINE)
         tiny = some[size[some] < FINE[0]]
         h3 = np.array([int.from_bytes(hashlib.blake2b(buf[rows[r] : rows[r + 1]].tobytes(), digest_size=8).digest(), "little") for r in tiny], U)
         row, h = np.concatenate([some[r2], tiny]), np.concatenate([h2, h3])

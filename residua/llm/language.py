@@ -58,22 +58,23 @@ def _ngrams(x: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
 
 
 class Model:
-    """langs, and one mask for each of 2^bits places."""
+    """langs, and one mask for each of 2^bits places, in as many rows of numbers as languages need bits."""
 
     def __init__(self, langs: list[str], masks: np.ndarray, bits: int, hashes: int, prior: int):
         self.langs, self.masks, self.bits, self.hashes, self.prior = langs, masks, bits, hashes, prior
-        fill = np.array([np.count_nonzero(masks & (1 << i)) for i in range(len(langs))]) / len(masks)
+        self.width = masks.dtype.itemsize * 8
+        fill = np.array([np.count_nonzero(masks[i // self.width] & masks.dtype.type(1 << i % self.width)) for i in range(len(langs))]) / masks.shape[1]
         self.false = fill**hashes
 
     def places(self, g: np.ndarray) -> list[np.ndarray]:
         h = C.mix(g)
         return [((h >> U(j * 16)) + h * U(2 * j + 1) & U((1 << self.bits) - 1)).astype(np.int64) for j in range(self.hashes)]
 
-    def contains(self, g: np.ndarray) -> np.ndarray:
-        """For each n-gram the mask of all languages whose filter has it."""
+    def contains(self, g: np.ndarray) -> list[np.ndarray]:
+        """For each n-gram the mask of all languages whose filter has it, in rows as the masks are."""
         out = None
         for p in self.places(g):
-            out = self.masks[p] if out is None else out & self.masks[p]
+            out = [row[p] for row in self.masks] if out is None else [m & row[p] for m, row in zip(out, self.masks)]
         return out
 
     def share(self, col: pa.Array) -> np.ndarray:
@@ -86,7 +87,8 @@ class Model:
             m = self.contains(g)
             total += np.bincount(row, minlength=n)
             for i in range(len(self.langs)):
-                hit[:, i] += np.bincount(row, weights=(m >> m.dtype.type(i)) & m.dtype.type(1), minlength=n)
+                bit = m[i // self.width] >> self.masks.dtype.type(i % self.width) & self.masks.dtype.type(1)
+                hit[:, i] += np.bincount(row, weights=bit, minlength=n)
         t = total[:, None]
         return np.clip(np.where(t > 0, (hit - t * self.false) / np.maximum(t * (1 - self.false), 1e-9), 0), 0, 1)
 
@@ -94,14 +96,17 @@ class Model:
 def fit(rows: DataFrame, sample: int = 6000, bits: int = 18, hashes: int = 3, least_rate: float = 2e-6, against: float = 0.1) -> Model:
     """Learn from rows (doc_id, text, lang).
 
-    ``sample`` bounds the rows learnt from (a share of the rows by hash of doc_id, so that about as many remain).
+    ``sample`` bounds the rows learnt from: of each language about ``sample`` over their number, 300 at least, by hash of doc_id; a
+    language of few rows is learnt from all of them. Any number of languages can be learnt, 64 to a row of masks.
     A language has an n-gram if at least ``least_rate`` of its n-grams, two at least, and ``against`` of the highest rate of any
     language are this one; the rest is noise, as are words borrowed in passing.
     """
     rows = rows.where("lang is not null and doc_id is not null")
-    n = rows.count()
-    share = min(1.0, sample / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    docs = {r[0]: r[1] for r in rows.groupBy(F.col("lang").cast("string")).count().collect()}  # a row for each language
+    each = max(sample // max(len(docs), 1), 300)
+    most = {v: int(min(1.0, each / n) * (1 << 20)) + 1 for v, n in docs.items()}
+    mine = F.element_at(F.create_map(*[F.lit(x) for kv in most.items() for x in kv]), F.col("lang").cast("string")) if most else F.lit(0)
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
@@ -117,12 +122,10 @@ def fit(rows: DataFrame, sample: int = 6000, bits: int = 18, hashes: int = 3, le
 
     counted = C.keep(picked.select("text", F.col("lang").cast("string").alias("lang")).where("text is not null").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     total = {r[0]: r[1] for r in counted.groupBy("lang").agg(F.sum("n")).collect()}
-    docs = {r[0]: r[1] for r in picked.groupBy(F.col("lang").cast("string")).count().collect()}
     langs = sorted(docs)
-    if len(langs) > 64:
-        raise ValueError("a mask has 64 bits; fit fewer languages")
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.dtype(t).itemsize * 8)
-    masks = np.zeros(1 << bits, kind)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if len(langs) <= np.dtype(t).itemsize * 8 or t is np.uint64)
+    width = np.dtype(kind).itemsize * 8
+    masks = np.zeros((max(1, -(-len(langs) // width)), 1 << bits), kind)
     model = Model(langs, masks, bits, hashes, 0)
     if total:
         rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for kv in total.items() for x in kv]), F.col("lang"))
@@ -133,7 +136,7 @@ def fit(rows: DataFrame, sample: int = 6000, bits: int = 18, hashes: int = 3, le
         gram, lang = np.asarray(best.column("gram")).view(U), np.array(best.column("lang").to_pylist(), object)
         for i, v in enumerate(langs):
             for p in model.places(gram[lang == v]):
-                masks[p] |= kind(1 << i)
+                masks[i // width][p] |= kind(1 << i % width)
     return Model(langs, masks, bits, hashes, max(range(len(langs)), key=lambda i: (docs[langs[i]], langs[i])) if langs else 0)
 
 
@@ -188,7 +191,11 @@ REJECT = 0.3
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, reject: float = REJECT) -> DataFrame:
-    """Keep documents in a learnt language: those without letters or with a score under ``reject`` go."""
+    """Keep documents in a learnt language: those without letters or with a score under ``reject`` go.
+
+    Null and empty texts have no letters and go, as do rows without doc_id; rows that repeat are judged alike; other columns are
+    handed on, whatever their names. An empty table gives none; without a labelled row there is no language, and all go.
+    """
     kept = docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("__row"))
     model = fit(docs.select("doc_id", "text", "lang"))
     out = predict(kept, model, "text", "__row").where((F.col("lang_pred") != "und") & (F.col("score") >= reject))

@@ -370,3 +370,90 @@ def test_rows_that_share_an_id_keep_their_own_text(spark):
     items = spark.createDataFrame([("x", " ".join(a.split()[20:40])), ("y", " ".join(a.split()[35:50]))], "item_id string, text string")
     rows = sorted((r.doc_id, r.n_hit, [tuple(s) for s in r.spans], r["items"]) for r in decontaminate.contamination(one, items).collect())
     assert rows == [(1, 0, [], []), (1, 30, [(20, 50)], ["x", "y"]), (2, 30, [(20, 50)], ["x", "y"])]
+
+
+def plain_histogram(texts):
+    """Levels of all windows of each scale, by the definition of entropy."""
+    out = np.zeros((2, fingerprint.LEVELS), int)
+    for t in texts:
+        raw = (t or "").encode()
+        for scale, window in ((0, fingerprint.WINDOW), (1, fingerprint.FINE[0])):
+            if len(raw) >= window and (scale == 0 or len(raw) < fingerprint.FINE_BELOW):
+                out[scale] += np.bincount(np.rint(plain_levels(raw, window)).astype(int), minlength=fingerprint.LEVELS)
+    return out
+
+
+def test_each_scale_has_its_own_histogram(spark):
+    rng = random.Random(6)
+    texts = [None, "", "short", "a" * 300] + ["".join(rng.choice("abcdefgh é.") for _ in range(rng.choice([15, 16, 40, 300, 1000, 1500]))) for _ in range(40)]
+    got, want = fingerprint.histogram(frame(spark, list(enumerate(texts)))), plain_histogram(texts)
+    assert (got.sum(1) == want.sum(1)).all()
+    # a level may round the other way, to its neighbour
+    assert np.abs(np.cumsum(got, 1) - np.cumsum(want, 1)).max() <= 0.02 * want.sum()
+    rank = fingerprint.rarity(got)
+    assert rank.shape == got.shape and (rank[0] != rank[1]).any()
+
+
+def test_edited_texts(spark):
+    """Pairing, lengths, hashes and likenesses of the edited texts, one after another by the definition."""
+    import hashlib
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzéß") for _ in range(rng.randint(2, 9)))
+    texts = {i: " ".join(word() for _ in range(rng.choice([0, 3, 40, 200, 500]))) for i in range(0, 60, 2)} | {61: None, 63: "x"}
+    texts[64] = texts[8]
+    df = frame(spark, list(texts.items()))
+    rank = fingerprint.rarity(fingerprint.histogram(df))
+    got = {r.doc_id: r for r in fingerprint.edited(df).collect()}
+    order = sorted(texts, reverse=True)
+    for i, nxt in zip(order, order[1:] + order[:1]):
+        a, b = texts[i] or "", texts[nxt] or ""
+        half = len(a) // 2
+        new = a[: len(a) - half] + b[:half]
+        one, two, other = fingerprint.of_texts([a.encode(), new.encode(), b.encode()], rank)
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(a), hashlib.sha256(new.encode()).hexdigest())
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (fingerprint.text_of(one), fingerprint.text_of(two))
+        assert abs(got[i].near_edited - fingerprint.likeness(one, two)) < 1e-9 and abs(got[i].near_next - fingerprint.likeness(one, other)) < 1e-9
+    assert got[8].fingerprint == got[64].fingerprint
+
+
+def plain_languages(train, texts):
+    """Language and score by sets of n-grams in place of filters."""
+    def grams(t):
+        raw = bytes(c if 97 <= c <= 122 or c > 127 else 32 for c in (t or "").translate(LOW).encode())
+        x = b" " + b" ".join(raw.split()) + b" "
+        return [x[i : i + k] for k in (3, 4) for i in range(len(x) - k + 1) if 32 not in x[i + 1 : i + k - 1]]
+
+    n = {v: Counter(g for t, w in train if w == v for g in grams(t)) for v in {w for _, w in train}}
+    rate = {v: {g: c / sum(x.values()) for g, c in x.items()} for v, x in n.items()}
+    has = {v: {g for g, c in n[v].items() if c >= 2 and r[g] >= 2e-6 and r[g] >= 0.1 * max(q.get(g, 0) for q in rate.values())} for v, r in rate.items()}
+    for t in texts:
+        g = grams(t)
+        s = sorted(((sum(x in has[v] for x in g) / max(len(g), 1), v) for v in has), key=lambda x: (-x[0], x[1]))
+        yield s[0][1], s[0][0] * (1 - 0.5 * s[1][0] / s[0][0]) if s[0][0] else 0.0
+
+
+def test_language_against_sets(spark):
+    rng = random.Random(4)
+    vocab = {v: ["".join(rng.choice(a) for _ in range(rng.randint(2, 7))) for _ in range(150)] for v, a in (("aa", "abcdef"), ("bb", "defghi"), ("cc", "éèbcxyz"))}
+    say = lambda v, n: " ".join(rng.choice(vocab[v]).title() + rng.choice(["", ",", " 7"]) for _ in range(n))
+    train = [(say(v, 60), v) for v in vocab for _ in range(20)]
+    texts = [say(v, n) for v in vocab for n in (1, 5, 80)] + [say("aa", 9) + " " + say("bb", 8), "kkkk qqqq", None, "", "12 !!"]
+    rows = [(i, t, v) for i, (t, v) in enumerate(train)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(frame(spark, list(enumerate(texts))), model).collect()}
+    want = list(plain_languages(train, texts))
+    for i in range(10):
+        assert got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 0.02
+    assert got[10][1] == 0 and [got[i] for i in (11, 12, 13)] == [("und", 0.0)] * 3
+
+
+def test_many_and_rare_languages(spark):
+    """More languages than a mask has bits, one of them in a single row among thousands of another."""
+    word = lambda i: chr(97 + i % 26) + chr(97 + i // 26) + chr(97 + (7 * i) % 26) + "q"
+    rows = [(i, f"{word(i)} {word(i)} {word(i)}x", f"l{i:02d}") for i in range(70)] + [(100 + i, word(0) + " " + word(0), "l00") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(df, sample=500)
+    assert len(model.langs) == 70 and model.masks.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in language.predict(df.where("doc_id < 70"), model).collect()}
+    assert sum(got[i] == f"l{i:02d}" for i in range(70)) >= 65 and got[69] == "l69"
