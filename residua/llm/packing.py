@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from .tokenids import crc, pieces, vocabulary
 
-#: Parts of texts whose ids a task remembers; other stages may have left an executor little room.
-REMEMBERED = 200_000
+#: Parts of texts whose ids a task remembers: about 100 bytes each, far fewer parts to encode again.
+REMEMBERED = 700_000
 
 
 def patterns(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
