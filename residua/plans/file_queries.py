@@ -11,7 +11,7 @@ from ..sinks import tables as K
 from ..sinks.kept import new_folder
 from ..sources import documents as D
 from ..sources import structures as S
-from .catalogue import _M, _cells, _rounded, _t, query
+from .catalogue import _M, _cells, _t, query
 
 
 def _written(lines: DataFrame, name: str) -> str:
@@ -36,7 +36,7 @@ def _framed(rows: DataFrame, head: list[str], tail: list[str]) -> DataFrame:
 # --- structures: a point of each vector is the CA of a residue, another one its N; some atoms have marks that leave them out ----------
 
 _RESIDUES = """WITH v AS (SELECT label grp, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) pos, ['MET', 'GLY', 'ALA'][vec_id % 3 + 1] residue, round(CAST(embedding[1] AS DOUBLE) * 100) / 10 x, round(CAST(embedding[2] AS DOUBLE) * 100) / 10 y, CAST(vec_id % 90 + 10 AS DOUBLE) b FROM embeddings)
-SELECT grp, CAST(pos AS INT) pos, residue, CAST(CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 2 END AS BIGINT) n_atoms, round(x, 1) ca_x, round(CASE WHEN vec_id % 7 = 0 THEN y ELSE (y + y + 1) / 2 END, 3) centroid_y, b plddt_ca FROM v"""
+SELECT grp, CAST(pos AS INT) pos, residue, CAST(CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 2 END AS BIGINT) n_atoms, round(x, 1) + 0.0 ca_x, round(CASE WHEN vec_id % 7 = 0 THEN y ELSE (y + y + 1) / 2 END, 3) + 0.0 centroid_y, b plddt_ca FROM v"""
 
 
 def _points(spark, d) -> DataFrame:
@@ -52,7 +52,8 @@ def _points(spark, d) -> DataFrame:
 
 
 def _read_back(atoms: DataFrame) -> DataFrame:
-    return _rounded(S.residues(atoms).select(_group(), "pos", "residue", "n_atoms", "ca_x", "centroid_y", "plddt_ca"), 3)
+    # + 0.0: no negative zero
+    return S.residues(atoms).select(_group(), "pos", "residue", "n_atoms", *[(F.round(c, 3) + 0.0).alias(c) for c in ("ca_x", "centroid_y")], "plddt_ca")
 
 
 @query(_RESIDUES)
@@ -106,7 +107,7 @@ def fasta_files(spark, d):
 # --- documents and tables -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT s_suppkey AS protein_id, s_name AS name, CASE WHEN s_suppkey % 5 > 0 THEN CAST(s_nationkey AS INT) END AS sequence_length FROM supplier")
+@query("SELECT s_suppkey AS protein_id, s_name AS name, CASE WHEN s_suppkey % 5 > 0 THEN CAST(s_nationkey AS DOUBLE) END AS sequence_length FROM supplier")
 def candidate_files(spark, d):
     """Candidates of one JSON document; lengths that are texts are null."""
     s, k = _t(spark, d, "supplier"), F.col("s_suppkey")
@@ -114,7 +115,7 @@ def candidate_files(spark, d):
     value = F.concat(F.lit(',{"protein_id": '), k.cast("string"), F.lit(', "name": "'), "s_name", F.lit('", "sequence_length": '), length, F.lit("}"))
     lines = _framed(s.select(F.lit(0).alias("grp"), k.alias("ord"), value.alias("value")), ['{"candidates": [', '{"protein_id": -1}'], ["]}"])
     found = D.candidates(spark, _written(lines, "candidates"), {"protein_id": "long", "name": "string", "sequence_length": "int"})
-    return found.drop("file").where("protein_id >= 0")  # the first one is there for the commas' sake
+    return found.select("protein_id", "name", F.col("sequence_length").cast("double").alias("sequence_length")).where("protein_id >= 0")  # the first one is there for the commas' sake
 
 
 @query("SELECT CAST(n_nationkey AS INT) grp, 'AF-P' || n_nationkey || '-F1' AS entry, CAST(n_regionkey AS INT) AS version FROM nation")
@@ -146,14 +147,14 @@ def key_value_tables(spark, d):
     return D.table(spark, path, "letter string, n long")
 
 
-@query("SELECT o_orderkey, o_orderstatus AS status, round(o_totalprice, 2) AS price, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey END AS customer FROM orders")
+@query("SELECT o_orderkey, o_orderstatus AS status, round(o_totalprice, 2) AS price, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS DOUBLE) END AS customer FROM orders")
 def json_documents(spark, d):
     """Nested documents of each order, written as text and parsed again."""
     o = _t(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"), F.round("o_totalprice", 2).alias("price"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_custkey")).alias("customer"))
     path = new_folder(spark, "documents")
     K.documents(o, "o_orderkey", {"sums": ["price", "customer"]}).select("document").write.text(path)
     j = spark.read.schema("o_orderkey long, status string, sums struct<price:double,customer:long>").json(path)
-    return j.select("o_orderkey", "status", "sums.price", "sums.customer")
+    return j.select("o_orderkey", "status", "sums.price", F.col("sums.customer").cast("double").alias("customer"))
 
 
 @query("SELECT DISTINCT CAST(label AS INT) AS grp, sha256(CAST(label AS VARCHAR) || chr(10)) AS sha256, CAST(length(CAST(label AS VARCHAR)) + 1 AS BIGINT) AS size FROM embeddings")

@@ -43,11 +43,11 @@ def sequence_values(spark, d):
     return x.select("p_partkey", R.molecular_weight(s).alias("weight"), R.gravy(s).alias("gravy"), R.preview(s, 5).alias("preview"), R.skipped(s).alias("note"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN CAST(p_size AS INT) END AS version FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN CAST(p_size AS DOUBLE) END AS version FROM part")
 def model_versions(spark, d):
     """The version in a file's name, null for names of another form."""
     name = F.concat(F.lit("AF-P"), F.col("p_partkey"), F.lit("-F1-model_v"), F.col("p_size"), F.when(F.col("p_size") % 4 > 0, ".cif").otherwise(".txt"))
-    return _t(spark, d, "part").select("p_partkey", R.model_version(name).alias("version"))
+    return _t(spark, d, "part").select("p_partkey", R.model_version(name).cast("double").alias("version"))
 
 
 # --- gates ----------------------------------------------------------------------------------------------------------------
@@ -134,12 +134,12 @@ def source_block(spark, d):
 
 @query("""WITH x AS (SELECT p_partkey k, p_name a, CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 7 = 0 THEN '' ELSE left(p_name, 3) || p_type END b FROM part),
 y AS (SELECT *, list_filter(range(1, greatest(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)) AS d FROM x)
-SELECT k, length(a) AS length_a, length(b) AS length_b, CAST(len(d) AS BIGINT) AS differing, CAST(d[1] AS BIGINT) AS first, len(d) = 0 AND length(a) > 0 AS match FROM y""")
+SELECT k, length(a) AS length_a, length(b) AS length_b, CAST(len(d) AS BIGINT) AS differing, CAST(d[1] AS DOUBLE) AS first, len(d) = 0 AND length(a) > 0 AS match FROM y""")
 def sequence_identity(spark, d):
     """The document of each comparison of two sequences, and whether they are one."""
     k = F.col("p_partkey")
     x = _t(spark, d, "part").select(k.alias("k"), F.col("p_name").alias("a"), F.when(k % 3 == 0, F.col("p_name")).when(k % 7 == 0, "").otherwise(F.concat(F.substring("p_name", 1, 3), "p_type")).alias("b"))
-    return N.sequence_identity(x, "k", "a", "b")
+    return N.sequence_identity(x, "k", "a", "b").withColumn("first", F.col("first").cast("double"))
 
 
 @query("""WITH f AS (SELECT event_id k, CAST(event_type = 'purchase' AS INT) AS label, value AS score FROM events WHERE event_id % 17 > 0), w AS (SELECT event_id k, CASE WHEN event_id % 19 = 0 THEN 1 - CAST(event_type = 'purchase' AS INT) ELSE CAST(event_type = 'purchase' AS INT) END AS label, CASE WHEN event_id % 23 = 0 THEN value + 0.5 ELSE value + 1e-12 END AS score FROM events WHERE event_id % 29 > 0)
@@ -156,7 +156,7 @@ def recorded_scores(spark, d):
 @query("""WITH a AS (SELECT l_suppkey % 50 AS chain, l_partkey % 40 AS pos, CASE l_linenumber % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'CA' ELSE '' END AS atom, CASE WHEN l_orderkey % 211 = 0 THEN 'XXX' WHEN l_orderkey % 97 = 0 THEN 'GLY' ELSE 'ALA' END AS residue, CASE WHEN l_orderkey % 101 = 0 THEN 'B' ELSE '.' END AS icode, CASE WHEN l_orderkey % 89 = 0 THEN NULL ELSE l_quantity END AS x, l_extendedprice / 800 AS b FROM lineitem),
 r AS (SELECT DISTINCT chain, pos, unnest(list_filter([CASE WHEN icode = 'B' THEN 'inserted residue' END, CASE WHEN atom = '' THEN 'no atom name' END, CASE WHEN residue = 'XXX' THEN 'unknown residue' END, CASE WHEN x IS NULL THEN 'coordinates' END, CASE WHEN NOT (b BETWEEN 0 AND 100) THEN 'confidence' END], lambda v: v IS NOT NULL)) AS rule FROM a),
 p AS (SELECT chain, pos, count(DISTINCT residue) n, bool_or(atom = 'CA') ca FROM a GROUP BY ALL)
-SELECT chain, pos, rule FROM r UNION ALL SELECT chain, pos, 'two residue names' FROM p WHERE n > 1 UNION ALL SELECT chain, pos, 'no CA' FROM p WHERE NOT ca UNION ALL SELECT chain, NULL, 'fewer than two residues' FROM p GROUP BY chain HAVING count(*) < 2""")
+SELECT chain, pos, rule FROM r UNION ALL SELECT chain, pos, 'two residue names' FROM p WHERE n > 1 UNION ALL SELECT chain, pos, 'no CA' FROM p WHERE NOT ca UNION ALL SELECT chain, -1, 'fewer than two residues' FROM p GROUP BY chain HAVING count(*) < 2""")
 def atom_violations(spark, d):
     """What keeps chains from being scored, by place."""
     k, line = F.col("l_orderkey"), F.col("l_linenumber") % 3
@@ -164,4 +164,4 @@ def atom_violations(spark, d):
         (F.col("l_suppkey") % 50).alias("chain"), (F.col("l_partkey") % 40).alias("pos"), F.when(line == 0, "N").when(line == 1, "CA").otherwise("").alias("atom"), F.when(k % 211 == 0, "XXX").when(k % 97 == 0, "GLY").otherwise("ALA").alias("residue"),
         F.when(k % 101 == 0, "B").otherwise(".").alias("icode"), F.when(k % 89 != 0, F.col("l_quantity")).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"), (F.col("l_extendedprice") / 800).alias("b"),
     )
-    return T.inference_rules(a, ["chain"])
+    return T.inference_rules(a, ["chain"]).withColumn("pos", F.coalesce("pos", F.lit(-1)))

@@ -42,12 +42,12 @@ def _models(spark, d):
     return x, B.fit(x, _FEATURES, "y", [*B.left_out(x, "grp", p), p], "grp")
 
 
-@query(_TREES + """ SELECT n.model, 0 AS tree, n.node, CASE c.f WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' WHEN 2 THEN 'l_tax' END AS feature, c.v AS threshold, round(c.gain, 3) AS gain, n.rows, round(n.value, 6) AS value
+@query(_TREES + """ SELECT n.model, 0 AS tree, n.node, CASE c.f WHEN 0 THEN 'l_quantity' WHEN 1 THEN 'l_discount' WHEN 2 THEN 'l_tax' END AS feature, c.v AS threshold, round(c.gain, 3) AS gain, n.rows, round(n.value, 6) + 0.0 AS value
 FROM n LEFT JOIN (SELECT model, node, f, v, gain FROM b0 UNION ALL SELECT model, node, f, v, gain FROM k) c ON c.model = n.model AND c.node = n.node""")
 def leaf_limited_trees(spark, d):
     """Trees of three leaves at a depth of two, of all lines and without each group."""
     n = B.nodes(spark, _models(spark, d)[1])
-    return n.select("model", "tree", "node", "feature", "threshold", F.round("gain", 3).alias("gain"), "rows", F.round("value", 6).alias("value"))
+    return n.select("model", "tree", "node", "feature", "threshold", F.round("gain", 3).alias("gain"), "rows", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query(_TREES + " SELECT grp, count(*) AS n, round(avg(1 / (1 + exp(-(start + value)))), 6) AS mean_score, round(min(1 / (1 + exp(-(start + value)))), 6) AS least FROM r2 JOIN n USING (model, node) WHERE out GROUP BY grp")

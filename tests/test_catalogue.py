@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from residua.plans import catalogue
@@ -12,7 +13,7 @@ DIR = "/root/testdata/sf0.001"
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple(None if v != v or v is None else (round(float(v), 5) if isinstance(v, float) or "decimal" in type(v).__name__.lower() else str(v)) for v in r) for r in df.itertuples(index=False)), list(df.columns)
+    return sorted((tuple(None if v is None or v is pd.NA or v != v else (round(float(v), 5) if isinstance(v, float) or "decimal" in type(v).__name__.lower() else str(v)) for v in r) for r in df.itertuples(index=False)), key=lambda r: tuple((v is None, str(v)) for v in r)), list(df.columns)
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the tables")
