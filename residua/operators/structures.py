@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import residues as R
-from .spatial import matrix_means, radius_pairs, spatial_features
+from .spatial import Rule, matrix_means, rule_means, spatial_features
 
 
 def residue_atoms(atoms: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,15 +102,16 @@ def protein_summary(residues: DataFrame, cells: DataFrame, expected: DataFrame,
     return j.select(group, "expected", n.alias("rows"), "mean_value", "min_value", "max_value", "mean_cell", "min_cell", "max_cell", F.when(notes == "", "PASS").otherwise("FAIL").alias("status"), notes.alias("notes"))
 
 
-def features(residues: DataFrame, cells: DataFrame, group: str, radius: float = R.RADIUS, band: int = R.BAND) -> DataFrame:
-    """The feature table of residues(group, pos, letter, x, y, z, plddt, n_atoms) and matrix cells (group, i, j, value).
+def features(residues: DataFrame, cells: DataFrame | Rule, group: str, radius: float = R.RADIUS, band: int = R.BAND) -> DataFrame:
+    """The feature table of residues(group, pos, letter, x, y, z, plddt, n_atoms) and matrix cells (group, i, j, value), or a rule in place of them.
 
     Chemistry of the letter with the class one-hot in fixed order, row, column and band means of the matrix, and density, mean
     confidence and mean directed cell of the neighbours within ``radius``. A residue without a neighbour stays, with density 0.
     """
     own = residues.withColumn("plddt", F.round("plddt", 2))
-    sp = spatial_features(own, radius_pairs(own, group, "pos", ("x", "y", "z"), radius), cells, group, "pos", "plddt")
-    j = own.join(matrix_means(cells, group, band), [group, "pos"], "left").join(sp, [group, "pos"], "left")
+    sp = spatial_features(own, cells, group, "pos", ("x", "y", "z"), radius, "plddt")
+    means = rule_means(own, group, "pos", cells, band) if isinstance(cells, Rule) else matrix_means(cells, group, band)
+    j = own.join(means, [group, "pos"], "left").join(sp, [group, "pos"], "left")
     kind = R.residue_class(F.col("letter"))
     return j.select(
         group, "pos", "letter", kind.alias("class"), R.hydropathy(F.col("letter")).alias("hydropathy"), R.charge(F.col("letter")).alias("charge"), "n_atoms", F.col("plddt").alias("plddt_ca"), "row_mean", "col_mean", "local_mean",

@@ -249,9 +249,8 @@ def _residues(spark, d):
     e = _t(spark, d, "embeddings")
     letter = F.substring(F.lit("ACDEFGHIKLMNPQRSTVWY"), (F.col("vec_id") % 20 + 1).cast("int"), F.lit(1))
     r = e.select(F.col("label").alias("grp"), F.row_number().over(W.partitionBy("label").orderBy("vec_id")).cast("long").alias("pos"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")], (F.col("vec_id") % 97).cast("double").alias("plddt"), letter.alias("letter"), (F.col("vec_id") % 9 + 4).alias("n_atoms"))
-    n = r.groupBy("grp").agg(F.count("*").alias("n"))
-    i = n.select("grp", "n", F.explode(F.sequence(F.lit(1), "n")).alias("i"))
-    cells = i.select("grp", "i", F.explode(F.sequence(F.lit(1), "n")).alias("j")).withColumn("value", ((F.col("i") * 7 + F.col("j") * 3) % 30).cast("double"))
+    # as in the SQL the matrix is a rule, so none of its cells, the square of a group's rows, is a row
+    cells = S.Rule(lambda i, j: ((i * 7 + j * 3) % 30).cast("double"), 30, 10)
     return r, cells
 
 
