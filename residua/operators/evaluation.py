@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sinks.kept import kept
 from .matrices import exact_quantiles
 
 
@@ -23,8 +24,10 @@ def _running(x: DataFrame, by: list[str]) -> DataFrame:
 
     Scores are dealt to ranges, of which there are as many as shuffle partitions, by approximate percentiles; they may be uneven
     and change nothing. Each range of a group runs apart and starts at the sums of the ranges before it, so a group of most rows
-    is no single task.
+    is no single task. x is written down first: a score that is a mean may have other last digits each time it is computed, and
+    would then be of one range here and of another one there.
     """
+    x = kept(x, "steps")
     ranges = max(2, int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     edges = x.agg(F.percentile_approx("__s", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), F.lit(1000)).alias("__e"))  # one row
     x = x.crossJoin(F.broadcast(edges)).withColumn("__k", F.size(F.filter("__e", lambda t: t < F.col("__s")))).drop("__e")
@@ -39,10 +42,10 @@ def _running(x: DataFrame, by: list[str]) -> DataFrame:
     return j.select(*[run[c] for c in by], "__s", "__n", "__p", *[(F.col(f"__r{c}") + F.col(f"__b{c}")).alias(f"__c{c}") for c in "np"], "__an", "__ap")
 
 
-def ranked(df: DataFrame, column: str) -> DataFrame:
-    """__s, __n, rank: each distinct non-null value of a column, how often it is there, and the average rank of its rows."""
-    x = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__s")).agg(F.count("*").alias("__n"), F.lit(0).cast("long").alias("__p"))
-    return _running(x, []).select("__s", "__n", (F.col("__cn") - F.col("__n") + (F.col("__n") + 1) / 2).alias("rank"))
+def ranked(df: DataFrame, column: str, label: str | None = None) -> DataFrame:
+    """__s, __n, __p, rank: each distinct non-null value of a column, how often it is there, the sum of a 0/1 label (0 without one), and the average rank of its rows."""
+    known = df.where(F.col(column).isNotNull()).select(F.col(column).alias("__c"), (F.col(label) if label else F.lit(0)).alias("__y"))
+    return _running(_steps(known, "__c", "__y", []), []).select("__s", "__n", "__p", (F.col("__cn") - F.col("__n") + (F.col("__n") + 1) / 2).alias("rank"))
 
 
 def areas(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
