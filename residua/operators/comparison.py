@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sinks.kept import kept
 from .evaluation import ranked
 
 
@@ -30,8 +31,7 @@ def wilcoxon(deltas: DataFrame) -> DataFrame:
     z is the normal approximation with the correction for ties; it is null without a difference.
     """
     sizes = deltas.where("delta <> 0").select(F.abs("delta").alias("size"), (F.col("delta") > 0).cast("long").alias("up"))
-    up = sizes.groupBy("size").agg(F.sum("up").alias("up"))
-    r = ranked(sizes, "size").join(up, F.col("__s") == F.col("size")).select(F.col("__n").alias("t"), "up", "rank")
+    r = ranked(sizes, "size", "up").select(F.col("__n").alias("t"), F.col("__p").alias("up"), "rank")
     t = F.col("t")
     s = r.agg(F.sum("t").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (t - F.col("up"))).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
     n = F.col("n")
@@ -83,8 +83,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def rank_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """a, b, spearman: each pair of columns once; equal values share their average rank.
 
-    Each column's ranks are made of its distinct values, counted first, and joined back by value.
+    Each column's ranks are made of its distinct values, counted first, and joined back by value; so the values are written down
+    before, as computed ones might not meet themselves.
     """
+    df = kept(df.select(*columns), "ranks")
     for c in columns:
         df = df.join(ranked(df, c).select(F.col("__s").alias(c), F.col("rank").alias(f"__r_{c}")), c, "left")
     ranks = correlations(df.select(*[F.col(f"__r_{c}").alias(c) for c in columns]), columns)
