@@ -75,7 +75,7 @@ def pdb_files(spark, d):
     p, pad = _points(spark, d), lambda c, n: F.lpad(c, n, " ")
     number = lambda c, n: F.format_string(f"%.{n}f", c)
     row = F.concat(
-        F.rpad("record", 6, " "), F.lpad(F.col("ord").cast("string"), 5, " "), F.lit(" "), F.rpad("atom", 4, " "), "alt", "residue", F.lit(" A"), pad(F.col("pos").cast("string"), 4), F.lit("    "),
+        F.rpad("record", 6, " "), F.lpad((F.col("ord") % 100_000).cast("string"), 5, " "), F.lit(" "), F.rpad("atom", 4, " "), "alt", "residue", F.lit(" A"), S.residue_columns(F.col("pos")), F.lit("    "),
         pad(number("x", 3), 8), pad(number("ay", 3), 8), F.lit("   0.000  1.00"), pad(number("b", 2), 6),
     )
     lines = _framed(p.select("grp", "ord", row.alias("value")), ["HEADER", "MODEL        1"], ["ENDMDL", "END"])

@@ -101,6 +101,21 @@ def mmcif_errors(spark: SparkSession, path: str) -> DataFrame:
     return _cif_rows(spark, path).select("file", "ordinal", rule.alias("rule")).where("rule is not null")
 
 
+def residue_number(text: Column) -> Column:
+    """The number in the four columns of a residue; over 9999 as hybrid-36: A000 to ZZZZ, then a000 to zzzz. Null if it is neither."""
+    digits = F.conv(F.upper(text), 36, 10).cast("int")
+    base = 36**3
+    upper, lower = text.rlike("^[A-Z][0-9A-Z]{3}$"), text.rlike("^[a-z][0-9a-z]{3}$")
+    return F.when(upper, digits - 10 * base + 10_000).when(lower, digits + 16 * base + 10_000).otherwise(text.try_cast("int"))
+
+
+def residue_columns(number: Column) -> Column:
+    """Four columns of a residue's number, as ``residue_number`` reads them; an error where it doesn't fit."""
+    base, over = 36**3, number - 10_000
+    hybrid = F.when(over < 26 * base, F.conv((over + 10 * base).cast("string"), 10, 36)).when(over < 52 * base, F.lower(F.conv((over - 16 * base).cast("string"), 10, 36)))
+    return F.when(number.between(-999, 9999), F.lpad(number.cast("string"), 4, " ")).otherwise(F.coalesce(F.when(over >= 0, hybrid), F.raise_error(F.lit("a residue's number has no four columns"))))
+
+
 def pdb_atoms(spark: SparkSession, path: str, ends: tuple[str, ...] = PDB) -> DataFrame:
     """Atom rows of fixed-column PDB files, with the number of the model that each stands in."""
     x = ordered(spark, path, ends).withColumnRenamed("value", "line")
@@ -108,7 +123,7 @@ def pdb_atoms(spark: SparkSession, path: str, ends: tuple[str, ...] = PDB) -> Da
     x = x.withColumn("model", F.greatest(F.sum(F.when(F.col("line").startswith("MODEL"), 1).otherwise(0)).over(w), F.lit(1)).cast("int")).where("line rlike '^(ATOM|HETATM)' and length(line) >= 66")
     part = lambda a, n: F.trim(F.substring("line", a, n))
     return x.select(
-        "file", "ordinal", part(1, 6).alias("record"), "model", chain_id(F.substring("line", 22, 1)).alias("chain"), part(23, 4).try_cast("int").alias("pos"), part(18, 3).alias("residue"), part(13, 4).alias("atom"),
+        "file", "ordinal", part(1, 6).alias("record"), "model", chain_id(F.substring("line", 22, 1)).alias("chain"), residue_number(part(23, 4)).alias("pos"), part(18, 3).alias("residue"), part(13, 4).alias("atom"),
         part(17, 1).alias("alt"), part(27, 1).alias("icode"), part(31, 8).try_cast("double").alias("x"), part(39, 8).try_cast("double").alias("y"), part(47, 8).try_cast("double").alias("z"), part(61, 6).try_cast("double").alias("b"),
     )
 
@@ -151,5 +166,5 @@ def short_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal, rule: atom lines of fixed-column files that are too short, or whose numbers can't be read."""
     x = ordered(spark, path, PDB).withColumnRenamed("value", "line").where("line rlike '^(ATOM|HETATM)'")
     number = lambda a, n, t: F.trim(F.substring("line", a, n)).try_cast(t).isNull()
-    bad = number(23, 4, "int") | number(31, 8, "double") | number(39, 8, "double") | number(47, 8, "double") | number(61, 6, "double")
+    bad = residue_number(F.trim(F.substring("line", 23, 4))).isNull() | number(31, 8, "double") | number(39, 8, "double") | number(47, 8, "double") | number(61, 6, "double")
     return x.select("file", "ordinal", F.when(F.length("line") < 66, "short").when(bad, "number").alias("rule")).where("rule is not null")

@@ -192,3 +192,14 @@ def test_large_files_are_split(spark, tmp_path):
         assert S.matrix(spark, str(tmp_path / "n.json")).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_residue_numbers_over_9999(spark):
+    """Four columns hold 9999 as it is, then hybrid-36; both ways, to the last number."""
+    want = {-999: "-999", 1: "   1", 9999: "9999", 10_000: "A000", 10_035: "A00Z", 1_223_055: "ZZZZ", 1_223_056: "a000", 2_436_111: "zzzz"}
+    df = spark.createDataFrame([(n,) for n in want], "n int").select("n", S.residue_columns(F.col("n")).alias("t"))
+    assert {r.n: (r.t, r.back) for r in df.select("n", "t", S.residue_number(F.trim("t")).alias("back")).collect()} == {n: (t, n) for n, t in want.items()}
+    bad = spark.createDataFrame([("12A4",), ("A00",), ("Aa00",), ("",)], "t string").select(S.residue_number(F.col("t")).alias("n"))
+    assert [r.n for r in bad.collect()] == [None] * 4
+    with pytest.raises(Exception, match="four columns"):
+        spark.range(1).select(S.residue_columns(F.lit(2_436_112))).collect()
