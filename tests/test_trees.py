@@ -1,6 +1,7 @@
 """Boosted trees against a plain version that holds all rows, on odd rows, by groups left out and by grids."""
 
 import heapq
+import random
 
 import numpy as np
 import pytest
@@ -162,3 +163,21 @@ def test_save_and_load(spark, table, tmp_path):
     assert told == about and told["environment"]["spark"] == spark.version and [m.parameters for m in again] == [m.parameters for m in models]
     score = lambda x: sorted(map(tuple, B.predict(df, x, ("i",)).collect()))
     assert score(again) == score(models)
+
+
+def test_rows_that_repeat_are_counted_once(spark, monkeypatch):
+    """Repeated rows are one row of the passes; rows with a number of times give the same models and fits as rows that repeat."""
+    rng = random.Random(4)
+    rows = [(f"g{rng.randint(0, 2)}", rng.randint(0, 5) / 1.0, rng.randint(0, 3) / 1.0, int(rng.random() < 0.4), rng.randint(1, 4)) for _ in range(120)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y int, r int")
+    many = df.select("g", "a", "b", "y", F.explode(F.sequence(F.lit(1), "r"))).drop("col")
+    counted, cuts = many.groupBy("g", "a", "b", "y").agg(F.count("*").alias("n")), B.edges(many, ["a", "b"])
+    seen, kept = [], B.kept
+    monkeypatch.setattr(B, "kept", lambda x, name="kept": seen.append((name, x.count())) or kept(x, name))
+    models = [B.Boosting("m", ("g1",), trees=2, depth=2, leaves=3, rate=0.3, rows=0.7, columns=1.0, least_child=2, positive=2.0)]
+    one, two = B.fit(many, ["a", "b"], "y", models, "g"), B.fit(counted, ["a", "b"], "y", models, "g", cuts=cuts, weight="n")
+    assert seen[0] == ("binned", counted.count()) and counted.count() < many.count()
+    for x, y in zip(one[0].trees, two[0].trees):
+        assert (x.feature == y.feature).all() and (x.cut == y.cut).all() and (x.rows == y.rows).all() and x.value == pytest.approx(y.value)
+    with pytest.raises(ValueError):
+        B.fit(counted, ["a", "b"], "y", models, "g", weight="n")
