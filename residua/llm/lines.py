@@ -7,7 +7,8 @@ two leaders of the band by exact Jaccard similarity, and links are joined to com
 alternating large-star and small-star steps. Bands whose lines are then still of several
 components are gone through again, with other leaders and at last with all lines of different
 components, each pair in the first band that it shares. Pairs whose signatures have fewer than
-``LEAST`` places in common are not compared: of similar lines, one pair in several thousand.
+``LEAST`` places in common are not compared: of similar lines, one pair in several thousand. Of the others,
+only those whose parity sketches differ in no more bits than similar lines' can have their texts compared; that loses none.
 Of each component the line that comes first (by doc_id, then place) stays.
 
 Shingles and signatures are made in Arrow batches; everything else is DataFrame code. A form in
@@ -17,7 +18,8 @@ SQL functions alone took more CPU time and disk than it may (figures in the READ
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ _CHAR = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * U(2) + U(1)
 LEAST = 20
 #: Characters whose signatures are made at once: what they need stays in a core's cache.
 CHUNK = 1 << 17
+#: Lines of more shingles than each of these have a sketch of twice as many numbers, from four on.
+WIDER = (128, 256, 512, 1024, 2048)
 
 
 _FOLD = re.compile("[ \t\r\f\x0b]+")
@@ -87,32 +91,55 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, first
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of PLACES numbers of 16 bits for each line, which isn't blank."""
-    out = np.empty((len(lines), PLACES), np.int16)
-    size = np.fromiter(map(len, lines), np.int64, len(lines))
-    cut = np.cumsum(size) // CHUNK
+def sketches(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines of ``shingles``: how many different ones each has, how many 64-bit numbers its sketch has, and the sketches.
+
+    A bit is the parity of the line's different shingles in its place, so lines that differ in d shingles differ in d bits at
+    most. The halves of a sketch, one XOR the other, are the sketch of half the size. Shingles of a line are told apart by 44 bits.
+    """
+    row = np.repeat(np.arange(len(first) - 1, dtype=U), np.diff(first))
+    x = np.sort((row << U(44)) | (h[: len(row)] >> U(20)))
+    x = x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+    row = (x >> U(44)).astype(np.int64)
+    n = np.bincount(row, minlength=len(first) - 1)
+    size = np.full(len(n), 4)
+    for w in WIDER:
+        size[n > w] *= 2
+    at = np.cumsum(size) - size
+    bit = at[row] * 64 + (x.astype(np.int64) & (size[row] * 64 - 1))
+    odd = (np.bincount(bit, minlength=int(size.sum()) * 64) & 1).astype(bool)
+    return n, size, np.packbits(odd, bitorder="little").view("<i8")
+
+
+def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of lines of about CHUNK characters."""
+    cut = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))) // CHUNK
     at = 0
     while at < len(lines):
         to = int(np.searchsorted(cut, cut[at], "right"))
+        yield at, to
+        at = to
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """A row of PLACES numbers of 16 bits for each line, which isn't blank."""
+    out = np.empty((len(lines), PLACES), np.int16)
+    for at, to in chunks(lines):
         h, first = shingles(lines[at:to])
         x = (h >> U(32)).astype(np.uint32)
         for i in range(PLACES):
             out[at:to, i] = np.minimum.reduceat(x * _TIMES[i] + _PLUS[i], first[:-1]).astype(np.uint16).view(np.int16)
-        at = to
     return out
 
 
-def short(sig: np.ndarray) -> np.ndarray:
-    """The lowest four bits of each place of signatures, sixteen places to a number."""
-    out = np.zeros((len(sig), 3), U)
-    for i in range(PLACES):
-        out[:, i // 16] |= (sig[:, i] & 15).astype(U) << U(4 * (i % 16))
-    return out.view(np.int64)
+def short(sig: Column) -> Column:
+    """The lowest four bits of each place of a signature, sixteen places to a number."""
+    four = [F.shiftleft(sig[i].cast("long").bitwiseAND(F.lit(15)), 4 * (i % 16)) for i in range(PLACES)]
+    return F.struct(*[reduce(Column.bitwiseOR, four[i : i + 16]).alias(f"n{i // 16}") for i in range(0, PLACES, 16)])
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, place, id of each line that isn't blank, and sig, the signature, and near, its ``short`` form, once for each id of a batch, else null."""
+    """doc_id, hash, place, id of each line that isn't blank, and sig, the signature, once for each id of a batch, else null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
@@ -130,14 +157,11 @@ def signed(docs: DataFrame) -> DataFrame:
             if not row:
                 continue
             ptr = np.concatenate([[0], np.cumsum(np.array(new) * PLACES)]).astype(np.int32)
-            made, old = signatures(list(seen)), pa.array(~np.array(new))
-            sig = pa.ListArray.from_arrays(pa.array(ptr), pa.array(made.reshape(-1)), mask=old)
-            low = short(made)[np.maximum(np.cumsum(new) - 1, 0)]
-            near = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(low[:, i])) for i in range(3)], names=["n0", "n1", "n2"], mask=old)
+            sig = pa.ListArray.from_arrays(pa.array(ptr), pa.array(signatures(list(seen)).reshape(-1)), mask=pa.array(~np.array(new)))
             at = pa.array(row)
-            yield pa.record_batch([b.column("doc_id").take(at), b.column("hash").take(at), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), sig, near], names=[*KEY, "place", "id", "sig", "near"])
+            yield pa.record_batch([b.column("doc_id").take(at), b.column("hash").take(at), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), sig], names=[*KEY, "place", "id", "sig"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>, near struct<n0:bigint,n1:bigint,n2:bigint>")
+    return keyed(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>")
 
 
 def agree(one: str, two: str) -> Column:
@@ -155,8 +179,23 @@ def agree(one: str, two: str) -> Column:
     return differ <= PLACES - LEAST
 
 
-def with_text(ids: DataFrame, docs: DataFrame, bits: int = 22) -> DataFrame:
-    """id, line of the lines that ids(id) names, once each, read again from the documents.
+def possible(one: str, two: str, percent: int) -> Column:
+    """Whether lines may be similar by their sizes and sketches, wide(n, sketch): no similar pair is left out.
+
+    Sizes of similar lines are not so far apart that one sketch is more than twice as large as the other, which is folded.
+    """
+    a, b = F.col(one), F.col(two)
+    size = F.least(F.size(a["sketch"]), F.size(b["sketch"]))
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda s: F.when(F.size(s) > size, F.zip_with(F.slice(s, F.lit(1), size), F.slice(s, size + 1, size), xor)).otherwise(s)
+    bits = F.zip_with(fold(a["sketch"]), fold(b["sketch"]), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+    n = a["n"] + b["n"]
+    return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (differ <= n - 2 * F.ceil(n * percent / (100 + percent)))
+
+
+def wanted(ids: DataFrame, docs: DataFrame, made: Callable[[list[int], list[str]], pa.RecordBatch], kind: str, bits: int = 22) -> DataFrame:
+    """What ``made`` gives, in columns of ``kind``, of the lines of each batch of docs that ids(id) names, and of some others.
 
     A bit map of 2^bits places, whatever the number of ids, picks lines where they are read, so that others aren't shuffled.
     """
@@ -170,9 +209,30 @@ def with_text(ids: DataFrame, docs: DataFrame, bits: int = 22) -> DataFrame:
         mask = (1 << bits) - 1
         for b in C.slices(batches):
             found = {x: i for x in {x for text in b.column("text").to_pylist() for x in lines_of(text)} if x and wanted[(i := id_of(x)) & mask]}
-            yield pa.record_batch([pa.array(list(found.values()), pa.int64()), pa.array(list(found), pa.string())], names=["id", "line"])
+            if found:
+                yield made(list(found.values()), list(found))
+
+    return keyed(docs).mapInArrow(run, kind)
+
+
+def with_text(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, line of the lines that ids(id) names, once each, read again from the documents."""
 
-    return keyed(docs).mapInArrow(run, "id long, line string").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    def made(i: list[int], lines: list[str]) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(i, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
+
+    return wanted(ids, docs, made, "id long, line string").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+
+
+def with_sketch(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, wide (n and sketch, of ``sketches``) of the lines that ids(id) names, once each, made again from the documents."""
+
+    def made(i: list[int], lines: list[str]) -> pa.RecordBatch:
+        n, size, bits = (np.concatenate(x) for x in zip(*[sketches(*shingles(lines[at:to])) for at, to in chunks(lines)], strict=True))
+        return pa.record_batch([pa.array(i, pa.int64()), pa.array(n.astype(np.int32)), C.lists(bits, np.concatenate([[0], np.cumsum(size)]), pa.int64())], names=["id", "n", "sketch"])
+
+    rows = wanted(ids, docs, made, "id long, n int, sketch array<bigint>").join(ids, "id", "left_semi")
+    return rows.groupBy("id").agg(F.first(F.struct("n", "sketch")).alias("wide"))
 
 
 def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -201,8 +261,8 @@ def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
 
 
-def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, seed: int | None = None) -> DataFrame:
-    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, near).
+def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
+    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, near, wide).
 
     A band's largest component is only held against its other ones. With a seed, only leaders of each band are held against
     others: two lines of its largest component and two of all others, by hashes under the seed. This is linear and joins most
@@ -214,13 +274,14 @@ def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, seed: int | None = N
     by_root = rows.groupBy("band", "root").agg(F.count("*").alias("n"), *ends)
     main = by_root.groupBy("band").agg(F.max_by(F.struct("root", "lo", "hi"), F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
     held = rows.join(main.where("roots > 1").select("band", "m"), "band").withColumn("main", F.col("m.root")).join(sigs, "id")
-    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root", "near")])
-    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & agree("near1", "near2")
+    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root", "near", "wide")])
+    alike = agree("near1", "near2") & possible("wide1", "wide2", percent)
+    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & alike
     if seed is not None:
         others = held.where("root <> main").groupBy("band").agg(*ends)
         held = held.join(others, "band").where("id in (m.lo, m.hi, lo, hi)")
-        once = (F.col("root1") != F.col("root2")) & agree("near1", "near2")
-    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "near")])
+        once = (F.col("root1") != F.col("root2")) & alike
+    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "near", "wide")])
     pairs = a.join(b, "band").where(once)
     return pairs.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
 
@@ -236,9 +297,9 @@ def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
     return C.keep(joined.select("node", F.coalesce("least", "component").alias("component")), "components")
 
 
-def bands(sig: Column) -> Column:
-    """Keys of the bands of a signature; a key's last four bits tell which one it is."""
-    return F.array(*[F.xxhash64(*[sig[j] for j in b]).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(i)) for i, b in enumerate(BANDS)])
+def bands(sig: Column, some: tuple[tuple[int, ...], ...] = BANDS) -> Column:
+    """Keys of some bands of a signature; a key's last four bits tell which one it is."""
+    return F.array(*[F.xxhash64(*[sig[j] for j in b]).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(BANDS.index(b))) for b in some])
 
 
 #: What a row is known by: its doc_id, and a hash of its text for rows that share a doc_id.
@@ -257,15 +318,18 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     made = C.keep(signed(docs), "places", "zstd")
     every = made.select(*KEY, "place", "id")
-    sig = made.where("sig is not null").select("id", "sig", "near")
+    sig = made.where("sig is not null").select("id", "sig")
     # leaders: the least and the greatest id, hashes of the lines; a band has each line once or a few times
     w = W.partitionBy("band")
-    rows = sig.select("id", F.explode(bands(F.col("sig"))).alias("band"))
-    meet = C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands")
-    del rows
-    C.tidy(docs.sparkSession)
+    parts = []
+    for few in (BANDS[::2], BANDS[1::2]):  # half of the bands are shuffled at a time
+        rows = sig.select("id", F.explode(bands(F.col("sig"), few)).alias("band"))
+        parts.append(C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands"))
+        del rows
+        C.tidy(docs.sparkSession)
+    meet = parts[0].unionByName(parts[1])
     # signatures of lines that meet others; texts only of those that agree with one
-    sigs = C.keep(sig.join(meet.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("near").alias("near")), "signatures")
+    sigs = C.keep(sig.join(meet.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first(short(F.col("sig"))).alias("near")), "signatures")
     C.tidy(docs.sparkSession)
     led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
     pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
@@ -274,11 +338,16 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     comp = C.keep(C.components(links), "components")
     C.release(links)
     left = meet.where("n > 3").select("id", "band").distinct()  # of smaller bands, the leaders have met all lines
+    # sketches of the lines of bands that are still of several components
+    apart = with_root(left, comp).groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
+    open_ = C.keep(left.join(apart, "band", "left_semi").select("id").distinct(), "open")
+    known = C.keep(sigs.join(with_sketch(open_, docs), "id"), "sketches")
+    C.release(open_, sigs)
     for seed in (1, None):
-        more = similar(rest(left, comp, sigs, seed), docs, percent)
+        more = similar(rest(left, comp, known, percent, seed), docs, percent)
         comp = comp if more.isEmpty() else merged(comp, more)
         C.release(more)
-    C.release(meet, sigs)
+    C.release(*parts, known)
     # each component's first line
     here = F.struct(*KEY, "place")
     by_id = every.groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))

@@ -8,8 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from residua.llm import decontaminate, fingerprint, jaccard, language, licenses, lines, lm, packing, substrings, tokenids
+from residua.llm import common, decontaminate, fingerprint, jaccard, language, licenses, lines, lm, packing, substrings, tokenids
 
 LOW = {k: k + 32 for k in range(65, 91)}
 
@@ -201,6 +202,42 @@ def test_lines_of_mixed_bands(spark):
     assert {(r.doc_id, r.first_doc) for r in got} == {(i, x) for i, x in enumerate(least) if x != i} and len(got) == 60
 
 
+def test_lines_that_are_not_similar_are_not_compared(spark, monkeypatch):
+    """Lines that share two thirds of their shingles meet in bands, but few pairs of texts are moved behind the leaders'; similar lines all meet."""
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    form, moved, similar = [word() for _ in range(40)], [], lines.similar
+
+    def counted(pairs, docs, percent):
+        kept = common.keep(pairs)
+        moved.append(kept.count())
+        return similar(kept, docs, percent)
+
+    monkeypatch.setattr(lines, "similar", counted)
+    made = [form + [word() for _ in range(10)] for _ in range(120)]
+    made += [[*x[:-1], word()] for x in made[:20]]
+    got = lines.duplicates(frame(spark, [(i, " ".join(x)) for i, x in enumerate(made)])).collect()
+    assert {(r.doc_id, r.first_doc) for r in got} == {(120 + i, i) for i in range(20)}
+    assert sum(moved[1:]) <= 100  # behind the first two leaders of each band
+
+
+def test_sketches_leave_no_similar_pair_out(spark):
+    """Sizes of all sketches, folded and not: whatever a pair's likeness, it stays if it is similar."""
+    random.seed(5)
+    rows = []
+    for size in (3, 40, 120, 131, 240, 260, 500, 530, 1000, 1100, 2500):
+        x = random.choices("abcdefgh_\u00e9", k=size)
+        for part in (0.0, 0.01, 0.03, 0.05, 0.1, 0.2, 0.3):
+            rows.append("".join(random.choice("xyz") if random.random() < part / 3 else c for c in x[: len(x) - int(part * size)]) or "x")
+    rows = sorted(set(rows))
+    known = {lines.id_of(x): {x[j : j + 5] for j in range(max(1, len(x) - 4))} for x in rows}
+    made = lines.with_sketch(spark.createDataFrame([(i,) for i in known], "id long"), frame(spark, list(enumerate(rows)))).select("id", F.col("wide").alias("w"))
+    got = {(r.x, r.y): r.p for r in made.select(F.col("id").alias("x"), F.col("w").alias("w1")).crossJoin(made.select(F.col("id").alias("y"), F.col("w").alias("w2"))).select("x", "y", lines.possible("w1", "w2", 75).alias("p")).collect()}
+    like = {(x, y): len(known[x] & known[y]) / len(known[x] | known[y]) for x, y in got}
+    assert len(got) == len(rows) ** 2 and sum(v >= 0.75 for v in like.values()) > len(rows) * 1.5
+    assert all(got[p] for p, v in like.items() if v >= 0.75) and not any(got[p] for p, v in like.items() if v < 0.5)
+
+
 def test_lines_without_blanks(spark):
     """All of a line counts, not only what begins a word."""
     han = "".join(chr(0x4E00 + 37 * i) for i in range(60))
