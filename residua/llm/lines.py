@@ -179,6 +179,17 @@ def agree(one: str, two: str) -> Column:
     return differ <= PLACES - LEAST
 
 
+def folded(sketch: Column, size: Column) -> Column:
+    """A sketch of twice ``size`` numbers, folded to that size."""
+    return F.zip_with(F.slice(sketch, F.lit(1), size), F.slice(sketch, size + 1, size), lambda x, y: x.bitwiseXOR(y))
+
+
+def halved(wide: str) -> Column:
+    """n and sketch with the sketch of half the size."""
+    w = F.col(wide)
+    return F.struct(w["n"].alias("n"), folded(w["sketch"], F.expr(f"size({wide}.sketch) div 2").cast("int")).alias("sketch"))
+
+
 def possible(one: str, two: str, percent: int) -> Column:
     """Whether lines may be similar by their sizes and sketches, wide(n, sketch): no similar pair is left out.
 
@@ -186,8 +197,7 @@ def possible(one: str, two: str, percent: int) -> Column:
     """
     a, b = F.col(one), F.col(two)
     size = F.least(F.size(a["sketch"]), F.size(b["sketch"]))
-    xor = lambda x, y: x.bitwiseXOR(y)
-    fold = lambda s: F.when(F.size(s) > size, F.zip_with(F.slice(s, F.lit(1), size), F.slice(s, size + 1, size), xor)).otherwise(s)
+    fold = lambda s: F.when(F.size(s) > size, folded(s, size)).otherwise(s)
     bits = F.zip_with(fold(a["sketch"]), fold(b["sketch"]), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     differ = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
     n = a["n"] + b["n"]
@@ -261,29 +271,66 @@ def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("component", "id")).drop("component")
 
 
-def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int, seed: int | None = None) -> DataFrame:
-    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, near, wide).
+def sides(meet: DataFrame, comp: DataFrame) -> DataFrame:
+    """id, band, root, main of meet(id, band), of bands with lines of several components; main is the band's largest one."""
+    rows = with_root(meet, comp)
+    by_root = rows.groupBy("band", "root").agg(F.count("*").alias("n"))
+    main = by_root.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    return rows.join(main.where("roots > 1").select("band", "main"), "band")
+
+
+def _numbered(rows: DataFrame, i: int) -> DataFrame:
+    return rows.select("band", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "band"])
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
+
 
-    A band's largest component is only held against its other ones. With a seed, only leaders of each band are held against
-    others: two lines of its largest component and two of all others, by hashes under the seed. This is linear and joins most
-    of a group of near copies, before all that is still apart is compared.
+def led(meet: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int, seed: int) -> DataFrame:
+    """x, y: pairs of lines of different components, one of them a leader of a band of meet(id, band), that agree enough in sigs(id, near, wide).
+
+    Leaders are two lines of a band's largest component and two of all others, by hashes under the seed. This is linear and joins
+    most of a group of near copies, before all that is still apart is compared. Sketches are joined to pairs that agree, not to bands.
+    """
+    held = sides(meet, comp)
+    one = F.struct(F.xxhash64(F.lit(seed), "band", "id").alias("v"), "id", "root")
+    ends = held.groupBy("band", (F.col("root") == F.col("main")).alias("own")).agg(F.array(F.min(one), F.max(one)).alias("e"))
+    ends = ends.select("band", F.explode(F.array_distinct("e")).alias("e")).select("band", "e.id", "e.root")
+    near = sigs.select("id", "near")
+    a, b = _numbered(held.where("root <> main").drop("main").join(near, "id"), 1), _numbered(ends.join(near, "id"), 2)
+    return _able(_pairs(a.join(b, "band").where((F.col("root1") != F.col("root2")) & agree("near1", "near2"))), sigs, percent)
+
+
+def _able(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs(x, y) that may be similar by the whole sketches of sigs(id, wide)."""
+    s, t = (sigs.select(F.col("id").alias(i), F.col("wide").alias(f"wide_{i}")) for i in "xy")
+    return pairs.join(s, "x").join(t, "y").where(possible("wide_x", "wide_y", percent)).select("x", "y")
+
+
+def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, near, wide, half), kept.
+
+    Lines of a band are held against each other by half sketches, and pairs that are left by whole ones. A band's largest component is only held against its other ones, which are shuffled once for both joins. Half of the bands
+    are shuffled at a time.
     """
-    rows = with_root(meet.select("id", "band"), comp)
-    one = F.struct(F.xxhash64(F.lit(seed or 0), "band", "id").alias("v"), "id")
-    ends = [F.min(one)["id"].alias("lo"), F.max(one)["id"].alias("hi")]
-    by_root = rows.groupBy("band", "root").agg(F.count("*").alias("n"), *ends)
-    main = by_root.groupBy("band").agg(F.max_by(F.struct("root", "lo", "hi"), F.struct("n", "root")).alias("m"), F.count("*").alias("roots"))
-    held = rows.join(main.where("roots > 1").select("band", "m"), "band").withColumn("main", F.col("m.root")).join(sigs, "id")
-    a = held.where("root <> main").select("band", *[F.col(c).alias(c + "1") for c in ("id", "root", "near", "wide")])
-    alike = agree("near1", "near2") & possible("wide1", "wide2", percent)
-    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main")) | (F.col("id1") < F.col("id2"))) & alike
-    if seed is not None:
-        others = held.where("root <> main").groupBy("band").agg(*ends)
-        held = held.join(others, "band").where("id in (m.lo, m.hi, lo, hi)")
-        once = (F.col("root1") != F.col("root2")) & alike
-    b = held.select("band", "main", *[F.col(c).alias(c + "2") for c in ("id", "root", "near", "wide")])
-    pairs = a.join(b, "band").where(once)
-    return pairs.select(F.least("id1", "id2").alias("x"), F.greatest("id1", "id2").alias("y")).distinct()
+    held = C.keep(sides(meet, comp), "held")
+    alike = agree("near1", "near2") & possible("half1", "half2", percent)
+    short = sigs.select("id", "near", "half")
+    parts = []
+    for half in (0, 1):
+        rows = held.where(F.col("band").bitwiseAND(F.lit(1)) == half)
+        others = rows.where("root <> main").select("id", "band", "root").join(short, "id")
+        largest = rows.where("root = main").select("id", "band").join(short, "id")
+        one = _numbered(others, 1)
+        within = one.join(_numbered(others, 2), "band").where((F.col("root1") != F.col("root2")) & (F.col("id1") < F.col("id2")) & alike)
+        across = one.join(_numbered(largest, 2), "band").where(alike)
+        parts.append(C.keep(_pairs(within.select("id1", "id2").unionByName(across.select("id1", "id2"))), "met"))
+        del rows, others, largest, one, within, across
+        C.tidy(meet.sparkSession)
+    met = C.keep(_able(parts[0].unionByName(parts[1]).distinct(), sigs, percent), "met")
+    C.release(held, *parts)
+    return met
 
 
 def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
@@ -331,23 +378,27 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # signatures of lines that meet others; texts only of those that agree with one
     sigs = C.keep(sig.join(meet.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first(short(F.col("sig"))).alias("near")), "signatures")
     C.tidy(docs.sparkSession)
-    led = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
-    pairs = led.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
+    first = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
+    pairs = first.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
     s, t = (sigs.select(F.col("id").alias(i), F.col("near").alias(f"near_{i}")) for i in "xy")
     links = similar(pairs.join(s, "x").join(t, "y").where(agree("near_x", "near_y")).select("x", "y"), docs, percent)
     comp = C.keep(C.components(links), "components")
     C.release(links)
     left = meet.where("n > 3").select("id", "band").distinct()  # of smaller bands, the leaders have met all lines
-    # sketches of the lines of bands that are still of several components
+    # bands that are still of several components, and sketches of their lines
     apart = with_root(left, comp).groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    open_ = C.keep(left.join(apart, "band", "left_semi").select("id").distinct(), "open")
-    known = C.keep(sigs.join(with_sketch(open_, docs), "id"), "sketches")
-    C.release(open_, sigs)
-    for seed in (1, None):
-        more = similar(rest(left, comp, known, percent, seed), docs, percent)
-        comp = comp if more.isEmpty() else merged(comp, more)
-        C.release(more)
-    C.release(*parts, known)
+    open_ = C.keep(left.join(apart, "band", "left_semi"), "open")
+    C.release(*parts)
+    known = C.keep(sigs.join(with_sketch(open_.select("id").distinct(), docs), "id").withColumn("half", halved("wide")), "sketches")
+    C.release(sigs)
+    more = similar(led(open_, comp, known, percent, 1), docs, percent)
+    comp = comp if more.isEmpty() else merged(comp, more)
+    C.release(more)
+    met = rest(open_, comp, known, percent)
+    C.release(open_, known)
+    more = similar(met, docs, percent)
+    comp = comp if more.isEmpty() else merged(comp, more)
+    C.release(more, met)
     # each component's first line
     here = F.struct(*KEY, "place")
     by_id = every.groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))

@@ -221,6 +221,25 @@ def test_lines_that_are_not_similar_are_not_compared(spark, monkeypatch):
     assert sum(moved[1:]) <= 100  # behind the first two leaders of each band
 
 
+def test_bands_are_shuffled_without_whole_sketches(spark, monkeypatch):
+    """Lines of bands of several components go to their bands once, with half of their sketches at most."""
+    random.seed(3)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    form, plans, keep = [word() for _ in range(40)], {}, common.keep
+
+    def planned(df, name="kept", *more):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString() if name in ("pairs", "met") else "")
+        return keep(df, name, *more)
+
+    monkeypatch.setattr(common, "keep", planned)
+    made = [form + [word() for _ in range(10)] for _ in range(60)]
+    made += [[*x[:-1], word()] for x in made[:10]]
+    got = lines.duplicates(frame(spark, [(i, " ".join(x)) for i, x in enumerate(made)])).collect()
+    assert {(r.doc_id, r.first_doc) for r in got} == {(60 + i, i) for i in range(10)}
+    by_band = [line for p in plans["pairs"] + plans.get("met", []) for line in p.split("\n") if re.search(r"Join Inner, .*\(band", line)]
+    assert by_band and not any("wide" in line for line in by_band) and sum("half" in line for line in by_band) == 4
+
+
 def test_sketches_leave_no_similar_pair_out(spark):
     """Sizes of all sketches, folded and not: whatever a pair's likeness, it stays if it is similar."""
     random.seed(5)
