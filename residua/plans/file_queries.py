@@ -15,9 +15,14 @@ from .catalogue import _M, _cells, _t, query
 
 
 def _written(lines: DataFrame, name: str) -> str:
-    """A folder of one text file for each grp, of lines(grp, ord, value) in their order."""
-    path = new_folder(lines.sparkSession, name)
-    lines.repartition("grp").sortWithinPartitions("grp", "ord").select("grp", "value").write.partitionBy("grp").text(path)
+    """A folder of one text file for each grp, of lines(grp, ord, value) in their order.
+
+    Files take time by their number, not by their bytes: with the number of partitions given, Spark doesn't join small ones to a
+    single task that writes all files one after another.
+    """
+    path, spark = new_folder(lines.sparkSession, name), lines.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(n, "grp").sortWithinPartitions("grp", "ord").select("grp", "value").write.partitionBy("grp").text(path)
     return path
 
 

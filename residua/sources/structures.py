@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,9 +13,23 @@ from ..functions.residues import chain_id
 from ..operators.structures import residue_atoms
 
 
+@contextmanager
+def listing(spark: SparkSession, tasks: int = 64) -> Iterator[None]:
+    """Folders that a reader lists here are dealt to so many tasks at most; else each of them is a task of its own, up to 10,000."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), tasks))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fasta(spark: SparkSession, path: str) -> DataFrame:
     """file, id, sequence (upper-cased) of the first record of each file."""
-    x = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", ">").alias("r"))
+    with listing(spark):
+        texts = spark.read.text(path, wholetext=True)
+    x = texts.select(F.col("_metadata.file_path").alias("file"), F.split("value", ">").alias("r"))
     first = F.element_at("r", 2)
     head = F.substring_index(first, "\n", 1)
     return x.select("file", F.split(F.trim(head), r"\s+")[0].alias("id"), F.upper(F.regexp_replace(F.expr("substring(element_at(r, 2), length(substring_index(element_at(r, 2), '\n', 1)) + 1)"), r"\s", "")).alias("sequence"))
@@ -30,7 +47,9 @@ def ordered(spark: SparkSession, path: str, ends: tuple[str, ...] = (), sep: str
     if ends:
         any_case = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
         reader = reader.option("pathGlobFilter", "{" + ",".join("*" + any_case(e) for e in ends) + "}")
-    x = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+    with listing(spark):
+        lines = reader.text(path)
+    x = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     per = x.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))  # a row for each split
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     start = per.select("file", "block", (before - F.col("first")).alias("shift"))

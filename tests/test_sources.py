@@ -1,6 +1,7 @@
 """Readers, residue tables, sinks and scoring against small files and plain figures."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,26 @@ def test_residue_numbers_over_9999(spark):
     assert [r.n for r in bad.collect()] == [None] * 4
     with pytest.raises(Exception, match="four columns"):
         spark.range(1).select(S.residue_columns(F.lit(2_436_112))).collect()
+
+
+def test_many_files_are_written_by_several_tasks_and_listed_by_few(spark):
+    from urllib.parse import urlparse
+
+    from residua.plans.file_queries import _written
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    lines = spark.range(40).selectExpr("id AS grp", "0L AS ord", "concat('>g', id, '\nmk') AS value")
+    path = _written(lines, "many")
+    files = list(Path(urlparse(path).path).glob("grp=*/*.txt"))
+    assert len(files) == 40 and len({f.name[:10] for f in files}) > 1
+    context = spark.sparkContext
+    context.setJobGroup("listing", "listing")
+    x = S.fasta(spark, path)
+    jobs = context.statusTracker().getJobIdsForGroup("listing")
+    stages = [context.statusTracker().getStageInfo(i) for j in jobs for i in context.statusTracker().getJobInfo(j).stageIds]
+    with S.listing(spark, 4):
+        assert spark.conf.get(key) == "4"
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(key) == before and all(s.numTasks <= 64 for s in stages)
+    assert sorted((r.id, r.sequence) for r in x.collect()) == sorted((f"g{i}", "MK") for i in range(40))
