@@ -8,6 +8,7 @@ operator names are ignored, so clashing names can't matter.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -100,8 +101,17 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: at the end of a task it lives on beside a JVM that has grown."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the column ``text`` has at most ``most`` bytes (or one row)."""
+    """Batches cut so that the column ``text`` has at most ``most`` bytes (or one row); memory is given back after the last one."""
     for b in batches:
         if not b.num_rows:
             continue
@@ -112,6 +122,15 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[p
             to = min(to, b.num_rows)
             yield b.slice(at, to - at)
             at = to
+    give_back()
+
+
+def short(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of so many rows at most, for what makes Python objects of whole columns; memory is given back after the last one."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    give_back()
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

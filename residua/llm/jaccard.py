@@ -306,9 +306,7 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sketches differ in no more bits than similar sets can."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in C.short(batches):
             d = np.array([differing(*x) for x in zip(b.column("sketch").to_pylist(), b.column("other").to_pylist(), strict=True)])
             n = np.asarray(b.column("n")) + np.asarray(b.column("m"))
             most = n - 2 * -(-n * percent // (100 + percent))
@@ -349,7 +347,7 @@ def _verified(pairs: DataFrame, src: DataFrame, percent: int, k: int) -> DataFra
     full = C.keep(_whole_sets(pairs.select(F.explode(F.array("x", "y")).alias("x")), src, k).select("x", "hashes"), "full")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in C.short(batches):
             ok = []
             for one, two in zip(b.column("hashes").to_pylist(), b.column("other").to_pylist(), strict=True):
                 x, y = np.frombuffer(one, U), np.frombuffer(two, U)

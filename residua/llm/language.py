@@ -19,6 +19,8 @@ from . import common as C
 
 U = np.uint64
 SIZES = (3, 4)
+#: Bytes of text whose n-grams are held at once; each takes about a hundred bytes of a worker's memory.
+SLICE = 1 << 17
 _SEP = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -109,7 +111,7 @@ def fit(rows: DataFrame, sample: int = 6000, bits: int = 18, hashes: int = 3, le
     picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in C.slices(batches):
+        for b in C.slices(batches, SLICE):
             x, ptr = _letters(b.column("text"))
             names = b.column("lang").to_pylist()
             of = {v: i for i, v in enumerate(sorted(set(names)))}
@@ -152,7 +154,7 @@ def predict(docs: DataFrame, model: Model, *more: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = big.value
-        for b in C.slices(batches):
+        for b in C.slices(batches, SLICE):
             col = b.column("text")
             n = b.num_rows
             if m.langs:

@@ -249,7 +249,7 @@ def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs(x, y) of ids of lines of docs whose shingles are similar enough, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+        for b in C.short(batches):
             (h, i), (g, j) = shingles(b.column("line_x").to_pylist()), shingles(b.column("line_y").to_pylist())
             ok = np.zeros(b.num_rows, bool)
             for r in range(b.num_rows):

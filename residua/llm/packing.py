@@ -110,6 +110,7 @@ def cut(docs: DataFrame, tokenizer: str, end: int, size: int) -> DataFrame:
             crcs = [crc(ids[i : i + m]) for i, m in zip(at, length, strict=True)]
             yield pa.record_batch([b.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(n[row]), pa.array(np.full(len(row), part, np.int32))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part"])
         tok.forget()
+        C.give_back()
 
     return C.texts(docs).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int")
 

@@ -513,3 +513,14 @@ def test_many_and_rare_languages(spark):
     assert len(model.langs) == 70 and model.masks.shape[0] == 2
     got = {r.doc_id: r.lang_pred for r in language.predict(df.where("doc_id < 70"), model).collect()}
     assert sum(got[i] == f"l{i:02d}" for i in range(70)) >= 65 and got[69] == "l69"
+
+
+def test_workers_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    batch = pa.record_batch([pa.array(["one", "two", "three"])], names=["text"])
+    assert [b.num_rows for b in common.slices(iter([batch]), 4)] == [1, 1, 1] and calls == [1]
+    assert [b.num_rows for b in common.short(iter([batch]), 2)] == [2, 1] and calls == [1, 1]
+    assert language.SLICE < 1 << 20
