@@ -29,6 +29,9 @@ U = np.uint64
 SHINGLE = 5
 #: Least bits of the parity sketch of a set; a larger set has a power of two of at least twice its size.
 SKETCH = 512
+#: Bits of the wide sketch that larger sets are held to once more: of over about 800 different shingles, half of the bits of a
+#: small one differ and tell nothing.
+WIDE = 2048
 
 
 class Sets:
@@ -86,6 +89,21 @@ def small_sketch(sketch: bytes) -> np.ndarray:
     return x
 
 
+def wide_sketches(rows: DataFrame) -> DataFrame:
+    """x, wide of rows(x, sketch): the sketch folded to WIDE bits, as longs; null for sets whose sketch has fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.short(batches):
+            wide = []
+            for sketch in b.column("sketch").to_pylist():
+                x = np.frombuffer(sketch, np.int64)
+                wide.append(x.reshape(-1, WIDE // 64) if len(x) >= WIDE // 64 else None)
+            folded = [None if x is None else np.bitwise_xor.reduce(x, axis=0) for x in wide]
+            yield pa.record_batch([b.column("x"), pa.array(folded, pa.list_(pa.int64()))], names=["x", "wide"])
+
+    return rows.select("x", "sketch").mapInArrow(run, "x long, wide array<long>")
+
+
 def differing(one: bytes, two: bytes) -> int:
     """Bits in which two sketches differ; the larger is folded to the size of the smaller."""
     x, y = np.frombuffer(one, U), np.frombuffer(two, U)
@@ -180,7 +198,7 @@ def links_components(docs: DataFrame, percent: int = 75, k: int = SHINGLE, round
         edges = new if edges is None else edges.unionByName(new)
         label = C.keep(C.components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
     # what is left: sets that a list has beside one of another component
-    own = C.keep(_open(_labelled(lists, label), whole.select("x", "small"), percent).join(whole.select("x", "n", "s1", "s2"), "x"), "open")
+    own = C.keep(_open(_labelled(lists, label), whole.select("x", "small"), sketches, percent).join(whole.select("x", "n", "s1", "s2"), "x"), "open")
     C.release(lists)
     ranked = _ranked(own, whole.select("x", "small"), src, percent, k)
     # other leaders, of the lists of these sets
@@ -229,18 +247,19 @@ def _numbered(df: DataFrame, key: str, i: int) -> DataFrame:
     return df.select(key, *[F.col(c).alias(f"{c}{i}") for c in df.columns if c != key])
 
 
-def _near(percent: int):
-    """The small sketches differ in no more bits than similar sets can."""
-    d = sum((F.bit_count(F.col("small1")[i].bitwiseXOR(F.col("small2")[i])) for i in range(SKETCH // 64)), F.lit(0))
+def _near(percent: int, name: str = "small", bits: int = SKETCH):
+    """The small sketches, or those named, differ in no more bits than similar sets can."""
+    d = sum((F.bit_count(F.col(f"{name}1")[i].bitwiseXOR(F.col(f"{name}2")[i])) for i in range(bits // 64)), F.lit(0))
     return d <= F.col("n1") + F.col("n2") - 2 * _need(F.col("n1"), F.col("n2"), percent)
 
 
-def _open(cur: DataFrame, small: DataFrame, percent: int, parts: int = 8) -> DataFrame:
+def _open(cur: DataFrame, small: DataFrame, sketches: DataFrame, percent: int, parts: int = 8) -> DataFrame:
     """x, c: the sets that a list of cur has beside one of another component that they may be similar to.
 
     Of the shingles that two sets share, only the first one counts: all others stand behind it in both, so what is left of
     each set from there on must be as much as they need. Blocks of a list by size and position are held against each other
-    first, then the sets of the blocks that are left, of which each only asks whether there is another one.
+    first, then the sets of the blocks that are left, of which each only asks whether there is another one; the sets that are
+    found ask again with wide sketches, as small ones tell nothing of large sets. Neither loses a link.
     """
     wide = float(np.log(100 / percent)) / parts
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
@@ -253,11 +272,18 @@ def _open(cur: DataFrame, small: DataFrame, percent: int, parts: int = 8) -> Dat
     some = met.select("token", F.explode(F.array(F.struct(F.col("size1").alias("size"), F.col("part1").alias("part")), F.struct(F.col("size2").alias("size"), F.col("part2").alias("part")))).alias("b")).select("token", "b.size", "b.part").distinct()
     rows = C.keep(cut.join(some, ["token", "size", "part"], "left_semi").drop("size", "part").join(small, "x"), "blocks")
     able = (_most(F.col("n1"), F.col("n2"), F.col("listed1"), F.col("listed2"), percent) >= need) & (F.least("rest1", "rest2") >= need)
-    ok = (F.col("c1") != F.col("c2")) & able & _near(percent) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    one, two = _numbered(rows, "token", 1), _numbered(rows, "token", 2)
-    found = C.keep(one.join(two.withColumnRenamed("token", "list"), (F.col("token") == F.col("list")) & ok, "left_semi").select(F.col("x1").alias("x"), F.col("c1").alias("c")).distinct(), "found")
-    C.release(rows)
-    return found
+    able &= (F.col("c1") != F.col("c2")) & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+
+    def met_by_another(rows: DataFrame, near) -> DataFrame:
+        one, two = _numbered(rows, "token", 1), _numbered(rows, "token", 2).withColumnRenamed("token", "list")
+        met = one.join(two, (F.col("token") == F.col("list")) & able & near, "left_semi")
+        return C.keep(met.select(F.col("x1").alias("x"), F.col("c1").alias("c")).distinct(), "found")
+
+    found = met_by_another(rows, _near(percent))
+    wide = C.keep(wide_sketches(found.select("x").join(sketches, "x")), "wide")
+    again = met_by_another(rows.drop("small").join(wide, "x"), F.col("wide1").isNull() | F.col("wide2").isNull() | _near(percent, "wide", WIDE))
+    C.release(rows, found, wide)
+    return again
 
 
 def _ranked(own: DataFrame, small: DataFrame, src: DataFrame, percent: int, k: int) -> DataFrame:

@@ -515,6 +515,23 @@ def test_many_and_rare_languages(spark):
     assert sum(got[i] == f"l{i:02d}" for i in range(70)) >= 65 and got[69] == "l69"
 
 
+def test_large_sets_that_only_share_a_shingle_are_not_listed_anew(spark):
+    import pyarrow as pa
+
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(10**9)}" for _ in range(1500)) for _ in range(4)]
+    near = texts[3].split(" ")
+    near[700:750] = ["other"] * 50
+    few = texts[0].split(" ")[:40]
+    s = jaccard.Sets(pa.array([*texts, " ".join(near), " ".join(few), " ".join([*few, "more"])]), 5)
+    sketches = s.sketches()
+    rows = [(i, int(n), bytes(k), jaccard.small_sketch(k).tolist()) for i, (n, k) in enumerate(zip(s.size, sketches, strict=True))]
+    whole = spark.createDataFrame(rows, "x long, n long, sketch binary, small array<long>")
+    cur = whole.selectExpr("cast(if(n < 100, 2, 1) as long) as token", "x", "x as c", "n", "0 as pos", "if(n < 100, 10L, 300L) as listed")
+    found = jaccard._open(cur, whole.select("x", "small"), whole.select("x", "n", "sketch"), 75)
+    assert {row.x for row in found.collect()} == {3, 4, 5, 6}
+
+
 def test_workers_give_memory_back(monkeypatch):
     import pyarrow as pa
 
