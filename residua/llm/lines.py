@@ -1,17 +1,17 @@
 """Fuzzy line deduplication by MinHash.
 
 Lines are compared by their sets of character shingles: the SHINGLE characters from each place
-of the line (all of it, if it is shorter). Each line gets a signature of forty minimum hashes
-where its document is read, in fourteen bands of four. Lines of a band are first compared with
-two leaders of the band by exact Jaccard similarity, and links are joined to components by
-alternating large-star and small-star steps. Bands whose lines are then still of several
-components are gone through again, with other leaders and at last with all lines of different
-components, each pair in the first band that it shares. Pairs whose signatures have fewer than
-``LEAST`` places in common are not compared: of similar lines, one pair in several thousand. Of the others,
-only those whose parity sketches differ in no more bits than similar lines' can have their texts compared; that loses none.
+of the line (all of it, if it is shorter). Shingles of a line are dealt out on two rings by their
+hashes; the first shingle at or after each of POINTS points of a ring is a minimum hash. Each line
+goes to BANDS bands of ROWS of these, by lots of packed rows that are sorted where they arrive.
+Lines of a band of up to FEW are all compared, lines of a larger one with its least and its greatest
+one, by exact Jaccard similarity, and links are joined to components by alternating large-star and
+small-star steps. Larger bands whose lines are then still of several components are gone through
+again, with other leaders and at last with all lines of different components. Of these pairs, only
+those whose parity sketches differ in no more bits than similar lines' can have their texts compared; that loses none.
 Of each component the line that comes first (by doc_id, then place) stays.
 
-Shingles and signatures are made in Arrow batches; everything else is DataFrame code. A form in
+Shingles and bands are made in Arrow batches; everything else is DataFrame code. A form in
 SQL functions alone took more CPU time and disk than it may (figures in the README).
 """
 
@@ -19,40 +19,47 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common as C
 
 U = np.uint64
-SHINGLE, PLACES = 5, 40
-#: Places of the signature in each band: ten rows of four, and four of every tenth place.
-BANDS = tuple(tuple(range(4 * i, 4 * i + 4)) for i in range(10)) + tuple(tuple(range(i, 40, 10)) for i in range(4))
+SHINGLE = 5
+RINGS, ROWS, BANDS = 2, 7, 38
+POINTS = ROWS * BANDS // RINGS
+#: Bits of a place on a ring, so that it has room for a line's number among 1,024 beside it.
+TURN = 22
 _RNG = np.random.default_rng(8)
-_TIMES = _RNG.integers(1, 2**31, PLACES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _RNG.integers(0, 2**32, PLACES, dtype=np.uint32)
-_CHAR = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * U(2) + U(1)
-#: Of forty places, similar lines (0.75) have thirty in common on average, with a deviation of 2.7.
-LEAST = 20
+_CHAR = _RNG.integers(1, 2**63, 3, dtype=np.uint64) * U(2) + U(1)
+_RING = _RNG.integers(1, 2**63, RINGS, dtype=np.uint64) * U(2) + U(1)
+_ROW = _RNG.integers(1, 2**63, ROWS, dtype=np.uint64) * U(2) + U(1)
+#: Points of each band, no point in two: from both rings in turn, far apart on each.
+_POINT = np.stack([_RNG.permutation(POINTS) + POINTS * i for i in range(RINGS)], 1).reshape(BANDS, ROWS)
+#: Lines of a band that are all compared with each other.
+FEW = 6
+#: Rows of bands that a task packs at once, and what a row is: 32 bits of the band's key beside its part, and the line.
+LOT = 1 << 20
+PACKED = np.dtype([("key", "<u4"), ("id", "<i8")])
 #: Characters whose signatures are made at once: what they need stays in a core's cache.
-CHUNK = 1 << 17
+CHUNK = 1 << 16
+#: Bits of the number of a bit in a piece of a bit map.
+PIECE = 18
 #: Lines of more shingles than each of these have a sketch of twice as many numbers, from four on.
 WIDER = (128, 256, 512, 1024, 2048)
 
 
 _FOLD = re.compile("[ \t\r\f\x0b]+")
-_ODD = re.compile("  |[\t\r\f\x0b]")
+_ODD = ("  ", "\t", "\r", "\f", "\x0b")
 
 
 def lines_of(text: str) -> list[str]:
     """The normal lines of a text, in order of place: white space folded and trimmed."""
-    if _ODD.search(text):
+    if any(x in text for x in _ODD):  # many times as fast as one expression
         text = _FOLD.sub(" ", text)
     return [x.strip(" ") for x in text.split("\n")]
 
@@ -77,14 +84,16 @@ def shingles(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the shingles of each normal line, repeated ones too, and where each line's begin; a line has one at least."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     pad = chr(0xE000) * SHINGLE  # what fills up a short line is told apart below
-    codes = np.frombuffer("".join([x if len(x) >= SHINGLE else (x + pad)[:SHINGLE] for x in lines]).encode("utf-32-le"), np.uint32).astype(U)
+    c = np.frombuffer("".join([x if len(x) >= SHINGLE else (x + pad)[:SHINGLE] for x in lines]).encode("utf-32-le"), np.uint32).astype(U)
     n = np.maximum(size, SHINGLE)
     end = np.cumsum(n)
-    left = np.repeat(end, n) - np.arange(end[-1] if len(end) else 0)
-    h = np.zeros(max(len(codes) - SHINGLE + 1, 0), U)
-    for j in range(SHINGLE):
-        h += codes[j : j + len(h)] * _CHAR[j]
-    h = C.mix(h[left[: len(h)] >= SHINGLE])
+    inside = np.ones(len(c), bool)
+    for j in range(1, SHINGLE):
+        inside[end - j] = False
+    h = c[:-1] * _CHAR[0] + c[1:]  # of two characters, then of four, then of five
+    h = h[:-2] * _CHAR[1] + h[2:]
+    h = h[:-1] * _CHAR[2] + c[4:]
+    h = C.mix(h[inside[: len(h)]])
     first = np.concatenate([[0], np.cumsum(n - SHINGLE + 1)])
     short = np.flatnonzero(size < SHINGLE)
     h[first[short]] = C.mix(h[first[short]] + size[short].astype(U) + U(1))
@@ -112,71 +121,127 @@ def sketches(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """Runs of lines of about CHUNK characters."""
+    """Runs of lines of about CHUNK characters, 1,024 lines at most."""
     cut = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines))) // CHUNK
     at = 0
     while at < len(lines):
-        to = int(np.searchsorted(cut, cut[at], "right"))
+        to = min(at + 1024, int(np.searchsorted(cut, cut[at], "right")))
         yield at, to
         at = to
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """A row of PLACES numbers of 16 bits for each line, which isn't blank."""
-    out = np.empty((len(lines), PLACES), np.int16)
+def keys(lines: list[str]) -> np.ndarray:
+    """A row of BANDS keys of 64 bits for each line, which isn't blank.
+
+    A line's shingles are sorted on each ring by a hash, and counted between points, which gives the first one after each point;
+    behind the last shingle comes the first again. So a place costs no pass over the shingles.
+    """
+    out = np.empty((len(lines), BANDS), U)
     for at, to in chunks(lines):
         h, first = shingles(lines[at:to])
-        x = (h >> U(32)).astype(np.uint32)
-        for i in range(PLACES):
-            out[at:to, i] = np.minimum.reduceat(x * _TIMES[i] + _PLUS[i], first[:-1]).astype(np.uint16).view(np.int16)
+        n = to - at
+        row = np.repeat(np.arange(n), np.diff(first))
+        high, low, begin, end = row.astype(np.uint32) << np.uint32(TURN), row * POINTS, first[:-1, None], first[1:, None]
+        place = np.empty((n, RINGS * POINTS), np.uint32)
+        for i in range(RINGS):
+            x = np.sort(high | ((h[: len(row)] * _RING[i]) >> U(64 - TURN)).astype(np.uint32)) & np.uint32((1 << TURN) - 1)
+            passed = np.bincount(((x * np.uint32(POINTS)) >> np.uint32(TURN)) + low, minlength=n * POINTS)
+            after = (np.cumsum(passed) - passed).reshape(n, POINTS)
+            place[:, i * POINTS : (i + 1) * POINTS] = x[np.where(after == end, begin, after)]
+        key = np.zeros((n, BANDS), U)
+        for i in range(ROWS):
+            key += place[:, _POINT[:, i]] * _ROW[i]
+            key ^= key >> U(29)
+        out[at:to] = C.mix(key + np.arange(BANDS, dtype=U))
     return out
 
 
-def short(sig: Column) -> Column:
-    """The lowest four bits of each place of a signature, sixteen places to a number."""
-    four = [F.shiftleft(sig[i].cast("long").bitwiseAND(F.lit(15)), 4 * (i % 16)) for i in range(PLACES)]
-    return F.struct(*[reduce(Column.bitwiseOR, four[i : i + 16]).alias(f"n{i // 16}") for i in range(0, PLACES, 16)])
-
-
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, hash, place, id of each line that isn't blank, and sig, the signature, once for each id of a batch, else null."""
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, hash, place, id of each line that isn't blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
-            row, place, ids, new, seen = [], [], [], [], {}
+            row, place, ids, seen = [], [], [], {}
             for r, text in enumerate(b.column("text").to_pylist()):
                 for p, x in enumerate(lines_of(text)):
                     if x:
                         i = seen.get(x)
-                        new.append(i is None)
                         if i is None:
                             i = seen[x] = id_of(x)
                         row.append(r)
                         place.append(p)
                         ids.append(i)
-            if not row:
-                continue
-            ptr = np.concatenate([[0], np.cumsum(np.array(new) * PLACES)]).astype(np.int32)
-            sig = pa.ListArray.from_arrays(pa.array(ptr), pa.array(signatures(list(seen)).reshape(-1)), mask=pa.array(~np.array(new)))
-            at = pa.array(row)
-            yield pa.record_batch([b.column("doc_id").take(at), b.column("hash").take(at), pa.array(place, pa.int32()), pa.array(ids, pa.int64()), sig], names=[*KEY, "place", "id", "sig"])
+            if row:
+                at = pa.array(row)
+                yield pa.record_batch([b.column("doc_id").take(at), b.column("hash").take(at), pa.array(place, pa.int32()), pa.array(ids, pa.int64())], names=[*KEY, "place", "id"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, hash long, place int, id long, sig array<smallint>")
+    return keyed(docs).mapInArrow(run, "doc_id long, hash long, place int, id long")
 
 
-def agree(one: str, two: str) -> Column:
-    """Whether two signatures, in their short forms, have enough places in common.
+def packed(key: np.ndarray, ids: np.ndarray, parts: int) -> pa.RecordBatch:
+    """part, rows: lines of bands, as PACKED, of each part that has any."""
+    part = ((key >> U(32)) * U(parts)) >> U(32)
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32), kind="stable")
+    rows = np.empty(len(key), PACKED)
+    rows["key"], rows["id"] = key[order].astype(np.uint32), ids[order // BANDS]
+    n = np.bincount(part.astype(np.int64), minlength=parts)
+    held = np.flatnonzero(n)
+    ptr = np.concatenate([[0], np.cumsum(n[held])]) * PACKED.itemsize
+    data = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(ptr.astype(np.int32)), pa.py_buffer(rows)])
+    return pa.record_batch([pa.array(held, pa.int32()), data], names=["part", "rows"])
 
-    Numbers that differ in any of a place's four bits have the place's lowest bit set in the end, so bits are counted. Few
-    operations to a pair: this is what all pairs of a band are held to.
-    """
-    differ = F.lit(0)
-    for i in range(3):
-        x = F.col(one)[f"n{i}"].bitwiseXOR(F.col(two)[f"n{i}"])
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= PLACES - LEAST
+
+def banded(docs: DataFrame, parts: int) -> DataFrame:
+    """part, rows: each line in its bands, once for each batch; a band is of one part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in C.slices(batches):
+            lines = list({x: None for text in b.column("text").to_pylist() for x in lines_of(text) if x})
+            for at in range(0, len(lines), LOT // BANDS):
+                some = lines[at : at + LOT // BANDS]
+                held.append((keys(some).reshape(-1), np.fromiter(map(id_of, some), np.int64, len(some))))
+                n += len(some) * BANDS
+                if n >= LOT:
+                    yield packed(*map(np.concatenate, zip(*held, strict=True)), parts)
+                    held, n = [], 0
+        if held:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)), parts)
+
+    return docs.select("text").mapInArrow(run, "part int, rows binary")
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """x, y, band of the ``packed`` rows of some parts: pairs of lines that share a band, without band; and x, band of lines of bands of more than FEW."""
+    some = [(b.column("part")[r].as_py(), b.column("rows")[r].as_buffer()) for b in batches for r in range(b.num_rows)]
+    for part in sorted({p for p, _ in some}):
+        rows = np.frombuffer(b"".join(x for p, x in some if p == part), PACKED)
+        x = np.sort((rows["key"].astype(U) << U(32)) | np.arange(len(rows), dtype=U))
+        same = np.diff(x >> U(32)) == 0
+        x = x[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        key, ids = x >> U(32), rows["id"][x & U(0xFFFFFFFF)]
+        order = np.lexsort((ids, key))
+        key, ids = key[order], ids[order]
+        if not len(key):
+            continue
+        new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(ids) != 0)])
+        key, ids = key[new], ids[new]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        n = np.diff(np.append(first, len(key)))
+        band, large = np.repeat(np.arange(len(n)), n), np.repeat(n > FEW, n)
+        pairs = []
+        for d in range(1, FEW):
+            at = np.flatnonzero((band[d:] == band[:-d]) & ~large[d:])
+            pairs.append((ids[at], ids[at + d]))
+        least, greatest = np.repeat(first, n), np.repeat(first + n - 1, n)
+        one, two = (np.flatnonzero(large & (np.arange(len(ids)) != x)) for x in (least, greatest))
+        pairs += [(ids[least[one]], ids[one]), (ids[two], ids[greatest[two]])]
+        x, y = (np.concatenate(z) for z in zip(*pairs, strict=True))
+        none = pa.nulls(len(x), pa.int64())
+        yield pa.record_batch([pa.array(x), pa.array(y), none], names=["x", "y", "band"])
+        own = (key[large] | U(part) << U(32)).view(np.int64)
+        yield pa.record_batch([pa.array(ids[large]), pa.nulls(len(own), pa.int64()), pa.array(own)], names=["x", "y", "band"])
+    C.give_back()
 
 
 def folded(sketch: Column, size: Column) -> Column:
@@ -204,66 +269,102 @@ def possible(one: str, two: str, percent: int) -> Column:
     return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (differ <= n - 2 * F.ceil(n * percent / (100 + percent)))
 
 
-def wanted(ids: DataFrame, docs: DataFrame, made: Callable[[list[int], list[str]], pa.RecordBatch], kind: str, bits: int = 22) -> DataFrame:
-    """What ``made`` gives, in columns of ``kind``, of the lines of each batch of docs that ids(id) names, and of some others.
+def marks(ids: DataFrame, rows: int) -> tuple[bytes, int]:
+    """A bit map of the lowest bits of ids(id), about ``rows`` of them, and how many bits these are: 22 to 27, so it has 16 MiB at most.
+
+    Pieces of it are made in tasks, so that the driver gets no more than the map.
+    """
+    spark = ids.sparkSession
+    bits = min(27, max(22, (16 * rows).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for b in batches:
+            slot = np.asarray(b.column("slot"))
+            for p in np.unique(slot >> PIECE).tolist():
+                seen.setdefault(p, np.zeros(1 << PIECE, bool))[slot[slot >> PIECE == p] & ((1 << PIECE) - 1)] = True
+        yield pa.record_batch([pa.array(list(seen), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in seen.values()], pa.binary())], names=["piece", "bits"])
+
+    slots = ids.select(F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("slot"))
+    pieces = slots.repartitionById(min(C.partitions(spark), 1 << (bits - PIECE)), F.shiftright("slot", PIECE)).mapInArrow(run, "piece int, bits binary").toArrow()
+    out, size = bytearray(1 << (bits - 3)), 1 << (PIECE - 3)
+    for p, x in zip(pieces.column("piece").to_pylist(), pieces.column("bits").to_pylist(), strict=True):
+        out[p * size : (p + 1) * size] = x
+    return bytes(out), bits
+
 
-    A bit map of 2^bits places, whatever the number of ids, picks lines where they are read, so that others aren't shuffled.
+def wanted(ids: DataFrame, docs: DataFrame, made: Callable[[list[int], list[str]], pa.RecordBatch], kind: str, rows: int) -> DataFrame:
+    """What ``made`` gives, in columns of ``kind``, of the lines of each batch of docs that ids(id), of about so many rows, names, and of some others.
+
+    A bit map picks lines where they are read, so that others aren't shuffled.
     """
-    slot = F.col("id").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-    seen = np.zeros(1 << bits, bool)
-    seen[np.asarray(ids.select(slot.alias("s")).distinct().toArrow().column("s"))] = True
-    packed = docs.sparkSession.sparkContext.broadcast(np.packbits(seen))
+    held, bits = marks(ids, rows)
+    packed = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(packed.value).astype(bool).tobytes()
-        mask = (1 << bits) - 1
+        seen = np.frombuffer(packed.value, np.uint8)
         for b in C.slices(batches):
-            found = {x: i for x in {x for text in b.column("text").to_pylist() for x in lines_of(text)} if x and wanted[(i := id_of(x)) & mask]}
-            if found:
-                yield made(list(found.values()), list(found))
+            lines = list({x: None for text in b.column("text").to_pylist() for x in lines_of(text) if x})
+            i = np.fromiter(map(id_of, lines), np.int64, len(lines))
+            slot = i & ((1 << bits) - 1)
+            found = np.flatnonzero((seen[slot >> 3] >> (slot & 7)) & 1)
+            if len(found):
+                yield made(i[found].tolist(), [lines[j] for j in found.tolist()])
 
-    return keyed(docs).mapInArrow(run, kind)
+    return docs.select("text").mapInArrow(run, kind)
 
 
-def with_text(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, line of the lines that ids(id) names, once each, read again from the documents."""
+def with_text(ids: DataFrame, docs: DataFrame, rows: int = 0) -> DataFrame:
+    """id, line of the lines that ids(id), of about so many rows, names, once each, read again from the documents."""
 
     def made(i: list[int], lines: list[str]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(i, pa.int64()), pa.array(lines, pa.string())], names=["id", "line"])
 
-    return wanted(ids, docs, made, "id long, line string").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    return wanted(ids, docs, made, "id long, line string", rows).join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
 
 
 def with_sketch(ids: DataFrame, docs: DataFrame) -> DataFrame:
     """id, wide (n and sketch, of ``sketches``) of the lines that ids(id) names, once each, made again from the documents."""
+    return sketched(with_text(ids, docs))
 
-    def made(i: list[int], lines: list[str]) -> pa.RecordBatch:
-        n, size, bits = (np.concatenate(x) for x in zip(*[sketches(*shingles(lines[at:to])) for at, to in chunks(lines)], strict=True))
-        return pa.record_batch([pa.array(i, pa.int64()), pa.array(n.astype(np.int32)), C.lists(bits, np.concatenate([[0], np.cumsum(size)]), pa.int64())], names=["id", "n", "sketch"])
 
-    rows = wanted(ids, docs, made, "id long, n int, sketch array<bigint>").join(ids, "id", "left_semi")
-    return rows.groupBy("id").agg(F.first(F.struct("n", "sketch")).alias("wide"))
+def sketched(text: DataFrame) -> DataFrame:
+    """id, wide (n and sketch, of ``sketches``) of text(id, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in C.short(batches):
+            lines = b.column("line").to_pylist()
+            n, size, bits = (np.concatenate(x) for x in zip(*[sketches(*shingles(lines[at:to])) for at, to in chunks(lines)], strict=True))
+            yield pa.record_batch([b.column("id"), pa.array(n.astype(np.int32)), C.lists(bits, np.concatenate([[0], np.cumsum(size)]), pa.int64())], names=["id", "n", "sketch"])
+
+    return text.select("id", "line").mapInArrow(run, "id long, n int, sketch array<bigint>").select("id", F.struct("n", "sketch").alias("wide"))
+
+
+def alike(xs: list[str], ys: list[str], percent: int) -> np.ndarray:
+    """Whether the shingles of each two lines are similar enough; shingles of a row are told apart by 53 bits."""
+    out = np.empty(len(xs), bool)
+    for at, to in chunks([x + y for x, y in zip(xs, ys, strict=True)]):
+        n = to - at
+        h, first = shingles(xs[at:to] + ys[at:to])
+        mark = np.concatenate([np.arange(n, dtype=U) << U(54), (np.arange(n, dtype=U) << U(54)) | U(1)])
+        x = np.sort(((h[: first[-1]] >> U(11)) << U(1)) | np.repeat(mark, np.diff(first)))
+        x = x[np.concatenate([[True], x[1:] != x[:-1]])]
+        row = (x >> U(54)).astype(np.int64)
+        both = np.bincount(row[1:][(x[1:] ^ x[:-1]) == 1], minlength=n)
+        out[at:to] = both * 100 >= (np.bincount(row, minlength=n) - both) * percent
+    return out
 
 
-def similar(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs(x, y) of ids of lines of docs whose shingles are similar enough, kept."""
+def similar(pairs: DataFrame, text: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs(x, y) of ids of lines of text(id, line) whose shingles are similar enough, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.short(batches):
-            (h, i), (g, j) = shingles(b.column("line_x").to_pylist()), shingles(b.column("line_y").to_pylist())
-            ok = np.zeros(b.num_rows, bool)
-            for r in range(b.num_rows):
-                x, y = set(h[i[r] : i[r + 1]].tolist()), set(g[j[r] : j[r + 1]].tolist())
-                both = len(x & y)
-                ok[r] = both * 100 >= (len(x) + len(y) - both) * percent
+            ok = alike(b.column("line_x").to_pylist(), b.column("line_y").to_pylist(), percent)
             yield pa.record_batch([b.column("x"), b.column("y")], names=["a", "b"]).filter(pa.array(ok))
 
-    pairs = C.keep(pairs, "pairs")
-    text = C.keep(with_text(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), docs), "lines", "zstd")
     s, t = (text.select(F.col("id").alias(i), F.col("line").alias(f"line_{i}")) for i in "xy")
-    links = C.keep(pairs.join(s, "x").join(t, "y").select("x", "y", "line_x", "line_y").mapInArrow(run, "a long, b long"), "links")
-    C.release(pairs, text)
-    return links
+    return C.keep(pairs.join(s, "x").join(t, "y").select("x", "y", "line_x", "line_y").mapInArrow(run, "a long, b long"), "links")
 
 
 def with_root(rows: DataFrame, comp: DataFrame) -> DataFrame:
@@ -288,18 +389,17 @@ def _pairs(met: DataFrame) -> DataFrame:
 
 
 def led(meet: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int, seed: int) -> DataFrame:
-    """x, y: pairs of lines of different components, one of them a leader of a band of meet(id, band), that agree enough in sigs(id, near, wide).
+    """x, y: pairs of lines of different components, one of them a leader of a band of meet(id, band), that may be similar by sigs(id, wide).
 
     Leaders are two lines of a band's largest component and two of all others, by hashes under the seed. This is linear and joins
-    most of a group of near copies, before all that is still apart is compared. Sketches are joined to pairs that agree, not to bands.
+    most of a group of near copies, before all that is still apart is compared. Sketches are joined to pairs, not to bands.
     """
     held = sides(meet, comp)
     one = F.struct(F.xxhash64(F.lit(seed), "band", "id").alias("v"), "id", "root")
     ends = held.groupBy("band", (F.col("root") == F.col("main")).alias("own")).agg(F.array(F.min(one), F.max(one)).alias("e"))
     ends = ends.select("band", F.explode(F.array_distinct("e")).alias("e")).select("band", "e.id", "e.root")
-    near = sigs.select("id", "near")
-    a, b = _numbered(held.where("root <> main").drop("main").join(near, "id"), 1), _numbered(ends.join(near, "id"), 2)
-    return _able(_pairs(a.join(b, "band").where((F.col("root1") != F.col("root2")) & agree("near1", "near2"))), sigs, percent)
+    a, b = _numbered(held.where("root <> main").drop("main"), 1), _numbered(ends, 2)
+    return _able(_pairs(a.join(b, "band").where(F.col("root1") != F.col("root2"))), sigs, percent)
 
 
 def _able(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -309,14 +409,14 @@ def _able(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 
 def rest(meet: DataFrame, comp: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """x, y: pairs of lines of different components that share a band of meet(id, band) and agree enough in sigs(id, near, wide, half), kept.
+    """x, y: pairs of lines of different components that share a band of meet(id, band) and may be similar by sigs(id, wide, half), kept.
 
     Lines of a band are held against each other by half sketches, and pairs that are left by whole ones. A band's largest component is only held against its other ones, which are shuffled once for both joins. Half of the bands
     are shuffled at a time.
     """
     held = C.keep(sides(meet, comp), "held")
-    alike = agree("near1", "near2") & possible("half1", "half2", percent)
-    short = sigs.select("id", "near", "half")
+    alike = possible("half1", "half2", percent)
+    short = sigs.select("id", "half")
     parts = []
     for half in (0, 1):
         rows = held.where(F.col("band").bitwiseAND(F.lit(1)) == half)
@@ -344,11 +444,6 @@ def merged(comp: DataFrame, more: DataFrame) -> DataFrame:
     return C.keep(joined.select("node", F.coalesce("least", "component").alias("component")), "components")
 
 
-def bands(sig: Column, some: tuple[tuple[int, ...], ...] = BANDS) -> Column:
-    """Keys of some bands of a signature; a key's last four bits tell which one it is."""
-    return F.array(*[F.xxhash64(*[sig[j] for j in b]).bitwiseAND(F.lit(-16)).bitwiseOR(F.lit(BANDS.index(b))) for b in some])
-
-
 #: What a row is known by: its doc_id, and a hash of its text for rows that share a doc_id.
 KEY = ("doc_id", "hash")
 
@@ -363,42 +458,31 @@ def duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     Lines whose normal forms are equal are one; two lines whose shingle sets have a Jaccard similarity of percent / 100 or more
     are linked if they share a band. Blank lines never go.
     """
-    made = C.keep(signed(docs), "places", "zstd")
-    every = made.select(*KEY, "place", "id")
-    sig = made.where("sig is not null").select("id", "sig")
-    # leaders: the least and the greatest id, hashes of the lines; a band has each line once or a few times
-    w = W.partitionBy("band")
-    parts = []
-    for few in (BANDS[::2], BANDS[1::2]):  # half of the bands are shuffled at a time
-        rows = sig.select("id", F.explode(bands(F.col("sig"), few)).alias("band"))
-        parts.append(C.keep(rows.select("id", "band", F.min("id").over(w).alias("a"), F.max("id").over(w).alias("b"), F.count("*").over(w).alias("n")).where("a <> b"), "bands"))
-        del rows
-        C.tidy(docs.sparkSession)
-    meet = parts[0].unionByName(parts[1])
-    # signatures of lines that meet others; texts only of those that agree with one
-    sigs = C.keep(sig.join(meet.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first(short(F.col("sig"))).alias("near")), "signatures")
+    every = C.keep(placed(docs), "places", "zstd")
+    parts = C.partitions(docs.sparkSession)
+    meet = C.keep(banded(docs, parts).repartitionById(parts, "part").mapInArrow(met, "x long, y long, band long"), "bands")
     C.tidy(docs.sparkSession)
-    first = meet.select("id", F.explode(F.array("a", "b")).alias("other")).where("id <> other")
-    pairs = first.select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
-    s, t = (sigs.select(F.col("id").alias(i), F.col("near").alias(f"near_{i}")) for i in "xy")
-    links = similar(pairs.join(s, "x").join(t, "y").where(agree("near_x", "near_y")).select("x", "y"), docs, percent)
+    pairs = C.keep(meet.where("band is null").select("x", "y").distinct(), "pairs")
+    text = C.keep(with_text(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), docs, pairs.count()), "lines", "zstd")
+    links = similar(pairs, text, percent)
+    C.release(pairs)
     comp = C.keep(C.components(links), "components")
     C.release(links)
-    left = meet.where("n > 3").select("id", "band").distinct()  # of smaller bands, the leaders have met all lines
+    left = meet.where("band is not null").select(F.col("x").alias("id"), "band")  # of smaller bands, all pairs are compared
     # bands that are still of several components, and sketches of their lines
     apart = with_root(left, comp).groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
     open_ = C.keep(left.join(apart, "band", "left_semi"), "open")
-    C.release(*parts)
-    known = C.keep(sigs.join(with_sketch(open_.select("id").distinct(), docs), "id").withColumn("half", halved("wide")), "sketches")
-    C.release(sigs)
-    more = similar(led(open_, comp, known, percent, 1), docs, percent)
-    comp = comp if more.isEmpty() else merged(comp, more)
-    C.release(more)
-    met = rest(open_, comp, known, percent)
-    C.release(open_, known)
-    more = similar(met, docs, percent)
-    comp = comp if more.isEmpty() else merged(comp, more)
-    C.release(more, met)
+    if not open_.isEmpty():  # all of these lines are in pairs, so their texts are at hand
+        known = C.keep(sketched(text.join(open_.select("id").distinct(), "id", "left_semi")).withColumn("half", halved("wide")), "sketches")
+        more = similar(led(open_, comp, known, percent, 1), text, percent)
+        comp = comp if more.isEmpty() else merged(comp, more)
+        C.release(more)
+        pairs = rest(open_, comp, known, percent)
+        C.release(known)
+        more = similar(pairs, text, percent)
+        comp = comp if more.isEmpty() else merged(comp, more)
+        C.release(more, pairs)
+    C.release(open_, text, meet)
     # each component's first line
     here = F.struct(*KEY, "place")
     by_id = every.groupBy("id").agg(F.min(here).alias("first"), F.count("*").alias("n"))

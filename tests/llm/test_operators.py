@@ -277,6 +277,75 @@ def test_lines_with_a_typo(spark):
     assert all(r.doc_id == r.first_doc + 1 for r in got) and len(got) >= 190
 
 
+def test_lines_meet_in_few_bands_if_they_are_not_similar(spark, monkeypatch):
+    """Lines of the same few words share bands by chance; such pairs grow with the square of the lines, so they must be rare. Texts are read again once."""
+    random.seed(21)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    bag, kept, reads, keep, wanted = [word() for _ in range(60)], {}, [], common.keep, lines.wanted
+
+    def counted(df, name="kept", *more):
+        out = keep(df, name, *more)
+        kept[name] = kept.get(name, 0) + (out.count() if name == "bands" else 0)
+        return out
+
+    monkeypatch.setattr(common, "keep", counted)
+    monkeypatch.setattr(lines, "wanted", lambda *x: reads.append(1) or wanted(*x))
+    made = [random.choices(bag, k=12) for _ in range(1500)]
+    long = [word() for _ in range(60)]
+    made += [[*long[:-1], f"{i}xyz"] for i in range(30)]
+    got = lines.duplicates(frame(spark, [(i, " ".join(x)) for i, x in enumerate(made)])).collect()
+    sets = [{" ".join(x)[j : j + 5] for j in range(len(" ".join(x)) - 4)} for x in made]
+    assert {(r.doc_id, r.first_doc) for r in got if r.doc_id >= 1500} == {(i, 1500) for i in range(1501, 1530)}
+    assert all(100 * len(sets[r.doc_id] & sets[r.first_doc]) >= 60 * len(sets[r.doc_id] | sets[r.first_doc]) for r in got)
+    assert kept["bands"] <= 1500 + 30 * lines.BANDS * 3 and len(reads) == 1
+
+
+def test_bands_find_lines_that_are_just_similar():
+    """Pairs of a similarity of 0.75 to 0.78, of short and long lines, share a band but for one in a hundred."""
+    random.seed(13)
+    one, two = [], []
+    while len(one) < 3000:
+        x = "".join(random.choices("abcdefghijklmnop", k=random.choice((12, 30, 60, 120, 400))))
+        y = list(x)
+        for at in random.sample(range(len(x)), max(1, len(x) // 33)):
+            y[at] = "z"
+        y = "".join(y)
+        a, b = ({z[j : j + 5] for j in range(len(z) - 4)} for z in (x, y))
+        if 0.75 <= len(a & b) / len(a | b) < 0.78:
+            one.append(x)
+            two.append(y)
+    assert (lines.keys(one) == lines.keys(two)).any(1).mean() >= 0.99 and lines.alike(one, two, 75).all() and not lines.alike(one, two, 79).any()
+
+
+def test_lines_of_a_band_meet():
+    """Packed rows give all pairs of small bands, leaders of large ones, and nothing of repeated rows."""
+    rng = np.random.default_rng(4)
+    ids = rng.integers(-(2**62), 2**62, 400)
+    key = rng.integers(0, 2**64, 60, dtype=np.uint64)[rng.integers(0, 60, (400, lines.BANDS)) ** 2 // 60]
+    twice = np.concatenate([key, key[:50]]), np.concatenate([ids, ids[:50]])
+    lots = [lines.packed(k.reshape(-1), i, 5) for k, i in ((key, ids), (key[:50], ids[:50]))]
+    rows = [r for b in lines.met(iter(lots)) for r in b.to_pylist()]
+    held = {}
+    for k, i in zip(*twice, strict=True):
+        for x in k.tolist():
+            held.setdefault(x, set()).add(int(i))
+    want, large = set(), set()
+    for k, s in held.items():
+        if len(s) <= lines.FEW:
+            want |= set(itertools.combinations(sorted(s), 2))
+        else:
+            want |= {(min(s), x) for x in s - {min(s)}} | {(x, max(s)) for x in s - {max(s)}}
+            large |= {(x, (k & 0xFFFFFFFF) | ((k >> 32) * 5 >> 32) << 32) for x in s}
+    assert {(r["x"], r["y"]) for r in rows if r["band"] is None} == want and {(r["x"], r["band"]) for r in rows if r["band"] is not None} == large
+
+
+def test_bit_map_has_all_ids(spark):
+    ids = [random.Random(i).getrandbits(63) - 2**62 for i in range(500)]
+    held, bits = lines.marks(spark.createDataFrame([(i,) for i in ids], "id long"), 1 << 20)
+    slot = np.array(ids) & ((1 << bits) - 1)
+    assert bits == 25 and len(held) == 1 << 22 and sum(x.bit_count() for x in held) == len(set(slot.tolist())) and all(held[s >> 3] >> (s & 7) & 1 for s in slot.tolist())
+
+
 def test_decontamination(spark):
     item = " ".join(f"w{i}" for i in range(14))
     docs = [(1, "a b " + " ".join(f"W{i}" for i in range(2, 12)) + " c"), (2, " ".join(f"w{i}" for i in range(9))), (3, "x short item y"), (4, "shortitem")]
