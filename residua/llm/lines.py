@@ -217,9 +217,12 @@ def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in sorted({p for p, _ in some}):
         rows = np.frombuffer(b"".join(x for p, x in some if p == part), PACKED)
         x = np.sort((rows["key"].astype(U) << U(32)) | np.arange(len(rows), dtype=U))
-        same = np.diff(x >> U(32)) == 0
-        x = x[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
         key, ids = x >> U(32), rows["id"][x & U(0xFFFFFFFF)]
+        new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(ids) != 0)])  # most lines of other batches again
+        key, ids = key[new], ids[new]
+        same = np.diff(key) == 0
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        key, ids = key[shared], ids[shared]
         order = np.lexsort((ids, key))
         key, ids = key[order], ids[order]
         if not len(key):
