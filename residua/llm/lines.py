@@ -11,7 +11,7 @@ again, with other leaders and at last with all lines of different components. Of
 those whose parity sketches differ in no more bits than similar lines' can have their texts compared; that loses none.
 Of each component the line that comes first (by doc_id, then place) stays.
 
-Shingles and bands are made in Arrow batches; everything else is DataFrame code. A form in
+Shingles, bands, their pairs and comparisons of texts are made in Arrow batches; everything else is DataFrame code. A form in
 SQL functions alone took more CPU time and disk than it may (figures in the README).
 """
 
